@@ -1,3 +1,52 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_FAILS = r"""
+       (len(regexp_extract_all({0}, '(!!|\?\?|[#*$%&]{{3}})([\x20\x09-\x0D]|$)')) * 3 >= len({1})
+        OR (len(regexp_extract_all({0}, '[|»›>·•]')) * 3 >= len({1}) AND len(regexp_extract_all({0}, '[|»›>·•]')) >= 2)
+        OR (len({1}) < 4 AND NOT regexp_matches({0}, '[.!?:;,…"''”’)\]][\x20\x09-\x0D]*$'))
+        OR regexp_matches({0}, '(?i)(cookie|privacy policy|terms of (use|service)|all rights reserved|enable javascript|subscribe now|click here|log ?in to|sign up|lorem ipsum|powered by|copyright ©)'))
+"""
+
+SQL: dict[str, str] = {
+    "op3_quality_rules": f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, {_WORDS.format("text")} AS w,
+        list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
+p AS (SELECT r, i, w[i:i + 4] AS win FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM p) WHERE n > 1),
+c AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM d, (SELECT unnest(range(5)) AS k) GROUP BY r),
+x AS (SELECT w.r, doc_id, len(w) AS n_words,
+        length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words,
+        coalesce(list_sum(list_transform(list_filter(lines, lambda l: {_FAILS.format("l", _WORDS.format("l"))}), lambda l: len({_WORDS.format("l")}))), 0) AS lost
+      FROM w LEFT JOIN c USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost <= 50 * n_words AS kept
+FROM x""",
+    "op7_line_dedup": r"""
+WITH l AS (SELECT r, doc_id, n, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT r, doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS n
+        FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
+k AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+d AS (SELECT r, l.doc_id, n, line, k.key IS NOT NULL AND keeper <> l.doc_id AS gone FROM l LEFT JOIN k ON l.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+FROM d GROUP BY r, doc_id""",
+    "op9_decontaminate": r"""
+WITH low AS (SELECT translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, doc_id, row_number() OVER () AS r FROM documents),
+d AS (SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, n, w[i:i + n - 1] AS win FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+p AS (SELECT r, n, i, w[i:i + n - 1] AS win FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM v))),
+m AS (SELECT DISTINCT r, p.n, i, item_id FROM p JOIN v ON p.n = v.n AND p.win = v.win),
+h AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM m) GROUP BY r),
+s AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM m) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN s USING (r)""",
+}

@@ -216,3 +216,14 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     ids = cut(lookup(class_of, classes, ["class"], "m", per.count(), ["fp"]).select("fp", "n", "component_id"))
     out = lookup(found, ids, ["fp"], "n", total, ["doc_id"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id, of rows that share it the first by a hash of
+    the row. A component without any doc_id keeps its rows."""
+    keepers = near_duplicates(docs, words).select(F.col("component_id").alias("__keep")).filter("__keep is not null").distinct()
+    marked = docs.withColumn("__row", F.xxhash64(*docs.columns))
+    one = marked.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__keep")).agg(F.min("__row").alias("__first"))
+    chosen = keepers.join(one, "__keep")
+    kept = marked.join(chosen, (F.col("doc_id") == F.col("__keep")) & (F.col("__row") == F.col("__first"))).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))

@@ -26,6 +26,8 @@ from .common import HOT_SHARE, cut, map_rows, tasks
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys in a shard, about: a filter and its exact table are then a few MB.
 SHARD_KEYS = 50_000
+#: Lines looked up in a shard, about.
+SHARD_LINES = 5_000
 
 
 class CuckooFilter:
@@ -181,7 +183,8 @@ def build(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS)
     postings = cut(_postings(docs, min_chars).distinct())
     refs = cut(_refs(postings))
     common = refs.filter(F.col("refs") >= min_docs)
-    shards = max(8, -(-common.count() // SHARD_KEYS))
+    # enough shards that neither their keys nor the lines looked up in one are many
+    shards = max(8, -(-common.count() // SHARD_KEYS), -(-postings.count() // SHARD_LINES))
     filters = cut(_changed_filters(common.withColumn("add", F.lit(True)), None, shards))
     return LineIndex(postings, refs, filters, shards, min_chars, min_docs)
 
@@ -255,7 +258,7 @@ def drops(index: LineIndex, postings: DataFrame | None = None) -> DataFrame:
     rows = index.postings if postings is None else postings
     total = index.postings.count()
     common = index.refs.filter(F.col("refs") >= index.min_docs)
-    limit = max(total // HOT_SHARE, 10_000)
+    limit = max(total // HOT_SHARE, 100)
     # keys with more than a thousandth of all lines, at most a thousand, are looked up where they stand
     hot = common.filter(F.col("refs") > limit).select("h1", "h2", F.col("keeper").alias("hot"))
     rows = rows.join(F.broadcast(hot), ["h1", "h2"], "left")

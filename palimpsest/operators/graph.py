@@ -44,7 +44,7 @@ def traverse(seeds: DataFrame, edges: DataFrame, depth: int = 2, kinds: list[str
         if found is not None:
             hop = hop.join(found.select("seed_id", "entity_id"), ["seed_id", "entity_id"], "left_anti")
         found = hop if found is None else found.unionByName(hop)
-        at = hop
+        at = hop.select("seed_id", "entity_id", "path")
     first = Window.partitionBy("seed_id").orderBy("depth", "entity_id")
     return found.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= max_results).drop("_r")
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as tx
 
@@ -90,7 +89,6 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 10).alias("organization_id"), F.col("user_id").alias("agent_id"), F.col("event_type").alias("metric"), "ts", "value", "props")
 
 
-QUESTION = T.StructType.fromDDL("question_id int, terms string, vec_id long, project string, domain string, top int")
 
 #: CTEs that build the same model in SQL.
 PAGES_SQL = """pages_ AS (SELECT doc_id AS page_id, doc_id % 3 AS organization_id, source AS domain, CASE WHEN doc_id % 4 <> 0 THEN lang END AS project,

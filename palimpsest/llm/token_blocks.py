@@ -16,7 +16,9 @@ of ids goes to the driver.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,10 +32,16 @@ BLOCK, GROUP, PERCENTILE = 128, 8192, 90
 MAGIC = b"PFORIDS1"
 #: Documents per file, about.
 FILE_DOCS = 20_000
-#: Parts of text that a worker remembers: between once and twice as many, the latest.
-REMEMBERED = 350_000
+#: Parts of text, and pieces of parts, that a worker remembers: between once and twice as many, the latest.
+REMEMBERED = 250_000
 END_ID = 2
 
+# Lower-case Latin parts: no white space but what cuts, no control characters, no ²³¹¼½¾, nothing from U+0250. All such
+# code points beyond ASCII from U+00C0 but × and ÷ are letters.
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
+_UNSAFE = re.compile("[^!-~\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+
 
 def pack(ids: np.ndarray) -> bytes:
     """One group of at most BLOCK * GROUP ids."""
@@ -180,38 +188,69 @@ class Reader:
             held, at = held[size:], at + size
 
 
+class Remembered(dict):
+    """What was computed lately: between once and twice ``limit`` entries."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.older = limit, {}
+
+    def missing(self, keys: set) -> list:
+        """Of ``keys`` those not known; all others now are here."""
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+        out = []
+        for k in keys.difference(self):
+            if (v := self.older.get(k)) is not None:
+                self[k] = v
+            else:
+                out.append(k)
+        return out
+
+
 class WordTokenizer:
-    """A tokenizer of the ``tokenizers`` library that drops white space, applied to each distinct part of texts once."""
+    """A tokenizer of the ``tokenizers`` library that drops white space and lower-cases, applied to each part once.
+
+    Parts are cut at spaces and line feeds. Parts of Latin letters need no normalising beyond lower case, so they are cut
+    as the pre-tokenizer does, and the library's model encodes each piece; all other parts go through all of it."""
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.model, self.level = self.inner.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.known, self.pieces = Remembered(REMEMBERED), Remembered(REMEMBERED)
+
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        tokenize, level = self.model.tokenize, self.level.pre_tokenize_str
+        known = self.pieces
+        for p in known.missing(pieces):
+            # bytes stand as printable characters; ASCII stands for itself
+            shown = p if p.isascii() else level(p)[0][0]
+            known[p] = array("I", [x.id for x in tokenize(shown)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """ids as little-endian unsigned 32-bit integers."""
-        # the vocabulary is of lower case; a final sigma alone depends on what follows it
+        # a final sigma alone depends on what follows it
         cut = [((t if "Σ" in t else t.lower()) if t else "").replace("\n", " ").split(" ") for t in texts]
-        parts = set().union(*cut)
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {"": b""}
-        known, older = self.known, self.older
-        new = []
-        for p in parts.difference(known):
-            if p in older:
-                known[p] = older[p]
-            else:
-                new.append(p)
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
+        known = self.known
+        new = known.missing(set().union(*cut))
+        latin = {p: _PIECES.findall(low) for p in new if not _UNSAFE.search(low := p.lower())}
+        self._learn_pieces(set().union(*latin.values()))
+        of = self.pieces
+        for p, own in latin.items():
+            known[p] = of[own[0]] if len(own) == 1 else b"".join([of[x] for x in own])
+        rest = [p for p in new if p not in latin]
+        for a in range(0, len(rest), 4096):
+            part = rest[a : a + 4096]
             for p, e in zip(part, self.inner.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
+                known[p] = array("I", e.ids).tobytes()
         return [b"".join(map(known.__getitem__, own)) for own in cut]
 
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, cut, map_rows, tasks
+from .common import HOT_SHARE, cut, fresh, map_rows, tasks
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys in a shard, about: a filter and its exact table are then a few MB.
@@ -227,7 +227,8 @@ def _probe():
                     self.rows.append(np.stack([h1[a:b], h2[a:b], doc[a:b]]))
                 elif self.filter is not None:
                     if self.table is None:
-                        all_rows = np.concatenate(self.rows, axis=1)
+                        # deletions may have left a filter without keys
+                        all_rows = np.concatenate([np.zeros((3, 0), np.int64), *self.rows], axis=1)
                         self.table = all_rows[:, np.lexsort((all_rows[1], all_rows[0]))]
                     maybe = a + np.flatnonzero(self.filter.contains(h1[a:b], h2[a:b]))
                     yield self.exact(h1[maybe], h2[maybe], doc[maybe])
@@ -290,8 +291,9 @@ def drops(index: LineIndex, postings: DataFrame | None = None) -> DataFrame:
 
 def clean(index: LineIndex, docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` replaced, and n_lines, n_dropped; other columns as they were."""
-    lost = drops(index).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("__line_lost"))
-    rows = docs.withColumn("__line_text", F.col("text")).join(lost, "doc_id", "left")
+    lost = drops(index).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("line_lost"))
+    body, mark = fresh(docs, "line_text"), fresh(docs, "line_lost")
+    rows = docs.withColumn(body, F.col("text")).join(lost.withColumnRenamed("line_lost", mark), "doc_id", "left")
     n_chars = index.min_chars
 
     def make():
@@ -312,7 +314,7 @@ def clean(index: LineIndex, docs: DataFrame) -> DataFrame:
 
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others] + ["text string", "n_lines long", "n_dropped long"])
-    return map_rows(rows, [*(f"`{c}`" for c in others), "__line_text", "__line_lost"], schema, make)
+    return map_rows(rows, [*(f"`{c}`" for c in others), body, mark], schema, make)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

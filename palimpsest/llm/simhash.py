@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, map_rows, tasks
+from .common import cut, fresh, lookup, map_rows, tasks
 
 BITS = 64
 #: Values that a bucket should hold, for a few hundred MB in a worker.
@@ -221,9 +221,10 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id, of rows that share it the first by a hash of
     the row. A component without any doc_id keeps its rows."""
-    keepers = near_duplicates(docs, words).select(F.col("component_id").alias("__keep")).filter("__keep is not null").distinct()
-    marked = docs.withColumn("__row", F.xxhash64(*docs.columns))
-    one = marked.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__keep")).agg(F.min("__row").alias("__first"))
-    chosen = keepers.join(one, "__keep")
-    kept = marked.join(chosen, (F.col("doc_id") == F.col("__keep")) & (F.col("__row") == F.col("__first"))).select(*docs.columns)
+    keep, row, first = (fresh(docs, x) for x in ("keep", "row", "first"))
+    keepers = near_duplicates(docs, words).select(F.col("component_id").alias(keep)).filter(F.col(keep).isNotNull()).distinct()
+    marked = docs.withColumn(row, F.xxhash64(*docs.columns))
+    one = marked.filter("doc_id is not null").groupBy(F.col("doc_id").alias(keep)).agg(F.min(row).alias(first))
+    chosen = keepers.join(one, keep)
+    kept = marked.join(chosen, (F.col("doc_id") == F.col(keep)) & (F.col(row) == F.col(first))).select(*docs.columns)
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))

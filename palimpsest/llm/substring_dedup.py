@@ -18,7 +18,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, map_rows
+from .common import cut, fresh, lookup, map_rows
 
 MIN_WORDS, LONG, ANCHOR = 20, 24, 8
 _UNIT = re.compile(r"[^.!?\n]+[.!?]*|[.!?]+")
@@ -107,8 +107,9 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the spans taken out of ``text``, and removed_spans, their original offsets."""
     others = [c for c in docs.columns if c not in ("text", "removed_spans")]
-    gone = spans(docs, min_words).groupBy(F.col("doc_id").alias("__sub_doc"), F.col("th").alias("__sub_th")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__sub_spans"))
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__sub_doc")) & (F.xxhash64("text") == F.col("__sub_th")), "left")
+    doc, th, own = (fresh(docs, x) for x in ("sub_doc", "sub_th", "sub_spans"))
+    gone = spans(docs, min_words).groupBy(F.col("doc_id").alias(doc), F.col("th").alias(th)).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(own))
+    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left")
 
     def make():
         def f(cols):
@@ -125,4 +126,4 @@ def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return f
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others] + ["text string", "removed_spans array<struct<start:int,stop:int>>"])
-    return map_rows(rows, [*(f"`{c}`" for c in others), "text", "__sub_spans"], schema, make)
+    return map_rows(rows, [*(f"`{c}`" for c in others), "text", own], schema, make)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import byte_bpe, decontaminate, line_dedup, quality_cnn, simhash
-from palimpsest.llm.common import scratch
+from palimpsest.llm.common import fresh, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +23,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of five and more documents stay in one; a text that had none of them is as it was, null included."""
     columns = docs.columns
-    own = docs.withColumn("__was", F.col("text"))
-    kept = line_dedup.dedup_lines(own)
+    was = fresh(docs, "was")
+    kept = line_dedup.dedup_lines(docs.withColumn(was, F.col("text")))
     changed = F.col("n_dropped") > 0
-    kept = kept.withColumn("text", F.when(changed, F.col("text")).otherwise(F.col("__was")))
+    kept = kept.withColumn("text", F.when(changed, F.col("text")).otherwise(F.col(was)))
     if "n_chars" in columns:
         kept = kept.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return kept.select(*columns)

@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import crc_bucket, cut, map_rows
 
 CLASSES, TAILS, DIM, CONTEXT = 256, 64, 16, 4
-#: Words whose counts every worker has.
-HEAD = 65_536
+FIRST_TAIL = CLASSES - TAILS
+#: Words, at most, whose counts every worker has.
+HEAD = 131_072
 NOISE, SAMPLES, BATCH, RATE = 16, 64, 1024, 0.02
 HELD_OUT, BUCKETS = 2, 7
 #: Distinct words that a worker counts before it hands them on.
@@ -77,43 +79,55 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The classes, the head's counts, and what normalises each shared class."""
+    """The classes, and tables by a word's number: its place in the head, or the head's size and its shared class."""
 
     def __init__(self, head: list[tuple[bytes, int]], tails: dict[int, tuple[int, int]], total: int, distinct: int):
-        own = [w for w, _ in head if w != END][: CLASSES - TAILS - 1]
-        self.own = {END: 0} | {w: i + 1 for i, w in enumerate(own)}
-        self.total, self.distinct = total, distinct
         counts = dict(head)
-        mass = np.ones(CLASSES)
-        for w, i in self.own.items():
+        own = {END: 0} | {w: i + 1 for i, w in enumerate(own_words(head))}
+        self.total, self.distinct = total, distinct
+        mass, norm = np.ones(CLASSES), np.zeros(CLASSES)
+        for w, i in own.items():
             mass[i] += counts.get(w, 0)
-        norm = np.zeros(TAILS)
         for t in range(TAILS):
             n, v = tails.get(t, (0, 0))
-            mass[CLASSES - TAILS + t] += n
-            norm[t] = math.log10(n + v + 1)
+            mass[FIRST_TAIL + t] += n
+            norm[FIRST_TAIL + t] = math.log10(n + v + 1)
         self.share = mass / mass.sum()
-        self.tail_norm = np.zeros(CLASSES)
-        self.tail_norm[CLASSES - TAILS :] = norm
-        self.class_of = {w: self.own.get(w, CLASSES - TAILS + tail_of(w)) for w, _ in head} | self.own
-        self.log_count = {w: math.log10(c + 1) for w, c in head}
+        words = list(counts | dict.fromkeys(own, 0) if END not in counts else counts)
+        self.number = {w: i for i, w in enumerate(words)}
+        self.head = len(words)
+        classes = [own.get(w, FIRST_TAIL + tail_of(w)) for w in words]
+        self.class_of = np.array([*classes, *range(FIRST_TAIL, CLASSES)], np.int32)
+        c = np.array([counts.get(w, 0) for w in words] + [0] * TAILS)
+        self.known = (c > 0).astype(np.int64)
+        #: What a word adds to the base score, and, beyond its class's probability, to the model's.
+        self.base = np.log10(c + 1.0)
+        self.inner = np.where(self.class_of >= FIRST_TAIL, self.base, 0) - norm[self.class_of]
+
+
+def own_words(head: list[tuple[bytes, int]]) -> list[bytes]:
+    """The words with classes of their own, but the end."""
+    return [w for w, _ in head if w != END][: FIRST_TAIL - 1]
 
 
 class Lookup(dict):
-    """Classes of words, learnt as they come."""
+    """Numbers of words; those beyond the head are learnt as they come."""
 
-    def __init__(self, class_of: dict[bytes, int]):
-        super().__init__(class_of)
-        self.limit = len(class_of) + 200_000
-        self.base = class_of
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__(vocabulary.number)
+        self.first, self.base = vocabulary.head, vocabulary.number
+        self.limit = len(self) + 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.limit:
             self.clear()
             self.update(self.base)
-        out = self[word] = CLASSES - TAILS + tail_of(word)
+        out = self[word] = self.first + tail_of(word)
         return out
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
 
 class LogBilinear:
     def __init__(self, share: np.ndarray, seed: int = 5):
@@ -130,66 +144,71 @@ class LogBilinear:
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
 
-    def load(self, flat: np.ndarray) -> LogBilinear:
-        at = 0
+    def _views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
         for k, v in self.p.items():
-            self.p[k] = np.asarray(flat[at : at + v.size], np.float32).reshape(v.shape)
+            out[k] = flat[at : at + v.size].reshape(v.shape)
             at += v.size
+        return out
+
+    def load(self, flat: np.ndarray) -> LogBilinear:
+        self.p = self._views(np.asarray(flat, np.float32))
         return self
 
     @staticmethod
-    def windows(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Targets, and the CONTEXT classes before each; ends stand before a text."""
-        pad = [0] * CONTEXT
-        flat = np.array([x for own in texts for x in (*pad, *own)], np.int32)
-        sizes = np.array([len(x) for x in texts])
-        starts = np.cumsum(sizes + CONTEXT) - sizes
-        at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-        return flat[at], np.stack([flat[at - k] for k in range(1, CONTEXT + 1)])
+    def windows(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The CONTEXT classes before each token of texts laid end to end; ends stand before a text."""
+        place = np.arange(len(classes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out = np.zeros((CONTEXT, len(classes)), np.int32)
+        for k in range(1, CONTEXT + 1):
+            out[k - 1, k:] = classes[:-k]
+            out[k - 1][place < k] = 0
+        return out
 
     def train(self, target: np.ndarray, before: np.ndarray, state: dict, rng) -> None:
         """Noise-contrastive estimation; each batch's noise is shared and counts as NOISE draws for every target."""
-        for a in range(0, len(target), BATCH):
-            y, ctx = target[a : a + BATCH], before[:, a : a + BATCH]
-            p, n = self.p, len(y)
-            rows = [p["context"][c] for c in ctx]
-            q = sum(r * w for r, w in zip(rows, p["position"], strict=True))
-            draws = rng.choice(CLASSES, SAMPLES, p=self.share)
-            own = p["target"][y]
-            data = (q * own).sum(1) + p["bias"][y] - self.log_noise[y]
-            noise = q @ p["target"][draws].T + (p["bias"] - self.log_noise)[draws]
-            dd = -1 / (1 + np.exp(data.clip(-30, 30))) / n
-            dn = (NOISE / SAMPLES / n) / (1 + np.exp(-noise.clip(-30, 30)))
-            dq = dd[:, None] * own + dn @ p["target"][draws]
-            g = {k: np.zeros_like(v) for k, v in p.items()}
-            g["target"] += self._scatter(y, dd[:, None] * q)
+        flat = self.flat()
+        self.load(flat)  # from here the parameters are views of one vector
+        grad = np.zeros_like(flat)
+        g = self._views(grad)
+        m, s = state.setdefault("m", np.zeros_like(flat)), state.setdefault("s", np.zeros_like(flat))
+        p, step_of = self.p, np.arange(DIM, dtype=np.int64)
+        draws_of = rng.choice(CLASSES, (-(-len(target) // BATCH), SAMPLES), p=self.share)
+        cells = CLASSES * DIM
+        for b, a in enumerate(range(0, len(target), BATCH)):
+            y, ctx, draws = target[a : a + BATCH], before[:, a : a + BATCH], draws_of[b]
+            n = len(y)
+            rows = p["context"][ctx]
+            q = np.einsum("knd,kd->nd", rows, p["position"])
+            own, other = p["target"][y], p["target"][draws]
+            data = np.einsum("nd,nd->n", q, own) + p["bias"][y] - self.log_noise[y]
+            noise = q @ other.T
+            noise += (p["bias"] - self.log_noise)[draws]
+            dd = (-1 / n) / (1 + np.exp(np.minimum(data, 30)))
+            np.negative(noise, out=noise)
+            np.exp(np.minimum(noise, 30, out=noise), out=noise)
+            noise += 1
+            dn = np.divide(NOISE / SAMPLES / n, noise, out=noise)
+            dq = dd[:, None] * own + dn @ other
+            at = (y.astype(np.int64)[:, None] * DIM + step_of).ravel()
+            g["target"][:] = np.bincount(at, (dd[:, None] * q).ravel(), cells).reshape(CLASSES, DIM)
             np.add.at(g["target"], draws, dn.T @ q)
-            g["bias"] += np.bincount(y, dd, CLASSES).astype(np.float32)
+            g["bias"][:] = np.bincount(y, dd, CLASSES)
             np.add.at(g["bias"], draws, dn.sum(0))
-            for k in range(CONTEXT):
-                g["position"][k] = (dq * rows[k]).sum(0)
-                g["context"] += self._scatter(ctx[k], dq * p["position"][k])
+            g["position"][:] = np.einsum("knd,nd->kd", rows, dq)
+            at = (ctx.astype(np.int64)[:, :, None] * DIM + step_of).ravel()
+            g["context"][:] = np.bincount(at, (dq[None, :, :] * p["position"][:, None, :]).ravel(), cells).reshape(CLASSES, DIM)
             state["n"] = step = state.get("n", 0) + 1
-            for k, x in g.items():
-                m = state.setdefault("m" + k, np.zeros_like(x))
-                s = state.setdefault("s" + k, np.zeros_like(x))
-                m += 0.1 * (x - m)
-                s += 0.01 * (x * x - s)
-                p[k] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
-
-    @staticmethod
-    def _scatter(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """The sums of ``values`` by class, as one product with the classes' indicator."""
-        one = np.zeros((CLASSES, len(rows)), np.float32)
-        one[rows, np.arange(len(rows))] = 1
-        return one @ values.astype(np.float32)
+            m += 0.1 * (grad - m)
+            s += 0.01 * (grad * grad - s)
+            flat -= (RATE / (1 - 0.9**step)) * m / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
 
     def log10(self, target: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of the targets' classes."""
         p = self.p
         tables = [p["context"] * w for w in p["position"]]
         across = np.ascontiguousarray(p["target"].T)
-        out = np.empty(len(target), np.float64)
+        out, ones = np.empty(len(target), np.float64), np.ones(CLASSES, np.float32)
         for a in range(0, len(target), 4096):
             y, ctx = target[a : a + 4096], before[:, a : a + 4096]
             q = tables[0][ctx[0]]
@@ -198,10 +217,11 @@ class LogBilinear:
             z = q @ across
             z += p["bias"]
             own = z[np.arange(len(y)), y].astype(np.float64)
-            top = z.max(axis=1)
-            z -= top[:, None]
+            top = max(0.0, float(z.max()) - 60)  # far from what a float holds
+            if top:
+                z -= np.float32(top)
             np.exp(z, out=z)
-            out[a : a + 4096] = own - top - np.log(z.sum(axis=1, dtype=np.float64))
+            out[a : a + 4096] = own - top - np.log(z @ ones)
         return out / math.log(10)
 
 
@@ -209,15 +229,23 @@ def fit(docs: DataFrame) -> tuple[DataFrame, Vocabulary, np.ndarray]:
     """(counts, vocabulary, parameters) from ``docs``, all of which are for training."""
     counts = cut(count_tokens(docs))
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    head = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    # the commonest words: counts are sorted into bins, of which there are a few thousand at most, and whole bins are taken
+    level = F.floor(F.log2("c") * 64)
+    bins = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
+    size, least = 0, math.inf
+    for r in bins:
+        if (size := size + r.n) > HEAD:
+            break
+        least = r.level
+    head = [(bytes(r.word), r.c) for r in counts.filter(level >= least).collect()] if least < math.inf else []
+    head.sort(key=lambda x: (-x[1], x[0]))
     # shared classes: everything but the words with classes of their own
     last = F.substring("word", -3, 3)
     tail = F.crc32(F.when(F.octet_length("word") >= 3, last).otherwise(F.col("word"))) % TAILS
-    own = [w for w, _ in head if w != END][: CLASSES - TAILS - 1]
     per = counts.filter(F.octet_length("word") > 0).groupBy(tail.alias("t")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     tails = {r.t: [r.n, r.v] for r in per}
     taken = dict(head)
-    for w in own:
+    for w in own_words(head):
         t = tails[tail_of(w)]
         t[0] -= taken[w]
         t[1] -= 1
@@ -226,18 +254,19 @@ def fit(docs: DataFrame) -> tuple[DataFrame, Vocabulary, np.ndarray]:
 
 
 def _train(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary.class_of, vocabulary.share))
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make():
         class Pass:
             def __init__(self):
-                class_of, share = sent.value
-                self.look, self.model = Lookup(class_of), LogBilinear(share)
+                v = sent.value
+                self.look, self.class_of, self.model = Lookup(v), v.class_of, LogBilinear(v.share)
                 self.state, self.rng, self.n, self.held = {}, np.random.default_rng(3), 0, []
                 self.size = 0
 
             def learn(self):
-                target, before = LogBilinear.windows(self.held)
+                target = self.class_of[np.concatenate(self.held)]
+                before = LogBilinear.windows(target, np.array([len(x) for x in self.held]))
                 order = self.rng.permutation(len(target))
                 self.model.train(target[order], before[:, order], self.state, self.rng)
                 self.n += len(target)
@@ -246,7 +275,7 @@ def _train(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
             def __call__(self, cols):
                 look = self.look
                 for text in cols[0]:
-                    self.held.append([look[w] for w in tokens(text)])
+                    self.held.append(look.numbers(tokens(text)))
                     self.size += len(self.held[-1])
                     if self.size > 200_000:
                         self.learn()
@@ -276,33 +305,30 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, flat: np.n
         from pyspark import TaskContext
 
         v, p = sent.value
-        look, model = Lookup(v.class_of), LogBilinear(v.share).load(p)
-        log_count, own, norm = v.log_count, v.own, v.tail_norm
+        look, model = Lookup(v), LogBilinear(v.share).load(p)
         state = {"uid": TaskContext.get().partitionId() << 40}
 
         def f(cols):
             for a in range(0, len(cols[0]), 256):
                 ids, texts = (c[a : a + 256] for c in cols)
                 words = [tokens(t) for t in texts]
-                classes = [list(map(look.__getitem__, w)) for w in words]
-                target, before = LogBilinear.windows(classes)
-                logs = model.log10(target, before)
-                logs -= norm[target]
-                ends = np.cumsum([len(w) for w in words])
-                sums = np.add.reduceat(logs, np.r_[0, ends[:-1]])
-                out = [[] for _ in range(7)]
-                add = lambda *x: [c.append(y) for c, y in zip(out, x, strict=True)]
-                for doc, w, s in zip(ids, words, sums.tolist(), strict=True):
-                    uid = state["uid"] = state["uid"] + 1
-                    found = list(map(log_count.get, w))
-                    known = [x for x in found if x is not None]
-                    in_class = sum([x for y, x in zip(w, found, strict=True) if x is not None and y not in own])
-                    # a space is in no word, so this row meets no count
-                    add(uid, doc, b" %d" % uid, len(w), len(known), sum(known), s + in_class)
-                    if len(known) < len(w):
-                        for word, n in Counter([y for y, x in zip(w, found, strict=True) if x is None]).items():
-                            add(uid, None, word, n, -1, 0.0, 0.0)
-                yield out
+                sizes = np.array([len(w) for w in words])
+                flat = list(chain.from_iterable(words))
+                number = look.numbers(flat)
+                target = v.class_of[number]
+                starts = np.cumsum(sizes) - sizes
+                total = lambda x, s=starts: np.add.reduceat(x, s).tolist()
+                model_sums = total(model.log10(target, LogBilinear.windows(target, sizes)) + v.inner[number])
+                uids = np.arange(len(words)) + state["uid"]
+                state["uid"] += len(words)
+                # a space is in no word, so these rows meet no count
+                yield [uids, ids, [b" %d" % u for u in uids.tolist()], sizes, total(v.known[number]), total(v.base[number]), model_sums]
+                beyond = np.flatnonzero(number >= v.head)
+                if len(beyond):
+                    owner = uids[np.searchsorted(starts, beyond, "right") - 1].tolist()
+                    found = Counter(zip(owner, map(flat.__getitem__, beyond.tolist()), strict=True))
+                    n = len(found)
+                    yield [[u for u, _ in found], [None] * n, [w for _, w in found], list(found.values()), np.full(n, -1), np.zeros(n), np.zeros(n)]
 
         return f
 

@@ -177,7 +177,8 @@ def links(fps: DataFrame) -> DataFrame:
     spark = fps.sparkSession
     n = fps.count()
     buckets = tasks(spark, n * 560, BUCKET_VALUES)
-    rows = map_rows(fps, ["fp"], "bucket int, fps binary, n binary, codes binary", lambda: _emit(buckets))
+    # few fingerprints make many values: dealt so that each task makes as many as a bucket holds
+    rows = map_rows(fps.select("fp").repartition(buckets), ["fp"], "bucket int, fps binary, n binary, codes binary", lambda: _emit(buckets))
     dealt = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return map_rows(dealt, ["bucket", "fps", "n", "codes"], "a long, b long", _receive).distinct()
 

@@ -280,3 +280,28 @@ def provenance_backfill(spark, sf_dir):
     derived = d.filter("id % 10 = 0").select(F.col("id").alias("derived"), F.explode(F.from_json(ids, "array<bigint>")).alias("id"))
     met = derived.join(d.filter("id % 10 <> 0"), "id").groupBy(F.col("derived").alias("id"))
     return met.agg(F.when((F.count("*") == F.count("project")) & (F.count_distinct("project") == 1), F.max("project")).alias("project"))
+
+
+@query(f"""{_P} SELECT 'kept' AS what, count(*) AS n, count(project) AS with_project, sum(length(content)) AS n_chars FROM pages_ WHERE organization_id = 1
+UNION ALL SELECT 'skipped', 2, 0, 0""")
+def export_import_round_trip(spark, sf_dir):
+    import uuid
+
+    from ..operators.state import shared_dir
+    from ..sources import files
+
+    at = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    files.export_json(TenantScope(1)(pages(spark, sf_dir)), f"{at}/pages", most=10**9)
+    spark.createDataFrame([("{broken",), ('{"title": "t", "content": "  "}',)], "value string").write.text(f"{at}/more")
+    good, skipped = files.import_json(spark, f"{at}/*")
+    kept = good.agg(F.lit("kept").alias("what"), F.count("*").alias("n"), F.count("project").alias("with_project"), F.sum(F.char_length("content")).alias("n_chars"))
+    return kept.unionByName(skipped.agg(F.lit("skipped").alias("what"), F.sum("n").alias("n"), F.lit(0).cast("long").alias("with_project"), F.lit(0).cast("long").alias("n_chars")))
+
+
+@query(f"""{_P} SELECT page_id, 'memories/' || regexp_replace(regexp_replace(trim(title), '[:|*/]', '-', 'g'), '[?"<>]', '', 'g') || '.md' AS path, sha256('---' || chr(10) || 'id: ' || page_id || chr(10) || 'title: "' || title || '"' || chr(10) || 'domain: ' || domain || chr(10)
+|| coalesce('project: ' || project || chr(10), '') || 'created_at: ' || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || chr(10) || '---' || chr(10) || chr(10) || '# ' || regexp_replace(title, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10)
+|| regexp_replace(content, '^\\s+|\\s+$', '', 'g') || chr(10)) AS digest FROM pages_ WHERE organization_id = 2""")
+def wiki_documents(spark, sf_dir):
+    from ..sources import files
+
+    return files.markdown(TenantScope(2)(pages(spark, sf_dir))).select("page_id", "path", F.sha2("document", 256).alias("digest"))

@@ -111,3 +111,8 @@ def strip_streams(pieces: DataFrame) -> DataFrame:
         return pd.DataFrame({"stream_id": [g["stream_id"].iloc[0]], "text": ["".join(done) + s.close()]})
 
     return pieces.groupBy("stream_id").applyInPandas(walk, "stream_id long, text string")
+
+
+def embed_pending(chunks: DataFrame, path: str, embed) -> DataFrame:
+    """Chunks (chunk_id, content) as they come, with vectors from a plug-in (``functions.models.embedder``)."""
+    return to_table(chunks.select("chunk_id", embed(F.col("content")).alias("embedding")), path)

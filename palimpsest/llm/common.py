@@ -94,6 +94,10 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], weight: str, total
     return out.select(*[F.col(f"a.`{c}`") for c in own], *[found[v].alias(v) for v in values])
 
 
+#: Rows that are Python objects at a time.
+ROWS = 4096
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[list[list]], Iterator[list[list]]]]) -> DataFrame:
     """``mapInArrow`` over lists: ``make()`` runs once a task and returns a function from one batch's columns (Python
     lists, in order) to any number of batches of output columns. The function may have ``finish()``, for what is left."""
@@ -106,8 +110,9 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
         f = make()
         pack = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], schema=arrow)
         for batch in batches:
-            for out in f([c.to_pylist() for c in batch.columns]):
-                yield pack(out)
+            for a in range(0, batch.num_rows, ROWS):
+                for out in f([c.to_pylist() for c in batch.slice(a, ROWS).columns]):
+                    yield pack(out)
         if hasattr(f, "finish"):
             for out in f.finish():
                 yield pack(out)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh, lookup, map_rows
 
-MIN_WORDS, LONG, ANCHOR = 20, 24, 8
+MIN_WORDS, LONG, ANCHOR = 25, 24, 8
 _UNIT = re.compile(r"[^.!?\n]+[.!?]*|[.!?]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 

@@ -189,24 +189,21 @@ class Reader:
 
 
 class Remembered(dict):
-    """What was computed lately: between once and twice ``limit`` entries."""
+    """What ``make`` made of keys lately: between once and twice ``limit`` entries."""
 
-    def __init__(self, limit: int):
+    def __init__(self, limit: int, make):
         super().__init__()
-        self.limit, self.older = limit, {}
+        self.limit, self.make, self.older = limit, make, {}
 
-    def missing(self, keys: set) -> list:
-        """Of ``keys`` those not known; all others now are here."""
-        if len(self) > self.limit:
+    def __missing__(self, key):
+        if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
-        out = []
-        for k in keys.difference(self):
-            if (v := self.older.get(k)) is not None:
-                self[k] = v
-            else:
-                out.append(k)
-        return out
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
 
 
 class WordTokenizer:
@@ -225,33 +222,24 @@ class WordTokenizer:
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
         self.model, self.level = self.inner.model, ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known, self.pieces = Remembered(REMEMBERED), Remembered(REMEMBERED)
+        self.known, self.pieces = Remembered(REMEMBERED, self._part), Remembered(REMEMBERED, self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        # bytes stand as printable characters; ASCII stands for itself
+        shown = piece if piece.isascii() else self.level.pre_tokenize_str(piece)[0][0]
+        return array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
 
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        tokenize, level = self.model.tokenize, self.level.pre_tokenize_str
-        known = self.pieces
-        for p in known.missing(pieces):
-            # bytes stand as printable characters; ASCII stands for itself
-            shown = p if p.isascii() else level(p)[0][0]
-            known[p] = array("I", [x.id for x in tokenize(shown)]).tobytes()
+    def _part(self, part: str) -> bytes:
+        low = part.lower()
+        if _UNSAFE.search(low):
+            return array("I", self.inner.encode(part, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(low)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """ids as little-endian unsigned 32-bit integers."""
+        known = self.known.__getitem__
         # a final sigma alone depends on what follows it
-        cut = [((t if "Σ" in t else t.lower()) if t else "").replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = known.missing(set().union(*cut))
-        latin = {p: _PIECES.findall(low) for p in new if not _UNSAFE.search(low := p.lower())}
-        self._learn_pieces(set().union(*latin.values()))
-        of = self.pieces
-        for p, own in latin.items():
-            known[p] = of[own[0]] if len(own) == 1 else b"".join([of[x] for x in own])
-        rest = [p for p in new if p not in latin]
-        for a in range(0, len(rest), 4096):
-            part = rest[a : a + 4096]
-            for p, e in zip(part, self.inner.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = array("I", e.ids).tobytes()
-        return [b"".join(map(known.__getitem__, own)) for own in cut]
+        return [b"".join(map(known, ((t if "Σ" in t else t.lower()) if t else "").replace("\n", " ").split(" "))) for t in texts]
 
 
 @lru_cache(maxsize=2)

@@ -240,3 +240,22 @@ def telemetry_coverage(spark, sf_dir):
 @query(f"{_E} SELECT from_id, to_id, kind FROM edges WHERE valid_from <= TIMESTAMP '1996-06-30' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1996-06-30') AND to_id BETWEEN {PART} AND {NATION}")
 def scan_as_of(spark, sf_dir):
     return as_of(edges(spark, sf_dir), "1996-06-30").filter(F.col("to_id").between(PART, NATION)).select("from_id", "to_id", "kind")
+
+
+@query(f"""{_E}, {_ENDS}, {_DEG}, c AS (SELECT entity_id, count(DISTINCT kind) AS kinds, count(*) AS d FROM ends GROUP BY 1 HAVING count(*) >= 3)
+SELECT 'entities' AS item, '' AS name, count(*) AS n FROM entities UNION ALL SELECT 'edges', '', count(*) FROM edges UNION ALL SELECT 'kind', kind, count(*) FROM entities GROUP BY kind
+UNION ALL SELECT 'central', entity_id::VARCHAR, degree FROM (SELECT * FROM deg ORDER BY degree DESC, entity_id LIMIT 10)
+UNION ALL SELECT 'connector', entity_id::VARCHAR, kinds FROM (SELECT * FROM c ORDER BY kinds DESC, d DESC, entity_id LIMIT 10)""")
+def graph_overview(spark, sf_dir):
+    n, e = entities(spark, sf_dir), current(edges(spark, sf_dir))
+    per = graph.endpoints(e.select("from_id", "to_id", "kind")).groupBy("entity_id").agg(F.count("*").alias("degree"), F.count_distinct("kind").alias("kinds"))
+    item = lambda df, what, name, value: df.select(F.lit(what).alias("item"), name.alias("name"), value.alias("n"))
+    key, none, c = F.col("entity_id").cast("string"), F.lit(""), F.col("c")
+    whole = lambda df: df.agg(F.count("*").alias("c"))
+    return (
+        item(whole(n), "entities", none, c)
+        .unionByName(item(whole(e), "edges", none, c))
+        .unionByName(item(n.groupBy("kind").agg(F.count("*").alias("c")), "kind", F.col("kind"), c))
+        .unionByName(item(per.orderBy(F.desc("degree"), "entity_id").limit(10), "central", key, F.col("degree")))
+        .unionByName(item(per.filter("degree >= 3").orderBy(F.desc("kinds"), F.desc("degree"), "entity_id").limit(10), "connector", key, F.col("kinds")))
+    )

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import questions, text
-from ..operators import ingest, resolve, usage
-from ..operators.ranking import ranked, top_k
+from ..operators import resolve, usage
+from ..operators.ranking import top_k
 from ..sources.tables import PAGES_SQL, current, pages, table
 from ..sources.tables import usage as usage_rows
 from .base import query
@@ -133,9 +132,6 @@ def facts_by_kind(spark, sf_dir):
     return usage_rows(spark, sf_dir).groupBy("agent_id").agg(F.count_if(F.col("metric") == "signup").alias("preferences"), F.count_if(F.col("metric") == "purchase").alias("lessons"))
 
 
-_WEIGHTS = [("inbox", 15), ("handoff", 15), ("guidelines", 20), ("profile", 20), ("wiki", 15), ("recent", 15)]
-
-
 @query("""WITH s AS (SELECT * FROM (VALUES (1, 'guidelines', 20), (2, 'wiki', 35), (3, 'recent', 10)) v(k, section, weight)), b AS (SELECT *, 4000 * weight // (SELECT sum(weight) FROM s) AS budget FROM s),
 r AS (SELECT 1 AS k, doc_id, 1 AS o FROM documents WHERE source = 'src3' UNION ALL SELECT 2, doc_id, 1 FROM documents WHERE source = 'src4' UNION ALL SELECT 3, doc_id, 1 FROM documents),
 t AS (SELECT r.k, doc_id, row_number() OVER (PARTITION BY r.k ORDER BY doc_id DESC) AS n FROM r QUALIFY n <= CASE r.k WHEN 1 THEN 1000 WHEN 2 THEN 12 ELSE 5 END),

@@ -296,3 +296,21 @@ def session_select_count(spark, sf_dir):
     best = ranking.ranked(best.drop("page_rank"), ["question_id"], [F.round("gain", 9).desc(), F.col("first")], "page_rank").filter("page_rank <= 8").select("question_id", "conv_id", "page_rank")
     inner = ranking.ranked(c, ["question_id", "conv_id"], [F.col("rank")], "own").join(F.broadcast(best), ["question_id", "conv_id"])
     return ranking.top_k(inner, ["question_id"], [F.col("own"), F.col("page_rank")], 40, "position").select("conv_id", "turn", "position")
+
+
+@query(f"""{_SEL}, best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY question_id, page ORDER BY rank) = 1),
+pin AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS r FROM documents WHERE source = 'src5' AND doc_id % 4 = 0 QUALIFY r <= 3),
+o AS (SELECT question_id, 'guideline' AS part, r AS position, doc_id AS item_id, text FROM pin, q UNION ALL SELECT question_id, 'source', row_number() OVER (PARTITION BY question_id ORDER BY rank), item_id, text FROM best LEFT JOIN documents ON doc_id = item_id),
+h AS (SELECT *, substr(text, 1, 400) AS head FROM o), w AS (SELECT *, regexp_extract(head, '(?s)^(.*) [^ ]*$', 1) AS whole FROM h)
+SELECT question_id, part, position, item_id, CASE WHEN length(text) <= 400 THEN text WHEN length(whole) > 200 THEN whole || '…' ELSE head || '…' END AS snippet FROM w""")
+def search_sources(spark, sf_dir):
+    from ..functions.text import snippet
+
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    pinned = table(spark, sf_dir, "documents").filter("source = 'src5' AND doc_id % 4 = 0").select(F.col("doc_id").alias("item_id"), "text").orderBy("item_id").limit(3)
+    pinned = ranking.ranked(pinned.withColumn("_", F.lit(0)), ["_"], [F.col("item_id")], "position").join(F.broadcast(questions(spark).select("question_id")), F.lit(True))
+    best = ranking.hard_cap(selected(spark, sf_dir), ["question_id"], "page", 1)
+    best = ranking.ranked(best, ["question_id"], [F.col("rank")], "position").select("question_id", "item_id", "position")
+    full = d.join(F.broadcast(best), "item_id", "right")
+    shown = lambda df, part: df.select("question_id", F.lit(part).alias("part"), "position", "item_id", snippet(F.col("text")).alias("snippet"))
+    return shown(pinned, "guideline").unionByName(shown(full, "source"))

@@ -12,9 +12,9 @@ PAGE = "title string, content string, domain string, project string, agent strin
 MOST = 10_000
 
 
-def export_json(pages: DataFrame, path: str, most: int = MOST) -> None:
-    """The newest pages (page_id, title, content, domain, project, created_at), at most ``most``."""
-    newest = pages.orderBy(F.desc("created_at"), F.desc("page_id")).limit(most)
+def export_json(pages: DataFrame, path: str, most: int | None = MOST) -> None:
+    """The newest pages (page_id, title, content, domain, project, created_at), at most ``most``, or all for None."""
+    newest = pages.orderBy(F.desc("created_at"), F.desc("page_id")).limit(most) if most else pages
     out = newest.select("title", "content", "domain", "project", F.lit(None).cast("string").alias("agent"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
     out.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 

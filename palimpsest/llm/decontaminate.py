@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, map_rows, scratch
+from .common import ROWS, file_system, map_rows, scratch
 
 SIZE = 13
 #: A document with one word in so many hit is contaminated.
@@ -215,7 +215,8 @@ def remove_contaminated(docs: DataFrame, paths: list[str], one_in: int = ONE_IN)
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        slices = (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS))
+        for batch in slices:
             table = pa.Table.from_batches([batch])
             texts = table.column(table.schema.get_field_index("text")).to_pylist()
             hits = [np.zeros(0, bool)] * len(texts)

@@ -1,51 +1,73 @@
-"""Repeated passages by hashing units of lines.
+"""Repeated passages by hashing windows of words at places that the words themselves choose.
 
-A text's units are its lines, cut further after sentence ends, and in sentences of more than ``LONG`` words after anchor
-words, those whose hash is divisible by ``ANCHOR``: so a passage within other text has the same units wherever it stands,
-but for the first. Units are normalised (A-Z lower-cased, words joined by a space) and their digests grouped over all
-documents. The earliest occurrence by (doc_id, text hash, place) is kept. All others go, where such units in a row have
-at least ``MIN_WORDS`` words: single common sentences stay.
+A text's units are windows of ``MIN_WORDS`` words. They overlap: of any ``STEP`` windows in a row, the one whose first two
+words hash lowest is a unit, so that a passage of ``MIN_WORDS + STEP - 1`` words, 41, has a unit in common wherever it
+stands. The first and the last window of each line are units too: repeated lines go to their ends. Units are normalised (A-Z
+lower-cased, words joined by a space) and their digests grouped over all documents. The earliest occurrence by
+(doc_id, text hash, place) is kept, all others go; units in a row that go are one span. So every word that goes stands in
+``MIN_WORDS`` words that stand earlier too. Within a line, up to ``STEP - 1`` words can stay at each end of a passage.
 
-Offsets are code points of the original text. Nulls and empty texts have no units. Rows with equal doc_id and text count
-as one document and lose the same spans. Null doc_ids rank last. Extra columns pass through ``clean``.
+Offsets are code points of the original text. Nulls and texts of fewer words have no units. Rows with equal doc_id and text
+count as one document and lose the same spans. Null doc_ids rank last. Extra columns pass through ``clean``.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, lookup, map_rows
 
-MIN_WORDS, LONG, ANCHOR = 25, 24, 8
-_UNIT = re.compile(r"[^.!?\n]+[.!?]*|[.!?]+")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def units(text: str | None) -> list[tuple[int, int, list[bytes]]]:
-    """(start, stop, normalised words) of each unit with a word."""
-    out = []
-    for m in _UNIT.finditer(text or ""):
-        w = m[0].encode("utf-8", "surrogatepass").lower().split()
-        if len(w) <= LONG:
-            if w:
-                out.append((m.start(), m.end(), w))
-            continue
-        first, start = 0, m.start()
-        places = [(x.start(), x.end()) for x in _WORD.finditer(text, m.start(), m.end())]
-        for k, x in enumerate(w):
-            if k + 1 == len(w) or zlib.crc32(x) % ANCHOR == 0:
-                stop = places[k][1]
-                out.append((start, stop, w[first : k + 1]))
-                first, start = k + 1, stop
-    return out
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    """Every unit: its digest, document, place among the document's units, offsets and number of words."""
+MIN_WORDS, STEP = 25, 17
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_CODE = np.where(_SPACE, 0, np.random.default_rng(8).integers(1, 2**63, 256)).astype(np.uint64)
+
+
+def chosen(h: np.ndarray) -> set[int]:
+    """Of any ``STEP`` places in a row (of all, where there are fewer) the last lowest, by all bits but the last few."""
+    bits = np.uint64((1 << len(h).bit_length()) - 1)
+    low = h & ~bits | np.arange(len(h), dtype=np.uint64)[::-1]
+    wide, need = 1, min(STEP, len(h))
+    while wide < need:
+        by = min(wide, need - wide)
+        low, wide = np.minimum(low[:-by], low[by:]), wide + by
+    return set((len(h) - 1 - (low & bits).astype(np.int64)).tolist())
+
+
+def units(text: str | None, size: int = MIN_WORDS) -> list[tuple[int, int, list[bytes], int]]:
+    """(start, stop, normalised words, place of the first word) of each unit."""
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    w = raw.split()
+    last = len(w) - size
+    if last < 0:
+        return []
+    b = np.frombuffer(raw, np.uint8)
+    space = _SPACE[b]
+    edges = (np.flatnonzero(space[1:] != space[:-1]) + 1).tolist()
+    edges = np.array([0] * (not space[0]) + edges + [len(b)] * (not space[-1]))
+    starts, stops = edges[::2], edges[1::2]
+    code = _CODE[b]
+    code[1:] *= code[:-1] | np.uint64(1)
+    h = np.add.reduceat(code, starts)
+    # of the first word and, so that a common word isn't always lowest, the second
+    h[:-1] += h[1:] * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    places = chosen(h[: last + 1])
+    lines = [0, *np.searchsorted(starts, np.flatnonzero(b == 10)).tolist(), len(w)]
+    for x, y in zip(lines, lines[1:], strict=False):
+        if y - x >= size:
+            places |= {x, y - size}
+    first = np.array(sorted(places))
+    begin, end = starts[first], stops[first + size - 1]
+    if len(raw) > len(text):
+        before = np.cumsum(b & 0xC0 != 0x80)
+        begin, end = before[begin] - 1, before[end - 1]
+    return [(x, y, w[p : p + size], p) for x, y, p in zip(begin.tolist(), end.tolist(), first.tolist(), strict=True)]
+
+
+def _rows(docs: DataFrame, size: int) -> DataFrame:
+    """Every unit: its digest, document, place among the document's units, offsets and place of its first word."""
 
     def make():
         import xxhash
@@ -54,9 +76,9 @@ def _rows(docs: DataFrame) -> DataFrame:
             for a in range(0, len(cols[0]), 2000):
                 out = [[] for _ in range(8)]
                 for doc, th, text in zip(*(c[a : a + 2000] for c in cols), strict=True):
-                    for k, (start, stop, w) in enumerate(units(text)):
+                    for k, (start, stop, w, at) in enumerate(units(text, size)):
                         d = xxhash.xxh3_128_intdigest(b" ".join(w))
-                        for col, x in zip(out, ((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), doc, th, k, start, stop, len(w)), strict=True):
+                        for col, x in zip(out, ((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), doc, th, k, start, stop, at), strict=True):
                             col.append(x)
                 yield out
 
@@ -64,7 +86,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
     # rows that are alike are one document
     one = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return map_rows(one, ["doc_id", "th", "text"], "h1 long, h2 long, doc_id long, th long, k int, start int, stop int, n int", make)
+    return map_rows(one, ["doc_id", "th", "text"], "h1 long, h2 long, doc_id long, th long, k int, start int, stop int, at int", make)
 
 
 def _rank():
@@ -73,13 +95,13 @@ def _rank():
 
 def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, start, stop, n_words, kept_doc_id): what goes, and which document keeps the first unit of it."""
-    rows = _rows(docs)
+    rows = _rows(docs, min_words)
     known = rows.groupBy("h1", "h2").agg(F.min(_rank()).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
     known = cut(known)
     total = known.agg(F.sum("copies")).first()[0] or 0
     met = lookup(rows, known, ["h1", "h2"], "copies", total, ["doc_id", "th", "k"])
     later = met.filter(F.col("copies").isNotNull() & ~F.col("first").eqNullSafe(_rank()))
-    per = later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("k", "start", "stop", "n", F.col("first.doc_id").alias("kept")))).alias("u"))
+    per = later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("k", "start", "stop", "at", F.col("first.doc_id").alias("kept")))).alias("u"))
 
     def make():
         def f(cols):
@@ -90,10 +112,9 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 run: list[dict] = []
                 for x in [*own, None]:
                     if run and (x is None or x["k"] != run[-1]["k"] + 1):
-                        n = sum(y["n"] for y in run)
-                        if n >= min_words:
-                            for col, y in zip(out, (doc, th, run[0]["start"], run[-1]["stop"], n, run[0]["kept"]), strict=True):
-                                col.append(y)
+                        n = run[-1]["at"] + min_words - run[0]["at"]
+                        for col, y in zip(out, (doc, th, run[0]["start"], run[-1]["stop"], n, run[0]["kept"]), strict=True):
+                            col.append(y)
                         run = []
                     if x is not None:
                         run.append(x)
@@ -115,12 +136,17 @@ def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         def f(cols):
             texts, marks = [], []
             for text, own in zip(cols[-2], cols[-1], strict=True):
-                kept, at = [], 0
+                kept, at, gone = [], 0, []
                 for x in own or ():
+                    # spans can overlap
+                    if gone and x["start"] <= at:
+                        gone[-1]["stop"] = at = max(at, x["stop"])
+                        continue
                     kept.append(text[at : x["start"]])
                     at = x["stop"]
+                    gone.append({"start": x["start"], "stop": at})
                 texts.append(text if text is None else "".join(kept) + text[at:])
-                marks.append([{"start": x["start"], "stop": x["stop"]} for x in own or ()])
+                marks.append(gone)
             yield [*cols[:-2], texts, marks]
 
         return f

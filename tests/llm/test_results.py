@@ -265,6 +265,39 @@ def test_repeated_passages_by_brute_force(spark, sf_dir, texts):
     assert {(r.doc_id, r.start, r.stop, r.kept_doc_id) for r in queries.op8_substring_dedup(spark, sf_dir).collect()} == want
 
 
+def test_passages_within_lines_are_found(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(300):
+        passage = words(51)
+        if i % 2:
+            passage[9::10] = [x + "." for x in passage[9::10]]
+        for d in (2 * i, 2 * i + 1):
+            rows.append((d, " ".join([*words(rng.randrange(80)), *passage, *words(rng.randrange(80))])))
+        want[2 * i + 1] = (2 * i, " ".join(passage))
+    got = defaultdict(list)
+    for r in substring_dedup.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].append(r)
+    assert set(got) == set(want)
+    for d, own in got.items():
+        kept, passage = want[d]
+        for r in own:
+            found = rows[d][1][r.start : r.stop]
+            assert r.kept_doc_id == kept and found in passage and r.n_words == len(found.split()) >= 25
+
+
+def test_overlapping_spans_go_once(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    cut = a[: a.index(" a40")] + " " + b[: b.index(" b30")]
+    rows = [(1, a), (2, b), (3, cut), (4, "x " + a + " y " + b + " z"), (5, "q " * 90)]
+    for r in substring_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text, spans = dict(rows)[r.doc_id], [(s.start, s.stop) for s in r.removed_spans]
+        assert all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
+        assert r.text == "".join(c for i, c in enumerate(text) if not any(x <= i < y for x, y in spans))
+        assert not spans if r.doc_id < 3 else spans
+
+
 def test_longest_matches(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
     docs = spark.createDataFrame([(1, "so " + item.upper() + " end"), (2, " ".join(item.split()[:13]) + " other"), (3, "alpha beta")], "doc_id long, text string")

@@ -188,27 +188,48 @@ def held_out(column: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES) -> Network:
-    """docs: doc_id, text; labels: doc_id, quality. Half of the sample has label 0 where there is enough of it."""
+    """docs: doc_id, text; labels: doc_id, quality. Half of the sample has label 0 where there is enough of it.
+
+    Each label has half of ``max_bytes``, and what the other leaves. Of texts that don't fit the longest are left out. A label
+    of whose sample nothing fits gets another one, of documents that do; if none does, that is an error."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null").filter(~held_out()).distinct()
     order = F.xxhash64("doc_id")
-    half = lambda v: known.filter(F.col("y") == v).orderBy(order, "doc_id").limit(max_docs // 2)
-    sample = half(0).unionByName(half(1))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text", F.octet_length("text").alias("n"))
-    size = F.sum(F.coalesce("n", F.lit(0))).over(_window())
-    rows = rows.withColumn("size", size).filter(F.col("size") <= max_bytes).select("y", "text").collect()
-    net = train([r.text for r in rows], [r.y for r in rows])
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    texts = docs.select("doc_id", "text", size.alias("n"))
+    first = lambda ids: ids.orderBy(order, "doc_id").limit(max_docs // 2)
+    half = lambda v: first(known.filter(F.col("y") == v))
+    sampled = texts.join(F.broadcast(half(0).unionByName(half(1))), "doc_id")
+    total = {r.y: r.n for r in sampled.groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    room = {v: max(max_bytes // 2, max_bytes - total.get(1 - v, 0)) for v in (0, 1)}
+    rows = _fitting(sampled, room)
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    for v in counts.keys() - {r.y for r in rows}:
+        every = docs.select("doc_id", size.alias("n")).join(known.filter(F.col("y") == v), "doc_id")
+        others = first(every.filter(F.col("n") <= max_bytes // 2).select("doc_id", "y").distinct())
+        more = _fitting(texts.join(F.broadcast(others), "doc_id"), {v: max_bytes // 2})
+        if not more and not every.isEmpty():
+            raise ValueError(f"no document with label {v} has at most {max_bytes // 2} bytes")
+        rows += more
+    net = train([r.text for r in rows], [r.y for r in rows])
     if {r.y for r in rows} == {0, 1}:
         # batches have both labels alike; all labels have their own shares
         net.p["prior"] += np.float32(np.log(counts[1] / counts[0]))
     return net
 
 
-def _window():
-    """Over the sample, at most ``max_docs`` ids."""
+def _fitting(rows: DataFrame, room: dict[int, int]) -> list:
+    """(y, text), in the order of the ids' hashes: of each label the shortest, as many as have ``room`` bytes together."""
     from pyspark.sql import Window
 
-    return Window.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "text").rowsBetween(Window.unboundedPreceding, 0)
+    shortest = Window.partitionBy("y").orderBy("n", F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    fits = F.lit(False)
+    for v, n in room.items():
+        fits = fits | ((F.col("y") == v) & (F.col("n") <= n))
+    kept = rows.filter(fits).withColumn("size", F.sum("n").over(shortest))
+    own = F.lit(False)
+    for v, n in room.items():
+        own = own | ((F.col("y") == v) & (F.col("size") <= n))
+    return sorted(kept.filter(own).select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", "text").collect(), key=lambda r: (r.h, r.doc_id, r.y, r.text or ""))
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:

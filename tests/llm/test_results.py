@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 import xxhash
 from conftest import same
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -142,6 +143,29 @@ def test_classifier_on_held_out_labels(spark):
     assert np.mean([a < b for a in bad for b in good]) > 0.95
 
 
+def test_a_long_text_costs_no_other_its_place(spark):
+    docs = spark.createDataFrame([(i, f"bad {i} " * 9 if i % 2 else f"good {i} " * 9) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    sample = lambda d, **k: (quality_cnn.fit(d, labels, **k), seen.pop())[1]
+    learn, quality_cnn.train = quality_cnn.train, lambda texts, y: (seen.append((texts, y)), quality_cnn.Network().compile())[1]
+    try:
+        every = sample(docs)
+        # each id in turn is the long one, and so the first by hash too
+        for long in range(0, 60, 7):
+            got = sample(docs.withColumn("text", F.when(F.col("doc_id") == long, F.repeat("text", 2000)).otherwise(F.col("text"))), max_bytes=20_000)
+            own = f" {long} "
+            assert got[0] == [t for t in every[0] if own not in t]
+        # of 2 ids a label only one fits, of those that were drawn none
+        ids = [i for _, i in sorted((r.h, r.doc_id) for r in docs.filter(~quality_cnn.held_out()).select(F.xxhash64("doc_id").alias("h"), "doc_id").collect()) if i % 2]
+        got = sample(docs.withColumn("text", F.when(F.col("doc_id").isin(ids[:-1]), F.repeat("text", 200)).otherwise(F.col("text"))), max_docs=4, max_bytes=4000)
+        assert [t for t, y in zip(*got, strict=True) if y == 0] == [f"bad {ids[-1]} " * 9] and sum(got[1]) == 2
+        with pytest.raises(ValueError, match="label 0"):
+            sample(docs.withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.repeat("text", 200)).otherwise(F.col("text"))), max_bytes=4000)
+    finally:
+        quality_cnn.train = learn
+
+
 def test_pooling_covers_every_byte():
     net = quality_cnn.Network()
     x = quality_cnn.Texts(["", None, "abc", "x" * 64, "y" * 65, "hello world " * 100, "é" * 700])

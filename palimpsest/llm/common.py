@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.state import cut, shared_dir
+
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return. ``bytes.split()``,
 #: ``bytes.strip()`` use exactly these; ``bytes.lower()`` folds exactly A-Z.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,25 +19,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_SHARE = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where it is unset."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="checkpoints-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, survives lost executors, dropped with the last reference."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one, removed when the session's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -82,24 +64,51 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], weight: str, total
     """
     limit = max(total // HOT_SHARE, 10_000)
     values = [c for c in small.columns if c not in keys]
-    hot = small.filter(F.col(weight) > limit).select(*keys, F.struct(*values).alias("_hot"))
-    cold = small.filter(F.col(weight) <= limit).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*values).alias("_cold"), F.lit(0).cast("long").alias("_s"))
+    hot_, cold_, salt = (fresh(big, x) for x in ("_hot", "_cold", "_salt"))
+    hot = small.filter(F.col(weight) > limit).select(*keys, F.struct(*values).alias(hot_))
+    cold = small.filter(F.col(weight) <= limit).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*values).alias(cold_), F.lit(0).cast("long").alias(salt))
     own = big.columns
     rows = big.join(F.broadcast(hot), keys, "left")
-    dealt = F.when(F.col("_hot").isNull() & F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)), F.lit(0).cast("long")).otherwise(F.xxhash64(*[F.col(c) for c in spread]).bitwiseOR(F.lit(1).cast("long")))
-    rows = rows.withColumn("_s", dealt)
+    dealt = F.when(F.col(hot_).isNull() & F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)), F.lit(0).cast("long")).otherwise(F.xxhash64(*[F.col(c) for c in spread]).bitwiseOR(F.lit(1).cast("long")))
+    rows = rows.withColumn(salt, dealt)
     on = [F.col(f"a.`{k}`") == F.col(f"b._k{i}") for i, k in enumerate(keys)]
-    out = rows.alias("a").join(cold.alias("b"), [*on, F.col("a._s") == F.col("b._s")], "left")
-    found = F.coalesce(F.col("_hot"), F.col("_cold"))
+    out = rows.alias("a").join(cold.alias("b"), [*on, F.col(f"a.{salt}") == F.col(f"b.{salt}")], "left")
+    found = F.coalesce(F.col(hot_), F.col(cold_))
     return out.select(*[F.col(f"a.`{c}`") for c in own], *[found[v].alias(v) for v in values])
 
 
-#: Rows that are Python objects at a time.
-ROWS = 4096
+#: Bytes of an Arrow batch, about: what a worker has as Python objects at a time. A longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` over batches of at most ``BATCH_BYTES`` and a row, whatever the length of texts; a smaller bound that
+    the session has stays. Workers are used again by other tasks, so each gives free memory back at its end."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    had = conf.get(name).lower().rstrip("b")
+    if not (had.isdigit() and 0 < int(had) <= BATCH_BYTES):
+        conf.set(name, str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def _give_back() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[list[list]], Iterator[list[list]]]]) -> DataFrame:
-    """``mapInArrow`` over lists: ``make()`` runs once a task and returns a function from one batch's columns (Python
+    """``in_arrow`` over lists: ``make()`` runs once a task and returns a function from one batch's columns (Python
     lists, in order) to any number of batches of output columns. The function may have ``finish()``, for what is left."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -110,11 +119,11 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
         f = make()
         pack = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], schema=arrow)
         for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                for out in f([c.to_pylist() for c in batch.slice(a, ROWS).columns]):
+            if batch.num_rows:
+                for out in f([c.to_pylist() for c in batch.columns]):
                     yield pack(out)
         if hasattr(f, "finish"):
             for out in f.finish():
                 yield pack(out)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return in_arrow(df.select(*columns), run, schema)

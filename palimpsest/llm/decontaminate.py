@@ -1,36 +1,47 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Each shard of documents (an Arrow batch) is turned into word numbers and a suffix array; every test suffix is found in it
-by binary search. Suffixes that cannot start a match, as some pair of their first words stands in no test item, are left
-out of the array, which changes no result and keeps it small. Test items are searched in blocks of bounded size, each a
-file in the shared folder, of which a worker holds one at a time.
+Each shard of documents (an Arrow batch of bounded bytes) is turned into word numbers and a suffix array. Every test suffix
+is found in it by binary search for the range that shares its first window, and each place in that range is extended to the
+longest verbatim match. So a match is (document, its word, item, its word, words); a suffix whose match is the rest of a
+longer one, a word earlier on both sides, is left to that one. Hits, items and verdicts all come from these matches.
+
+Suffixes of documents that cannot start a match, as some pair of their first words stands in no test item, are left out of
+the array, which changes no result and keeps it small. Test items are searched in blocks of bounded size, each a file in the
+shared folder that a task writes; a worker holds the blocks it used last, ``CACHE_BYTES`` of them.
 
 Words are runs of 0-9, a-z (A-Z lower-cased) and characters beyond ASCII. A window is ``size`` consecutive words of an
 item; an item with fewer words is one window. A document word within any occurrence of a window is hit, and a document is
 contaminated if at least ``share`` of its words are hit, and one at least.
 
 Nulls and empty texts have no words: such items have no window, such documents are clean. Rows with equal ids are
-separate documents, but count once as items. Item ids are compared as they are; null item ids are ignored. Extra columns
-pass through ``remove_contaminated``.
+separate documents, but count once as items. Item ids are compared as they are; null item ids are ignored. A text of any
+length is judged whole. Without items every document is clean. Extra columns pass through ``remove_contaminated``.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import pickle
+import uuid
+from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS, file_system, map_rows, scratch
+from .common import file_system, in_arrow, map_rows, scratch
 
 SIZE = 13
 #: A document with one word in so many hit is contaminated.
 ONE_IN = 20
-#: Bytes of test text searched at a time.
-BLOCK_BYTES = 8 << 20
+#: Bytes of test text in a block; as arrays it takes some ten times as much.
+BLOCK_BYTES = 2 << 20
+#: Bytes of blocks that a worker holds.
+CACHE_BYTES = 96 << 20
+#: Places that are extended at a time.
+PAIRS = 1 << 20
 
 #: Lower-cases A-Z, keeps 0-9, a-z and bytes beyond ASCII, makes all else a space.
 _WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
@@ -40,36 +51,57 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
+def keys(rows: np.ndarray) -> np.ndarray:
+    """Rows of big-endian numbers as byte strings, which sort as the rows do."""
+    return np.ascontiguousarray(rows).view(f"S{rows.shape[1] * 4}").ravel() if len(rows) else np.zeros(0, f"S{max(1, rows.shape[1]) * 4}")
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (counts[0] of them), then those of the next."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - starts, counts)
+
+
 class Tests:
-    """Some test items as word numbers: windows in order, the pairs of adjacent words, whole items for longest matches."""
+    """Some test items as word numbers, laid end to end with a 0 after each, and their suffixes sorted by first window."""
 
     def __init__(self, items: list[tuple[int, str]], size: int = SIZE):
         self.size = size
         self.vocabulary: dict[bytes, int] = {}
-        number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        self.items = [(i, [number(w) for w in words(t)]) for i, t in items if i is not None]
-        at: dict[tuple[int, ...], set[int]] = {}
-        for k, (_, own) in enumerate(self.items):
-            n = min(size, len(own))
-            for j in range(len(own) - n + 1 if n else 0):
-                at.setdefault(tuple(own[j : j + n]), set()).add(k)
-        self.windows = sorted(at)
-        self.of = [sorted(at[w]) for w in self.windows]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
+        flat: list[int] = []
+        ids, lengths = [], []
+        for i, text in items:
+            own = words(text)
+            if i is not None and own:
+                ids.append(i)
+                lengths.append(len(own))
+                flat += [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own]
+                flat.append(0)
+        self.ids, n = np.array(ids, np.int64), np.array(lengths, np.int64)
+        self.flat = np.array(flat, np.int64)
+        self.starts = np.cumsum(n + 1) - n - 1
+        # a suffix for each window, shorter items are one window
+        length = np.minimum(n, size)
+        per = n - length + 1
+        at = spread(self.starts, per)
+        wide = np.repeat(length, per)
+        inside = np.arange(size)[None, :] < wide[:, None]
+        rows = np.where(inside, self.flat[np.minimum(at[:, None] + np.arange(size)[None, :], max(0, len(flat) - 1))], 0) if len(at) else np.zeros((0, size), np.int64)
+        low = keys(rows.astype(">u4"))
+        order = np.argsort(low, kind="stable")
+        self.at, low = at[order], low[order]
+        #: Suffixes by window: those of window w are at[first[w] : first[w] + count[w]].
+        self.first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]]) if len(low) else np.zeros(0, np.int64)
+        self.count = np.diff(np.r_[self.first, len(low)])
+        self.lengths = wide[order][self.first] if len(low) else np.zeros(0, np.int64)
         self.least = int(self.lengths.min()) if len(self.lengths) else 0
-        wide = np.zeros((len(self.windows), size), ">u4")
-        for k, w in enumerate(self.windows):
-            wide[k, : len(w)] = w
-        top = wide.copy()
-        top[np.arange(size)[None, :] >= self.lengths[:, None]] = 0xFFFFFFFF
-        self.low, self.high = keys(wide), keys(top)
-        pairs = {(a, b) for _, own in self.items for a, b in zip(own, own[1:], strict=False)}
-        self.pairs = np.unique(np.array([a << 32 | b for a, b in pairs], np.int64))
+        self.low = low[self.first]
+        top = np.where(inside, rows, 0xFFFFFFFF)[order][self.first] if len(low) else rows
+        self.high = keys(top.astype(">u4"))
+        both = (self.flat[:-1] > 0) & (self.flat[1:] > 0)
+        self.pairs = np.unique(self.flat[:-1][both] << 32 | self.flat[1:][both])
 
-
-def keys(rows: np.ndarray) -> np.ndarray:
-    """Rows of big-endian numbers as byte strings, which sort as the rows do."""
-    return np.ascontiguousarray(rows).view(f"S{rows.shape[1] * 4}").ravel() if len(rows) else np.zeros(0, f"S{max(1, rows.shape[1]) * 4}")
+    def bytes(self) -> int:
+        return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray)) + 120 * len(self.vocabulary)
 
 
 class Shard:
@@ -77,14 +109,11 @@ class Shard:
 
     def __init__(self, docs: list[list[bytes]], tests: Tests):
         get = tests.vocabulary.get
-        flat: list[int] = []
-        starts = []
-        for own in docs:
-            starts.append(len(flat))
-            flat += [get(w, 0) for w in own]
-            flat.append(0)
-        self.starts = np.array(starts, np.int64)
-        self.ids = ids = np.array(flat, np.int64)
+        lengths = np.array([len(x) for x in docs], np.int64)
+        self.starts = np.cumsum(lengths + 1) - lengths - 1
+        self.ids = ids = np.zeros(int((lengths + 1).sum()), np.int64)
+        for a, own in zip(self.starts.tolist(), docs, strict=True):
+            ids[a : a + len(own)] = [get(w, 0) for w in own]
         n, need = len(ids), tests.least
         ok = ids > 0
         if need > 1 and n:
@@ -106,58 +135,105 @@ class Shard:
         order = np.argsort(k, kind="stable")
         self.places, self.keys = places[order], k[order]
 
-    def find(self, tests: Tests):
-        """(window, place) of every occurrence of every test window, by binary search for both ends of its range."""
+    def matches(self, tests: Tests) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in the shard, place in the tests, words) of longest matches, in parts of about ``PAIRS``."""
         lo, hi = np.searchsorted(self.keys, tests.low, "left"), np.searchsorted(self.keys, tests.high, "right")
-        for w in np.flatnonzero(hi > lo).tolist():
-            yield w, self.places[lo[w] : hi[w]]
-
-    def longest(self, tests: Tests):
-        """(document, its word, item number, its word, words) for the longest match of every test suffix, extended
-        beyond what the array sorts by; only matches of a whole window."""
-        doc_of = lambda p: int(np.searchsorted(self.starts, p, "right") - 1)
-        for k, (_, own) in enumerate(tests.items):
-            n = min(tests.size, len(own))
-            for j in range(len(own) - n + 1 if n else 0):
-                row = np.zeros((1, tests.size), ">u4")
-                row[0, :n] = own[j : j + n]
-                top = row.copy()
-                top[0, n:] = 0xFFFFFFFF
-                lo, hi = np.searchsorted(self.keys, keys(row)[0], "left"), np.searchsorted(self.keys, keys(top)[0], "right")
-                best: dict[int, tuple[int, int]] = {}
-                for p in self.places[lo:hi].tolist():
-                    m = n
-                    while j + m < len(own) and self.ids[p + m] == own[j + m]:
-                        m += 1
-                    d = doc_of(p)
-                    best[d] = max(best.get(d, (0, 0)), (m, -p))
-                for d, (m, p) in best.items():
-                    yield d, -p - int(self.starts[d]), k, j, m
-
-
-@functools.lru_cache(maxsize=1)
+        found = np.flatnonzero(hi > lo)
+        here, there = (hi - lo)[found], tests.count[found]
+        a = 0
+        while a < len(found):
+            # as many windows as fit; of one that doesn't fit alone, the suffixes in parts
+            z = a + max(1, int(np.searchsorted(np.cumsum(here[a:] * there[a:]), PAIRS, "right")))
+            step = max(1, PAIRS // int(here[a])) if z == a + 1 else int(there[a:z].max())
+            for b in range(0, int(there[a:z].max()), step):
+                w, n = found[a:z], np.minimum(step, there[a:z] - b)
+                q = np.repeat(tests.at[spread(tests.first[w] + b, n)], np.repeat(here[a:z], n))
+                p = self.places[spread(np.repeat(lo[w], n), np.repeat(here[a:z], n))]
+                m = np.repeat(tests.lengths[w], n * here[a:z])
+                # the rest of a match that starts a word earlier
+                rest = (p > 0) & (q > 0) & (self.ids[p - 1] == tests.flat[q - 1]) & (tests.flat[q - 1] > 0)
+                p, q, m = p[~rest], q[~rest], m[~rest]
+                going = np.arange(len(p))
+                while len(going):
+                    own = self.ids[p[going] + m[going]]
+                    going = going[(own > 0) & (own == tests.flat[q[going] + m[going]])]
+                    m[going] += 1
+                if len(p):
+                    yield p, q, m
+            a = z
+
+    def doc(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, places, "right") - 1
+
+
+_held: OrderedDict[str, Tests] = OrderedDict()
+
+
 def _load(path: str) -> Tests:
-    fs, at = file_system(path)
-    with fs.open_input_stream(at) as f:
-        return pickle.loads(f.read())
+    if path not in _held:
+        fs, at = file_system(path)
+        with fs.open_input_stream(at) as f:
+            tests = pickle.loads(f.read())
+        while _held and sum(x.bytes() for x in _held.values()) + tests.bytes() > CACHE_BYTES:
+            _held.popitem(last=False)
+        _held[path] = tests
+    _held.move_to_end(path)
+    return _held[path]
 
 
 def prepare(items: DataFrame, size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> list[str]:
-    """Writes the test items (item_id, text) in blocks; the files' paths."""
+    """Writes the test items (item_id, text) in blocks, a task for each; the files' paths."""
     spark = items.sparkSession
-    items = items.select("item_id", "text")
+    items = items.filter("item_id IS NOT NULL").select("item_id", "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    at = scratch(spark, "tests")
-    paths = []
-    for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-        tests = Tests([(r.item_id, r.text) for r in part.toLocalIterator()], size)
-        fs, path = file_system(f"{at}/{b}")
-        with fs.open_output_stream(path) as f:
-            f.write(pickle.dumps(tests))
-        paths.append(f"{at}/{b}")
-    return paths
+    folder = scratch(spark, "tests")
+
+    def make():
+        class Block:
+            rows: list = []
+
+            def __call__(self, cols):
+                self.rows = self.rows + list(zip(*cols, strict=True))
+                return iter(())
+
+            def finish(self):
+                tests = Tests(self.rows, size)
+                if len(tests.at):
+                    # a name of its own for each attempt: those of the attempts that count are returned
+                    path = f"{folder}/{uuid.uuid4().hex}"
+                    fs, at = file_system(path)
+                    with fs.open_output_stream(at) as f:
+                        f.write(pickle.dumps(tests))
+                    yield [[path]]
+
+        return Block()
+
+    dealt = items.repartition(max(1, -(-total // block_bytes)), "item_id", F.xxhash64("text"))
+    return sorted(r.path for r in map_rows(dealt, ["item_id", "text"], "path string", make).collect())
+
+
+def judge(texts: list[str | None], paths: list[str]) -> tuple[np.ndarray, np.ndarray, list[set]]:
+    """(words, hit words, ids of items with occurring windows) of each text."""
+    part = [words(t) for t in texts]
+    lengths = np.array([len(x) for x in part], np.int64)
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    edge = np.zeros(int((lengths + 1).sum()) + 1, np.int64)
+    items: list[set] = [set() for _ in part]
+    for path in paths:
+        tests = _load(path)
+        shard = Shard(part, tests)
+        for p, q, m in shard.matches(tests):
+            np.add.at(edge, p, 1)
+            np.add.at(edge, p + m, -1)
+            both = np.unique(shard.doc(p) << 32 | np.searchsorted(tests.starts, q, "right") - 1)
+            for d, k in zip((both >> 32).tolist(), tests.ids[both & 0xFFFFFFFF].tolist(), strict=True):
+                items[d].add(k)
+    hit = np.cumsum(edge)[:-1] > 0
+    return lengths, np.add.reduceat(hit, starts, dtype=np.int64) if len(part) else lengths, items
+
+
+def is_contaminated(n_words: np.ndarray, n_hit: np.ndarray, one_in: int = ONE_IN) -> np.ndarray:
+    return (n_hit > 0) & (one_in * n_hit >= n_words)
 
 
 def search(docs: DataFrame, paths: list[str], one_in: int = ONE_IN) -> DataFrame:
@@ -166,26 +242,8 @@ def search(docs: DataFrame, paths: list[str], one_in: int = ONE_IN) -> DataFrame
 
     def make():
         def f(cols):
-            ids, texts = cols
-            for a in range(0, len(ids), 4096):
-                part = [words(t) for t in texts[a : a + 4096]]
-                lengths = np.array([len(x) for x in part], np.int64)
-                hit = np.zeros(int(lengths.sum()) + len(part), bool)
-                items: list[set] = [set() for _ in part]
-                starts = np.r_[0, np.cumsum(lengths + 1)]
-                for path in paths:
-                    tests = _load(path)
-                    if not tests.windows:
-                        continue
-                    shard = Shard(part, tests)
-                    for w, places in shard.find(tests):
-                        for k in range(tests.lengths[w]):
-                            hit[places + k] = True
-                        named = [tests.items[k][0] for k in tests.of[w]]
-                        for d in np.unique(np.searchsorted(starts, places, "right") - 1).tolist():
-                            items[d].update(named)
-                n_hit = [int(hit[starts[d] : starts[d + 1]].sum()) for d in range(len(part))]
-                yield [ids[a : a + 4096], lengths, n_hit, [list(x) for x in items], [h > 0 and one_in * h >= n for h, n in zip(n_hit, lengths.tolist(), strict=True)]]
+            n_words, n_hit, items = judge(cols[1], paths)
+            yield [cols[0], n_words, n_hit, [list(x) for x in items], is_contaminated(n_words, n_hit, one_in)]
 
         return f
 
@@ -193,16 +251,31 @@ def search(docs: DataFrame, paths: list[str], one_in: int = ONE_IN) -> DataFrame
 
 
 def longest_matches(docs: DataFrame, paths: list[str]) -> DataFrame:
-    """(doc_id, doc_word, item_id, item_word, n_words): for every test suffix its longest match in each document."""
+    """(doc_id, doc_word, item_id, item_word, n_words): for every test suffix its longest match in each document, of equal
+    ones the first."""
 
     def make():
         def f(cols):
             part = [words(t) for t in cols[1]]
             for path in paths:
                 tests = _load(path)
-                if tests.windows:
-                    found = list(Shard(part, tests).longest(tests))
-                    yield [[cols[0][x[0]] for x in found], [x[1] for x in found], [tests.items[x[2]][0] for x in found], [x[3] for x in found], [x[4] for x in found]]
+                shard = Shard(part, tests)
+                every = [np.zeros((3, 0), np.int64)]
+                for p, q, m in shard.matches(tests):
+                    # a match is one of each suffix that starts in it, as long as a window is left
+                    k = np.searchsorted(tests.starts, q, "right") - 1
+                    size = np.diff(np.r_[tests.starts, len(tests.flat)])[k] - 1
+                    n = m - np.minimum(size, tests.size) + 1
+                    by = spread(np.zeros(len(n), np.int64), n)
+                    every.append(np.stack([np.repeat(x, n) for x in (p, q, m)]) + np.stack([by, by, -by]))
+                p, q, m = np.concatenate(every, axis=1)
+                d = shard.doc(p)
+                order = np.lexsort((p, -m, q, d))
+                p, q, m, d = p[order], q[order], m[order], d[order]
+                best = np.r_[True, (d[1:] != d[:-1]) | (q[1:] != q[:-1])][: len(d)]
+                p, q, m, d = p[best], q[best], m[best], d[best]
+                k = np.searchsorted(tests.starts, q, "right") - 1
+                yield [[cols[0][x] for x in d.tolist()], p - shard.starts[d], tests.ids[k], q - tests.starts[k], m]
 
         return f
 
@@ -213,27 +286,11 @@ def remove_contaminated(docs: DataFrame, paths: list[str], one_in: int = ONE_IN)
     """The rows of ``docs`` that are not contaminated; every row is judged by its own text."""
 
     def run(batches):
-        import pyarrow as pa
-
-        slices = (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS))
-        for batch in slices:
-            table = pa.Table.from_batches([batch])
-            texts = table.column(table.schema.get_field_index("text")).to_pylist()
-            hits = [np.zeros(0, bool)] * len(texts)
-            part = [words(t) for t in texts]
-            starts = np.r_[0, np.cumsum([len(x) + 1 for x in part])]
-            hit = np.zeros(int(starts[-1]), bool)
-            for path in paths:
-                tests = _load(path)
-                if tests.windows:
-                    for w, places in Shard(part, tests).find(tests):
-                        for k in range(tests.lengths[w]):
-                            hit[places + k] = True
-            hits = [int(hit[starts[d] : starts[d + 1]].sum()) for d in range(len(part))]
-            clean = pa.array([not (h > 0 and one_in * h >= len(x)) for h, x in zip(hits, part, strict=True)], pa.bool_())
-            yield from table.filter(clean).to_batches()
-
-    return docs.mapInArrow(run, docs.schema)
+        for batch in batches:
+            n_words, n_hit, _ = judge(batch.column(batch.schema.get_field_index("text")).to_pylist(), paths)
+            yield batch.filter(pa.array(~is_contaminated(n_words, n_hit, one_in)))
+
+    return in_arrow(docs, run, docs.schema)
 
 
 def joined_digest(ids: list[int]) -> str:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, map_rows
+from .common import crc_bucket, in_arrow, map_rows
 
 WIDTH, FILTERS, HIDDEN = 6, 16, 16
 SEGMENT, SEGMENTS = 64, 8
@@ -242,15 +242,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
         own.compile()
 
         def f(cols):
-            ids, texts = cols
-            a = 0
-            while a < len(ids):
-                z, n = a, 0
-                while z < len(ids) and (z == a or n < 2_000_000):
-                    n += len(texts[z] or "")
-                    z += 1
-                yield [ids[a:z], own.score(texts[a:z]).astype(np.float64)]
-                a = z
+            yield [cols[0], own.score(cols[1]).astype(np.float64)]
 
         return f
 
@@ -268,9 +260,8 @@ def keep_good(docs: DataFrame, net: Network) -> DataFrame:
         own.p = sent.value
         own.compile()
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                yield part.filter(pa.array(own.score(texts) >= 0.5, pa.bool_()))
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            if texts:
+                yield batch.filter(pa.array(own.score(texts) >= 0.5, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

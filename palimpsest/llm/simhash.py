@@ -12,7 +12,8 @@ groups are bounded whatever the data. Of those that meet, all are linked to one,
 component of the whole graph.
 
 Nulls and empty texts have no words and fingerprint 0; rows with equal doc_id are separate documents; a null doc_id
-takes part but is never a component's id (null only if all ids of it are null); extra columns are ignored.
+takes part but is never a component's id (null only if all ids of it are null); extra columns are ignored, but for
+``keep_one``, which returns them.
 """
 
 from __future__ import annotations
@@ -51,17 +52,16 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 3, row: str | None = None) -> DataFrame:
+    """(doc_id, fp): the 64 bits as a signed long; with ``row``, that column (a long) too."""
 
     def make():
         def f(cols):
-            fps = np.array([fingerprint(t, words) for t in cols[1]], np.uint64).view(np.int64)
-            yield [cols[0], fps]
+            yield [cols[0], np.array([fingerprint(t, words) for t in cols[1]], np.uint64).view(np.int64), *cols[2:]]
 
         return f
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, fp long", make)
+    return map_rows(docs, ["doc_id", "text", *([row] if row else [])], "doc_id long, fp long" + ", row long" * bool(row), make)
 
 
 def _masks() -> tuple[np.ndarray, np.ndarray]:
@@ -205,27 +205,38 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id), a row per row of ``docs``."""
-    found = cut(fingerprints(docs, words))
+def near_duplicates(docs: DataFrame, words: int = 3, row: str | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id), a row per row of ``docs``; with ``row``, that column (a long) as ``row``, and
+    ``class``, which names the component also where doc_ids repeat or are null."""
+    found = cut(fingerprints(docs, words, row))
     per = cut(found.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     total = found.count()
     roots = components(links(per.select("fp")))
     class_of = per.join(roots, per.fp == roots.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("class"))
     class_of = cut(class_of)
     classes = cut(class_of.groupBy("class").agg(F.min("low").alias("component_id"), F.count("*").alias("m")))
-    ids = cut(lookup(class_of, classes, ["class"], "m", per.count(), ["fp"]).select("fp", "n", "component_id"))
-    out = lookup(found, ids, ["fp"], "n", total, ["doc_id"])
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = cut(lookup(class_of, classes, ["class"], "m", per.count(), ["fp"]).select("fp", "n", "component_id", "class"))
+    own = ["row"] * bool(row)
+    out = lookup(found, ids, ["fp"], "n", total, ["doc_id", *own])
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *own, *["class"] * bool(row))
 
 
 def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id, of rows that share it the first by a hash of
-    the row. A component without any doc_id keeps its rows."""
-    keep, row, first = (fresh(docs, x) for x in ("keep", "row", "first"))
-    keepers = near_duplicates(docs, words).select(F.col("component_id").alias(keep)).filter(F.col(keep).isNotNull()).distinct()
+    """``docs`` with one row of each component: of the smallest doc_id, of rows that share it the first by a hash of the
+    row. Rows without doc_id go if their component has one; a component without any keeps all its rows.
+
+    What stays is decided on (doc_id, hash of the row) alone; whole rows are shuffled once, to meet the decision."""
+    row, same, n = (fresh(docs, x) for x in ("row", "same", "n"))
     marked = docs.withColumn(row, F.xxhash64(*docs.columns))
-    one = marked.filter("doc_id is not null").groupBy(F.col("doc_id").alias(keep)).agg(F.min(row).alias(first))
-    chosen = keepers.join(one, keep)
-    kept = marked.join(chosen, (F.col("doc_id") == F.col(keep)) & (F.col(row) == F.col(first))).select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    groups = cut(near_duplicates(marked, words, row))
+    total = groups.count()
+    per = groups.filter("doc_id = component_id").groupBy("class", "doc_id", "row").agg(F.count("*").alias("same"))
+    chosen = per.groupBy("class").agg(F.min(F.struct("row", "doc_id", "same")).alias("x"))
+    chosen = cut(chosen.select("x.doc_id", F.col("x.row").alias(row), F.col("x.same").alias(same)))
+    alone = cut(groups.filter("doc_id IS NULL AND component_id IS NULL").groupBy(F.col("row").alias(row)).agg(F.count("*").alias(n)))
+    rows = lookup(marked.filter("doc_id IS NOT NULL"), chosen, ["doc_id", row], same, total, [row])
+    # only rows that are alike in all columns need another look
+    single = rows.filter(F.col(same) == 1).select(*docs.columns)
+    alike = rows.filter(F.col(same) > 1).dropDuplicates(["doc_id", row]).select(*docs.columns)
+    nameless = lookup(marked.filter("doc_id IS NULL"), alone, [row], n, total, [row]).filter(F.col(n).isNotNull()).select(*docs.columns)
+    return single.unionByName(alike).unionByName(nameless)

@@ -1,18 +1,19 @@
 """Byte-level BPE in padded numpy matrices.
 
-Texts are cut where no piece of the pattern can cross, the parts seen before come from a table, and new pieces are merged
+Texts are cut where no piece of the pattern can cross. Parts and pieces seen before come from a table, new pieces are merged
 together: pieces of similar length are the rows of a padded matrix of ids; each round every row merges its leftmost pair
-of minimum rank, found by hashed lookup of id pairs, and closes the gap; finished rows leave the matrix.
+of minimum rank, found by hashed lookup of id pairs, and closes the gap; finished rows leave the matrix. A piece beyond
+``LONGEST_ROW`` bytes is a row of its own. Where every merge ranks above its parts, as in all trained vocabularies, a round
+merges all places of that row's minimum pair, left to right: no lower rank can come up in between, so the ids are the same.
 
-Nulls are empty texts, which have no ids. Rows are independent; ids are decoded back to exactly the bytes that were
-encoded. Extra columns pass through ``encode``.
+Nulls are empty texts, which have no ids. Rows are independent, so repeated rows have equal results; texts and pieces of any
+length are encoded whole; ids are decoded back to exactly the bytes that were encoded. Extra columns pass through ``encode``.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from functools import lru_cache
 
@@ -22,22 +23,26 @@ from pyspark.sql import DataFrame
 from .common import map_rows
 
 NO_RANK = np.int32(2**31 - 1)
-#: Longer pieces are merged one by one with a heap, as rounds over long rows would take quadratic time.
+#: Longer pieces are rows of their own.
 LONGEST_ROW = 256
-#: Parts of text that a worker remembers: between once and twice as many, the latest.
+#: Parts of text and pieces that a worker remembers: between once and twice as many, the latest.
 REMEMBERED = 250_000
 _SIZES = (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64, 128, LONGEST_ROW)
 #: By length of a piece, the width of its matrix.
 _ROW = [min(s for s in _SIZES if s >= n) for n in range(LONGEST_ROW + 1)]
 
-# In these texts Python's own pattern engine cuts as \p{L} and \p{N} would: no code points from U+0250, no ²³¹¼½¾, no
+# In these texts Python's own patterns cut as \p{L} and \p{N} would: no code points from U+0250, no ²³¹¼½¾, no
 # separators U+001C to U+001F. All of U+0100 to U+024F are letters.
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _UNSAFE = re.compile("[^\0-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 #: No piece crosses a space between two characters that are not white space, as it starts the next piece.
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
-_SPACES = re.compile("[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# A text may not be cut before each space and line feed where it has other white space, three of them in a row or two at
+# the end, or the mark that is put there.
+_OTHER_SPACE = re.compile("[\0\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_RUN = re.compile(r"[ \n]{3}|[ \n]{2}\Z")
+_STOPS = frozenset(".,;:!?")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -53,19 +58,34 @@ class ByteBPE:
         self.pattern = regex.compile(pattern)
         self.latin = _LATIN if pattern == r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""" else None
         self.single = np.array([ranks[bytes([c])] for c in range(256)], np.int32)
-        pairs = {}
+        pairs: dict[int, int] = {}
         for whole, rank in ranks.items():
             for i in range(1, len(whole)):
                 a, b = ranks.get(whole[:i]), ranks.get(whole[i:])
                 if a is not None and b is not None:
                     pairs[a << 20 | b] = rank
-        self.pairs = pairs
         self._hash(np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
-        self.text_of = [b""] * (max(ranks.values()) + 1)
-        for v in ranks.values():
-            self.text_of[v] = b"%d" % v
-        self.known: dict[str, tuple[bytes, int, bytes]] = {}
-        self.older: dict[str, tuple[bytes, int, bytes]] = {}
+        #: No merge ranks below one of its parts.
+        self.grows = all(rank > max(a >> 20, a & 0xFFFFF) for a, rank in pairs.items())
+        n = max(ranks.values()) + 1
+        self._decoding(n)
+        #: Ids as little-endian u32 of each part of text.
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def _decoding(self, n: int) -> None:
+        """Tables by id: the decimals and a comma in 0-padded columns; the bytes, laid end to end."""
+        width = len(str(n - 1)) + 1
+        self.decimals = np.zeros((n, width), np.uint8)
+        number = np.arange(n)
+        for k in range(width - 1):
+            high = 10 ** (width - 2 - k)
+            self.decimals[:, k] = np.where((number >= high) | (high == 1), number // high % 10 + 48, 0)
+        self.decimals[:, -1] = 44
+        whole = [self.bytes_of.get(i, b"") for i in range(n)]
+        self.sizes = np.array([len(x) for x in whole], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.whole = np.frombuffer(b"".join(whole), np.uint8)
 
     def _hash(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Open addressing with linear steps; all keys try their next place at once until each has one."""
@@ -98,17 +118,19 @@ class ByteBPE:
             open_ = open_[~hit & (own != -1)]
         return out
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece."""
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as little-endian u32."""
         get = self.ranks.get
-        out: list[list[int]] = [[x] if (x := get(p)) is not None else [] for p in pieces]
+        out: list[bytes] = [b""] * len(pieces)
         by_size: dict[int, list[int]] = {}
-        for i, own in enumerate(out):
-            if not own and (n := len(pieces[i])):
-                if n > LONGEST_ROW:
-                    out[i] = self._merge_long(pieces[i])
-                else:
-                    by_size.setdefault(_ROW[n], []).append(i)
+        for i, piece in enumerate(pieces):
+            whole, n = get(piece), len(piece)
+            if whole is not None:
+                out[i] = whole.to_bytes(4, "little")
+            elif n > LONGEST_ROW:
+                out[i] = self._merge_long(piece)
+            elif n:
+                by_size.setdefault(_ROW[n], []).append(i)
         for size, own in by_size.items():
             step = max(1, 2_000_000 // size)
             for k in range(0, len(own), step):
@@ -128,8 +150,13 @@ class ByteBPE:
             low = ranks[np.arange(len(ids)), at]
             going = low != NO_RANK
             if not going.all():
-                for r, line in zip(rows[~going].tolist(), ids[~going].tolist(), strict=True):
-                    out[places[r]] = line[: line.index(-1)] if line[-1] < 0 else line
+                done = ids[~going]
+                some = done >= 0
+                flat, end = done[some].astype("<u4").tobytes(), np.cumsum(some.sum(1)) * 4
+                a = 0
+                for r, z in zip(rows[~going].tolist(), end.tolist(), strict=True):
+                    out[places[r]] = flat[a:z]
+                    a = z
                 ids, ranks, rows, at, low = ids[going], ranks[going], rows[going], at[going], low[going]
             if not len(ids):
                 return
@@ -150,77 +177,91 @@ class ByteBPE:
             left = np.flatnonzero(at > 0)
             ranks[left, at[left] - 1] = self.rank(ids[left, at[left] - 1], ids[left, at[left]])
 
-    def _merge_long(self, piece: bytes) -> list[int]:
-        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        get = self.pairs.get
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] << 20 | ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
-                continue
-            ids[i], ids[j] = rank, -1
-            after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-                if (r := get(rank << 20 | ids[k])) is not None:
-                    heapq.heappush(heap, (r, i, rank, ids[k]))
-            h = before[i]
-            if h >= 0 and (r := get(ids[h] << 20 | rank)) is not None:
-                heapq.heappush(heap, (r, h, ids[h], rank))
-        return [x for x in ids if x >= 0]
+    def _merge_long(self, piece: bytes) -> bytes:
+        ids = self.single[np.frombuffer(piece, np.uint8)]
+        ranks = self.rank(ids[:-1], ids[1:])
+        while len(ranks) and (low := ranks.min()) != NO_RANK:
+            at = np.flatnonzero(ranks == low)
+            if self.grows:
+                # of places in a row, as in "aaaa", every other one
+                first = np.r_[True, at[1:] != at[:-1] + 1]
+                nth = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+                at = at[nth % 2 == 0]
+            else:
+                at = at[:1]
+            ids[at] = low
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            at = at - np.arange(len(at))
+            ids = ids[stay]
+            # the pair that starts at a place that went is gone; those that end or start at a merged place are new
+            ranks = ranks[stay[1:]]
+            for new in (at[at > 0] - 1, at[at < len(ids) - 1]):
+                ranks[new] = self.rank(ids[new], ids[new + 1])
+        return ids.astype("<u4").tobytes()
 
     def cut(self, text: str) -> list[str]:
         """Parts that no piece crosses."""
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _SPACES.search(text):
+        two = "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+        if two and _RUN.search(text) or _OTHER_SPACE.search(text):
             return _SAFE_CUT.split(text)
-        # every space and line feed stands alone and starts a part
-        parts = text.replace("\n", " \n").split(" ")
-        return [parts[0], *[x if x[:1] == "\n" else " " + x for x in parts[1:]]]
+        # every space and line feed starts a part
+        parts = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        return parts if parts[0] else parts[1:]
 
     def pieces(self, part: str) -> list[str]:
-        if self.latin and not _UNSAFE.search(part):
-            return self.latin.findall(part)
+        if self.latin:
+            if part.isascii():
+                # a word, or a word and a mark: most parts
+                body = part[1:] if part[0] == " " else part
+                if body.isalpha():
+                    return [part]
+                if body[:-1].isalpha() and body[-1] in _STOPS:
+                    return [part[:-1], part[-1]]
+            if not _UNSAFE.search(part):
+                return self.latin.findall(part)
         return self.pattern.findall(part)
 
     def learn(self, parts: list[str]) -> None:
-        """Encodes parts of text; then ``known`` has them: ids as decimals, their number, the bytes decoded from them."""
+        """Encodes parts of text; then ``known`` has them and their pieces."""
+        known, older = self.known, self.older
         cut = [self.pieces(p) for p in parts]
-        distinct = list({x: None for own in cut for x in own})
-        text_of, bytes_of = self.text_of, self.bytes_of
-        of = {
-            x: (b",".join([text_of[i] for i in ids]), len(ids), b"".join([bytes_of[i] for i in ids]))
-            for x, ids in zip(distinct, self.merge([x.encode("utf-8", "surrogatepass") for x in distinct]), strict=True)
-        }
-        known = self.known
+        new = []
+        for x in {x for own in cut for x in own}.difference(known):
+            if x in older:
+                known[x] = older[x]
+            else:
+                new.append(x)
+        known.update(zip(new, self.merge([x.encode("utf-8", "surrogatepass") for x in new]), strict=True))
         for part, own in zip(parts, cut, strict=True):
-            if len(own) == 1:
-                known[part] = of[own[0]]
-            elif own:
-                a, n, b = zip(*[of[x] for x in own], strict=True)
-                known[part] = (b",".join(a), sum(n), b"".join(b))
-
-    def encode(self, texts: list[str | None]) -> list[list[tuple[bytes, int, bytes]]]:
-        """Of each text its parts, as ``known`` has them."""
+            if len(own) > 1:
+                known[part] = b"".join([known[x] for x in own])
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Of each text its ids, as little-endian u32."""
         cut = [self.cut(t) if t else [] for t in texts]
-        parts = set().union(*cut)
-        parts.discard("")
         if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
+            self.older, self.known = self.known, {"": b""}
         known, older = self.known, self.older
         new = []
-        for p in parts.difference(known):
+        for p in set().union(*cut).difference(known):
             if p in older:
                 known[p] = older[p]
             else:
                 new.append(p)
         if new:
             self.learn(new)
-        known.setdefault("", (b"", 0, b""))
-        return [[x for x in map(known.__getitem__, own) if x[1]] for own in cut]
+        get = known.__getitem__
+        return [b"".join(map(get, own)) for own in cut]
+
+    def written(self, ids: np.ndarray) -> bytes:
+        """The ids in decimals, joined by commas."""
+        flat = self.decimals[ids].ravel()
+        return flat[flat != 0].tobytes()[:-1]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        n = self.sizes[ids]
+        return self.whole[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.starts[ids], n)].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -228,6 +269,12 @@ def tokenizer(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(load_ranks(path), pattern)
 
 
+#: Texts that are encoded together.
+TOGETHER = 512
+#: Ids that are written or decoded at a time.
+IDS = 1 << 16
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) by the ranks at ``path``."""
 
@@ -235,12 +282,17 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = tokenizer(path, pattern)
 
         def f(cols):
-            for a in range(0, len(cols[0]), 512):
-                out = [cols[0][a : a + 512], [], [], []]
-                for own in bpe.encode(cols[1][a : a + 512]):
-                    out[1].append(sum([x[1] for x in own]))
-                    out[2].append(hashlib.sha256(b",".join([x[0] for x in own])).hexdigest())
-                    out[3].append(hashlib.sha256(b"".join([x[2] for x in own])).hexdigest())
+            for a in range(0, len(cols[0]), TOGETHER):
+                out = [cols[0][a : a + TOGETHER], [], [], []]
+                for raw in bpe.encode(cols[1][a : a + TOGETHER]):
+                    ids = np.frombuffer(raw, "<u4")
+                    written, decoded = hashlib.sha256(), hashlib.sha256()
+                    for k in range(0, len(ids), IDS):
+                        written.update(b"," * bool(k) + bpe.written(ids[k : k + IDS]))
+                        decoded.update(bpe.decode(ids[k : k + IDS]))
+                    out[1].append(len(ids))
+                    out[2].append(written.hexdigest())
+                    out[3].append(decoded.hexdigest())
                 yield out
 
         return f
@@ -258,9 +310,9 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "ids") -> Dat
         bpe = tokenizer(path, pattern)
 
         def f(cols):
-            for a in range(0, len(cols[0]), 512):
-                part = [c[a : a + 512] for c in cols]
-                yield [*part, [[int(i) for x in own if x[0] for i in x[0].split(b",")] for own in bpe.encode(part[text])]]
+            for a in range(0, len(cols[0]), TOGETHER):
+                part = [c[a : a + TOGETHER] for c in cols]
+                yield [*part, [np.frombuffer(raw, "<i4") for raw in bpe.encode(part[text])]]
 
         return f
 
@@ -268,4 +320,4 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "ids") -> Dat
 
 
 def decode(ids: list[int], path: str, pattern: str) -> bytes:
-    return b"".join(tokenizer(path, pattern).bytes_of[i] for i in ids)
+    return tokenizer(path, pattern).decode(np.array(ids, np.int64))

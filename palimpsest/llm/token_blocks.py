@@ -32,7 +32,7 @@ BLOCK, GROUP, PERCENTILE = 128, 8192, 90
 MAGIC = b"PFORIDS1"
 #: Documents per file, about.
 FILE_DOCS = 20_000
-#: Parts of text, and pieces of parts, that a worker remembers: between once and twice as many, the latest.
+#: Parts of text and pieces that a worker remembers: between once and twice as many, the latest.
 REMEMBERED = 250_000
 END_ID = 2
 
@@ -40,6 +40,7 @@ END_ID = 2
 # code points beyond ASCII from U+00C0 but × and ÷ are letters.
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _UNSAFE = re.compile("[^!-~\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
+_STOPS = frozenset(".,;:!?")
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
 
 
@@ -188,26 +189,9 @@ class Reader:
             held, at = held[size:], at + size
 
 
-class Remembered(dict):
-    """What ``make`` made of keys lately: between once and twice ``limit`` entries."""
-
-    def __init__(self, limit: int, make):
-        super().__init__()
-        self.limit, self.make, self.older = limit, make, {}
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
-        return value
-
-
-class WordTokenizer:
-    """A tokenizer of the ``tokenizers`` library that drops white space and lower-cases, applied to each part once.
+class WordTokenizer(dict):
+    """A tokenizer of the ``tokenizers`` library that drops white space and lower-cases, applied to each part once: the ids
+    of parts, and of pieces of parts, as little-endian unsigned 32-bit integers.
 
     Parts are cut at spaces and line feeds. Parts of Latin letters need no normalising beyond lower case, so they are cut
     as the pre-tokenizer does, and the library's model encodes each piece; all other parts go through all of it."""
@@ -215,6 +199,7 @@ class WordTokenizer:
     def __init__(self, path: str):
         import os
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -222,7 +207,7 @@ class WordTokenizer:
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
         self.model, self.level = self.inner.model, ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known, self.pieces = Remembered(REMEMBERED, self._part), Remembered(REMEMBERED, self._piece)
+        self.older: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         # bytes stand as printable characters; ASCII stands for itself
@@ -230,16 +215,37 @@ class WordTokenizer:
         return array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
 
     def _part(self, part: str) -> bytes:
-        low = part.lower()
-        if _UNSAFE.search(low):
+        if part.isascii():
+            # a word, or a word and a mark: most parts
+            if part.isalpha():
+                return self._piece(part)
+            if part[:-1].isalpha() and part[-1] in _STOPS:
+                return self[part[:-1]] + self[part[-1]]
+        if _UNSAFE.search(part):
             return array("I", self.inner.encode(part, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(low)))
+        pieces = _PIECES.findall(part)
+        return self._piece(part) if len(pieces) == 1 else b"".join(map(self.__getitem__, pieces))
+
+    def __missing__(self, part: str) -> bytes:
+        value = self.older.get(part)
+        if value is None:
+            value = self._part(part)
+        self[part] = value
+        return value
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """ids as little-endian unsigned 32-bit integers."""
-        known = self.known.__getitem__
-        # a final sigma alone depends on what follows it
-        return [b"".join(map(known, ((t if "Σ" in t else t.lower()) if t else "").replace("\n", " ").split(" "))) for t in texts]
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        known = self.__getitem__
+        return [b"".join(map(known, _parts(t))) if t else b"" for t in texts]
+
+
+def _parts(text: str) -> list[str]:
+    """Parts in lower case, but those with a sigma: a final one alone depends on what follows it, for Python."""
+    if "Σ" in text:
+        return [x if "Σ" in x else x.lower() for x in text.replace("\n", " ").split(" ")]
+    return text.lower().replace("\n", " ").split(" ")
 
 
 @lru_cache(maxsize=2)
@@ -250,9 +256,13 @@ def tokenizer(path: str) -> WordTokenizer:
 def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID) -> DataFrame:
     """Encodes and writes all documents in order; (path, base, n_ids), the files in order, base the ids before each."""
     spark = docs.sparkSession
-    n = tasks(spark, docs.count(), FILE_DOCS)
+    total, most = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
+    n = tasks(spark, total, FILE_DOCS)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    dealt = rows.repartitionByRange(n, F.asc_nulls_first("doc_id"), "h").sortWithinPartitions(F.asc_nulls_first("doc_id"), "h")
+    order = [F.asc_nulls_first("doc_id"), F.asc("h")]
+    # the order is the same either way; the text is hashed for the ranges' bounds only if the rows of one id can fill files
+    ranges = order[:1] if (most or 0) * 10 <= FILE_DOCS else order
+    dealt = rows.repartitionByRange(n, *ranges).sortWithinPartitions(*order)
     end = np.array([end_id], "<u4").tobytes()
 
     def make():

@@ -1,5 +1,6 @@
 """Operators against brute force, other libraries, round trips and held-out labels."""
 
+import hashlib
 import io
 import random
 import re
@@ -183,14 +184,46 @@ def odd_texts():
     return [*out, "a" * 5000, " " * 3000, "ab" * 700 + "\n\n  \n x", "é" * 600, "x" * 257, "<|endoftext|>"]
 
 
-def test_byte_bpe_is_tiktokens(texts):
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    bpe = byte_bpe.tokenizer(path, public_tokenizers.PATTERN)
-    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+@pytest.fixture(scope="module")
+def others():
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_byte_bpe_is_tiktokens(texts, others):
+    bpe = byte_bpe.tokenizer(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(3)
     every = odd_texts() + list(texts.values())
-    for t, own in zip(every, bpe.encode(every), strict=True):
-        assert [int(i) for x in own for i in x[0].split(b",")] == other.encode_ordinary(t)
-        assert b"".join(x[2] for x in own) == t.encode()
+    every += ["".join(rng.choice(x) for _ in range(n)) for x in ("ACGT", "abcdefghijklmnop", "01", "一二三四", "eatonhr") for n in (250, 256, 257, 300, 5000)]
+    for t, raw in zip(every, bpe.encode(every), strict=True):
+        ids = np.frombuffer(raw, "<u4")
+        assert ids.tolist() == others.encode_ordinary(t)
+        assert bpe.decode(ids) == t.encode()
+        assert bpe.written(ids) == ",".join(map(str, ids.tolist())).encode()
+
+
+def test_byte_bpe_with_any_ranks():
+    """Merges that rank below their parts, which no trained vocabulary has: rows of any length merge one pair a round."""
+    rng = random.Random(2)
+    for _ in range(40):
+        ranks = {bytes([c]): i for i, c in enumerate(range(256))}
+        words = {"".join(rng.choice("abc") for _ in range(rng.randint(2, 5))).encode() for _ in range(30)}
+        ranks |= {w: 256 + i for i, w in enumerate(rng.sample(sorted(words), len(words)))}
+        bpe = byte_bpe.ByteBPE(ranks, public_tokenizers.PATTERN)
+        pieces = ["".join(rng.choice("abc") for _ in range(n)).encode() for n in (7, 30, 255, 257, 400)]
+        for piece, raw in zip(pieces, bpe.merge(pieces), strict=True):
+            ids = [bytes([c]) for c in piece]
+            while len(ids) > 1 and (best := min((ranks.get(a + b, 10**9), i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False))))[0] < 10**9:
+                ids[best[1] : best[1] + 2] = [ids[best[1]] + ids[best[1] + 1]]
+            assert np.frombuffer(raw, "<u4").tolist() == [ranks[x] for x in ids]
+
+
+def test_byte_bpe_query(spark, sf_dir, texts, others):
+    want = {}
+    for d, t in texts.items():
+        ids = others.encode_ordinary(t or "")
+        want[d] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op6_byte_bpe(spark, sf_dir).collect()} == want
 
 
 def test_word_ids_are_the_librarys(texts):

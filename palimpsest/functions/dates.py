@@ -21,7 +21,6 @@ WEEKDAYS = {
 }
 _EN = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec"
 _PT = "janeiro|fevereiro|mar[çc]o|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro"
-_DAYS_PT = "domingo|segunda|ter[çc]a|quarta|quinta|sexta|s[áa]bado"
 YMD = r"\b(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})\b"
 DMY = r"\b(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})\b"
 DAY_MONTH_YEAR = r"\b(\d{1,2})\s+(?:de\s+)?([\p{L}]+)\.?\s+(?:de\s+)?(\d{4})\b"
@@ -29,11 +28,10 @@ MONTH_DAY_YEAR = r"\b([\p{L}]+)\.?\s+(\d{1,2}),?\s+(\d{4})\b"
 ISO = r"\b(\d{4})[-/](\d{1,2})[-/](\d{1,2})\b"
 EN_DATE = rf"(?i)\b({_EN})\s+(\d{{1,2}})(?:[,\s]+(\d{{4}}))?\b"
 PT_DATE = rf"(?i)\b(\d{{1,2}})\s+de\s+({_PT})(?:\s+de\s+(\d{{4}}))?\b"
-WORD_AGO = rf"(?i)\b(\d+|an?|{'|'.join(k for k in NUMBERS if k not in ('a', 'an', 'tres', 'três'))}|tr[êe]s)\s+(day|days|week|weeks|month|months|dia|dias|semana|semanas|m[eê]s|meses)\s+(ago|atr[áa]s)\b"
+WORD_AGO = r"(?i)\b(\d+|an?|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|um|uma|dois|duas|tr[êe]s|quatro|cinco|seis|sete|oito|nove|dez|onze|doze)\s+(day|days|week|weeks|month|months|dia|dias|semana|semanas|m[eê]s|meses)\s+(ago|atr[áa]s)\b"
 AGO = r"(?i)\b(\d+)\s+(day|days|week|weeks|month|months|year|years|dia|dias|semana|semanas|m[eê]s|meses|ano|anos)\s+(ago|atr[áa]s)\b"
 DAY_EN = r"(?i)\b(?:last|past|this)\s+(sunday|monday|tuesday|wednesday|thursday|friday|saturday)\b"
-DAY_PT_LAST = rf"(?i)\b[úu]ltim[ao]\s+({_DAYS_PT})\b"
-DAY_PT_PAST = rf"(?i)\b({_DAYS_PT})(?:-feira)?\s+passad[ao]\b"
+DAY_PT = r"(?i)\b(?:[úu]ltim[ao]\s+(domingo|segunda|ter[çc]a|quarta|quinta|sexta|s[áa]bado)|(domingo|segunda|ter[çc]a|quarta|quinta|sexta|s[áa]bado)(?:-feira)?\s+passad[ao])\b"
 DAY_BACK = rf"(?i)\b(?:last|past|[uú]ltim[oa])\s+(monday|tuesday|wednesday|thursday|friday|saturday|sunday|segunda|ter[çc]a|quarta|quinta|sexta|s[áa]bado|domingo)\b"
 LAST_UNIT = r"(?i)\b(?:last|past)\s+(week|month|weekend)\b"
 BEFORE = r"(?i)\b(before|prior to|antes de|antes do|antes da)\b"
@@ -145,14 +143,13 @@ def detect_anchor(text: Column, now: Column) -> Column:
     """The date that a question is about, or null; ``now`` is a date."""
     count = F.lower(_part(text, WORD_AGO, 1))
     n = F.coalesce(F.try_element_at(_map(NUMBERS), count), count.try_cast("int"))
-    day = lambda p: last_weekday(now, F.try_element_at(_map(WEEKDAYS), F.lower(_part(text, p, 1))))
+    day = lambda name: last_weekday(now, F.try_element_at(_map(WEEKDAYS), F.lower(name)))
     unit = F.lower(_part(text, LAST_UNIT, 1))
     return F.coalesce(
         _dated(text, now),
         F.when(n > 0, back(now, n, _part(text, WORD_AGO, 2))),
-        day(DAY_EN),
-        day(DAY_PT_LAST),
-        day(DAY_PT_PAST),
+        day(_part(text, DAY_EN, 1)),
+        day(F.coalesce(_part(text, DAY_PT, 1), _part(text, DAY_PT, 2))),
         F.when(unit == "week", F.date_sub(now, 7)).when(unit == "month", add_months(now, F.lit(-1))).when(unit == "weekend", last_weekday(now, F.lit(6))),
     )
 

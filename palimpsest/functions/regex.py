@@ -1,4 +1,4 @@
-"""Patterns written for ASCII word boundaries and Unicode case folding, for Spark's engine."""
+"""Patterns written for ASCII word boundaries and Unicode case folding, for Spark."""
 
 from __future__ import annotations
 

@@ -55,40 +55,51 @@ def redact(s: Column) -> tuple[Column, Column]:
     return s, n
 
 
-def hosts(answer: Column) -> Column:
-    """[(url, host)] of the links in a text."""
-    urls = F.regexp_extract_all(answer, F.lit(r"""https?://[^\s)\]}"'<>]+"""), F.lit(0))
-    host = lambda u: F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(u, r"^https?://([^/?#]+)", 1)), r"^.*@", ""), r":.*$", "")
-    return F.transform(urls, lambda u: F.struct(u.alias("url"), host(u).alias("host")))
+# Links, and their hosts without a user and a port.
+LINK = r"""https?://[^\s)\]}"'<>]+"""
+LINK_HOST = r"^https?://([^/?#]+)"
+
+
+def host(link: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(link, LINK_HOST, 1)), r"^.*@", ""), r":.*$", "")
 
 
 def egress_filter(answer: Column, grounding: Column) -> tuple[Column, Column]:
-    """(answer without links to hosts that ``grounding`` doesn't name, how many were masked)."""
-    strange = F.filter(hosts(answer), lambda x: (x["host"] != "") & ~F.contains(F.lower(grounding), x["host"]))
-    # longest first, as a link may begin another
-    order = F.array_sort(strange, lambda a, b: F.length(b["url"]) - F.length(a["url"]))
-    return F.aggregate(order, answer, lambda acc, x: F.replace(acc, x["url"], F.lit(URL_MASK))), F.size(strange)
+    """(answer without links to hosts that ``grounding`` doesn't name, how many were masked), link by link."""
+    links = F.regexp_extract_all(answer, F.lit(LINK), F.lit(0))
+    strange = lambda u: (host(u) != "") & ~F.contains(F.lower(grounding), host(u))
+    kept = F.transform(links, lambda u: F.when(strange(u), URL_MASK).otherwise(u))
+    # between the links stands one piece more than there are links
+    pieces = F.transform(F.split(answer, LINK, -1), lambda p, i: F.concat(p, F.coalesce(F.get(kept, i), F.lit(""))))
+    return F.array_join(pieces, ""), F.size(F.filter(links, strange))
 
 
 def trimmed(s: Column) -> Column:
     return F.regexp_replace(s, r"^\s+|\s+$", "")
 
 
+# Marks in a model's text, and the folder of each domain.
+FINAL = "(?is)<final>(.*?)</final>"
+SCRATCH = "(?is)<scratch>.*?</scratch>"
+STRAY = "(?i)</?(final|scratch)>"
+THINK, OPEN_THINK = "(?s)<think>.*?</think>", "(?s)<think>.*$"
+FOLDERS = {"wiki": "concepts", "guideline": "guidelines", "decision": "decisions", "gotcha": "gotchas"}
+
+
 def extract_final(s: Column) -> Column:
     """What stands in <final>, else the text without scratch blocks, else without stray tags; never empty if it wasn't."""
     some = lambda c: F.when(trimmed(c) != "", trimmed(c))
-    stray = "(?i)</?(final|scratch)>"
     return F.coalesce(
-        some(F.regexp_extract(s, "(?is)<final>(.*?)</final>", 1)),
-        some(F.regexp_replace(F.regexp_replace(s, "(?is)<scratch>.*?</scratch>", ""), stray, "")),
-        some(F.regexp_replace(s, stray, "")),
+        some(F.regexp_extract(s, FINAL, 1)),
+        some(F.regexp_replace(F.regexp_replace(s, SCRATCH, ""), STRAY, "")),
+        some(F.regexp_replace(s, STRAY, "")),
         trimmed(s),
     )
 
 
 def strip_thinking(s: Column) -> Column:
     """Without <think> blocks; an open one takes the rest of the text with it."""
-    return trimmed(F.regexp_replace(F.regexp_replace(s, "(?s)<think>.*?</think>", ""), "(?s)<think>.*$", ""))
+    return trimmed(F.regexp_replace(F.regexp_replace(s, THINK, ""), OPEN_THINK, ""))
 
 
 def strip_code_fence(s: Column) -> Column:
@@ -116,8 +127,8 @@ def file_name(title: Column) -> Column:
 
 
 def wiki_path(domain: Column, title: Column) -> Column:
-    d = F.lower(domain)
-    folder = F.when(d == "wiki", "concepts").when(d == "guideline", "guidelines").when(d == "decision", "decisions").when(d == "gotcha", "gotchas").otherwise("memories")
+    table = F.create_map(*[F.lit(x) for kv in FOLDERS.items() for x in kv])
+    folder = F.coalesce(F.try_element_at(table, F.lower(domain)), F.lit("memories"))
     return F.concat(folder, F.lit("/"), file_name(title), F.lit(".md"))
 
 

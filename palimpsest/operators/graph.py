@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import ONE_TO_ONE
+from .joins import components, lookup, small
+from .state import cut
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -24,29 +26,37 @@ def degree(edges: DataFrame) -> DataFrame:
     return rows.groupBy("entity_id").agg(F.count("*").alias("degree"))
 
 
-def traverse(seeds: DataFrame, edges: DataFrame, depth: int = 2, kinds: list[str] | None = None, max_results: int = 100) -> DataFrame:
-    """Everything within ``depth`` hops along edges from ``seeds`` (seed_id), by simple paths: the shortest, then heaviest.
+def traverse(seeds: DataFrame, edges: DataFrame, depth: int = 2, kinds: list[str] | None = None, max_results: int = 100, entities: DataFrame | None = None) -> DataFrame:
+    """Everything within ``depth`` hops along edges from ``seeds`` (seed_id): (seed_id, entity_id, edge_kind, weight, path,
+    depth) of the shortest simple path, of several the one whose last edge weighs most. A seed's loop to itself is a hop.
 
-    Depth is bounded, so the hops are that many joins; what a hop found already at less depth is not walked again."""
+    With ``entities`` (entity_id, slug) also path_slugs. Depth is bounded, so the hops are that many joins; each starts at
+    the frontier, so only edges that leave it are grouped, and is cut. What a hop found already is not walked again."""
     depth = max(1, min(depth, 5))
-    walk = edges.filter(F.col("kind").isin(kinds)) if kinds else edges
-    walk = walk.groupBy("from_id", "to_id", "kind").agg(F.max("confidence").alias("weight"))
+    walk = (edges.filter(F.col("kind").isin(kinds)) if kinds else edges).select("from_id", "to_id", "kind", "confidence")
     at = seeds.select("seed_id", F.col("seed_id").alias("entity_id"), F.array(F.col("seed_id")).alias("path"))
     found = None
     for d in range(1, depth + 1):
-        hop = (
-            at.join(walk, F.col("entity_id") == F.col("from_id"))
-            .filter(~F.array_contains("path", F.col("to_id")))
-            .select("seed_id", F.col("to_id").alias("entity_id"), F.col("kind").alias("edge_kind"), "weight", F.concat("path", F.array("to_id")).alias("path"), F.lit(d).alias("depth"))
-        )
-        best = Window.partitionBy("seed_id", "entity_id").orderBy(F.col("weight").desc(), "edge_kind", "path")
-        hop = hop.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
+        near = at.select(F.col("entity_id").alias("from_id")).distinct()
+        out = walk.join(small(near), "from_id", "left_semi").groupBy("from_id", "to_id", "kind").agg(F.max("confidence").alias("weight"))
+        hop = at.join(out, F.col("entity_id") == F.col("from_id"))
+        if d > 1:
+            hop = hop.filter(~F.array_contains("path", F.col("to_id")))
+        hop = hop.select("seed_id", F.col("to_id").alias("entity_id"), F.col("kind").alias("edge_kind"), "weight", F.concat("path", F.array("to_id")).alias("path"), F.lit(d).alias("depth"))
         if found is not None:
             hop = hop.join(found.select("seed_id", "entity_id"), ["seed_id", "entity_id"], "left_anti")
+        # of a group the first by weight, kind and path, which combines before the shuffle
+        best = hop.groupBy("seed_id", "entity_id").agg(F.min(F.struct((-F.col("weight")).alias("w"), "edge_kind", "path", "depth")).alias("x"))
+        hop = cut(best.select("seed_id", "entity_id", "x.edge_kind", (-F.col("x.w")).alias("weight"), "x.path", "x.depth"))
         found = hop if found is None else found.unionByName(hop)
         at = hop.select("seed_id", "entity_id", "path")
     first = Window.partitionBy("seed_id").orderBy("depth", "entity_id")
-    return found.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= max_results).drop("_r")
+    found = found.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= max_results).drop("_r")
+    if entities is None:
+        return found
+    steps = found.select("seed_id", "entity_id", F.posexplode("path").alias("k", "id")).join(entities.select(F.col("entity_id").alias("id"), "slug"), "id")
+    slugs = steps.groupBy("seed_id", "entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "slug"))), lambda x: x["slug"]).alias("path_slugs"))
+    return found.join(slugs, ["seed_id", "entity_id"], "left")
 
 
 def supersede(facts: DataFrame) -> DataFrame:
@@ -62,32 +72,28 @@ def supersede(facts: DataFrame) -> DataFrame:
     return marked.withColumn("valid_to", closed).drop("_island", "_start")
 
 
-def least_label(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """Connected components of pairs (a, b): (id, label), the least id of the component, by least neighbours and jumps."""
-    from .state import cut
-
-    both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for _ in range(rounds):
-        near = both.join(label, both.b == label.id).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        hop = label.select(F.col("id").alias("label"), F.col("label").alias("jump"))
-        new = label.join(near, "id").join(hop, "label").select("id", F.least("label", "near", "jump").alias("label"), "label")
-        new = cut(new.toDF("id", "label", "old"))
-        label = new.select("id", "label")
-        if new.filter("label <> old").isEmpty():
-            break
-    return label
+def least_label(pairs: DataFrame) -> DataFrame:
+    """Connected components of pairs (a, b): (id, label), the least id of the component, for chains of any length."""
+    loops = pairs.filter("a = b").select(F.col("a").alias("id"), F.col("a").alias("label")).distinct()
+    found = components(pairs).select(F.col("node").alias("id"), F.col("root").alias("label"))
+    return found.unionByName(loops.join(found, "id", "left_anti"))
 
 
 def resolve(entities: DataFrame, edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Merges entities that ``pairs`` connect: (map of entity_id to canonical_id, rewritten edges without loops).
 
     Canonical is the member with most edges, then the least id."""
-    label = least_label(pairs)
-    d = degree(edges)
+    label = cut(least_label(pairs))
+    d = degree(touching(edges, label.select(F.col("id").alias("entity_id"))))
     member = label.join(d, label.id == d.entity_id, "left").select("id", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
-    best = Window.partitionBy("label").orderBy(F.col("degree").desc(), "id")
-    names = member.withColumn("canonical_id", F.first("id").over(best)).select(F.col("id").alias("entity_id"), "canonical_id")
-    to = lambda df, c: df.join(names.select(F.col("entity_id").alias(c), F.col("canonical_id").alias("_c")), c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
-    moved = to(to(edges, "from_id"), "to_id").filter("from_id <> to_id")
-    return names, moved
+    best = member.groupBy("label").agg(F.min(F.struct((-F.col("degree")).alias("d"), "id")).alias("x"), F.count("*").alias("n"))
+    # a component of any size is looked up, and so is an entity of any degree
+    names = lookup(member, cut(best.select("label", F.col("x.id").alias("canonical_id"), "n")), ["label"], "n", label.count(), ["id"])
+    names = cut(names.select(F.col("id").alias("entity_id"), "canonical_id", F.greatest("degree", F.lit(1)).alias("degree")))
+    total = 2 * edges.count()
+
+    def to(df: DataFrame, c: str) -> DataFrame:
+        few = names.select(F.col("entity_id").alias(c), F.col("canonical_id").alias("_c"), "degree")
+        return lookup(df, few, [c], "degree", total, ["from_id", "to_id"]).withColumn(c, F.coalesce("_c", c)).drop("_c", "degree")
+
+    return names.drop("degree"), to(to(edges, "from_id"), "to_id").filter("from_id <> to_id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kinds, scores, text
+from .joins import small
+from .ranking import top_k
+from .state import cut
 
 MAX_CHARS, OVERLAP, MIN_CHARS, LONGEST, MAX_CHUNKS, MAX_METADATA = 1500, 200, 100, 200_000, 400, 16_384
 CHUNK = T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), T.StructField("content", T.StringType())]))
@@ -21,36 +27,36 @@ def fixed_chunks(content: Column, size: int = MAX_CHARS, overlap: int = OVERLAP)
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("position"), F.substr(content, i * step + 1, F.lit(size)).alias("content")))
 
 
-def boundary(s: str, start: int, stop: int) -> int:
-    """Where to cut before ``stop``: after a blank line, else a sentence, else a space, within the last 30 %."""
-    low = max(start, stop - max(10, (stop - start) * 30 // 100))
-    blank = s.rfind("\n\n", max(low - 1, 0), stop)
-    if blank + 1 >= max(low, 1) and blank >= 0:
-        return blank + 2
-    for i in range(stop - 1, max(low, 1) - 1, -1):
-        if s[i] in ".!?" and (i + 1 >= len(s) or s[i + 1] in " \n"):
-            return i + 1
-    space = max(s.rfind(" ", low, stop), s.rfind("\n", low, stop))
-    return space + 1 if space >= 0 else stop
+_BLANK, _SENTENCE, _WORD_END = re.compile(r"\n(?=\n)"), re.compile(r"[.!?](?=[ \n]|\Z)"), re.compile(r"[ \n]")
 
 
 def chunk(s: str, size: int = MAX_CHARS, overlap: int = OVERLAP, least: int = MIN_CHARS) -> list[tuple[int, str]]:
-    """Chunks of at most ``size`` characters, cut at boundaries; a short tail joins the chunk before."""
+    """Chunks of at most ``size`` characters, each ``overlap`` into the one before; a short tail joins the chunk before.
+
+    A chunk ends after the last blank line in its last 30 %, else after the last sentence there, else after the last space.
+    The places of all three are listed once, and each chunk looks its end up in the lists."""
     if size <= 0 or len(s) <= size:
         return [(0, s)]
     overlap = size // 4 if overlap >= size else max(0, overlap)
-    out: list[str] = []
+    # by first character of a mark: where the next chunk would start after it
+    marks = [([m.start() for m in p.finditer(s)], after) for p, after in ((_BLANK, 2), (_SENTENCE, 1), (_WORD_END, 1))]
+    spans: list[tuple[int, int]] = []
     start = 0
-    while start < len(s):
-        stop = min(len(s), start + size)
-        if stop < len(s):
-            stop = boundary(s, start, stop)
-        if piece := s[start:stop].strip():
-            out.append(piece)
-        if stop >= len(s):
-            break
-        start = max(0, stop - overlap)
-    if least > 0 and len(out) >= 2 and len(out[-1]) < least:
+    while start + size < len(s):
+        stop = start + size
+        low = max(start, stop - max(10, size * 30 // 100))
+        for at, after in marks:
+            k = bisect_left(at, stop - after + 1) - 1
+            if k >= 0 and at[k] >= (low if at is marks[2][0] else max(low, 1) - (after - 1)):
+                stop = at[k] + after
+                break
+        spans.append((start, stop))
+        # an overlap that would lead back to where the chunk began is left out
+        start = stop - overlap if stop - overlap > start else stop
+    if start < len(s):
+        spans.append((start, len(s)))
+    out = [piece for a, z in spans if (piece := s[a:z].strip())]
+    if len(out) >= 2 and len(out[-1]) < least:
         tail = out.pop()
         out[-1] += " " + tail
     return list(enumerate(out)) or [(0, "")]
@@ -84,42 +90,137 @@ def exact_dedup(new: DataFrame, current: DataFrame, scope: list[str], order: lis
     return fresh.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
 
 
-def semantic_supersede(pages: DataFrame, scope: list[str], near: float) -> DataFrame:
-    """In arrival order within a scope, a page closes the nearest open one within ``near``: superseded_by of each page.
-
-    Sequential by nature, so a scope is one group: (page_id, seq, embedding) of a micro-batch. Vectors are unit length."""
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["seq", "page_id"])
-        v = np.stack(g["embedding"].to_numpy()).astype(float)
-        open_, by = np.zeros(len(g), bool), [None] * len(g)
-        for i in range(len(g)):
-            d = 1 - v[:i] @ v[i]
-            ok = np.flatnonzero(open_[:i] & (d <= near))
-            if len(ok):
-                j = ok[np.argmin(np.round(d[ok], 9))]
-                open_[j], by[j] = False, int(g["page_id"].iloc[i])
-            open_[i] = True
-        return pd.DataFrame({"page_id": g["page_id"].to_numpy(), "superseded_by": pd.array(by, "Int64")})
-
-    return pages.groupBy(*scope).applyInPandas(run, "page_id long, superseded_by long")
+#: Pages of a micro-batch, which is compared as one matrix with stored vectors and walked in order by one task.
+MICRO_BATCH = 1000
+
+
+def nearest_open(new: DataFrame, stored: DataFrame, scope: list[str], near: float, most: int = MICRO_BATCH) -> DataFrame:
+    """For each new page the stored ones of its scope within ``near``, at most ``most`` nearest: (new_id, page_id, distance).
+
+    ``new`` is a micro-batch of at most ``most`` rows, so it is sent to all tasks, and each Arrow batch of stored vectors is
+    one matrix product with it. Other pages of the batch can take at most ``most`` - 1 stored ones first, so more are not needed."""
+    rows = [(r.page_id, tuple(r[c] for c in scope), r.embedding) for r in new.select("page_id", "embedding", *scope).collect()]
+    if len(rows) > most:
+        raise ValueError(f"a micro-batch has at most {most} pages")
+    sent = stored.sparkSession.sparkContext.broadcast(rows)
+
+    def compare(batches):
+        import pyarrow as pa
+
+        ids, places, matrices = {}, [], {}
+        for page_id, own, v in sent.value:
+            ids.setdefault((own, len(v)), []).append(page_id)
+            matrices.setdefault((own, len(v)), []).append(v)
+        matrices = {k: np.array(v, float) for k, v in matrices.items()}
+        for batch in batches:
+            groups: dict = {}
+            vectors = batch.column(1).to_pylist()
+            for i, own in enumerate(zip(*[batch.column(k + 2).to_pylist() for k in range(len(scope))], strict=True)):
+                if vectors[i] is not None:
+                    groups.setdefault((own, len(vectors[i])), []).append(i)
+            out = [[], [], []]
+            pages = batch.column(0).to_pylist()
+            for key, own in groups.items():
+                if key in matrices:
+                    d = np.round(1 - np.array([vectors[i] for i in own], float) @ matrices[key].T, 9)
+                    for i, j in zip(*np.nonzero(d <= near), strict=True):
+                        for col, x in zip(out, (ids[key][j], pages[own[i]], float(d[i, j])), strict=True):
+                            col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["new_id", "page_id", "distance"])
+
+    met = stored.select("page_id", "embedding", *scope).mapInArrow(compare, "new_id long, page_id long, distance double")
+    return top_k(met, ["new_id"], [F.col("distance"), F.col("page_id")], most).drop("rank")
+
+
+def supersede_batch(new: DataFrame, stored: DataFrame, scope: list[str], near: float) -> DataFrame:
+    """(page_id, superseded_by): in arrival order (seq, page_id) each page of a micro-batch closes the nearest open one of its
+    scope within ``near``, stored or of the batch. ``stored`` has open pages only. Vectors are unit length."""
+    own = new.select("page_id", "seq", "embedding", *scope)
+    rows = own.select(*scope, F.lit(0).alias("kind"), "page_id", "seq", "embedding", F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("distance"))
+    met = nearest_open(own, stored, scope, near).join(F.broadcast(own.select(F.col("page_id").alias("new_id"), *scope)), "new_id")
+    pairs = met.select(*scope, F.lit(1).alias("kind"), F.col("new_id").alias("page_id"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("array<float>").alias("embedding"), F.col("page_id").alias("other"), "distance")
+
+    def walk(g: pd.DataFrame) -> pd.DataFrame:
+        batch = g[g["kind"] == 0].sort_values(["seq", "page_id"])
+        batch = batch[batch["embedding"].notna()]
+        old = {k: list(zip(v["distance"], v["other"], strict=True)) for k, v in g[g["kind"] == 1].groupby("page_id")}
+        ids, v = [int(x) for x in batch["page_id"]], [np.asarray(x, float) for x in batch["embedding"]]
+        by: dict[int, int] = {}
+        for i, own in enumerate(ids):
+            mates = [(round(1 - float(v[j] @ v[i]), 9), ids[j]) for j in range(i) if ids[j] not in by and len(v[j]) == len(v[i])]
+            open_ = [x for x in old.get(own, []) if int(x[1]) not in by] + [x for x in mates if x[0] <= near]
+            if open_:
+                by[int(min(open_)[1])] = own
+        return pd.DataFrame({"page_id": list(by.keys()), "superseded_by": list(by.values())}, dtype="int64")
+
+    return rows.unionByName(pairs).groupBy(*scope).applyInPandas(walk, "page_id long, superseded_by long")
+
+
+def closings(pages: DataFrame, scope: list[str], near: float, stored: DataFrame | None = None, micro_batch: int = MICRO_BATCH) -> DataFrame:
+    """(page_id, superseded_by) of the pages that arriving ones close. pages: (page_id, seq, embedding and ``scope``); stored:
+    open pages (page_id, embedding and ``scope``) from before.
+
+    Micro-batches in arrival order, each against what the ones before left open. Which page closes which depends on all
+    before, so batches follow each other; within one, all tasks read the stored vectors."""
+    own = ["page_id", "embedding", *scope]
+    rows = pages.select("seq", *own)
+    n = rows.count()
+    # rows are dealt to batches by ranges of the order: no task sorts them all
+    dealt = rows.repartitionByRange(max(1, -(-n // micro_batch)), "seq", "page_id").sortWithinPartitions("seq", "page_id").withColumn("_part", F.spark_partition_id())
+    dealt = cut(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    closed = cut(rows.sparkSession.createDataFrame([], "page_id long, superseded_by long"))
+    for low, high in _batches(dealt, micro_batch):
+        open_ = dealt.filter(F.col("_at") < low).select(*own)
+        open_ = open_ if stored is None else open_.unionByName(stored.select(*own))
+        now = supersede_batch(dealt.filter(F.col("_at").between(low, high)), open_.join(closed, "page_id", "left_anti"), scope, near)
+        closed = cut(closed.unionByName(now))
+    return closed
+
+
+def semantic_supersede(pages: DataFrame, scope: list[str], near: float, micro_batch: int = MICRO_BATCH) -> DataFrame:
+    """(page_id, superseded_by) of all pages, by ``closings``. Pages without vector close nothing and stay open."""
+    return pages.select("page_id").join(closings(pages, scope, near, None, micro_batch), "page_id", "left")
+
+
+def _batches(rows: DataFrame, most: int) -> list[tuple[int, int]]:
+    """Ranges of ``_at`` with at most ``most`` rows each: the parts of the order, cut where they are larger."""
+    parts = rows.groupBy("_part").agg(F.min("_at").alias("low"), F.count("*").alias("n")).orderBy("low").collect()
+    return [(r.low + a, r.low + min(a + most, r.n) - 1) for r in parts for a in range(0, r.n, most)]
 
 
 def soft_delete(pages: DataFrame, chunks: DataFrame, gone: DataFrame, moment: Column) -> tuple[DataFrame, DataFrame]:
     """Pages (page_id) are closed at ``moment``, their chunks go."""
-    marked = pages.join(F.broadcast(gone.select("page_id", F.lit(True).alias("_gone"))), "page_id", "left")
+    ids = small(gone.select("page_id").distinct().withColumn("_gone", F.lit(True)))
+    marked = pages.join(ids, "page_id", "left")
     closed = marked.withColumn("valid_to", F.when(F.col("_gone") & F.col("valid_to").isNull(), moment).otherwise(F.col("valid_to"))).drop("_gone")
-    return closed, chunks.join(F.broadcast(gone), "page_id", "left_anti")
+    return closed, chunks.join(ids, "page_id", "left_anti")
 
 
 def compiled_upsert(new: DataFrame, old: DataFrame, threshold: float = 0.6) -> DataFrame:
     """The stored page that each compiled page replaces: of the same slug, else the most similar text, else none.
 
-    new and old: (id, scope, slug, content). Similar texts are found through shared trigrams, within a scope."""
+    new and old: (id, scope, slug, content); texts are compared by their first 500 characters, within a scope. Candidates
+    share one of the rarest trigrams of both, as of n trigrams any other n - ceil(threshold * n) can be missing, and have
+    sizes within ``threshold``. Equal trigram sets of a scope are one candidate, so copies are not all pairs."""
     exact = new.alias("n").join(old.alias("o"), (F.col("n.scope") == F.col("o.scope")) & (F.col("n.slug") == F.col("o.slug"))).groupBy(F.col("n.id").alias("id")).agg(F.min("o.id").alias("target"))
     rest = new.join(exact, "id", "left_anti")
-    of = lambda df, k: df.select(F.col("id").alias(k), "scope", F.explode(scores.trigrams(F.substring("content", 1, 500))).alias("g"))
-    size = lambda df, k: df.select(F.col("id").alias(k), F.size(scores.trigrams(F.substring("content", 1, 500))).alias(f"{k}_n"))
-    shared = of(rest, "a").join(of(old, "b"), ["scope", "g"]).groupBy("a", "b").agg(F.count("*").alias("n"))
-    sim = shared.join(size(rest, "a"), "a").join(size(old, "b"), "b").withColumn("sim", F.round(F.col("n") / (F.col("a_n") + F.col("b_n") - F.col("n")), 9)).filter(F.col("sim") >= threshold)
-    best = sim.groupBy(F.col("a").alias("id")).agg(F.min_by("b", F.struct(-F.col("sim"), F.col("b"))).alias("target"))
-    return new.select("id").join(exact.unionByName(best), "id", "left")
+    sets = lambda df: df.select("id", "scope", F.array_sort(scores.trigrams(F.substring("content", 1, 500))).alias("t")).filter("size(t) > 0").withColumn("k", F.xxhash64("scope", "t"))
+    classes = lambda df: df.groupBy("k").agg(F.min("id").alias("id"), F.first("scope").alias("scope"), F.first("t").alias("t"))
+    asked = cut(sets(rest))
+    a, b = cut(classes(asked)), cut(classes(sets(old)))
+    one = lambda df: df.select("k", "scope", F.size("t").alias("n"), F.explode("t").alias("g"))
+    common = one(a).unionByName(one(b)).groupBy("scope", "g").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("k").orderBy("df", "g")
+
+    def prefix(df: DataFrame, x: str) -> DataFrame:
+        own = one(df).join(common, ["scope", "g"]).withColumn("r", F.row_number().over(order))
+        return own.filter(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1).select(F.col("k").alias(x), "scope", "g", F.col("n").alias(f"n{x}"))
+
+    close = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
+    met = prefix(a, "a").join(prefix(b, "b"), ["scope", "g"]).filter(close).select("a", "b").distinct()
+    both = met.join(a.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(b.select(F.col("k").alias("b"), F.col("id").alias("target"), F.col("t").alias("tb")), "b")
+    n = F.size(F.array_intersect("ta", "tb"))
+    sim = both.select("a", "target", F.round(n / (F.size("ta") + F.size("tb") - n), 9).alias("sim")).filter(F.col("sim") >= threshold)
+    best = sim.groupBy(F.col("a").alias("k")).agg(F.min_by("target", F.struct(-F.col("sim"), F.col("target"))).alias("target"))
+    found = asked.join(best, "k").select("id", "target")
+    return new.select("id").join(exact.unionByName(found), "id", "left")

@@ -1,108 +1,192 @@
-"""Retrieval channels over many questions at once. Questions are broadcast only below ``BLOCK``; more run in blocks."""
+"""Retrieval channels over many questions at once.
+
+Questions are taken in blocks of at most ``BLOCK``, which are counted, so whatever is joined by broadcast is a block of
+them; found entities and frontiers are cut and broadcast only after they were counted."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.text import words
 from . import graph
+from .joins import small
 from .ranking import ranked, top_k
+from .state import cut
 
-#: Questions that are compared with all vectors at a time.
+#: Questions that are compared with all items at a time.
 BLOCK = 1000
 
 
-def vector_channel(questions: DataFrame, vectors: DataFrame, k: int, gate: float = 1.0) -> DataFrame:
-    """Exact nearest vectors: questions (question_id, qvec), vectors (item_id, embedding); distances beyond ``gate`` go.
-
-    A block of questions is broadcast and each vector is compared with all of it; partial top-k before the shuffle."""
-    n = questions.count()
+def by_block(questions: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` over blocks of ``questions``."""
+    blocks = -(-questions.count() // BLOCK)
+    if blocks <= 1:
+        return run(questions)
     out = None
-    for b in range(-(-n // BLOCK) or 1):
-        part = questions if n <= BLOCK else questions.filter(F.pmod(F.xxhash64("question_id"), F.lit(-(-n // BLOCK))) == b)
-        near = vectors.filter(F.col("embedding").isNotNull()).join(F.broadcast(part.select("question_id", "qvec")), F.size("qvec") == F.size("embedding"))
-        near = near.select("question_id", "item_id", scores.cosine_distance(F.col("qvec"), F.col("embedding")).alias("distance")).filter(F.col("distance") <= gate)
-        near = top_k(near, ["question_id"], [F.col("distance"), F.col("item_id")], k)
-        out = near if out is None else out.unionByName(near)
+    for b in range(blocks):
+        # hashes fall unevenly, so a block is sized for half
+        one = run(questions.filter(F.pmod(F.xxhash64("question_id"), F.lit(2 * blocks)).isin(2 * b, 2 * b + 1)))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
-def keyword_channel(questions: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Texts with all of a question's terms: questions (question_id, terms), texts (item_id, text).
+def vector_channel(questions: DataFrame, vectors: DataFrame, k: int | Column, gate: float = 1.0, visible: Column | None = None) -> DataFrame:
+    """Exact nearest vectors: questions (question_id, qvec), vectors (item_id, embedding); distances beyond ``gate`` go, and
+    what ``visible``, a condition on both sides' columns, excludes. Vectors of another size than the question's are refused.
+
+    A block of questions is broadcast and each vector is compared with all of it: an exact scan, whose partial top-k is
+    taken before the shuffle."""
+
+    def run(part: DataFrame) -> DataFrame:
+        fits = F.when(F.size("qvec") == F.size("embedding"), True).otherwise(F.raise_error(F.lit("vectors of different sizes")))
+        on = F.lit(True) if visible is None else visible
+        near = vectors.filter(F.col("embedding").isNotNull()).join(F.broadcast(part.filter("qvec IS NOT NULL")), on).filter(fits)
+        near = near.withColumn("distance", scores.cosine_distance(F.col("qvec"), F.col("embedding"))).filter(F.col("distance") <= gate)
+        return top_k(near, ["question_id"], [F.round("distance", 9), F.col("item_id")], k).select("question_id", "item_id", "distance", "rank")
+
+    return by_block(questions, run)
+
+
+def keyword_hits(questions: DataFrame, texts: DataFrame) -> DataFrame:
+    """Texts with all of a question's terms: (question_id, item_id, fts). questions (question_id, terms), texts (item_id, text).
 
     rank score: sum over terms of (1 + ln tf) / (1 + ln words)."""
-    asked = questions.select("question_id", F.explode(F.array_distinct(words(F.col("terms")))).alias("term"))
-    need = asked.groupBy("question_id").agg(F.count("*").alias("need"))
-    # only words that some question has are counted; the rest of a text never leaves the scan
-    terms = asked.select("term").distinct()
-    own = texts.select("item_id", words(F.col("text")).alias("w")).select("item_id", F.size("w").alias("size"), F.explode("w").alias("term"))
-    counts = own.join(F.broadcast(terms), "term", "left_semi").groupBy("item_id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
-    hit = counts.join(asked, "term").groupBy("question_id", "item_id").agg(F.count("*").alias("have"), F.sum((1 + F.ln("tf")) / (1 + F.ln("size"))).alias("fts"))
-    full = hit.join(need, "question_id").filter(F.col("have") == F.col("need"))
-    return top_k(full.select("question_id", "item_id", F.round("fts", 9).alias("fts")), ["question_id"], [F.col("fts").desc(), F.col("item_id")], k)
+
+    def run(part: DataFrame) -> DataFrame:
+        asked = part.select("question_id", F.explode(F.array_distinct(words(F.col("terms")))).alias("term"))
+        need = asked.groupBy("question_id").agg(F.count("*").alias("need"))
+        # only words that some question of the block has are counted; the rest of a text never leaves the scan
+        terms = F.broadcast(asked.agg(F.collect_set("term").alias("asked")))
+        own = texts.select("item_id", words(F.col("text")).alias("w")).join(terms, F.arrays_overlap("w", "asked"))
+        own = own.select("item_id", F.size("w").alias("size"), F.explode(F.filter("w", lambda x: F.array_contains("asked", x))).alias("term"))
+        counts = own.groupBy("item_id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+        hit = counts.join(F.broadcast(asked), "term").groupBy("question_id", "item_id").agg(F.count("*").alias("have"), F.sum((1 + F.ln("tf")) / (1 + F.ln("size"))).alias("fts"))
+        full = hit.join(F.broadcast(need), "question_id").filter(F.col("have") == F.col("need"))
+        return full.select("question_id", "item_id", F.round("fts", 9).alias("fts"))
+
+    return by_block(questions, run)
+
+
+def keyword_channel(questions: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    return top_k(keyword_hits(questions, texts), ["question_id"], [F.col("fts").desc(), F.col("item_id")], k)
+
+
+def date_hits(questions: DataFrame, texts: DataFrame) -> DataFrame:
+    """Texts that share date tokens, by number shared: questions (question_id, tokens), texts (item_id, tokens)."""
+
+    def run(part: DataFrame) -> DataFrame:
+        q = part.select("question_id", F.explode("tokens").alias("token")).distinct()
+        t = texts.select("item_id", F.explode("tokens").alias("token")).distinct()
+        return t.join(F.broadcast(q), "token").groupBy("question_id", "item_id").agg(F.count("*").alias("shared"))
+
+    return by_block(questions, run)
 
 
 def date_channel(questions: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Texts that share a date token: questions (question_id, tokens), texts (item_id, tokens), by number shared."""
-    q = questions.select("question_id", F.explode("tokens").alias("token")).distinct()
-    t = texts.select("item_id", F.explode("tokens").alias("token")).distinct()
-    hit = t.join(q, "token").groupBy("question_id", "item_id").agg(F.count("*").alias("shared"))
-    return top_k(hit, ["question_id"], [F.col("shared").desc(), F.col("item_id")], k)
+    return top_k(date_hits(questions, texts), ["question_id"], [F.col("shared").desc(), F.col("item_id")], k)
+
+
+def alike(questions: DataFrame, entities: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(question_id, entity_id, sim) of names with trigram similarity to a question (question_id, text; entity_id, name),
+    found through shared trigrams."""
+
+    def run(part: DataFrame) -> DataFrame:
+        q = part.select("question_id", scores.trigrams(F.col("text")).alias("t")).select("question_id", F.size("t").alias("qn"), F.explode("t").alias("g"))
+        e = entities.select("entity_id", scores.trigrams(F.col("name")).alias("t")).select("entity_id", F.size("t").alias("en"), F.explode("t").alias("g"))
+        both = e.join(F.broadcast(q), "g").groupBy("question_id", "entity_id").agg(F.count("*").alias("n"), F.first("qn").alias("qn"), F.first("en").alias("en"))
+        return both.select("question_id", "entity_id", F.round(F.col("n") / (F.col("qn") + F.col("en") - F.col("n")), 9).alias("sim")).filter(F.col("sim") >= threshold)
+
+    return by_block(questions, run)
+
+
+def named(questions: DataFrame, entities: DataFrame) -> DataFrame:
+    """(question_id, entity_id, sim 1) of entities (entity_id, aliases) with an alias that stands in a question's text.
+
+    An alias is contained only where its first three characters are, so aliases and questions meet by those."""
+
+    def run(part: DataFrame) -> DataFrame:
+        low = part.select("question_id", F.lower("text").alias("q"))
+        starts = F.flatten(F.transform(F.sequence(F.lit(1), F.char_length("q")), lambda i: F.transform(F.array(*[F.lit(k) for k in (1, 2, 3)]), lambda k: F.substr(F.col("q"), i, k))))
+        grams = low.filter("q <> ''").select("question_id", "q", F.explode(F.array_distinct(starts)).alias("start"))
+        alias = entities.select("entity_id", F.explode(F.array_distinct("aliases")).alias("a")).select("entity_id", F.lower("a").alias("a")).filter("a <> ''")
+        met = alias.withColumn("start", F.substring("a", 1, 3)).join(F.broadcast(grams), "start").filter(F.contains(F.col("q"), F.col("a")))
+        return met.select("question_id", "entity_id", F.lit(1.0).alias("sim")).distinct()
+
+    return by_block(questions, run)
 
 
 def seeds(questions: DataFrame, entities: DataFrame, k: int, threshold: float = 0.3) -> DataFrame:
-    """The entities most like each question by trigrams (question_id, text; entity_id, name), through shared trigrams."""
-    q = questions.select("question_id", scores.trigrams(F.col("text")).alias("t")).select("question_id", F.size("t").alias("qn"), F.explode("t").alias("g"))
-    e = entities.select("entity_id", scores.trigrams(F.col("name")).alias("t")).select("entity_id", F.size("t").alias("en"), F.explode("t").alias("g"))
-    both = e.join(F.broadcast(q), "g").groupBy("question_id", "entity_id").agg(F.count("*").alias("n"), F.first("qn").alias("qn"), F.first("en").alias("en"))
-    sim = both.select("question_id", "entity_id", F.round(F.col("n") / (F.col("qn") + F.col("en") - F.col("n")), 9).alias("sim")).filter(F.col("sim") >= threshold)
+    """The entities most like each question: by name and, if entities have them, by aliases, the better of both."""
+    sim = alike(questions, entities, threshold)
+    if "aliases" in entities.columns:
+        sim = sim.unionByName(named(questions, entities)).groupBy("question_id", "entity_id").agg(F.max("sim").alias("sim"))
     return top_k(sim, ["question_id"], [F.col("sim").desc(), F.col("entity_id")], k, "seed_rank")
 
 
 def page_weights(found: DataFrame, edges: DataFrame, weight: Column) -> DataFrame:
     """Weights of pages whose edges touch found entities; an edge with both ends found counts twice."""
     ends = graph.endpoints(edges.filter("page_id IS NOT NULL").select("from_id", "to_id", "page_id"))
-    return ends.join(F.broadcast(found), "entity_id").groupBy("question_id", "page_id").agg(F.sum(weight).alias("weight"))
+    return ends.join(small(found), "entity_id").groupBy("question_id", "page_id").agg(F.sum(weight).alias("weight"))
+
+
+def entity_weights(found: DataFrame, edges: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """(question_id, page_id, weight): the similarity of found entities (question_id, entity_id, sim), damped by degree, summed
+    over their edges. Degrees are over ``edges``, pages over ``touched`` (of a moment), or both in one pass over ``edges``."""
+    found = cut(found.select("question_id", "entity_id", "sim"))
+    few = small(found)
+    ends = graph.endpoints(edges.select("from_id", "to_id", "page_id")).join(small(found.select("entity_id").distinct()), "entity_id", "left_semi")
+    per = cut(ends.groupBy("entity_id", "page_id").agg(F.count("*").alias("edges")))
+    degree = per.groupBy("entity_id").agg(F.sum("edges").alias("degree"))
+    if touched is not None:
+        ends = graph.endpoints(touched.filter("page_id IS NOT NULL").select("from_id", "to_id", "page_id"))
+        per = ends.join(small(found.select("entity_id").distinct()), "entity_id", "left_semi").groupBy("entity_id", "page_id").agg(F.count("*").alias("edges"))
+    pages = per.filter("page_id IS NOT NULL").join(degree, "entity_id", "left").join(few, "entity_id")
+    weight = scores.damped(F.col("sim"), F.coalesce("degree", F.lit(0))) * F.col("edges")
+    return pages.groupBy("question_id", "page_id").agg(F.round(F.sum(weight), 6).alias("weight"))
 
 
 def entity_channel(questions: DataFrame, entities: DataFrame, edges: DataFrame, k: int, cap: int = 8) -> DataFrame:
-    found = seeds(questions, entities, cap)
-    degree = graph.degree(graph.touching(edges, found.select("entity_id").distinct()))
-    found = found.join(degree, "entity_id", "left").select("question_id", "entity_id", "sim", F.coalesce("degree", F.lit(0)).alias("degree"))
-    pages = page_weights(found, edges, scores.damped(F.col("sim"), F.col("degree")))
-    return top_k(pages.withColumn("weight", F.round("weight", 9)), ["question_id"], [F.col("weight").desc(), F.col("page_id")], k)
+    return top_k(entity_weights(seeds(questions, entities, cap), edges), ["question_id"], [F.col("weight").desc(), F.col("page_id")], k)
 
 
-def expansion_channel(questions: DataFrame, entities: DataFrame, edges: DataFrame, k: int, cap: int = 5, depth: int = 2, kinds: list[str] | None = None, hub: int = scores.HUB_DEGREE) -> DataFrame:
-    """Pages around what the seeds lead to: both directions, sure edges of reasoning kinds, never through hubs."""
+def expansion_weights(found: DataFrame, edges: DataFrame, depth: int = 2, kinds: list[str] | None = None, hub: int = scores.HUB_DEGREE, touched: DataFrame | None = None) -> DataFrame:
+    """(question_id, page_id, weight) around what found entities lead to: both directions, sure edges of reasoning kinds, never
+    through hubs. Each hop starts at the frontier; degrees are counted for what it reaches only."""
     from ..functions.kinds import WALKED
 
-    degree = graph.degree(edges)
-    sure = edges.filter((F.col("confidence") >= scores.MIN_CONFIDENCE) & F.col("kind").isin(kinds or WALKED)).select("from_id", "to_id", "confidence")
+    walked = edges if touched is None else touched
+    sure = walked.filter((F.col("confidence") >= scores.MIN_CONFIDENCE) & F.col("kind").isin(kinds or WALKED)).select("from_id", "to_id", "confidence")
     both = sure.unionByName(sure.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "confidence"))
-    open_ = both.join(degree.withColumnRenamed("entity_id", "to_id"), "to_id").filter(F.col("degree") <= hub).select("from_id", "to_id", "confidence")
-    at = seeds(questions, entities, cap).select("question_id", "entity_id", F.col("sim").alias("mult"), F.array("entity_id").alias("path"))
+    at = cut(found.select("question_id", "entity_id", F.col("sim").alias("mult"), F.array("entity_id").alias("path")))
     every = at
     for _ in range(depth):
-        at = (
-            open_.join(F.broadcast(at), F.col("from_id") == F.col("entity_id"))
+        # of several edges between two entities the surest leads on: the best multiplier of a path is all that counts
+        leave = both.join(small(at.select(F.col("entity_id").alias("from_id")).distinct()), "from_id", "left_semi")
+        leave = cut(leave.groupBy("from_id", "to_id").agg(F.max("confidence").alias("confidence")))
+        degree = graph.degree(graph.touching(edges, leave.select(F.col("to_id").alias("entity_id")).distinct()))
+        open_ = leave.join(degree.withColumnRenamed("entity_id", "to_id"), "to_id").filter(F.col("degree") <= hub).select("from_id", "to_id", "confidence")
+        at = cut(
+            open_.join(small(at), F.col("from_id") == F.col("entity_id"))
             .filter(~F.array_contains("path", F.col("to_id")))
             .select("question_id", F.col("to_id").alias("entity_id"), (F.col("mult") * F.col("confidence") * scores.HOP_DECAY).alias("mult"), F.concat("path", F.array("to_id")).alias("path"))
         )
         every = every.unionByName(at)
-    best = every.groupBy("question_id", "entity_id").agg(F.max("mult").alias("mult"))
-    pages = page_weights(best, edges, F.col("mult"))
-    return top_k(pages.withColumn("weight", F.round("weight", 9)), ["question_id"], [F.col("weight").desc(), F.col("page_id")], k)
+    best = cut(every.groupBy("question_id", "entity_id").agg(F.max("mult").alias("mult")))
+    pages = page_weights(best, walked, F.col("mult"))
+    return pages.withColumn("weight", F.round("weight", 6))
 
 
-def channel(df: DataFrame, name: str, item: str = "item_id") -> DataFrame:
-    return df.select("question_id", F.col(item).alias("item_id"), F.lit(name).alias("channel"), "rank", F.lit(scores.WEIGHTS[name]).alias("weight"))
+def expansion_channel(questions: DataFrame, entities: DataFrame, edges: DataFrame, k: int, cap: int = 5, depth: int = 2, kinds: list[str] | None = None, hub: int = scores.HUB_DEGREE) -> DataFrame:
+    pages = expansion_weights(seeds(questions, entities, cap), edges, depth, kinds, hub)
+    return top_k(pages, ["question_id"], [F.col("weight").desc(), F.col("page_id")], k)
 
 
-def empty_channel(df: DataFrame) -> DataFrame:
-    return df.limit(0)
+def channel(df: DataFrame, name: str, item: str = "item_id") -> DataFrame:
+    return df.select("question_id", F.col(item).alias("item_id"), F.lit(name).alias("channel"), "rank", F.lit(scores.WEIGHTS[name]).alias("weight"))
 
 
 def rerank(results: DataFrame, score: Column, pool: int, limit: int) -> DataFrame:

@@ -21,6 +21,6 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint."""
+    """A reliable checkpoint: computed once, survives lost executors, dropped with the last reference."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -55,10 +55,14 @@ def first_claim(claims: DataFrame, message: str, order: list[str]) -> DataFrame:
     return claims.withColumn("won", F.row_number().over(Window.partitionBy(message).orderBy(*order)) == 1)
 
 
+def from_top(column: str, share: str) -> Column:
+    """The value at floor((1 - share) * n) of the n sorted values, counted from the top: values are counted, not collected."""
+    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY `{column}` DESC)")
+
+
 def upper_median(column: str) -> Column:
     """The value at n // 2 of the sorted values."""
-    v = F.array_sort(F.collect_list(column))
-    return F.element_at(v, (F.floor(F.size(v) / 2) + 1).cast("int"))
+    return from_top(column, "0.5")
 
 
 def stratified(rows: DataFrame, stratum: str, ids: list[str], n: int, seed: int) -> DataFrame:

@@ -103,26 +103,35 @@ def _walk(depth: int, where: str = "", cap: int = 100) -> str:
     return f"""{_E}, w AS (SELECT from_id, to_id, kind, max(confidence) AS weight FROM edges {where} GROUP BY ALL),
     s AS (SELECT unnest([{', '.join(str(PERSON + i) for i in (1, 2, 5, 10))}]) AS seed_id),
     """ + ", ".join(
-        [f"p1 AS (SELECT seed_id, to_id AS entity_id, kind, weight, 1 AS depth, [seed_id, to_id] AS path FROM s JOIN w ON from_id = seed_id WHERE to_id <> seed_id)"]
-        + [f"p{d} AS (SELECT seed_id, to_id AS entity_id, w.kind, w.weight, {d} AS depth, list_append(path, to_id) AS path FROM p{d - 1} p JOIN w ON from_id = p.entity_id WHERE NOT list_contains(path, to_id))" for d in range(2, depth + 1)]
-        + ["every AS (" + " UNION ALL ".join(f"SELECT * FROM p{d}" for d in range(1, depth + 1)) + ")"]
-    ) + f""", b AS (SELECT seed_id, entity_id, depth, max(weight) AS weight FROM every e WHERE depth = (SELECT min(depth) FROM every x WHERE x.seed_id = e.seed_id AND x.entity_id = e.entity_id) GROUP BY ALL)
-    SELECT seed_id, entity_id, depth FROM b QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY depth, entity_id) <= {cap}"""
+        ["p1 AS (SELECT seed_id, to_id AS entity_id, kind AS edge_kind, weight, 1 AS depth, [seed_id, to_id] AS path FROM s JOIN w ON from_id = seed_id)"]
+        + [f"p{d} AS (SELECT seed_id, to_id AS entity_id, w.kind AS edge_kind, w.weight, {d} AS depth, list_append(path, to_id) AS path FROM b{d - 1} p JOIN w ON from_id = p.entity_id WHERE NOT list_contains(path, to_id) AND NOT EXISTS (SELECT 1 FROM ("
+           + " UNION ALL ".join(f"SELECT seed_id, entity_id FROM b{k}" for k in range(1, d)) + f""") o WHERE o.seed_id = p.seed_id AND o.entity_id = to_id)),
+        b{d} AS (SELECT * FROM p{d} QUALIFY row_number() OVER (PARTITION BY seed_id, entity_id ORDER BY weight DESC, edge_kind, path) = 1)""" for d in range(2, depth + 1)]
+    ).replace(", p2 AS", ", b1 AS (SELECT * FROM p1 QUALIFY row_number() OVER (PARTITION BY seed_id, entity_id ORDER BY weight DESC, edge_kind, path) = 1), p2 AS", 1) + ", every AS (" + " UNION ALL ".join(f"SELECT * FROM b{d}" for d in range(1, depth + 1)) + f"""),
+    top AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY depth, entity_id) <= {cap}),
+    st AS (SELECT seed_id, entity_id AS found, unnest(path) AS id, generate_subscripts(path, 1) AS k FROM top),
+    sl AS (SELECT seed_id, found, string_agg(slug, '>' ORDER BY k) AS slugs FROM st JOIN entities e ON e.entity_id = st.id GROUP BY seed_id, found)
+    SELECT top.seed_id, top.entity_id, edge_kind, round(weight, 6) AS weight, depth, array_to_string(path, '>') AS path, slugs FROM top LEFT JOIN sl ON sl.seed_id = top.seed_id AND sl.found = top.entity_id"""
+
+
+def _hops(spark, sf_dir, e, depth, kinds=None):
+    found = graph.traverse(_seeds(spark), e, depth, kinds, entities=entities(spark, sf_dir))
+    return found.select("seed_id", "entity_id", "edge_kind", F.round("weight", 6).alias("weight"), "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.array_join("path_slugs", ">").alias("slugs"))
 
 
 @query(_walk(3))
 def traverse_depth(spark, sf_dir):
-    return graph.traverse(_seeds(spark), edges(spark, sf_dir), 3).select("seed_id", "entity_id", "depth")
+    return _hops(spark, sf_dir, edges(spark, sf_dir), 3)
 
 
 @query(_walk(2, "WHERE kind IN ('located_in', 'part_of')"))
 def traverse_kinds(spark, sf_dir):
-    return graph.traverse(_seeds(spark), edges(spark, sf_dir), 2, ["located_in", "part_of"]).select("seed_id", "entity_id", "depth")
+    return _hops(spark, sf_dir, edges(spark, sf_dir), 2, ["located_in", "part_of"])
 
 
 @query(_walk(2, "WHERE valid_from <= TIMESTAMP '1997-01-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1997-01-01')"))
 def traverse_as_of(spark, sf_dir):
-    return graph.traverse(_seeds(spark), as_of(edges(spark, sf_dir), "1997-01-01"), 2).select("seed_id", "entity_id", "depth")
+    return _hops(spark, sf_dir, as_of(edges(spark, sf_dir), "1997-01-01"), 2)
 
 
 @query("""WITH f AS (SELECT o_custkey AS from_id, o_orderkey AS seq, o_orderkey % 3 AS to_id, o_orderdate AS valid_at, CASE WHEN o_orderkey % 11 = 0 THEN o_orderdate + INTERVAL 5 DAY END AS invalid_at,
@@ -172,7 +181,7 @@ reach AS (SELECT a AS id, a AS other FROM bo UNION SELECT r.id, b FROM reach r J
 
 @query(f"{_COMP} SELECT id, min(other) AS label FROM reach GROUP BY id")
 def entity_components(spark, sf_dir):
-    return graph.least_label(resolve.similar_pairs(_names(spark, sf_dir), 0.55))
+    return graph.least_label(resolve.similar_links(_names(spark, sf_dir), 0.55))
 
 
 @query(f"""{_COMP}, label AS (SELECT id, min(other) AS label FROM reach GROUP BY id), e AS (SELECT s_suppkey + CASE WHEN l_linenumber > 3 THEN 1000000 ELSE 0 END AS from_id, l_partkey % 50 + 1 AS to_id FROM supplier JOIN lineitem ON l_suppkey = s_suppkey),
@@ -184,7 +193,7 @@ def entity_merge(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_partkey")  # noqa: E741
     e = l.select((F.col("l_suppkey") + F.when(F.col("l_linenumber") > 3, 1000000).otherwise(0)).alias("from_id"), (F.col("l_partkey") % 50 + 1).alias("to_id"))
     names = _names(spark, sf_dir)
-    _, moved = graph.resolve(names, e, resolve.similar_pairs(names, 0.55))
+    _, moved = graph.resolve(names, e, resolve.similar_links(names, 0.55))
     return moved.groupBy("from_id", "to_id").agg(F.count("*").alias("n"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import questions, text
-from ..operators import resolve, usage
+from ..operators import context, resolve, usage
 from ..operators.ranking import top_k
 from ..sources.tables import PAGES_SQL, current, pages, table
 from ..sources.tables import usage as usage_rows
@@ -40,15 +40,25 @@ def quota_monthly(spark, sf_dir):
     return usage.monthly_quota(u, F.col("organization_id") * 50, ["organization_id"], ["ts", "event_id"]).select("event_id", "allowed", "used")
 
 
-@query(f"""WITH {_U}, g AS (SELECT event_id, agent_id, ts, value > 20 AS over, sum(CASE WHEN (value > 20) IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY agent_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run
+GRACE_SQL = f"""WITH {_U}, g AS (SELECT event_id, agent_id, ts, value > 20 AS over, sum(CASE WHEN (value > 20) IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY agent_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run
   FROM (SELECT *, lag(value > 20) OVER (PARTITION BY agent_id ORDER BY ts, event_id) AS p FROM u)),
 s AS (SELECT *, CASE WHEN over THEN min(ts) OVER (PARTITION BY agent_id, run) END AS since FROM g)
-SELECT event_id, since AS over_since, coalesce({_MICRO} - epoch_us(since) > 72 * 3600 * 1000000::BIGINT, false) AS blocked FROM s""")
+SELECT event_id, since AS over_since, coalesce({_MICRO} - epoch_us(since) > 72 * 3600 * 1000000::BIGINT, false) AS blocked FROM s"""
+
+
+@query(GRACE_SQL)
 def quota_grace(spark, sf_dir):
     return usage.grace(usage_rows(spark, sf_dir).withColumn("over", F.col("value") > 20), "agent_id").select("event_id", "over_since", "blocked")
 
 
-@query()
+#: The level after each request, walked in order by a recursive statement: 1 token a minute, at most 1.
+BUCKET_SQL = f"""WITH RECURSIVE {_U}, r AS (SELECT organization_id, event_id, {_MICRO} AS us, row_number() OVER (PARTITION BY organization_id ORDER BY ts, event_id) AS k FROM u),
+w AS (SELECT organization_id, event_id, us, k, 1.0::DOUBLE AS level, true AS admitted FROM r WHERE k = 1
+  UNION ALL SELECT r.organization_id, r.event_id, r.us, r.k, l, l >= 1 FROM (SELECT r.*, least(1.0::DOUBLE, w.level - CASE WHEN w.admitted THEN 1 ELSE 0 END + (r.us - w.us) / 60e6) AS l FROM w JOIN r ON r.organization_id = w.organization_id AND r.k = w.k + 1) r)
+SELECT event_id, admitted FROM w"""
+
+
+@query(BUCKET_SQL)
 def token_bucket(spark, sf_dir):
     return usage.token_bucket(usage_rows(spark, sf_dir), "organization_id", 1)
 
@@ -132,23 +142,43 @@ def facts_by_kind(spark, sf_dir):
     return usage_rows(spark, sf_dir).groupBy("agent_id").agg(F.count_if(F.col("metric") == "signup").alias("preferences"), F.count_if(F.col("metric") == "purchase").alias("lessons"))
 
 
-@query("""WITH s AS (SELECT * FROM (VALUES (1, 'guidelines', 20), (2, 'wiki', 35), (3, 'recent', 10)) v(k, section, weight)), b AS (SELECT *, 4000 * weight // (SELECT sum(weight) FROM s) AS budget FROM s),
-r AS (SELECT 1 AS k, doc_id, 1 AS o FROM documents WHERE source = 'src3' UNION ALL SELECT 2, doc_id, 1 FROM documents WHERE source = 'src4' UNION ALL SELECT 3, doc_id, 1 FROM documents),
-t AS (SELECT r.k, doc_id, row_number() OVER (PARTITION BY r.k ORDER BY doc_id DESC) AS n FROM r QUALIFY n <= CASE r.k WHEN 1 THEN 1000 WHEN 2 THEN 12 ELSE 5 END),
-x AS (SELECT t.k, string_agg('- ' || trim(regexp_replace(substr(text, 1, 220), '\\s+', ' ', 'g')), chr(10) ORDER BY t.doc_id DESC) AS body FROM t JOIN documents d ON d.doc_id = t.doc_id GROUP BY t.k)
-SELECT section, budget::BIGINT AS budget, left(body, (budget * 4)::BIGINT) AS body FROM b JOIN x USING (k)""")
+def _section_sql(name: str, rows: str, line: str, budget: int) -> str:
+    tail = "" if name in ("guidelines", "handoff", "profile") else " || chr(10)"
+    title = context.TITLES[name].replace("\n", "' || chr(10) || '")
+    return f"""SELECT organization_id, '{name}' AS section, {list(context.SECTIONS).index(name)} AS position, CASE WHEN length(body) > {budget} THEN regexp_replace(substr(body, 1, {budget}), '[ \\t\\n]+$', '') || chr(10) || '…[cut]' || chr(10) || chr(10) ELSE body END AS body, length(body) > {budget} AS cut
+    FROM (SELECT organization_id, '{title}' || string_agg({line}, '' ORDER BY seq DESC){tail} AS body FROM (SELECT * FROM ({rows}) QUALIFY row_number() OVER (PARTITION BY organization_id ORDER BY seq DESC) <= {context.ROWS[name]}) GROUP BY organization_id)"""
+
+
+_MAIL = "FROM u WHERE ts + INTERVAL 72 HOUR > TIMESTAMP '2024-01-20' AND ts <= TIMESTAMP '2024-01-20' AND metric = "
+_COLLAPSED = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_PACK = 4000
+_SECTION_SQL = {
+    "inbox": (f"SELECT organization_id, metric AS title, coalesce(json_extract_string(props, '$.k'), '') AS content, event_id AS seq {_MAIL}'error'", "'- ' || title || ': ' || " + _COLLAPSED.format("content") + " || chr(10)"),
+    "handoff": (f"SELECT organization_id, 'handoff' AS title, 'user ' || agent_id || ' left ' || coalesce(json_extract_string(props, '$.k'), '') AS content, event_id AS seq {_MAIL}'view'", "trim(content) || chr(10) || chr(10)"),
+    "guidelines": ("SELECT organization_id, title, substr(content, 1, 600) AS content, page_id AS seq FROM pages_ WHERE valid_to IS NULL AND domain = 'src3'", "'### ' || trim(title) || chr(10) || trim(content) || chr(10) || chr(10)"),
+    "profile": ("SELECT organization_id, 'profile' AS title, count(*) || ' events of ' || count(DISTINCT metric) || ' kinds' AS content, 1 AS seq FROM u GROUP BY 1", "trim(content) || chr(10) || chr(10)"),
+    "index": ("SELECT organization_id, title, content, page_id AS seq FROM pages_ WHERE valid_to IS NULL AND domain = 'src4'", "'- [[' || trim(title) || ']]' || CASE WHEN trim(content) <> '' THEN ' — ' || " + _COLLAPSED.format("substr(trim(content), 1, 220)") + " ELSE '' END || chr(10)"),
+    "recent": ("SELECT organization_id, title, strftime(created_at, '%Y-%m-%d') AS day, domain, page_id AS seq FROM pages_ WHERE valid_to IS NULL AND domain <> 'src3'", "'- ' || day || ' · ' || trim(title) || ' (' || domain || ')' || chr(10)"),
+}
+
+
+@query(f"WITH {_U}, {PAGES_SQL} " + " UNION ALL ".join(_section_sql(k, *v, _PACK * context.SECTIONS[k] // 100) for k, v in _SECTION_SQL.items()))
 def context_pack(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 220).alias("head"))
-    sections = [(1, "guidelines", 20, d.filter("source = 'src3'"), 1000), (2, "wiki", 35, d.filter("source = 'src4'"), 12), (3, "recent", 10, d, 5)]
-    whole = sum(s[2] for s in sections)
-    out = None
-    for _, name, weight, rows, most in sections:
-        budget = 4000 * weight // whole
-        latest = rows.orderBy(F.desc("doc_id")).limit(most).withColumn("line", F.concat(F.lit("- "), text.collapse(F.col("head"))))
-        lines = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("doc_id")).alias("o"), "line"))), lambda x: x["line"])
-        one = latest.agg(F.left(F.array_join(lines, "\n"), F.lit(budget * 4)).alias("body")).select(F.lit(name).alias("section"), F.lit(budget).cast("long").alias("budget"), "body")
-        out = one if out is None else out.unionByName(one)
-    return out
+    u, p = usage_rows(spark, sf_dir), current(pages(spark, sf_dir))
+    now, none = F.lit("2024-01-20").cast("timestamp"), F.lit(None).cast("string")
+    live = u.filter((F.col("ts") + F.expr("INTERVAL 72 HOURS") > now) & (F.col("ts") <= now)).withColumn("k", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")))
+    row = lambda df, title, content, seq, day=none, domain=none: df.select("organization_id", title.alias("title"), content.alias("content"), day.alias("day"), domain.alias("domain"), seq.alias("seq"))
+    page = lambda where, n=None: row(p.filter(where), F.col("title"), F.substring("content", 1, n) if n else F.col("content"), F.col("page_id"), F.date_format("created_at", "yyyy-MM-dd"), F.col("domain"))
+    per = u.groupBy("organization_id").agg(F.count("*").alias("n"), F.count_distinct("metric").alias("m"))
+    sections = {
+        "inbox": row(live.filter("metric = 'error'"), F.col("metric"), F.col("k"), F.col("event_id")),
+        "handoff": row(live.filter("metric = 'view'"), F.lit("handoff"), F.concat(F.lit("user "), F.col("agent_id").cast("string"), F.lit(" left "), "k"), F.col("event_id")),
+        "guidelines": page("domain = 'src3'", 600),
+        "profile": row(per, F.lit("profile"), F.concat(F.col("n").cast("string"), F.lit(" events of "), F.col("m").cast("string"), F.lit(" kinds")), F.lit(1)),
+        "index": page("domain = 'src4'"),
+        "recent": page("domain <> 'src3'"),
+    }
+    return context.pack(sections, _PACK)
 
 
 @query("""WITH e AS (SELECT doc_id, lang AS type, quality = 1 AS correct, (doc_id * 7919) % 1000 AS latency FROM labels JOIN documents USING (doc_id))
@@ -179,10 +209,8 @@ def judge_majority(spark, sf_dir):
 @query("""WITH e AS (SELECT lang AS type, quality = 1 AS correct, toxic = 1 AS other, (doc_id * 7919) % 1000 AS latency FROM labels JOIN documents USING (doc_id))
 SELECT type, count(*) AS n, round(avg(correct::INT), 6) AS accuracy, list_sort(list(latency))[count(*) // 2 + 1] AS p50, list_sort(list(latency))[floor(0.95 * count(*))::INT + 1] AS p95, count(*) FILTER (correct <> other) AS flips FROM e GROUP BY type""")
 def bench_summary(spark, sf_dir):
-    v = F.array_sort(F.collect_list("latency"))
-    at = lambda share: F.element_at(v, (F.floor(F.size(v) * share) + 1).cast("int"))
     return _eval(spark, sf_dir).groupBy("type").agg(
-        F.count("*").alias("n"), F.round(F.avg(F.col("correct").cast("int")), 6).alias("accuracy"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.count_if(F.col("correct") != F.col("other")).alias("flips")
+        F.count("*").alias("n"), F.round(F.avg(F.col("correct").cast("int")), 6).alias("accuracy"), usage.upper_median("latency").alias("p50"), usage.from_top("latency", "0.05").alias("p95"), F.count_if(F.col("correct") != F.col("other")).alias("flips")
     )
 
 
@@ -223,10 +251,10 @@ def json_settings(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", found.alias("expansion"))
 
 
-@query("SELECT event_id, unnest([event_id, event_id + 1]) AS source_id FROM events WHERE event_id % 7 = 0")
+@query("SELECT event_id, unnest([event_id, event_id + 1]) AS source_id FROM events")
 def json_explode_ids(spark, sf_dir):
     raw = F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit(", "), (F.col("event_id") + 1).cast("string"), F.lit("]"))
-    return table(spark, sf_dir, "events").filter("event_id % 7 = 0").select("event_id", F.explode(F.from_json(raw, "array<bigint>")).alias("source_id"))
+    return table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json(raw, "array<bigint>")).alias("source_id"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 0 ELSE 2 END AS entities, CASE WHEN event_id % 4 = 3 THEN NULL ELSE event_type END AS first FROM events""")

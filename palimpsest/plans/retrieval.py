@@ -42,7 +42,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
 
 
-VEC_SQL = """vec AS (SELECT question_id, item_id, distance, row_number() OVER (PARTITION BY question_id ORDER BY distance, item_id) AS rank FROM (
+VEC_SQL = """vec AS (SELECT question_id, item_id, distance, row_number() OVER (PARTITION BY question_id ORDER BY round(distance, 9), item_id) AS rank FROM (
   SELECT q.question_id, e.vec_id AS item_id, 1 - list_dot_product(e.embedding::DOUBLE[], p.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[]))) AS distance
   FROM q JOIN embeddings p ON p.vec_id = q.vec_id CROSS JOIN embeddings e) WHERE distance <= 1.0 QUALIFY rank <= 50)"""
 FTS_SQL = r"""tok AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS term FROM documents),
@@ -213,7 +213,7 @@ DEG_SQL = "deg AS (SELECT entity_id, count(*) AS degree FROM (SELECT from_id AS
 
 @query(f"""WITH {N_SQL}, {ENTITIES_SQL}, {EDGES_SQL}, {SEED_SQL}, {DEG_SQL},
 f AS (SELECT question_id, entity_id, sim / (1 + 0.001 * pow(greatest(coalesce(degree, 0) - 1, 0), 2)) AS w FROM seed LEFT JOIN deg USING (entity_id) WHERE seed_rank <= 8),
-p AS (SELECT question_id, page_id, round(sum(w), 9) AS weight FROM f JOIN edges e ON f.entity_id = e.from_id OR f.entity_id = e.to_id WHERE page_id IS NOT NULL GROUP BY ALL)
+p AS (SELECT question_id, page_id, round(sum(w), 6) AS weight FROM f JOIN edges e ON f.entity_id = e.from_id OR f.entity_id = e.to_id WHERE page_id IS NOT NULL GROUP BY ALL)
 SELECT question_id, page_id, round(weight, 6) AS weight, row_number() OVER (PARTITION BY question_id ORDER BY weight DESC, page_id) AS rank FROM p QUALIFY rank <= 50""")
 def entity_match(spark, sf_dir):
     found = retrieval.entity_channel(named(spark), entities(spark, sf_dir), edges(spark, sf_dir), POOL)
@@ -228,7 +228,7 @@ h0 AS (SELECT question_id, entity_id, sim AS mult FROM seed WHERE seed_rank <= 5
 h1 AS (SELECT question_id, to_id AS entity_id, mult * confidence * 0.5 AS mult, h0.entity_id AS a FROM h0 JOIN op ON from_id = h0.entity_id WHERE to_id <> h0.entity_id),
 h2 AS (SELECT question_id, to_id AS entity_id, mult * confidence * 0.5 AS mult FROM h1 JOIN op ON from_id = h1.entity_id WHERE to_id <> h1.entity_id AND to_id <> a),
 best AS (SELECT question_id, entity_id, max(mult) AS mult FROM (SELECT question_id, entity_id, mult FROM h0 UNION ALL SELECT question_id, entity_id, mult FROM h1 UNION ALL SELECT * FROM h2) GROUP BY ALL),
-p AS (SELECT question_id, page_id, round(sum(mult), 9) AS weight FROM best f JOIN (SELECT from_id AS entity_id, page_id FROM edges WHERE page_id IS NOT NULL UNION ALL SELECT to_id, page_id FROM edges WHERE page_id IS NOT NULL) e USING (entity_id) GROUP BY ALL)
+p AS (SELECT question_id, page_id, round(sum(mult), 6) AS weight FROM best f JOIN (SELECT from_id AS entity_id, page_id FROM edges WHERE page_id IS NOT NULL UNION ALL SELECT to_id, page_id FROM edges WHERE page_id IS NOT NULL) e USING (entity_id) GROUP BY ALL)
 SELECT question_id, page_id, round(weight, 6) AS weight, row_number() OVER (PARTITION BY question_id ORDER BY weight DESC, page_id) AS rank FROM p QUALIFY rank <= 50""")
 def graph_expansion(spark, sf_dir):
     found = retrieval.expansion_channel(named(spark), entities(spark, sf_dir), edges(spark, sf_dir), POOL, kinds=["depends_on", "located_in"], hub=100)

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -35,40 +35,103 @@ def to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(path)
 
 
-def ingest_pages(pages: DataFrame, path: str) -> DataFrame:
-    """Pages (page_id, domain, content) hashed and deduplicated against all that was stored before."""
+def ingest_pages(pages: DataFrame, path: str, near: float | None = None, chunks: Callable[[Column], Column] = ingest.boundary_chunks) -> DataFrame:
+    """Pages (page_id, domain, content, and embedding if ``near`` is given) as they come: known domain, secrets masked, cut to
+    length, hashed, deduplicated against all that was stored before, chunked, and, with ``near``, closing the nearest open
+    page of their domain. Returns (page_id, domain, content_hash, redactions, content); the chunks are at ``path``/chunks,
+    what closes what at ``path``/closed. A batch writes folders of its own number, so a repeated batch replaces itself."""
     spark = pages.sparkSession
-    schema = "page_id long, domain string, content_hash string"
+    kept = "page_id long, domain string, content_hash string, redactions int, content string" + ", embedding array<float>" * (near is not None)
+    closed = "page_id long, superseded_by long"
+
+    def table(name: str, schema: str, batches: range) -> DataFrame:
+        at = [f"{path}/{name}/batch={b}" for b in batches]
+        return spark.read.schema(schema).parquet(*at) if at else spark.createDataFrame([], schema)
 
     def each(rows: DataFrame, batch: int) -> None:
-        # stored batches before this one: a repeated batch doesn't meet itself
-        before = [f"{path}/batch={b}" for b in range(batch)]
-        stored = spark.read.schema(schema).parquet(*before) if before else spark.createDataFrame([], schema)
-        new = rows.select("page_id", "domain", text.content_hash(F.col("content")).alias("content_hash"))
-        ingest.exact_dedup(new, stored, ["domain"], ["page_id"]).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        stored = table("pages", kept, range(batch))
+        one = ingest.prepare(rows).select(*[c.split()[0] for c in kept.split(", ")])
+        ingest.exact_dedup(one, stored, ["domain"], ["page_id"]).write.mode("overwrite").parquet(f"{path}/pages/batch={batch}")
+        new = table("pages", kept, range(batch, batch + 1))
+        new.select("page_id", F.inline(chunks(F.col("content")))).write.mode("overwrite").parquet(f"{path}/chunks/batch={batch}")
+        if near is not None:
+            gone = table("closed", closed, range(batch))
+            open_ = stored.join(gone, "page_id", "left_anti")
+            vectors = new.filter("embedding IS NOT NULL").withColumn("seq", F.col("page_id"))
+            ingest.closings(vectors, ["domain"], near, open_).write.mode("overwrite").parquet(f"{path}/closed/batch={batch}")
 
     run(pages, each)
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+    return spark.read.schema(kept).option("recursiveFileLookup", True).parquet(f"{path}/pages")
 
 
 def cursors(events: DataFrame) -> DataFrame:
-    """Per organization the latest (ts, event_id) seen, which only moves forward, and how many rows moved it past."""
+    """Per organization the latest (ts, event_id) seen, which only moves forward, and how many rows moved it past. A batch's
+    rows of a group come in any order and in pieces, so all are counted against where the batch began."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, last, n = state.get if state.exists else (0, -1, 0)
+        top = (at, last)
         for b in batches:
             later = b[(b["at"] > at) | ((b["at"] == at) & (b["event_id"] > last))]
             n += len(later)
             if len(later):
-                top = later.sort_values(["at", "event_id"]).iloc[-1]
-                at, last = int(top["at"]), int(top["event_id"])
-        state.update((at, last, n))
-        yield pd.DataFrame({"organization_id": [key[0]], "at": [at], "event_id": [last], "n": [n]})
+                most = later.sort_values(["at", "event_id"]).iloc[-1]
+                top = max(top, (int(most["at"]), int(most["event_id"])))
+        state.update((*top, n))
+        yield pd.DataFrame({"organization_id": [key[0]], "at": [top[0]], "event_id": [top[1]], "n": [n]})
 
     out = "organization_id long, at long, event_id long, n long"
     return events.groupBy("organization_id").applyInPandasWithState(step, out, "at long, event_id long, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def admitted(requests: DataFrame, per_minute: int) -> DataFrame:
+    """Requests (key, event_id, at in microseconds) admitted by a bucket a key: per_minute / 2 + 1 tokens, refilled steadily.
+    The level and when it was taken are the key's state; a batch's requests are walked in order."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        burst, rate = per_minute // 2 + 1, per_minute / 60e6
+        level, last = state.get if state.exists else (float(burst), None)
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        out = []
+        for t in rows["at"].tolist():
+            # what comes late doesn't turn the clock back
+            level = burst if last is None else min(burst, level + max(0, t - last) * rate)
+            last = t if last is None else max(last, t)
+            out.append(level >= 1)
+            level -= out[-1]
+        state.update((float(level), int(last)))
+        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"].to_numpy(), "admitted": out})
+
+    return requests.select("key", "event_id", "at").groupBy("key").applyInPandasWithState(step, "key long, event_id long, admitted boolean", "level double, last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def grace(readings: DataFrame, hours: int) -> DataFrame:
+    """Readings (key, event_id, ts, at in microseconds, over): since when a key is over without a break, and whether that
+    is longer than the grace. The start is the key's state; an event-time timer blocks a key of which nothing more comes."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            since = state.get[0]
+            state.update((since, True))
+            yield pd.DataFrame({"key": [key[0]], "event_id": [-1], "since": pd.array([since], "Int64"), "blocked": [True]})
+            return
+        since, told = state.get if state.exists else (None, False)
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        starts, blocked = [], []
+        for t, over in zip(rows["at"].tolist(), rows["over"].tolist(), strict=True):
+            since = (t if since is None else since) if over else None
+            starts.append(since)
+            blocked.append(since is not None and t - since > hours * 3_600_000_000)
+        told = blocked[-1]
+        state.update((since, told))
+        if since is not None and not told:
+            state.setTimeoutTimestamp(max(since // 1000 + hours * 3_600_000, state.getCurrentWatermarkMs() + 1) + 1)
+        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"].to_numpy(), "since": pd.array(starts, "Int64"), "blocked": blocked})
+
+    marked = readings.withWatermark("ts", "1 hour").select("key", "event_id", "ts", "at", "over")
+    return marked.groupBy("key").applyInPandasWithState(step, "key long, event_id long, since long, blocked boolean", "since long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def unique_jobs(jobs: DataFrame, keys: list[str], delay: str) -> DataFrame:
     """A job once for its keys within ``delay``."""
     return jobs.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
@@ -103,14 +166,24 @@ class ThinkStripper:
 
 
 def strip_streams(pieces: DataFrame) -> DataFrame:
-    """Texts in pieces (stream_id, seq, piece) without their <think> blocks."""
+    """A stream of texts in pieces (stream_id, seq, piece, last) without their <think> blocks: (stream_id, seq, text) of what
+    is free after each batch. What is held back, and whether a block is open, is the text's state; it goes with its last piece."""
 
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s = ThinkStripper()
-        done = [s.feed(x) for x in g.sort_values("seq")["piece"]]
-        return pd.DataFrame({"stream_id": [g["stream_id"].iloc[0]], "text": ["".join(done) + s.close()]})
-
-    return pieces.groupBy("stream_id").applyInPandas(walk, "stream_id long, text string")
+        if state.exists:
+            s.held, s.inside = state.get
+        rows = pd.concat(list(batches)).sort_values("seq")
+        out = "".join(s.feed(x) for x in rows["piece"])
+        if rows["last"].any():
+            out += s.close()
+            if state.exists:
+                state.remove()
+        else:
+            state.update((s.held, s.inside))
+        yield pd.DataFrame({"stream_id": [key[0]], "seq": [int(rows["seq"].iloc[0])], "text": [out]})
+
+    return pieces.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, seq long, text string", "held string, inside boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def embed_pending(chunks: DataFrame, path: str, embed) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions import kinds, scores, text
 from .joins import small
 from .ranking import top_k
-from .state import cut
+from .state import cut, cut_round
 
 MAX_CHARS, OVERLAP, MIN_CHARS, LONGEST, MAX_CHUNKS, MAX_METADATA = 1500, 200, 100, 200_000, 400, 16_384
 CHUNK = T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), T.StructField("content", T.StringType())]))
@@ -99,7 +99,7 @@ def nearest_open(new: DataFrame, stored: DataFrame, scope: list[str], near: floa
 
     ``new`` is a micro-batch of at most ``most`` rows, so it is sent to all tasks, and each Arrow batch of stored vectors is
     one matrix product with it. Other pages of the batch can take at most ``most`` - 1 stored ones first, so more are not needed."""
-    rows = [(r.page_id, tuple(r[c] for c in scope), r.embedding) for r in new.select("page_id", "embedding", *scope).collect()]
+    rows = [(r.page_id, tuple(r[c] for c in scope), r.embedding) for r in new.filter("embedding IS NOT NULL").select("page_id", "embedding", *scope).collect()]
     if len(rows) > most:
         raise ValueError(f"a micro-batch has at most {most} pages")
     sent = stored.sparkSession.sparkContext.broadcast(rows)
@@ -173,7 +173,7 @@ def closings(pages: DataFrame, scope: list[str], near: float, stored: DataFrame
         open_ = dealt.filter(F.col("_at") < low).select(*own)
         open_ = open_ if stored is None else open_.unionByName(stored.select(*own))
         now = supersede_batch(dealt.filter(F.col("_at").between(low, high)), open_.join(closed, "page_id", "left_anti"), scope, near)
-        closed = cut(closed.unionByName(now))
+        closed = cut_round(closed.unionByName(now))
     return closed
 
 

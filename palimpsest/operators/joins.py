@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .state import cut
+from .state import cut_round
 
 #: A key is hot above this share of all rows, so at most as many keys are hot: a bound for broadcasts.
 HOT_SHARE = 1000
@@ -51,27 +51,27 @@ def lookup(big: DataFrame, few: DataFrame, keys: list[str], weight: str, total:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the least node of the component.
 
-    Contraction: each round every node joins the neighbour that a hash, another each round, puts first, if that comes before
-    itself, and links are rewritten to what was joined; links within a group vanish. As the order is random, a constant
-    share of the nodes with links is expected to go each round, chains and stars alike, so rounds grow with the logarithm of
-    the nodes. Each round is cut, so nothing is lost with an executor, and nothing goes to the driver but counts. A node of
-    any degree, and a root of any number of nodes, is met by ``lookup``, so none is a hot key.
+    Contraction: each round every node joins its first neighbour, if that comes before itself, and links are rewritten to
+    what was joined; links within a group vanish. First is by number in odd rounds, in which stars collapse, and by a hash,
+    another each time, in even ones: in a random order a constant share of the nodes with links is expected to go, in chains
+    too. So rounds grow with the logarithm of the nodes. Each round is cut, so nothing is lost with an executor, and nothing
+    goes to the driver but counts. A node of any degree, and a root of any number of nodes, is met by ``lookup``.
     """
-    edges = cut(edges.select("a", "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")))
+    edges = cut_round(edges.select("a", "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    roots = cut_round(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")))
     nodes, total, turn = roots.count(), edges.count(), 0
     while total:
         turn += 1
-        place = lambda c: F.xxhash64(F.col(c), F.lit(turn))  # noqa: E731, B023
+        place = lambda c: F.col(c) if turn % 2 else F.xxhash64(F.col(c), F.lit(turn))  # noqa: E731, B023
         both = edges.union(edges.select("b", "a"))
         first = both.groupBy("a").agg(F.min_by("b", place("b")).alias("b"), F.count("*").alias("n"))
-        low = cut(first.select("a", F.when(place("b") < place("a"), F.col("b")).otherwise(F.col("a")).alias("low"), "n"))
+        low = cut_round(first.select("a", F.when(place("b") < place("a"), F.col("b")).otherwise(F.col("a")).alias("low"), "n"))
         step = lambda df, k: lookup(df, low.select(F.col("a").alias(k), F.col("low").alias(f"{k}_low"), "n"), [k], "n", 2 * total, df.columns).drop("n")  # noqa: E731, B023
         moved = step(step(edges, "a"), "b").select(F.least("a_low", "b_low").alias("a"), F.greatest("a_low", "b_low").alias("b"))
-        edges = cut(moved.filter("a <> b").distinct())
+        edges = cut_round(moved.filter("a <> b").distinct())
         # a root of any number of nodes is met by its own count
         own = roots.groupBy("root").agg(F.count("*").alias("m")).join(low.select(F.col("a").alias("root"), F.col("low").alias("root_low")), "root")
-        roots = cut(lookup(roots, cut(own), ["root"], "m", nodes, ["node"]).select("node", F.coalesce("root_low", "root").alias("root")))
+        roots = cut_round(lookup(roots, cut_round(own), ["root"], "m", nodes, ["node"]).select("node", F.coalesce("root_low", "root").alias("root")))
         total = edges.count()
-    least = cut(roots.groupBy("root").agg(F.min("node").alias("least"), F.count("*").alias("m")))
+    least = cut_round(roots.groupBy("root").agg(F.min("node").alias("least"), F.count("*").alias("m")))
     return lookup(roots, least, ["root"], "m", nodes, ["node"]).select("node", F.col("least").alias("root"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,21 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: computed once, survives lost executors, dropped with the last reference."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, removed when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return fs.makeQualified(at).toString()
+
+
+def cut_round(df: DataFrame) -> DataFrame:
+    """``cut`` for loops, as a written table: a checkpoint hands the optimizer's estimate of its size on, which joins multiply,
+    so that round by round it becomes a number of millions of digits."""
+    path = scratch(df.sparkSession, "round")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -100,3 +100,27 @@ def test_stripper_does_not_care_about_pieces(parts, size):
     one = whole.feed(s) + whole.close()
     two = "".join(pieces.feed(s[i : i + size]) for i in range(0, len(s), size)) + pieces.close()
     assert one == two
+
+
+def test_a_link_that_begins_another_is_masked_alone(spark):
+    answer = "see https://evil.com and https://evil.com.good.org/x, https://evil.com"
+    masked, n = (value(spark, c, a=answer, g="as evil.com.good.org says") for c in text.egress_filter(F.col("a"), F.col("g")))
+    assert (masked, n) == ("see https://evil.com and https://evil.com.good.org/x, https://evil.com", 0)
+    masked, n = (value(spark, c, a=answer, g="good.org") for c in text.egress_filter(F.col("a"), F.col("g")))
+    assert n == 3 and masked == "see [link removed] and [link removed] [link removed]"
+    masked, n = (value(spark, c, a="a https://z.com b https://z.com.y.org/2", g="at z.com.y.org/2".replace("z.com", "Z.COM")) for c in text.egress_filter(F.col("a"), F.col("g")))
+    assert (masked, n) == ("a https://z.com b https://z.com.y.org/2", 0)
+
+
+def test_the_first_portuguese_weekday_counts(spark):
+    now = F.lit("2026-03-31").cast("date")
+    day = lambda s: str(value(spark, dates.detect_anchor(F.col("t"), now), t=s))
+    assert day("sexta passada ou ultima terça") == "2026-03-27"
+    assert day("ultima terça ou sexta passada") == "2026-03-24"
+
+
+@given(st.text(alphabet="xy. \n", max_size=300), st.integers(1, 120), st.integers(0, 130))
+@settings(max_examples=200, deadline=None)
+def test_chunks_end_for_any_overlap(s, size, overlap):
+    got = ingest.chunk(s, size, overlap)
+    assert got and len(got) <= len(s) + 1

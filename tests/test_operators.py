@@ -1,5 +1,6 @@
 """Operators on small fixtures."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from palimpsest.operators import graph, ingest, ranking, usage
@@ -38,6 +39,38 @@ def test_components(spark):
     assert got == {(i, 1) for i in range(1, 41)} | {(x, 90) for x in (90, 95, 100)}
 
 
+def test_long_chains_are_one_component(spark):
+    # more links than any fixed number of rounds would walk; ids in no order
+    ids = [(i * 7919) % 211 for i in range(200)]
+    pairs = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")
+    assert {(r.id, r.label) for r in graph.least_label(pairs).collect()} == {(i, min(ids)) for i in ids}
+
+
+def test_semantic_supersede_is_the_walk_in_order(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 8))
+    v = base[rng.integers(0, 12, 150)] + rng.normal(0, 0.25, (150, 8))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, i, int(rng.integers(0, 2)), v[i].tolist() if i % 20 else None) for i in range(150)]
+    rows += [(200 + i, 200 + i, 0, v[1].tolist()) for i in range(5)]  # copies
+    pages = spark.createDataFrame(rows, "page_id long, seq long, label long, embedding array<float>")
+    want, open_ = {r[0]: None for r in rows}, []
+    for page, _, label, own in rows:
+        if own is None:
+            continue
+        own = np.array(own, np.float32).astype(float)
+        near = [(round(1 - float(o @ own), 9), p) for p, l, o in open_ if l == label and round(1 - float(o @ own), 9) <= 0.15]
+        if near:
+            gone = min(near)[1]
+            want[gone] = page
+            open_ = [x for x in open_ if x[0] != gone]
+        open_.append((page, label, own))
+    for size in (1000, 40):
+        got = {r.page_id: r.superseded_by for r in ingest.semantic_supersede(pages, ["label"], 0.15, size).collect()}
+        assert got == want
+    assert sum(x is not None for x in want.values()) > 40
+
+
 def test_cap_with_backfill_fills_up(spark):
     df = spark.createDataFrame([(1, i, "p" if i < 6 else "q", i) for i in range(1, 8)], "q int, item int, page string, rank int")
     got = ranking.cap_with_backfill(df, ["q"], "page", 2, 5).orderBy("position").collect()

@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.state import cut, shared_dir
+from ..operators.joins import HOT_SHARE, fresh, lookup
+from ..operators.state import cut, scratch, shared_dir
+
+__all__ = ["HOT_SHARE", "WORD", "crc_bucket", "cut", "file_system", "fresh", "in_arrow", "lookup", "map_rows", "scratch", "shared_dir", "tasks"]
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return. ``bytes.split()``,
 #: ``bytes.strip()`` use exactly these; ``bytes.lower()`` folds exactly A-Z.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A key is hot above this share of all rows, so at most as many keys are hot: a bound for broadcasts.
-HOT_SHARE = 1000
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one, removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(at)
-    fs.deleteOnExit(at)
-    return fs.makeQualified(at).toString()
-
 
 def file_system(path: str):
     """(pyarrow file system, path in it), for code that runs on executors."""
@@ -37,14 +25,6 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def crc_bucket(column: str, buckets: int) -> Column:
     """crc32 of the value as text, modulo ``buckets``; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % buckets
@@ -55,28 +35,6 @@ def tasks(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
 
-def lookup(big: DataFrame, small: DataFrame, keys: list[str], weight: str, total: int, spread: list[str]) -> DataFrame:
-    """Left join on ``keys``, unique in ``small``, that no hot key can skew.
-
-    Keys with more than a ``HOT_SHARE``th of ``total`` rows (``weight`` counts a key's rows in ``big``, ``total`` their
-    sum, so there are at most ``HOT_SHARE`` such keys) are broadcast. The rest is shuffled; rows that already found
-    their key are dealt by ``spread`` instead. ``small`` should be cut: it is read twice. Null keys match nothing.
-    """
-    limit = max(total // HOT_SHARE, 10_000)
-    values = [c for c in small.columns if c not in keys]
-    hot_, cold_, salt = (fresh(big, x) for x in ("_hot", "_cold", "_salt"))
-    hot = small.filter(F.col(weight) > limit).select(*keys, F.struct(*values).alias(hot_))
-    cold = small.filter(F.col(weight) <= limit).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*values).alias(cold_), F.lit(0).cast("long").alias(salt))
-    own = big.columns
-    rows = big.join(F.broadcast(hot), keys, "left")
-    dealt = F.when(F.col(hot_).isNull() & F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)), F.lit(0).cast("long")).otherwise(F.xxhash64(*[F.col(c) for c in spread]).bitwiseOR(F.lit(1).cast("long")))
-    rows = rows.withColumn(salt, dealt)
-    on = [F.col(f"a.`{k}`") == F.col(f"b._k{i}") for i, k in enumerate(keys)]
-    out = rows.alias("a").join(cold.alias("b"), [*on, F.col(f"a.{salt}") == F.col(f"b.{salt}")], "left")
-    found = F.coalesce(F.col(hot_), F.col(cold_))
-    return out.select(*[F.col(f"a.`{c}`") for c in own], *[found[v].alias(v) for v in values])
-
-
 #: Bytes of an Arrow batch, about: what a worker has as Python objects at a time. A longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
 

@@ -25,6 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import components
 from .common import cut, fresh, lookup, map_rows, tasks
 
 BITS = 64
@@ -183,28 +184,6 @@ def links(fps: DataFrame) -> DataFrame:
     return map_rows(dealt, ["bucket", "fps", "n", "codes"], "a long, b long", _receive).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (a, b): a node of the component, the same for all of it.
-
-    Contraction: each round every node joins its least neighbour, and links are rewritten to what was joined; links
-    within a group vanish. Rounds grow with the logarithm of the longest chain. Each round is cut, so nothing is lost
-    with an executor, and nothing goes to the driver but a count.
-    """
-    edges = cut(edges.select("a", "b").filter("a <> b"))
-    both = edges.union(edges.select("b", "a"))
-    roots = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        low = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"), F.count("*").alias("n")))
-        total = both.count()
-        step = lambda df, k: lookup(df, low.select(F.col("a").alias(k), F.col("low").alias(f"{k}_low"), "n"), [k], "n", total, df.columns).drop("n")  # noqa: E731, B023
-        moved = step(step(edges, "a"), "b").select(F.col("a_low").alias("a"), F.col("b_low").alias("b"))
-        edges = cut(moved.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        after = step(roots, "root")
-        roots = cut(after.select("node", F.coalesce("root_low", "root").alias("root")))
-    return roots
-
-
 def near_duplicates(docs: DataFrame, words: int = 3, row: str | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row per row of ``docs``; with ``row``, that column (a long) as ``row``, and
     ``class``, which names the component also where doc_ids repeat or are null."""

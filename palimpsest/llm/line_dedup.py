@@ -4,8 +4,11 @@ A line's key is the line stripped of ASCII white space and A-Z lower-cased. Keys
 held by at least ``min_docs`` documents lose all their lines but those of the largest doc_id holding them.
 
 State (``LineIndex``): which documents hold which key (``postings``), references and keeper of each key (``refs``), and a
-cuckoo filter of the common keys for each shard of the key space (``filters``). Inserting and deleting documents changes
-all three and nothing is lost, so a deletion undoes an insertion.
+cuckoo filter of the common keys for each shard of the key space (``filters``). Inserting and deleting documents touches
+the keys of these documents and the filters of their shards only: what is touched is looked up in the tables, a scan where
+the change is small, and put in place of the old rows; every ``FOLD`` changes the tables are written anew. A filter that
+would be fuller than ``FULL`` is built anew, twice as large, from the exact table. Nothing is lost, so a deletion undoes an
+insertion.
 
 Nulls and empty texts are one empty line. Rows with the same doc_id count as one document and lose the same lines. Rows
 with null doc_id count for nothing and lose nothing. Extra columns pass through ``clean``, but for n_lines and
@@ -21,13 +24,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, cut, fresh, map_rows, tasks
+from ..operators.joins import small
+from .common import HOT_SHARE, cut, fresh, lookup, map_rows, tasks
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys in a shard, about: a filter and its exact table are then a few MB.
 SHARD_KEYS = 50_000
-#: Lines looked up in a shard, about.
-SHARD_LINES = 5_000
+#: Lines looked up in a shard, about: so few that tasks can share them evenly.
+SHARD_LINES = 500
+#: The share of its slots that a filter fills.
+FULL = 0.85
+#: Changes after which the tables are written anew.
+FOLD = 8
 
 
 class CuckooFilter:
@@ -36,7 +44,7 @@ class CuckooFilter:
     SLOTS, KICKS = 4, 200
 
     def __init__(self, keys: int):
-        self.buckets = 1 << max(1, int(np.ceil(np.log2(max(2, keys / self.SLOTS / 0.85)))))
+        self.buckets = 1 << max(1, int(np.ceil(np.log2(max(2, keys / self.SLOTS / FULL)))))
         self.table = np.zeros((self.buckets, self.SLOTS), np.uint16)
         self.stash: list[tuple[int, int]] = []
 
@@ -105,10 +113,11 @@ class CuckooFilter:
 class LineIndex:
     postings: DataFrame  # h1, h2, doc_id
     refs: DataFrame  # h1, h2, refs, keeper
-    filters: DataFrame  # shard, filter
+    filters: DataFrame  # shard, filter, slots
     shards: int
     min_chars: int
     min_docs: int
+    changes: int = 0
 
 
 def line_keys(text: str | None) -> list[bytes]:
@@ -152,31 +161,56 @@ def _shard(shards: int):
     return F.pmod(F.col("h1"), F.lit(shards)).cast("int").alias("shard")
 
 
-def _changed_filters(changes: DataFrame, filters: DataFrame | None, shards: int) -> DataFrame:
-    """changes: h1, h2, add (true: the key became common, false: it no longer is). A shard holds a bounded part."""
-    schema = "shard int, filter binary"
+FILTERS = "shard int, filter binary, slots long"
 
-    def change(shard, keys, old):
-        add, drop = (keys[keys["add"] == x] for x in (True, False))
-        f = CuckooFilter.from_bytes(old) if old is not None else CuckooFilter(len(add))
-        f.delete(drop.h1.to_numpy(), drop.h2.to_numpy())
-        f.insert(add.h1.to_numpy(), add.h2.to_numpy())
-        return f.to_bytes()
 
-    def fresh(key, keys):
-        import pandas as pd
+def _new_filters(keys: DataFrame, shards: int) -> DataFrame:
+    """Filters with room for twice the keys (h1, h2)."""
+
+    def make():
+        class Shards:
+            shard, parts = None, []
+
+            def close(self):
+                if self.parts:
+                    h1, h2 = np.concatenate(self.parts, axis=1)
+                    f = CuckooFilter(2 * len(h1))
+                    f.insert(h1, h2)
+                    self.parts = []
+                    yield [[self.shard], [f.to_bytes()], [f.table.size]]
+
+            def __call__(self, cols):
+                shard, h1, h2 = (np.array(x, np.int64) for x in cols)
+                cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+                for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)], strict=True):
+                    if shard[a] != self.shard:
+                        yield from self.close()
+                        self.shard = int(shard[a])
+                    self.parts = [*self.parts, np.stack([h1[a:z], h2[a:z]])]
+
+            def finish(self):
+                yield from self.close()
 
-        return pd.DataFrame({"shard": [key[0]], "filter": [change(key[0], keys, None)]})
+        return Shards()
 
-    def both(key, keys, old):
+    n = tasks(keys.sparkSession, shards, 2000)
+    dealt = keys.select(_shard(shards), "h1", "h2").repartition(n, "shard").sortWithinPartitions("shard", "h1", "h2")
+    return map_rows(dealt, ["shard", "h1", "h2"], FILTERS, make)
+
+
+def _changed_filters(changes: DataFrame, filters: DataFrame) -> DataFrame:
+    """The filters of shards with changes (shard, h1, h2, add: true if the key became common, false if it no longer is)."""
+
+    def change(key, keys, old):
         import pandas as pd
 
-        return pd.DataFrame({"shard": [key[0]], "filter": [change(key[0], keys, old["filter"].iloc[0] if len(old) else None)]})
+        f = CuckooFilter.from_bytes(old["filter"].iloc[0])
+        add, drop = (keys[keys["add"] == x] for x in (True, False))
+        f.delete(drop.h1.to_numpy(), drop.h2.to_numpy())
+        f.insert(add.h1.to_numpy(), add.h2.to_numpy())
+        return pd.DataFrame({"shard": [key[0]], "filter": [f.to_bytes()], "slots": [f.table.size]})
 
-    rows = changes.select(_shard(shards), "h1", "h2", "add")
-    if filters is None:
-        return rows.groupBy("shard").applyInPandas(fresh, schema)
-    return rows.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(both, schema)
+    return changes.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(change, FILTERS)
 
 
 def build(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
@@ -185,27 +219,47 @@ def build(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS)
     common = refs.filter(F.col("refs") >= min_docs)
     # enough shards that neither their keys nor the lines looked up in one are many
     shards = max(8, -(-common.count() // SHARD_KEYS), -(-postings.count() // SHARD_LINES))
-    filters = cut(_changed_filters(common.withColumn("add", F.lit(True)), None, shards))
-    return LineIndex(postings, refs, filters, shards, min_chars, min_docs)
-
-
-def _moved(index: LineIndex, postings: DataFrame) -> LineIndex:
-    """The index with other postings; filters learn only which keys crossed the threshold."""
-    postings = cut(postings)
-    refs = cut(_refs(postings))
-    is_common = lambda df: df.filter(F.col("refs") >= index.min_docs).select("h1", "h2")
-    new, old = is_common(refs), is_common(index.refs)
-    changes = new.join(old, ["h1", "h2"], "left_anti").withColumn("add", F.lit(True)).union(old.join(new, ["h1", "h2"], "left_anti").withColumn("add", F.lit(False)))
-    return replace(index, postings=postings, refs=refs, filters=cut(_changed_filters(changes, index.filters, index.shards)))
+    return LineIndex(postings, refs, cut(_new_filters(common, shards)), shards, min_chars, min_docs)
+
+
+def _moved(index: LineIndex, postings: DataFrame, touched: DataFrame) -> LineIndex:
+    """The index with other postings, of which the keys ``touched`` (h1, h2) have changed."""
+    keys = ["h1", "h2"]
+    touched = cut(touched.select(*keys).distinct())
+    few = small(touched)
+    old = cut(index.refs.join(few, keys, "left_semi"))
+    new = cut(_refs(postings.join(few, keys, "left_semi")))
+    refs = index.refs.join(few, keys, "left_anti").unionByName(new)
+    is_common = lambda df: df.filter(F.col("refs") >= index.min_docs).select(*keys)
+    crossed = is_common(new).join(is_common(old), keys, "left_anti").withColumn("add", F.lit(True)).unionByName(is_common(old).join(is_common(new), keys, "left_anti").withColumn("add", F.lit(False)))
+    crossed = cut(crossed.select(_shard(index.shards), *keys, "add"))
+    # what each changed shard will hold, against the room that its filter has
+    shards = cut(crossed.groupBy("shard").agg(F.count_if("add").alias("more")))
+    held = is_common(refs).select(_shard(index.shards)).join(small(shards), "shard", "left_semi").groupBy("shard").agg(F.count("*").alias("held"))
+    room = shards.join(held, "shard", "left").join(index.filters.select("shard", "slots"), "shard", "left")
+    full = F.col("slots").isNull() | (F.coalesce("held", F.lit(0)) > F.floor(FULL * F.col("slots")))
+    room = cut(room.select("shard", full.alias("full")))
+    grown = is_common(refs).withColumn("shard", _shard(index.shards)).join(small(room.filter("full")), "shard", "left_semi")
+    same = small(room.filter("not full"))
+    changed = _changed_filters(crossed.join(same, "shard", "left_semi"), index.filters.join(same, "shard", "left_semi"))
+    filters = cut(index.filters.join(small(shards), "shard", "left_anti").unionByName(changed).unionByName(_new_filters(grown, index.shards)))
+    n = index.changes + 1
+    fold = cut if n % FOLD == 0 else lambda df: df
+    return replace(index, postings=fold(postings), refs=fold(refs), filters=filters, changes=n)
 
 
 def insert(index: LineIndex, docs: DataFrame) -> LineIndex:
-    return _moved(index, index.postings.union(_postings(docs, index.min_chars)).distinct())
+    own = cut(_postings(docs, index.min_chars).distinct())
+    there = index.postings.join(small(own.select("doc_id").distinct()), "doc_id", "left_semi")
+    new = cut(own.join(there, ["h1", "h2", "doc_id"], "left_anti"))
+    return _moved(index, index.postings.unionByName(new), new)
 
 
 def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
     """doc_ids: the column doc_id."""
-    return _moved(index, index.postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("h1", "h2", "doc_id"))
+    ids = small(cut(doc_ids.select("doc_id").distinct()))
+    gone = index.postings.join(ids, "doc_id", "left_semi")
+    return _moved(index, index.postings.join(ids, "doc_id", "left_anti").select("h1", "h2", "doc_id"), gone)
 
 
 def _probe():
@@ -291,9 +345,12 @@ def drops(index: LineIndex, postings: DataFrame | None = None) -> DataFrame:
 
 def clean(index: LineIndex, docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` replaced, and n_lines, n_dropped; other columns as they were."""
-    lost = drops(index).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("line_lost"))
-    body, mark = fresh(docs, "line_text"), fresh(docs, "line_lost")
-    rows = docs.withColumn(body, F.col("text")).join(lost.withColumnRenamed("line_lost", mark), "doc_id", "left")
+    body, mark, n = fresh(docs, "line_text"), fresh(docs, "line_lost"), fresh(docs, "line_rows")
+    lost = drops(index).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias(mark))
+    per = cut(docs.groupBy("doc_id").agg(F.count("*").alias(n)))
+    total = per.agg(F.sum(n)).first()[0] or 0
+    # rows without doc_id lose nothing and go anywhere; an id of any number of rows is looked up where they stand
+    rows = lookup(docs.withColumn(body, F.col("text")), cut(lost.join(per, "doc_id")), ["doc_id"], n, total, [body])
     n_chars = index.min_chars
 
     def make():

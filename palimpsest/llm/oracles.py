@@ -1,12 +1,14 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
+from . import quality_rules
+
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _FAILS = r"""
        (len(regexp_extract_all({0}, '(!!|\?\?|[#*$%&]{{3}})([\x20\x09-\x0D]|$)')) * 3 >= len({1})
         OR (len(regexp_extract_all({0}, '[|»›>·•]')) * 3 >= len({1}) AND len(regexp_extract_all({0}, '[|»›>·•]')) >= 2)
         OR (len({1}) < 4 AND NOT regexp_matches({0}, '[.!?:;,…"''”’)\]][\x20\x09-\x0D]*$'))
-        OR regexp_matches({0}, '(?i)(cookie|privacy policy|terms of (use|service)|all rights reserved|enable javascript|subscribe now|click here|log ?in to|sign up|lorem ipsum|powered by|copyright ©)'))
-"""
+        OR len(regexp_extract_all({0}, '(?i)NOTICE')) * 12 >= len({1}) AND regexp_matches({0}, '(?i)NOTICE'))
+""".replace("NOTICE", quality_rules.BOILERPLATE.replace("'", "''"))
 
 SQL: dict[str, str] = {
     "op3_quality_rules": f"""

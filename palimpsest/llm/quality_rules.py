@@ -1,7 +1,8 @@
 """Line-first quality rules in DataFrame functions alone.
 
 Every line with a word is judged by itself: punctuation (shouting, symbol tails, or a short line without an end mark),
-navigation (mostly separators) and boilerplate (fixed phrases). Failing lines are removed, and a document that loses more
+navigation (mostly separators) and boilerplate (fixed phrases in four languages, in a line of at most ``NOTICE_WORDS`` words for
+each of them: a longer line that names one is prose). Failing lines are removed, and a document that loses more
 than ``MAX_LOST`` of its words, or fails the whole-text counts (too few words, too many repeated windows), is rejected.
 
 Null texts have no words, as empty ones do; both are rejected by the word count. Rows are independent, so repeated rows
@@ -24,7 +25,14 @@ SYMBOLS = r"[#*$%&|<>]"
 MARKED = r"(!!|\?\?|[#*$%&]{3})([\x20\x09-\x0D]|$)"
 SEPARATORS = r"[|»›>·•]"
 END_MARK = r"""[.!?:;,…"'”’)\]][\x20\x09-\x0D]*$"""
-BOILERPLATE = r"(?i)(cookie|privacy policy|terms of (use|service)|all rights reserved|enable javascript|subscribe now|click here|log ?in to|sign up|lorem ipsum|powered by|copyright ©)"
+BOILERPLATE = (
+    r"(cookie|privacy policy|terms of (use|service)|all rights reserved|enable javascript|subscribe now|click here|log ?in to|sign up|lorem ipsum|powered by|copyright ©|"
+    r"politique de confidentialité|conditions d['’]utilisation|tous droits réservés|activer javascript|cliquez ici|abonnez-vous|se connecter|"
+    r"datenschutzerklärung|nutzungsbedingungen|alle rechte vorbehalten|javascript aktivieren|hier klicken|jetzt abonnieren|einloggen|"
+    r"política de privacidad|términos (de uso|del servicio)|todos los derechos reservados|activar javascript|haga clic aquí|suscríbase|iniciar sesión)"
+)
+#: A line is boilerplate if it has a phrase for each so many words.
+NOTICE_WORDS = 12
 
 
 def split_words(text: Column) -> Column:
@@ -36,7 +44,9 @@ def _line_fails(line: Column) -> Column:
     shouting = F.regexp_count(line, F.lit(MARKED)) * 3 >= n
     navigation = (F.regexp_count(line, F.lit(SEPARATORS)) * 3 >= n) & (F.regexp_count(line, F.lit(SEPARATORS)) >= 2)
     unfinished = (n < 4) & ~line.rlike(END_MARK)
-    return shouting | navigation | unfinished | line.rlike(BOILERPLATE)
+    # the phrases are counted only where there is one
+    notice = line.rlike(f"(?iu){BOILERPLATE}") & (F.regexp_count(line, F.lit(f"(?iu){BOILERPLATE}")) * NOTICE_WORDS >= n)
+    return shouting | navigation | unfinished | notice
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -1,16 +1,18 @@
 """LM scoring by a log-bilinear model trained with noise-contrastive estimation.
 
-Tokens are the words of a text, A-Z lower-cased, and one end. The model predicts a token's class from the classes of the
-``CONTEXT`` tokens before it: the context's vectors, each scaled by its position's weights, add up to a prediction, whose
-products with all classes' vectors, and a bias each, are normalised. The commonest words are classes of their own; all
-others share ``TAILS`` classes, by their last bytes. Within such a class a word has probability
-(c + 1) / (N + V + 1), with c, N, V the word's count and the class's training tokens and words: one share is left for all
-words never seen.
-
-Counts are over all training documents. So is the training: each partition of them passes over all its tokens from the
-same start, and the models are averaged by their tokens. Noise is drawn from the classes' shares. Scores are exact sums
-over whole texts: words of the broadcast head (a bounded number) are looked up in Python, all others are joined with the
-whole table of counts.
+Tokens are the words of a text, A-Z lower-cased, and one end. The model predicts a token from the ``CONTEXT`` tokens before
+it: the context's vectors, each scaled by its position's weights, add up to a prediction. Its products with the classes'
+vectors, and a bias each, are normalised over the classes, then its products with the words of the token's class over that
+class: two levels, so that ``OWN`` words have probabilities of their own. These are the commonest words, in classes by rank.
+All other words share ``TAILS`` classes, one for each of the commonest endings among them and one for the rest; within such a
+class a word has probability (c + 1) / (N + V + 1), with c, N, V the word's count and the class's training tokens and words:
+one share is left for all words never seen.
+
+Counts are over all training documents. So is the training: documents are dealt to shards of about ``SHARD_TOKENS`` tokens by
+a hash of doc_id and text, each shard is passed over once in the order of a hash, from the same start, and the models are
+averaged by their tokens. So the result depends on the documents, not on how files or partitions hold them. Noise is drawn
+from the shares of classes, and of words within a class. Scores are exact sums over whole texts: words of the broadcast head
+(a bounded number) are looked up in Python, all others are joined with the whole table of counts.
 
 Nulls are empty texts, which are one end token. Rows are scored one by one, also where doc_ids repeat; a null doc_id
 counts as the empty text for the split. Without any training text all counts are 0, and the model is uniform over its
@@ -20,7 +22,6 @@ classes. Extra columns are ignored.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from itertools import chain
 
@@ -30,11 +31,14 @@ from pyspark.sql import functions as F
 
 from .common import crc_bucket, cut, map_rows
 
-CLASSES, TAILS, DIM, CONTEXT = 256, 64, 16, 4
-FIRST_TAIL = CLASSES - TAILS
+OWN, PER_CLASS, TAILS, DIM, CONTEXT = 2048, 32, 64, 16, 4
+CLASSES = OWN // PER_CLASS
+#: What the context is made of: own words, then shared classes. What the first level predicts: classes, then shared ones.
+UNITS, FIRST = OWN + TAILS, CLASSES + TAILS
 #: Words, at most, whose counts every worker has.
 HEAD = 131_072
-NOISE, SAMPLES, BATCH, RATE = 16, 64, 1024, 0.02
+NOISE, SAMPLES, WORD_NOISE, BATCH, RATE = 16, 64, 4, 2048, 0.02
+SHARD_TOKENS = 4_000_000
 HELD_OUT, BUCKETS = 2, 7
 #: Distinct words that a worker counts before it hands them on.
 COUNTED = 200_000
@@ -51,10 +55,6 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
-def tail_of(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % TAILS
-
-
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(word, c) over all ``docs``; the end has the empty word."""
 
@@ -79,35 +79,47 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The classes, and tables by a word's number: its place in the head, or the head's size and its shared class."""
+    """Units, and tables by a word's number: its place in the head, or the head's size and its shared class.
 
-    def __init__(self, head: list[tuple[bytes, int]], tails: dict[int, tuple[int, int]], total: int, distinct: int):
+    head: the commonest words with their counts, in order; endings: tokens and words by the last two bytes of a word."""
+
+    def __init__(self, head: list[tuple[bytes, int]], endings: dict[bytes, tuple[int, int]], total: int, distinct: int):
         counts = dict(head)
-        own = {END: 0} | {w: i + 1 for i, w in enumerate(own_words(head))}
+        own = {END: 0} | {w: i + 1 for i, (w, _) in enumerate([x for x in head if x[0] != END][: OWN - 1])}
+        rest = {e: list(x) for e, x in endings.items()}
+        for w in own:
+            if w != END:
+                rest[w[-2:]][0] -= counts[w]
+                rest[w[-2:]][1] -= 1
+        common = sorted((e for e, x in rest.items() if x[1] > 0), key=lambda e: (-rest[e][0], e))[: TAILS - 1]
+        #: The shared class of an ending; 0 is that of all others.
+        self.endings = {e: t + 1 for t, e in enumerate(common)}
         self.total, self.distinct = total, distinct
-        mass, norm = np.ones(CLASSES), np.zeros(CLASSES)
+        tokens, words_in = np.zeros(TAILS), np.zeros(TAILS)
+        for e, (n, v) in rest.items():
+            tokens[self.endings.get(e, 0)] += n
+            words_in[self.endings.get(e, 0)] += v
+        norm = np.log10(tokens + words_in + 1)
+        mass = np.ones(OWN)
         for w, i in own.items():
             mass[i] += counts.get(w, 0)
-        for t in range(TAILS):
-            n, v = tails.get(t, (0, 0))
-            mass[FIRST_TAIL + t] += n
-            norm[FIRST_TAIL + t] = math.log10(n + v + 1)
-        self.share = mass / mass.sum()
+        #: Shares of own words within their classes, and of classes.
+        self.within = (mass.reshape(CLASSES, PER_CLASS) / mass.reshape(CLASSES, PER_CLASS).sum(1, keepdims=True)).ravel()
+        first = np.r_[mass.reshape(CLASSES, PER_CLASS).sum(1), tokens + 1]
+        self.share = first / first.sum()
         words = list(counts | dict.fromkeys(own, 0) if END not in counts else counts)
         self.number = {w: i for i, w in enumerate(words)}
         self.head = len(words)
-        classes = [own.get(w, FIRST_TAIL + tail_of(w)) for w in words]
-        self.class_of = np.array([*classes, *range(FIRST_TAIL, CLASSES)], np.int32)
+        self.unit_of = np.array([*[own[w] if w in own else OWN + self.tail_of(w) for w in words], *range(OWN, UNITS)], np.uint16)
         c = np.array([counts.get(w, 0) for w in words] + [0] * TAILS)
         self.known = (c > 0).astype(np.int64)
-        #: What a word adds to the base score, and, beyond its class's probability, to the model's.
+        #: What a word adds to the base score, and, beyond its unit's probability, to the model's.
         self.base = np.log10(c + 1.0)
-        self.inner = np.where(self.class_of >= FIRST_TAIL, self.base, 0) - norm[self.class_of]
-
+        tail = np.maximum(self.unit_of.astype(np.int64) - OWN, 0)
+        self.inner = np.where(self.unit_of >= OWN, self.base - norm[tail], 0)
 
-def own_words(head: list[tuple[bytes, int]]) -> list[bytes]:
-    """The words with classes of their own, but the end."""
-    return [w for w, _ in head if w != END][: FIRST_TAIL - 1]
+    def tail_of(self, word: bytes) -> int:
+        return self.endings.get(word[-2:], 0)
 
 
 class Lookup(dict):
@@ -115,31 +127,42 @@ class Lookup(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__(vocabulary.number)
-        self.first, self.base = vocabulary.head, vocabulary.number
+        self.first, self.vocabulary = vocabulary.head, vocabulary
         self.limit = len(self) + 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.limit:
             self.clear()
-            self.update(self.base)
-        out = self[word] = self.first + tail_of(word)
+            self.update(self.vocabulary.number)
+        out = self[word] = self.first + self.vocabulary.tail_of(word)
         return out
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
+def class_of(units: np.ndarray) -> np.ndarray:
+    """What the first level predicts for a unit."""
+    units = units.astype(np.int64)
+    return np.where(units < OWN, units // PER_CLASS, units - OWN + CLASSES)
+
+
 class LogBilinear:
-    def __init__(self, share: np.ndarray, seed: int = 5):
+    def __init__(self, share: np.ndarray, within: np.ndarray, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.p = {
-            "context": rng.normal(0, 0.1, (CLASSES, DIM)).astype(np.float32),
+            "context": rng.normal(0, 0.1, (UNITS, DIM)).astype(np.float32),
             "position": np.full((CONTEXT, DIM), 1 / CONTEXT, np.float32),
-            "target": rng.normal(0, 0.1, (CLASSES, DIM)).astype(np.float32),
-            "bias": np.log(share).astype(np.float32),
+            "class": rng.normal(0, 0.1, (FIRST, DIM)).astype(np.float32),
+            "word": rng.normal(0, 0.1, (OWN, DIM)).astype(np.float32),
+            "class_bias": np.log(share).astype(np.float32),
+            "word_bias": np.log(within).astype(np.float32),
         }
         self.share = share
-        self.log_noise = np.log(NOISE * share).astype(np.float32)
+        self.class_noise = np.log(NOISE * share).astype(np.float32)
+        self.word_noise = np.log(WORD_NOISE * within).astype(np.float32)
+        #: Shares of own words laid end to end, a whole for each class.
+        self.upto = np.cumsum(within)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
@@ -156,116 +179,146 @@ class LogBilinear:
         return self
 
     @staticmethod
-    def windows(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The CONTEXT classes before each token of texts laid end to end; ends stand before a text."""
-        place = np.arange(len(classes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        out = np.zeros((CONTEXT, len(classes)), np.int32)
+    def windows(units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The CONTEXT units before each token of texts laid end to end; ends (unit 0) stand before a text."""
+        place = np.arange(len(units)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out = np.zeros((CONTEXT, len(units)), np.int32)
         for k in range(1, CONTEXT + 1):
-            out[k - 1, k:] = classes[:-k]
+            out[k - 1, k:] = units[:-k]
             out[k - 1][place < k] = 0
         return out
 
     def train(self, target: np.ndarray, before: np.ndarray, state: dict, rng) -> None:
-        """Noise-contrastive estimation; each batch's noise is shared and counts as NOISE draws for every target."""
+        """Noise-contrastive estimation on both levels. A batch's class noise is shared and counts as NOISE draws for every
+        target; each own word has WORD_NOISE words of its class against it."""
         flat = self.flat()
         self.load(flat)  # from here the parameters are views of one vector
         grad = np.zeros_like(flat)
         g = self._views(grad)
         m, s = state.setdefault("m", np.zeros_like(flat)), state.setdefault("s", np.zeros_like(flat))
         p, step_of = self.p, np.arange(DIM, dtype=np.int64)
-        draws_of = rng.choice(CLASSES, (-(-len(target) // BATCH), SAMPLES), p=self.share)
-        cells = CLASSES * DIM
+        cells = lambda rows, values, n: np.bincount((rows.astype(np.int64)[..., None] * DIM + step_of).ravel(), values.ravel(), n * DIM).reshape(n, DIM)
+        classes = class_of(target)
+        draws_of = rng.choice(FIRST, (-(-len(target) // BATCH), SAMPLES), p=self.share)
         for b, a in enumerate(range(0, len(target), BATCH)):
-            y, ctx, draws = target[a : a + BATCH], before[:, a : a + BATCH], draws_of[b]
+            w, y, ctx, draws = target[a : a + BATCH], classes[a : a + BATCH], before[:, a : a + BATCH], draws_of[b]
             n = len(y)
             rows = p["context"][ctx]
             q = np.einsum("knd,kd->nd", rows, p["position"])
-            own, other = p["target"][y], p["target"][draws]
-            data = np.einsum("nd,nd->n", q, own) + p["bias"][y] - self.log_noise[y]
-            noise = q @ other.T
-            noise += (p["bias"] - self.log_noise)[draws]
-            dd = (-1 / n) / (1 + np.exp(np.minimum(data, 30)))
-            np.negative(noise, out=noise)
-            np.exp(np.minimum(noise, 30, out=noise), out=noise)
-            noise += 1
-            dn = np.divide(NOISE / SAMPLES / n, noise, out=noise)
-            dq = dd[:, None] * own + dn @ other
-            at = (y.astype(np.int64)[:, None] * DIM + step_of).ravel()
-            g["target"][:] = np.bincount(at, (dd[:, None] * q).ravel(), cells).reshape(CLASSES, DIM)
-            np.add.at(g["target"], draws, dn.T @ q)
-            g["bias"][:] = np.bincount(y, dd, CLASSES)
-            np.add.at(g["bias"], draws, dn.sum(0))
+            other = p["class"][draws]
+            mine = p["class"][y]
+            dd = -1 / n / (1 + np.exp(np.minimum(np.einsum("nd,nd->n", q, mine) + (p["class_bias"] - self.class_noise)[y], 30)))
+            dn = (NOISE / SAMPLES / n) / (1 + np.exp(np.minimum(-(q @ other.T) - (p["class_bias"] - self.class_noise)[draws], 30)))
+            dq = dd[:, None] * mine + dn @ other
+            g["class"][:] = cells(y, dd[:, None] * q, FIRST)
+            np.add.at(g["class"], draws, dn.T @ q)
+            g["class_bias"][:] = np.bincount(y, dd, FIRST)
+            np.add.at(g["class_bias"], draws, dn.sum(0))
+            own = np.flatnonzero(w < OWN)
+            x, qo = w[own].astype(np.int64), q[own]
+            # noise of the same class: a place in its whole
+            noise = np.minimum(np.searchsorted(self.upto, y[own][:, None] + rng.random((len(own), WORD_NOISE)), "right"), (y[own] * PER_CLASS + PER_CLASS - 1)[:, None])
+            both = np.concatenate([x[:, None], noise], axis=1)
+            vectors, lift = p["word"][both], (p["word_bias"] - self.word_noise)[both]
+            z = np.einsum("nd,nkd->nk", qo, vectors) + lift
+            z[:, 0] *= -1
+            d = (1 / n) / (1 + np.exp(np.minimum(-z, 30)))
+            d[:, 0] *= -1
+            dq[own] += np.einsum("nk,nkd->nd", d, vectors)
+            g["word"][:] = cells(both, d[:, :, None] * qo[:, None, :], OWN)
+            g["word_bias"][:] = np.bincount(both.ravel(), d.ravel(), OWN)
             g["position"][:] = np.einsum("knd,nd->kd", rows, dq)
-            at = (ctx.astype(np.int64)[:, :, None] * DIM + step_of).ravel()
-            g["context"][:] = np.bincount(at, (dq[None, :, :] * p["position"][:, None, :]).ravel(), cells).reshape(CLASSES, DIM)
+            g["context"][:] = cells(ctx, dq[None, :, :] * p["position"][:, None, :], UNITS)
             state["n"] = step = state.get("n", 0) + 1
             m += 0.1 * (grad - m)
             s += 0.01 * (grad * grad - s)
             flat -= (RATE / (1 - 0.9**step)) * m / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
 
     def log10(self, target: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities of the targets' classes."""
+        """Normalised log10 probabilities of the target units."""
         p = self.p
         tables = [p["context"] * w for w in p["position"]]
-        across = np.ascontiguousarray(p["target"].T)
-        out, ones = np.empty(len(target), np.float64), np.ones(CLASSES, np.float32)
-        for a in range(0, len(target), 4096):
-            y, ctx = target[a : a + 4096], before[:, a : a + 4096]
+        across = np.ascontiguousarray(p["class"].T)
+        words = np.ascontiguousarray(p["word"].reshape(CLASSES, PER_CLASS, DIM).transpose(0, 2, 1))
+        bias = p["word_bias"].reshape(CLASSES, PER_CLASS)
+        classes, out = class_of(target), np.empty(len(target), np.float64)
+        for a in range(0, len(target), 8192):
+            y, ctx, unit = classes[a : a + 8192], before[:, a : a + 8192], target[a : a + 8192].astype(np.int64)
             q = tables[0][ctx[0]]
             for k in range(1, CONTEXT):
                 q += tables[k][ctx[k]]
-            z = q @ across
-            z += p["bias"]
-            own = z[np.arange(len(y)), y].astype(np.float64)
-            top = max(0.0, float(z.max()) - 60)  # far from what a float holds
-            if top:
-                z -= np.float32(top)
-            np.exp(z, out=z)
-            out[a : a + 4096] = own - top - np.log(z @ ones)
+            got = _log_softmax(q @ across + p["class_bias"], y)
+            order = np.argsort(y, kind="stable")
+            cuts = np.searchsorted(y[order], np.arange(CLASSES + 1))
+            for c in np.flatnonzero(np.diff(cuts)).tolist():
+                own = order[cuts[c] : cuts[c + 1]]
+                got[own] += _log_softmax(q[own] @ words[c] + bias[c], unit[own] - c * PER_CLASS)
+            out[a : a + 8192] = got
         return out / math.log(10)
 
 
+def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    own = z[np.arange(len(z)), at].astype(np.float64)
+    top = max(0.0, float(z.max()) - 60)  # far from what a float holds
+    if top:
+        z -= np.float32(top)
+    np.exp(z, out=z)
+    return own - top - np.log(z @ np.ones(z.shape[1], np.float32))
+
+
+def commonest(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """About the ``most`` commonest words (word, c), by count. Counts are sorted into bins, a few thousand at most; whole bins
+    are taken, and of the first that doesn't fit as many words, by a hash, as there is room for."""
+    level = F.floor(F.log2("c") * 64)
+    bins = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
+    room, chosen = most, F.lit(False)
+    for r in bins:
+        if r.n <= room:
+            chosen = chosen | (level == r.level)
+            room -= r.n
+            continue
+        chosen = chosen | ((level == r.level) & (F.crc32("word") < int(2**32 * room / r.n)))
+        break
+    rows = counts.filter(chosen).collect()
+    return sorted(((bytes(r.word), r.c) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def fit(docs: DataFrame) -> tuple[DataFrame, Vocabulary, np.ndarray]:
     """(counts, vocabulary, parameters) from ``docs``, all of which are for training."""
     counts = cut(count_tokens(docs))
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    # the commonest words: counts are sorted into bins, of which there are a few thousand at most, and whole bins are taken
-    level = F.floor(F.log2("c") * 64)
-    bins = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
-    size, least = 0, math.inf
-    for r in bins:
-        if (size := size + r.n) > HEAD:
-            break
-        least = r.level
-    head = [(bytes(r.word), r.c) for r in counts.filter(level >= least).collect()] if least < math.inf else []
-    head.sort(key=lambda x: (-x[1], x[0]))
-    # shared classes: everything but the words with classes of their own
-    last = F.substring("word", -3, 3)
-    tail = F.crc32(F.when(F.octet_length("word") >= 3, last).otherwise(F.col("word"))) % TAILS
-    per = counts.filter(F.octet_length("word") > 0).groupBy(tail.alias("t")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    tails = {r.t: [r.n, r.v] for r in per}
-    taken = dict(head)
-    for w in own_words(head):
-        t = tails[tail_of(w)]
-        t[0] -= taken[w]
-        t[1] -= 1
-    vocabulary = Vocabulary(head, {t: (n, v) for t, (n, v) in tails.items()}, int(total or 0), int(distinct or 0))
+    # two bytes have 65,792 values, so that is all that comes here
+    ending = F.when(F.octet_length("word") >= 2, F.substring("word", -2, 2)).otherwise(F.col("word"))
+    per = counts.filter(F.octet_length("word") > 0).groupBy(ending.alias("e")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    vocabulary = Vocabulary(commonest(counts, HEAD), {bytes(r.e): (r.n, r.v) for r in per}, int(total or 0), int(distinct or 0))
     return counts, vocabulary, _train(docs, vocabulary)
 
 
 def _train(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shards = max(1, -(-vocabulary.total // SHARD_TOKENS))
+    place = F.xxhash64(F.col("doc_id").cast("string"), "text")
+
+    def to_units():
+        look, unit_of = Lookup(sent.value), sent.value.unit_of
+
+        def f(cols):
+            yield [cols[0], cols[1], [unit_of[look.numbers(tokens(t))].tobytes() for t in cols[2]]]
+
+        return f
 
     def make():
-        class Pass:
-            def __init__(self):
-                v = sent.value
-                self.look, self.class_of, self.model = Lookup(v), v.class_of, LogBilinear(v.share)
-                self.state, self.rng, self.n, self.held = {}, np.random.default_rng(3), 0, []
-                self.size = 0
+        class Shards:
+            shard, model = None, None
+
+            def close(self):
+                if self.model is not None:
+                    if self.held:
+                        self.learn()
+                    yield [np.arange(len(self.model.flat())), self.model.flat().astype(np.float64) * self.n, np.full(len(self.model.flat()), self.n)]
 
             def learn(self):
-                target = self.class_of[np.concatenate(self.held)]
+                target = np.concatenate(self.held)
                 before = LogBilinear.windows(target, np.array([len(x) for x in self.held]))
                 order = self.rng.permutation(len(target))
                 self.model.train(target[order], before[:, order], self.state, self.rng)
@@ -273,26 +326,26 @@ def _train(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
                 self.held, self.size = [], 0
 
             def __call__(self, cols):
-                look = self.look
-                for text in cols[0]:
-                    self.held.append(look.numbers(tokens(text)))
+                for shard, raw in zip(cols[0], cols[1], strict=True):
+                    if shard != self.shard:
+                        yield from self.close()
+                        self.shard, self.model = shard, LogBilinear(sent.value.share, sent.value.within)
+                        self.state, self.rng, self.n, self.held, self.size = {}, np.random.default_rng(3), 0, [], 0
+                    self.held.append(np.frombuffer(raw, np.uint16))
                     self.size += len(self.held[-1])
                     if self.size > 200_000:
                         self.learn()
-                return iter(())
 
             def finish(self):
-                if self.held:
-                    self.learn()
-                if self.n:
-                    flat = self.model.flat().astype(np.float64) * self.n
-                    yield [np.arange(len(flat)), flat, np.full(len(flat), self.n)]
+                yield from self.close()
 
-        return Pass()
+        return Shards()
 
-    rows = map_rows(docs, ["text"], "i int, x double, n long", make).groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
-    start = LogBilinear(vocabulary.share).flat()
-    for r in rows:
+    rows = map_rows(docs.select(F.pmod(place, F.lit(shards)).cast("int").alias("shard"), place.alias("h"), "text"), ["shard", "h", "text"], "shard int, h long, units binary", to_units)
+    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "h")
+    means = map_rows(dealt, ["shard", "units"], "i int, x double, n long", make).groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
+    start = LogBilinear(vocabulary.share, vocabulary.within).flat()
+    for r in means:
         start[r.i] = r.x
     return start
 
@@ -305,7 +358,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, flat: np.n
         from pyspark import TaskContext
 
         v, p = sent.value
-        look, model = Lookup(v), LogBilinear(v.share).load(p)
+        look, model = Lookup(v), LogBilinear(v.share, v.within).load(p)
         state = {"uid": TaskContext.get().partitionId() << 40}
 
         def f(cols):
@@ -315,7 +368,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, flat: np.n
                 sizes = np.array([len(w) for w in words])
                 flat = list(chain.from_iterable(words))
                 number = look.numbers(flat)
-                target = v.class_of[number]
+                target = v.unit_of[number]
                 starts = np.cumsum(sizes) - sizes
                 total = lambda x, s=starts: np.add.reduceat(x, s).tolist()
                 model_sums = total(model.log10(target, LogBilinear.windows(target, sizes)) + v.inner[number])

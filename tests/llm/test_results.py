@@ -52,11 +52,65 @@ def test_lm_base_and_gain(spark, sf_dir, texts):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
-def test_lm_is_normalised():
-    m = lm_score.LogBilinear(np.full(lm_score.CLASSES, 1 / lm_score.CLASSES))
-    every = np.arange(lm_score.CLASSES, dtype=np.int32)
-    before = np.repeat(np.array([[3], [0], [9], [200]], np.int32), lm_score.CLASSES, axis=1)
-    assert abs((10 ** m.log10(every, before)).sum() - 1) < 1e-5
+def _fitted(docs):
+    counts, v, flat = lm_score.fit(docs.filter(~lm_score.held_out()))
+    return counts, v, lm_score.LogBilinear(v.share, v.within).load(flat)
+
+
+def test_lm_score_is_the_models_probability(spark, sf_dir, texts):
+    """Every token's log-probability by plain sums over the fitted vectors, and a distribution over all words."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    counts, v, m = _fitted(docs)
+    c = {bytes(r.word): r.c for r in counts.collect()}
+    head = sorted(c.items(), key=lambda x: (-x[1], x[0]))
+    own = [b"", *[w for w, _ in head if w][: lm_score.OWN - 1]]
+    rank, p = {w: i for i, w in enumerate(own)}, {k: x.astype(float) for k, x in m.p.items()}
+    left = Counter()
+    for w, n in c.items():
+        if w not in rank:
+            left[w[-2:]] += n
+    endings = [e for e, _ in sorted(left.items(), key=lambda x: (-x[1], x[0]))][: lm_score.TAILS - 1]
+    tail = lambda w: endings.index(w[-2:]) + 1 if w[-2:] in endings else 0
+    n_of, v_of = Counter(), Counter()
+    for w, n in c.items():
+        if w not in rank:
+            n_of[tail(w)] += n
+            v_of[tail(w)] += 1
+    soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    def probability(before, w):
+        q = sum(p["context"][u] * p["position"][k] for k, u in enumerate(before))
+        first = soft(p["class"] @ q + p["class_bias"])
+        if w in rank:
+            k, i = divmod(rank[w], lm_score.PER_CLASS)
+            of = slice(k * lm_score.PER_CLASS, (k + 1) * lm_score.PER_CLASS)
+            return first[k] * soft(p["word"][of] @ q + p["word_bias"][of])[i]
+        return first[lm_score.CLASSES + tail(w)] * (c.get(w, 0) + 1) / (n_of[tail(w)] + v_of[tail(w)] + 1)
+
+    got = {r.doc_id: r.score for r in lm_score.score(docs, counts, v, m.flat()).collect()}
+    for d in sorted(texts)[:25]:
+        words = [w.encode() for w in SPACED.findall((texts[d] or "").translate(LOWER))] + [b""]
+        units = [rank[w] if w in rank else lm_score.OWN + tail(w) for w in words]
+        want = sum(np.log10(probability([units[i - k] if i >= k else 0 for k in range(1, lm_score.CONTEXT + 1)], w)) for i, w in enumerate(words))
+        assert abs(got[d] - want) < 1e-4 * abs(want)
+    for before in ([0, 0, 0, 0], [5, 1, 0, 0], [lm_score.OWN + 3, 40, 2, 7]):
+        # an unseen word takes the share that its class leaves for all of them
+        seen = sum(probability(before, w) for w in rank) + sum(probability(before, w) for w in c if w not in rank)
+        spare = sum(soft(p["class"] @ sum(p["context"][u] * p["position"][k] for k, u in enumerate(before)) + p["class_bias"])[lm_score.CLASSES + t] / (n_of[t] + v_of[t] + 1) for t in range(lm_score.TAILS))
+        empty = len(own) < lm_score.OWN  # places for own words that the corpus doesn't have
+        assert seen + spare < 1 + 1e-4 and (empty or seen + spare > 1 - 1e-4)
+
+
+def test_lm_does_not_depend_on_the_layout(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    one, many = (_fitted(d)[2].flat() for d in (docs.coalesce(1), docs.repartition(13)))
+    assert np.allclose(one, many, atol=1e-5)
+
+
+def test_the_head_is_full_when_all_counts_are_equal(spark):
+    counts = spark.createDataFrame([(b"w%d" % i, 3) for i in range(2000)] + [(b"x", 90)], "word binary, c long")
+    got = lm_score.commonest(counts, 500)
+    assert got[0] == (b"x", 90) and 400 < len(got) < 600 and len(lm_score.commonest(counts, 5000)) == 2001
 
 
 def test_fingerprints_and_components(spark, sf_dir, texts):

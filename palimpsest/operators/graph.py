@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scores
 from ..functions.kinds import ONE_TO_ONE
 from .joins import components, lookup, small
 from .state import cut
@@ -72,6 +73,31 @@ def supersede(facts: DataFrame) -> DataFrame:
     return marked.withColumn("valid_to", closed).drop("_island", "_start")
 
 
+def persist(entities: DataFrame, edges: DataFrame, new_entities: DataFrame, new_edges: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """What an extraction adds to a graph: (entities (slug, kind, name, aliases), edges (from_slug, to_slug, kind, weight,
+    confidence, score, page_id, valid_from, valid_to)).
+
+    A known slug keeps its kind and name and gains aliases. Of edges of a batch whose kind has one value at a time the last
+    by seq counts; it closes open ones to other entities at its valid time, or ``now``. Edges to unknown entities go; all
+    others are added, also where there is one like it, as that is history. New edges: (from_slug, to_slug, kind, weight,
+    state, score, page_id, seq, valid_at, invalid_at)."""
+    named = lambda df, rank: df.filter("slug <> ''").select("slug", "kind", "name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.lit(rank).alias("r"))
+    every = named(entities, 0).unionByName(named(new_entities, 1)).groupBy("slug")
+    first = F.min_by(F.struct("kind", "name"), F.struct("r", "name")).alias("x")
+    merged = every.agg(first, F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases")).select("slug", "x.kind", "x.name", "aliases")
+    known = new_entities.select("slug").distinct()
+    one = F.col("kind").isin(ONE_TO_ONE)
+    last = Window.partitionBy("from_slug", "kind").orderBy(F.desc("seq"))
+    fresh = new_edges.withColumn("_r", F.when(one, F.row_number().over(last)).otherwise(1)).filter("_r = 1")
+    fresh = fresh.join(known, fresh.from_slug == known.slug, "left_semi").join(known, F.col("to_slug") == known.slug, "left_semi")
+    sure = scores.confidence(F.col("state"), F.col("score"))
+    added = fresh.select("from_slug", "to_slug", "kind", "weight", sure["state"].alias("confidence"), sure["score"].alias("score"), "page_id", F.coalesce("valid_at", now).alias("valid_from"), F.col("invalid_at").alias("valid_to"))
+    closing = fresh.filter(one).select("from_slug", "kind", F.col("to_slug").alias("_to"), F.coalesce("valid_at", now).alias("_at"))
+    old = edges.join(closing, ["from_slug", "kind"], "left")
+    closed = F.when(F.col("valid_to").isNull() & F.col("_to").isNotNull() & (F.col("_to") != F.col("to_slug")), F.col("_at")).otherwise(F.col("valid_to"))
+    return merged, old.withColumn("valid_to", closed).select(*added.columns).unionByName(added)
+
+
 def least_label(pairs: DataFrame) -> DataFrame:
     """Connected components of pairs (a, b): (id, label), the least id of the component, for chains of any length."""
     loops = pairs.filter("a = b").select(F.col("a").alias("id"), F.col("a").alias("label")).distinct()

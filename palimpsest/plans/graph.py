@@ -268,3 +268,36 @@ def graph_overview(spark, sf_dir):
         .unionByName(item(per.orderBy(F.desc("degree"), "entity_id").limit(10), "central", key, F.col("degree")))
         .unionByName(item(per.filter("degree >= 3").orderBy(F.desc("kinds"), F.desc("degree"), "entity_id").limit(10), "connector", key, F.col("kinds")))
     )
+
+
+_NEW = """old AS (SELECT 'c' || c_custkey AS from_slug, 'n' || c_nationkey AS to_slug, 'lives_in' AS kind, c_custkey, c_nationkey FROM customer),
+new AS (SELECT from_slug, 'n' || (c_nationkey + k) % 25 AS to_slug, 'lives_in' AS kind, k AS seq, c_custkey FROM old, (SELECT unnest([1, 2]) AS k) WHERE c_custkey % 5 = 0
+  UNION ALL SELECT from_slug, 'n' || k, 'uses', k, c_custkey FROM old, (SELECT unnest([3, 4]) AS k) WHERE c_custkey % 7 = 0 UNION ALL SELECT from_slug, 'nowhere', 'uses', 9, c_custkey FROM old WHERE c_custkey % 7 = 0)"""
+
+
+@query(f"""WITH {_NEW}, last AS (SELECT * FROM new WHERE kind = 'uses' AND to_slug <> 'nowhere' UNION ALL SELECT * FROM new WHERE kind = 'lives_in' AND seq = 2)
+SELECT from_slug, to_slug, kind, 'extracted' AS confidence, 1.0::DOUBLE AS score, CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '2024-06-01' END AS valid_to FROM old
+UNION ALL SELECT from_slug, to_slug, kind, CASE WHEN kind = 'uses' THEN 'inferred' ELSE 'extracted' END, CASE WHEN kind = 'uses' THEN 0.7 ELSE 1.0 END, NULL FROM last""")
+def persist_edges(spark, sf_dir):
+    return _persisted(spark, sf_dir)[1].select("from_slug", "to_slug", "kind", "confidence", "score", "valid_to")
+
+
+@query("""SELECT 'c' || c_custkey AS slug, 'person' AS kind, c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN 'old,said' ELSE 'old' END AS aliases FROM customer
+UNION ALL SELECT 'n' || n_nationkey, 'place', n_name, 'said' FROM nation""")
+def persist_entities(spark, sf_dir):
+    return _persisted(spark, sf_dir)[0].select("slug", "kind", "name", F.array_join("aliases", ",").alias("aliases"))
+
+
+def _persisted(spark, sf_dir):
+    none = lambda kind: F.lit(None).cast(kind)
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    person, place = F.concat(F.lit("c"), F.col("c_custkey").cast("string")), lambda k: F.concat(F.lit("n"), k.cast("string"))
+    stored = c.select(person.alias("slug"), F.lit("person").alias("kind"), F.col("c_name").alias("name"), F.array(F.lit("old")).alias("aliases"))
+    said = c.filter("c_custkey % 5 = 0 or c_custkey % 7 = 0").select(person.alias("slug"), F.lit("concept").alias("kind"), F.upper("c_name").alias("name"), F.when(F.col("c_custkey") % 5 == 0, F.array(F.lit("said"), F.lit("old"))).alias("aliases"))
+    said = said.unionByName(n.select(place(F.col("n_nationkey")).alias("slug"), F.lit("place").alias("kind"), F.col("n_name").alias("name"), F.array(F.lit("said")).alias("aliases")))
+    moment = F.lit("2020-01-01").cast("timestamp")
+    old = c.select(person.alias("from_slug"), place(F.col("c_nationkey")).alias("to_slug"), F.lit("lives_in").alias("kind"), F.lit(1.0).alias("weight"), F.lit("extracted").alias("confidence"), F.lit(1.0).alias("score"), none("long").alias("page_id"), moment.alias("valid_from"), none("timestamp").alias("valid_to"))
+    edge = lambda df, to, kind, state: df.select(person.alias("from_slug"), to.alias("to_slug"), F.lit(kind).alias("kind"), F.lit(1.0).alias("weight"), F.lit(state).alias("state"), none("double").alias("score"), F.lit(1).cast("long").alias("page_id"), F.col("k").alias("seq"), none("timestamp").alias("valid_at"), none("timestamp").alias("invalid_at"))
+    one = edge(c.filter("c_custkey % 5 = 0").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))), place((F.col("c_nationkey") + F.col("k")) % 25), "lives_in", "extracted")
+    two = edge(c.filter("c_custkey % 7 = 0").withColumn("k", F.explode(F.array(F.lit(3), F.lit(4), F.lit(9)))), F.when(F.col("k") == 9, "nowhere").otherwise(place(F.col("k"))), "uses", "inferred")
+    return graph.persist(stored, old, said, one.unionByName(two), F.lit("2024-06-01").cast("timestamp"))

@@ -271,14 +271,12 @@ def commonest(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     are taken, and of the first that doesn't fit as many words, by a hash, as there is room for."""
     level = F.floor(F.log2("c") * 64)
     bins = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
-    room, chosen = most, F.lit(False)
+    room, chosen = most, F.lit(True)
     for r in bins:
-        if r.n <= room:
-            chosen = chosen | (level == r.level)
-            room -= r.n
-            continue
-        chosen = chosen | ((level == r.level) & (F.crc32("word") < int(2**32 * room / r.n)))
-        break
+        if r.n > room:
+            chosen = (level > r.level) | ((level == r.level) & (F.crc32("word") < int(2**32 * room / r.n)))
+            break
+        room -= r.n
     rows = counts.filter(chosen).collect()
     return sorted(((bytes(r.word), r.c) for r in rows), key=lambda x: (-x[1], x[0]))
 

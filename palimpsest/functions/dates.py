@@ -74,12 +74,14 @@ def canonical_dates(text: Column) -> Column:
     """All dates of a text as 'YYYY-MM-DD', by kind and then as they stand, each once."""
 
     def found(pattern: str, y: int, m: int, d: int, month=_number) -> Column:
-        all_of = lambda g: F.regexp_extract_all(text, F.lit(re2(pattern)), F.lit(g))
-        parts = F.arrays_zip(all_of(y).alias("y"), all_of(m).alias("m"), all_of(d).alias("d"))
-        return F.transform(parts, lambda x: _iso(x["y"].cast("int"), month(x["m"]), x["d"].cast("int")))
+        # one pass over the text; the parts are read from the few characters that it finds, of which all are the pattern's
+        whole = "^" + re2(pattern.removeprefix(r"\b").removesuffix(r"\b")) + "$"
+        part = lambda x, g: F.regexp_extract(x, whole, g)
+        return F.transform(F.regexp_extract_all(text, F.lit(re2(pattern)), F.lit(0)), lambda x: _iso(part(x, y).cast("int"), month(part(x, m)), part(x, d).cast("int")))
 
     every = F.concat(found(YMD, 1, 2, 3), found(DMY, 3, 2, 1), found(DAY_MONTH_YEAR, 3, 2, 1, month_of), found(MONTH_DAY_YEAR, 3, 1, 2, month_of))
-    return F.array_distinct(F.filter(every, lambda x: x.isNotNull()))
+    # each kind has a year of four digits
+    return F.when(text.rlike(r"\d{4}"), F.array_distinct(F.filter(every, lambda x: x.isNotNull()))).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
 
 
 def date_tokens(text: Column) -> Column:

@@ -150,7 +150,22 @@ def chunk_fixed(spark, sf_dir):
     return c.select("doc_id", "position", F.char_length("content").alias("n_chars"), F.sha2("content", 256).alias("digest"))
 
 
-@query()
+# Where a chunk that starts at ``start`` ends: after the last blank line, sentence or white space of its last 450 characters, each
+# looked for from the end.
+_END = r"""CASE WHEN start + 1500 >= n THEN n
+  WHEN strpos(blank, chr(10) || chr(10)) > 0 THEN start + 1050 + 451 - strpos(blank, chr(10) || chr(10))
+  WHEN regexp_matches(sentence, '[ \n][.!?]') THEN start + 1050 + 450 - length(regexp_extract(sentence, '^((?s:.*?))[ \n][.!?]', 1))
+  WHEN regexp_matches(space, '[ \n]') THEN start + 1050 + 450 - length(regexp_extract(space, '^([^ \n]*)[ \n]', 1)) ELSE start + 1500 END"""
+_VIEWS = """reverse(substr(text, start + 1050, 451)) AS blank, reverse(substr(text, start + 1051, 451)) AS sentence, reverse(substr(text, start + 1051, 450)) AS space"""
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents),
+c AS (SELECT doc_id, text, n, start, 1 AS k, {_END} AS stop FROM (SELECT *, {_VIEWS} FROM (SELECT *, 0::BIGINT AS start FROM t))
+  UNION ALL SELECT doc_id, text, n, start, k, {_END} FROM (SELECT *, {_VIEWS} FROM (SELECT doc_id, text, n, CASE WHEN stop - 200 > start THEN stop - 200 ELSE stop END AS start, k + 1 AS k FROM c WHERE stop < n))),
+p AS (SELECT doc_id, k, length(regexp_replace(substr(text, start + 1, stop - start), '^\\s+|\\s+$', '', 'g')) AS size, n FROM c),
+o AS (SELECT doc_id, n, size, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS r, count(*) OVER (PARTITION BY doc_id) AS m, lead(size) OVER (PARTITION BY doc_id ORDER BY k) AS next FROM p WHERE size > 0 AND n > 1500)
+SELECT doc_id, 0 AS position, n AS n_chars FROM t WHERE n <= 1500
+UNION ALL SELECT doc_id, (r - 1)::INT, CASE WHEN r = m - 1 AND next < 100 THEN size + 1 + next ELSE size END FROM o WHERE NOT (r = m AND m > 1 AND size < 100)""")
 def chunk_boundary(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.inline(ingest.boundary_chunks(F.col("text")))).select("doc_id", "position", F.char_length("content").alias("n_chars"))
 

@@ -139,3 +139,16 @@ def hybrid_degraded(spark, sf_dir):
 def entity_match_alias(spark, sf_dir):
     found = search.channels(search.pooled(asked(spark, sf_dir)), corpus(spark, sf_dir), ("entity",))
     return found.select("question_id", "item_id", "rank")
+
+
+_ASKED_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(q.text), '[^\p{L}\p{N}]+'), lambda w: w <> ''))"
+_OWN_WORDS = r"list_filter(regexp_split_to_array(lower(c.text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+
+
+@query(_found_sql(["entity", "graph"]) + f""", s AS (SELECT f.question_id, f.item_id, len(list_intersect({_ASKED_WORDS}, {_OWN_WORDS}))::DOUBLE / len({_ASKED_WORDS}) AS s FROM found f JOIN q USING (question_id) JOIN c ON c.item_id = f.item_id WHERE channel = 'graph' AND c.text <> '')
+SELECT question_id, item_id, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, item_id) AS rank FROM s""")
+def graph_rerank(spark, sf_dir):
+    """The graph's channel in a reranker's order, as it enters the fusion."""
+    from ..operators import retrieval
+
+    return search.channels(search.pooled(asked(spark, sf_dir)), corpus(spark, sf_dir), ("graph",), rerank=retrieval.overlap).select("question_id", "item_id", "rank")

@@ -33,7 +33,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays, that of the smallest doc_id; a row without doc_id goes if its group has
+    one, and stays in a group of such rows alone."""
     return simhash.keep_one(docs)
 
 

@@ -124,3 +124,20 @@ def test_the_first_portuguese_weekday_counts(spark):
 def test_chunks_end_for_any_overlap(s, size, overlap):
     got = ingest.chunk(s, size, overlap)
     assert got and len(got) <= len(s) + 1
+
+
+def test_english_stems():
+    from palimpsest.functions.stem import english
+
+    # pairs that were published with the rules
+    known = """consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist
+    consistent consist consistently consist consolation consol consolations consol consolatory consolatori console consol consoled consol
+    consoles consol consolidate consolid consolidated consolid consolidating consolid consoling consol conspicuous conspicu conspicuously
+    conspicu conspiracy conspiraci conspirator conspir conspirators conspir conspire conspir constable constabl constables constabl
+    constancy constanc constant constant knack knack knackeries knackeri knavish knavish kneaded knead kneel kneel knees knee knell knell
+    knelt knelt knew knew knick knick knife knife knight knight knightly knight knights knight knit knit knits knit knitting knit
+    knives knive knocked knock knots knot knotted knot knowledge knowledg generate generat generously generous communism communism
+    dying die skies sky happy happi enjoying enjoy hopping hop hoped hope falling fall relational relat digitizer digit""".split()
+    for word, stem in zip(known[::2], known[1::2], strict=True):
+        assert english(word) == stem, (word, english(word))
+    assert english("generously") == english("generous") and english("generate") == english("generating")

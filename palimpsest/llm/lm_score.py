@@ -37,7 +37,7 @@ CLASSES = OWN // PER_CLASS
 UNITS, FIRST = OWN + TAILS, CLASSES + TAILS
 #: Words, at most, whose counts every worker has.
 HEAD = 131_072
-NOISE, SAMPLES, WORD_NOISE, BATCH, RATE = 16, 64, 4, 2048, 0.02
+NOISE, SAMPLES, WORD_NOISE, BATCH, RATE = 16, 64, 4, 4096, 0.02
 SHARD_TOKENS = 4_000_000
 HELD_OUT, BUCKETS = 2, 7
 #: Distinct words that a worker counts before it hands them on.
@@ -196,21 +196,29 @@ class LogBilinear:
         grad = np.zeros_like(flat)
         g = self._views(grad)
         m, s = state.setdefault("m", np.zeros_like(flat)), state.setdefault("s", np.zeros_like(flat))
-        p, step_of = self.p, np.arange(DIM, dtype=np.int64)
-        cells = lambda rows, values, n: np.bincount((rows.astype(np.int64)[..., None] * DIM + step_of).ravel(), values.ravel(), n * DIM).reshape(n, DIM)
+        p = self.p
         classes = class_of(target)
         draws_of = rng.choice(FIRST, (-(-len(target) // BATCH), SAMPLES), p=self.share)
         for b, a in enumerate(range(0, len(target), BATCH)):
             w, y, ctx, draws = target[a : a + BATCH], classes[a : a + BATCH], before[:, a : a + BATCH], draws_of[b]
             n = len(y)
-            rows = p["context"][ctx]
-            q = np.einsum("knd,kd->nd", rows, p["position"])
-            other = p["class"][draws]
-            mine = p["class"][y]
-            dd = -1 / n / (1 + np.exp(np.minimum(np.einsum("nd,nd->n", q, mine) + (p["class_bias"] - self.class_noise)[y], 30)))
-            dn = (NOISE / SAMPLES / n) / (1 + np.exp(np.minimum(-(q @ other.T) - (p["class_bias"] - self.class_noise)[draws], 30)))
-            dq = dd[:, None] * mine + dn @ other
-            g["class"][:] = cells(y, dd[:, None] * q, FIRST)
+            rows = p["context"].take(ctx, axis=0)
+            q = rows[0] * p["position"][0]
+            for k in range(1, CONTEXT):
+                q += rows[k] * p["position"][k]
+            lift = p["class_bias"] - self.class_noise
+            other, mine = p["class"][draws], p["class"].take(y, axis=0)
+            dd = -1 / n / (1 + np.exp(np.minimum(np.einsum("nd,nd->n", q, mine) + lift[y], 30)))
+            dn = q @ other.T
+            dn += lift[draws]
+            np.negative(dn, out=dn)
+            np.exp(np.minimum(dn, 30, out=dn), out=dn)
+            dn += 1
+            np.divide(NOISE / SAMPLES / n, dn, out=dn)
+            dq = dn @ other
+            mine *= dd[:, None]
+            dq += mine
+            _sums(g["class"], y, (dd[:, None] * q).T)
             np.add.at(g["class"], draws, dn.T @ q)
             g["class_bias"][:] = np.bincount(y, dd, FIRST)
             np.add.at(g["class_bias"], draws, dn.sum(0))
@@ -219,20 +227,34 @@ class LogBilinear:
             # noise of the same class: a place in its whole
             noise = np.minimum(np.searchsorted(self.upto, y[own][:, None] + rng.random((len(own), WORD_NOISE)), "right"), (y[own] * PER_CLASS + PER_CLASS - 1)[:, None])
             both = np.concatenate([x[:, None], noise], axis=1)
-            vectors, lift = p["word"][both], (p["word_bias"] - self.word_noise)[both]
-            z = np.einsum("nd,nkd->nk", qo, vectors) + lift
+            vectors = p["word"].take(both, axis=0)
+            z = np.matmul(vectors, qo[:, :, None])[:, :, 0]
+            z += (p["word_bias"] - self.word_noise).take(both)
             z[:, 0] *= -1
             d = (1 / n) / (1 + np.exp(np.minimum(-z, 30)))
             d[:, 0] *= -1
-            dq[own] += np.einsum("nk,nkd->nd", d, vectors)
-            g["word"][:] = cells(both, d[:, :, None] * qo[:, None, :], OWN)
+            dq[own] += np.matmul(d[:, None, :], vectors)[:, 0, :]
+            # by word, all that were drawn with a column of their own
+            qt = np.ascontiguousarray(qo.T)
+            _sums(g["word"], both.T.ravel(), (np.ascontiguousarray(d.T)[None, :, :] * qt[:, None, :]).reshape(DIM, -1))
             g["word_bias"][:] = np.bincount(both.ravel(), d.ravel(), OWN)
-            g["position"][:] = np.einsum("knd,nd->kd", rows, dq)
-            g["context"][:] = cells(ctx, dq[None, :, :] * p["position"][:, None, :], UNITS)
+            for k in range(CONTEXT):
+                g["position"][k] = np.einsum("nd,nd->d", rows[k], dq)
+            dt = np.ascontiguousarray(dq.T)
+            _sums(g["context"], ctx.ravel(), (p["position"].T[:, :, None] * dt[:, None, :]).reshape(DIM, -1))
             state["n"] = step = state.get("n", 0) + 1
-            m += 0.1 * (grad - m)
-            s += 0.01 * (grad * grad - s)
-            flat -= (RATE / (1 - 0.9**step)) * m / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
+            m *= 0.9
+            m += 0.1 * grad
+            s *= 0.99
+            np.multiply(grad, grad, out=grad)
+            grad *= 0.01
+            s += grad
+            np.sqrt(s, out=grad)
+            grad *= 1 / math.sqrt(1 - 0.99**step)
+            grad += 1e-7
+            np.divide(m, grad, out=grad)
+            grad *= RATE / (1 - 0.9**step)
+            flat -= grad
 
     def log10(self, target: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of the target units."""
@@ -242,28 +264,41 @@ class LogBilinear:
         words = np.ascontiguousarray(p["word"].reshape(CLASSES, PER_CLASS, DIM).transpose(0, 2, 1))
         bias = p["word_bias"].reshape(CLASSES, PER_CLASS)
         classes, out = class_of(target), np.empty(len(target), np.float64)
-        for a in range(0, len(target), 8192):
-            y, ctx, unit = classes[a : a + 8192], before[:, a : a + 8192], target[a : a + 8192].astype(np.int64)
-            q = tables[0][ctx[0]]
+        asked = np.empty((len(target), DIM), np.float32)
+        for a in range(0, len(target), 4096):
+            ctx, q = before[:, a : a + 4096], asked[a : a + 4096]
+            np.take(tables[0], ctx[0], axis=0, out=q)
             for k in range(1, CONTEXT):
-                q += tables[k][ctx[k]]
-            got = _log_softmax(q @ across + p["class_bias"], y)
-            order = np.argsort(y, kind="stable")
-            cuts = np.searchsorted(y[order], np.arange(CLASSES + 1))
-            for c in np.flatnonzero(np.diff(cuts)).tolist():
-                own = order[cuts[c] : cuts[c + 1]]
-                got[own] += _log_softmax(q[own] @ words[c] + bias[c], unit[own] - c * PER_CLASS)
-            out[a : a + 8192] = got
+                q += tables[k].take(ctx[k], axis=0)
+            z = q @ across
+            z += p["class_bias"]
+            out[a : a + 4096] = _log_softmax(z, classes[a : a + 4096])
+        # then all tokens of a class at once
+        order = np.argsort(classes.astype(np.uint8), kind="stable")
+        cuts = np.searchsorted(classes[order], np.arange(CLASSES + 1))
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            own = order[cuts[c] : cuts[c + 1]]
+            z = asked.take(own, axis=0) @ words[c]
+            z += bias[c]
+            out[own] += _log_softmax(z, target[own].astype(np.int64) - c * PER_CLASS)
         return out / math.log(10)
 
 
+def _sums(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Values (a line for each dimension) added up by row."""
+    for d, line in enumerate(values):
+        into[:, d] = np.bincount(rows, line, len(into))
+
+
 def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    own = z[np.arange(len(z)), at].astype(np.float64)
-    top = max(0.0, float(z.max()) - 60)  # far from what a float holds
-    if top:
-        z -= np.float32(top)
-    np.exp(z, out=z)
-    return own - top - np.log(z @ np.ones(z.shape[1], np.float32))
+    own = z.ravel().take(np.arange(0, z.size, z.shape[1]) + at).astype(np.float64)
+    with np.errstate(over="ignore"):
+        sums = np.exp(z) @ np.ones(z.shape[1], np.float32)
+    if np.isfinite(sums).all() and sums.all():
+        return own - np.log(sums)
+    # beyond what a float holds
+    top = z.max(axis=1, keepdims=True)
+    return own - top[:, 0] - np.log(np.exp(z - top).sum(1))
 
 
 def commonest(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:

@@ -21,6 +21,8 @@ SECRETS = [
     r"\beyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{6,}\b",
     r"-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----",
 ]
+#: What a text must have for each of them to match: a plain search for it comes first.
+NEEDS = [["sk-"], ["_live_", "_test_"], ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], ["xox"], ["AKIA"], ["AIza"], ["eyJ"], ["PRIVATE KEY-----"]]
 ACCENTED, PLAIN = "áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn"
 
 
@@ -47,12 +49,16 @@ def content_hash(s: Column) -> Column:
 
 
 def redact(s: Column) -> tuple[Column, Column]:
-    """(masked text, how many secrets were masked); each pattern sees what the ones before left."""
-    n = F.lit(0)
-    for p in SECRETS:
-        n = n + F.regexp_count(s, F.lit(re2(p)))
-        s = F.regexp_replace(s, re2(p), MASK)
-    return s, n
+    """(masked text, how many secrets were masked); each pattern sees what the ones before left. Patterns run only over texts
+    that have what they need, so texts without secrets are searched but not matched."""
+    each = F.array(*[F.struct(F.lit(re2(p)).alias("p"), F.array(*[F.lit(x) for x in need]).alias("need")) for p, need in zip(SECRETS, NEEDS, strict=True)])
+
+    def step(acc: Column, x: Column) -> Column:
+        found = F.struct(F.regexp_replace(acc["t"], x["p"], F.lit(MASK)).alias("t"), (acc["n"] + F.regexp_count(acc["t"], x["p"])).alias("n"))
+        return F.when(F.exists(x["need"], lambda m: F.contains(acc["t"], m)), found).otherwise(acc)
+
+    done = F.aggregate(each, F.struct(s.alias("t"), F.lit(0).alias("n")), step)
+    return done["t"], done["n"]
 
 
 # Links, and their hosts without a user and a port.

@@ -141,3 +141,10 @@ def test_english_stems():
     for word, stem in zip(known[::2], known[1::2], strict=True):
         assert english(word) == stem, (word, english(word))
     assert english("generously") == english("generous") and english("generate") == english("generating")
+
+
+@pytest.mark.parametrize("secret", ["sk-" + "a" * 20, "sk_live_" + "b" * 16, "rk_test_" + "b" * 16, "gho_" + "c" * 20, "ghr_" + "c" * 20, "xoxb-" + "1" * 10, "AKIA" + "D" * 16, "AIza" + "e" * 30, "eyJ" + "f" * 10 + "." + "g" * 10 + "." + "h" * 6, "-----BEGIN RSA PRIVATE KEY-----"])
+def test_every_kind_of_secret_is_masked(spark, secret):
+    masked, n = (value(spark, c, s=f"x {secret} and {secret}.") for c in text.redact(F.col("s")))
+    assert (masked, n) == (f"x {text.MASK} and {text.MASK}.", 2)
+    assert value(spark, text.redact(F.col("s"))[0], s="no sk- or AKIA here") == "no sk- or AKIA here"

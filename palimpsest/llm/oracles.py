@@ -58,3 +58,39 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN s USING (r)""",
 }
+
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_DOT = "list_dot_product({0}, {1})::BIGINT"
+_SQUARES = "list_sum(list_transform(list_zip({0}, {1}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+
+
+def _clusters(rounds: int) -> str:
+    """Plain rounds of clustering: c are the centroids of a round, a is what they assign."""
+    sql = f"""WITH e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {_WHOLE} AND len(embedding) = 64),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h) - 1)::INT AS c, v AS m FROM (SELECT v, sha256('3:' || vec_id) AS h FROM e ORDER BY h LIMIT 8))"""
+    for r in range(rounds + 1):
+        sql += f""",
+a{r} AS MATERIALIZED (SELECT vec_id, v, d.c AS c, d.d AS d FROM (SELECT vec_id, e.v, min({{'d': {_SQUARES.format("e.v", "m")}, 'c': c}}) AS d FROM e, c{r} GROUP BY vec_id, e.v))"""
+        if r < rounds:
+            sql += f""",
+s{r} AS (SELECT c, i, floor(sum(x)::HUGEINT / count(*))::BIGINT AS x FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(n.m, c{r}.m) AS m FROM c{r} LEFT JOIN (SELECT c, list(x ORDER BY i) AS m FROM s{r} GROUP BY c) n ON n.c = c{r}.c)"""
+    return f"""{sql}
+SELECT vec_id, a.c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON a.c = c.c"""
+
+
+SQL |= {
+    "op11_hard_negatives": f"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_WHOLE}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor, b.vec_id AS id, a.label = b.label AS same, {_DOT.format("a.v", "b.v")} AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5)
+SELECT p.anchor AS anchor_id, p.id AS positive_id, (row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id))::INT AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3""",
+    "op12_yinyang": _clusters(10),
+    "op13_knn_join": f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE {_WHOLE})
+SELECT q.vec_id AS query_id, (row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT.format("q.v", "b.v")} DESC, b.vec_id))::INT AS rank, b.vec_id, {_DOT.format("q.v", "b.v")} AS score
+FROM e q JOIN e b ON q.vec_id <> b.vec_id WHERE q.vec_id % 20 = 0 QUALIFY rank <= 20""",
+}

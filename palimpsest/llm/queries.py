@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, lm_score, quality_cnn, quality_rules, simhash, substring_dedup, token_blocks, warc
+from . import byte_bpe, decontaminate, hard_negatives, knn_join, line_dedup, lm_score, quality_cnn, quality_rules, simhash, substring_dedup, token_blocks, warc, yinyang
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,19 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, moved)
+
+
+def op12_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.report(*yinyang.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20, 64)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

@@ -59,10 +59,9 @@ def keyword_hits(questions: DataFrame, texts: DataFrame) -> DataFrame:
     def run(part: DataFrame) -> DataFrame:
         asked = part.select("question_id", F.explode(F.array_distinct(words(F.col("terms")))).alias("term"))
         need = asked.groupBy("question_id").agg(F.count("*").alias("need"))
-        # only words that some question of the block has are counted; the rest of a text never leaves the scan
-        terms = F.broadcast(asked.agg(F.collect_set("term").alias("asked")))
-        own = texts.select("item_id", words(F.col("text")).alias("w")).join(terms, F.arrays_overlap("w", "asked"))
-        own = own.select("item_id", F.size("w").alias("size"), F.explode(F.filter("w", lambda x: F.array_contains("asked", x))).alias("term"))
+        # words are looked up in the block's terms by a hash; the rest of a text never leaves the scan
+        terms = F.broadcast(asked.select("term").distinct())
+        own = texts.select("item_id", words(F.col("text")).alias("w")).select("item_id", F.size("w").alias("size"), F.explode("w").alias("term")).join(terms, "term")
         counts = own.groupBy("item_id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
         hit = counts.join(F.broadcast(asked), "term").groupBy("question_id", "item_id").agg(F.count("*").alias("have"), F.sum((1 + F.ln("tf")) / (1 + F.ln("size"))).alias("fts"))
         full = hit.join(F.broadcast(need), "question_id").filter(F.col("have") == F.col("need"))

@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..functions.text import words
 from . import graph
+from .intervals import holds
 from .joins import small
 from .ranking import ranked, top_k
 from .state import cut
 
 #: Questions that are compared with all items at a time.
 BLOCK = 1000
+VALID = ["valid_from", "valid_to"]
 
 
 def by_block(questions: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -89,92 +91,121 @@ def date_channel(questions: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return top_k(date_hits(questions, texts), ["question_id"], [F.col("shared").desc(), F.col("item_id")], k)
 
 
-def alike(questions: DataFrame, entities: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """(question_id, entity_id, sim) of names with trigram similarity to a question (question_id, text; entity_id, name),
-    found through shared trigrams."""
+def alike(questions: DataFrame, entities: DataFrame, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(question_id, entity_id, *keep, sim) of names with trigram similarity to a question (question_id, text; entity_id, name),
+    found through shared trigrams. ``keep`` are columns that tell versions of an entity apart."""
+    own = ["entity_id", *keep]
 
     def run(part: DataFrame) -> DataFrame:
         q = part.select("question_id", scores.trigrams(F.col("text")).alias("t")).select("question_id", F.size("t").alias("qn"), F.explode("t").alias("g"))
-        e = entities.select("entity_id", scores.trigrams(F.col("name")).alias("t")).select("entity_id", F.size("t").alias("en"), F.explode("t").alias("g"))
-        both = e.join(F.broadcast(q), "g").groupBy("question_id", "entity_id").agg(F.count("*").alias("n"), F.first("qn").alias("qn"), F.first("en").alias("en"))
-        return both.select("question_id", "entity_id", F.round(F.col("n") / (F.col("qn") + F.col("en") - F.col("n")), 9).alias("sim")).filter(F.col("sim") >= threshold)
+        e = entities.select(*own, scores.trigrams(F.col("name")).alias("t")).select(*own, F.size("t").alias("en"), F.explode("t").alias("g"))
+        both = e.join(F.broadcast(q), "g").groupBy("question_id", *own).agg(F.count("*").alias("n"), F.first("qn").alias("qn"), F.first("en").alias("en"))
+        return both.select("question_id", *own, F.round(F.col("n") / (F.col("qn") + F.col("en") - F.col("n")), 9).alias("sim")).filter(F.col("sim") >= threshold)
 
     return by_block(questions, run)
 
 
-def named(questions: DataFrame, entities: DataFrame) -> DataFrame:
-    """(question_id, entity_id, sim 1) of entities (entity_id, aliases) with an alias that stands in a question's text.
+def named(questions: DataFrame, entities: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(question_id, entity_id, *keep, sim 1) of entities (entity_id, aliases) with an alias that stands in a question's text.
 
     An alias is contained only where its first three characters are, so aliases and questions meet by those."""
+    own = ["entity_id", *keep]
 
     def run(part: DataFrame) -> DataFrame:
         low = part.select("question_id", F.lower("text").alias("q"))
         starts = F.flatten(F.transform(F.sequence(F.lit(1), F.char_length("q")), lambda i: F.transform(F.array(*[F.lit(k) for k in (1, 2, 3)]), lambda k: F.substr(F.col("q"), i, k))))
         grams = low.filter("q <> ''").select("question_id", "q", F.explode(F.array_distinct(starts)).alias("start"))
-        alias = entities.select("entity_id", F.explode(F.array_distinct("aliases")).alias("a")).select("entity_id", F.lower("a").alias("a")).filter("a <> ''")
+        alias = entities.select(*own, F.explode(F.array_distinct("aliases")).alias("a")).select(*own, F.lower("a").alias("a")).filter("a <> ''")
         met = alias.withColumn("start", F.substring("a", 1, 3)).join(F.broadcast(grams), "start").filter(F.contains(F.col("q"), F.col("a")))
-        return met.select("question_id", "entity_id", F.lit(1.0).alias("sim")).distinct()
+        return met.select("question_id", *own, F.lit(1.0).alias("sim")).distinct()
 
     return by_block(questions, run)
 
 
 def seeds(questions: DataFrame, entities: DataFrame, k: int, threshold: float = 0.3) -> DataFrame:
-    """The entities most like each question: by name and, if entities have them, by aliases, the better of both."""
-    sim = alike(questions, entities, threshold)
+    """The entities most like each question: by name and, if entities have them, by aliases, the better of both.
+
+    Questions with a moment (as_of; null is the present) meet only what of the entities (valid_from, valid_to) held then, and
+    keep it."""
+    moment = "as_of" in questions.columns
+    keep = ("valid_from", "valid_to") if moment else ()
+    sim = alike(questions, entities, threshold, keep)
     if "aliases" in entities.columns:
-        sim = sim.unionByName(named(questions, entities)).groupBy("question_id", "entity_id").agg(F.max("sim").alias("sim"))
+        sim = sim.unionByName(named(questions, entities, keep))
+    if moment:
+        sim = sim.join(small(questions.select("question_id", "as_of")), "question_id").filter(holds(F.col("as_of"), F.col("valid_from"), F.col("valid_to")))
+    if moment or "aliases" in entities.columns:
+        sim = sim.groupBy("question_id", "entity_id", *(["as_of"] if moment else [])).agg(F.max("sim").alias("sim"))
     return top_k(sim, ["question_id"], [F.col("sim").desc(), F.col("entity_id")], k, "seed_rank")
 
 
 def page_weights(found: DataFrame, edges: DataFrame, weight: Column) -> DataFrame:
-    """Weights of pages whose edges touch found entities; an edge with both ends found counts twice."""
-    ends = graph.endpoints(edges.filter("page_id IS NOT NULL").select("from_id", "to_id", "page_id"))
-    return ends.join(small(found), "entity_id").groupBy("question_id", "page_id").agg(F.sum(weight).alias("weight"))
-
-
-def entity_weights(found: DataFrame, edges: DataFrame, touched: DataFrame | None = None) -> DataFrame:
-    """(question_id, page_id, weight): the similarity of found entities (question_id, entity_id, sim), damped by degree, summed
-    over their edges. Degrees are over ``edges``, pages over ``touched`` (of a moment), or both in one pass over ``edges``."""
-    found = cut(found.select("question_id", "entity_id", "sim"))
-    few = small(found)
-    ends = graph.endpoints(edges.select("from_id", "to_id", "page_id")).join(small(found.select("entity_id").distinct()), "entity_id", "left_semi")
-    per = cut(ends.groupBy("entity_id", "page_id").agg(F.count("*").alias("edges")))
-    degree = per.groupBy("entity_id").agg(F.sum("edges").alias("degree"))
-    if touched is not None:
-        ends = graph.endpoints(touched.filter("page_id IS NOT NULL").select("from_id", "to_id", "page_id"))
-        per = ends.join(small(found.select("entity_id").distinct()), "entity_id", "left_semi").groupBy("entity_id", "page_id").agg(F.count("*").alias("edges"))
-    pages = per.filter("page_id IS NOT NULL").join(degree, "entity_id", "left").join(few, "entity_id")
+    """Weights of pages whose edges touch found entities; an edge with both ends found counts twice. Entities found for a moment
+    (as_of) count by edges that held then."""
+    moment = "as_of" in found.columns
+    ends = graph.endpoints(edges.filter("page_id IS NOT NULL").select("from_id", "to_id", "page_id", *(VALID if moment else [])))
+    met = ends.join(small(found), "entity_id")
+    met = met.filter(holds(F.col("as_of"), F.col("valid_from"), F.col("valid_to"))) if moment else met
+    return met.groupBy("question_id", "page_id").agg(F.sum(weight).alias("weight"))
+
+
+def degrees_of(ids: DataFrame, edges: DataFrame, degrees: DataFrame | None) -> DataFrame:
+    """(entity_id, degree) of some entities: looked up in a kept table, else counted over ``edges``."""
+    if degrees is not None:
+        return degrees.select("entity_id", "degree").join(small(ids.distinct()), "entity_id", "left_semi")
+    return graph.degree(graph.touching(edges, small(ids.distinct())))
+
+
+def entity_weights(found: DataFrame, edges: DataFrame, touched: DataFrame | None = None, degrees: DataFrame | None = None) -> DataFrame:
+    """(question_id, page_id, weight): the similarity of found entities (question_id, entity_id, sim, and as_of for a moment),
+    damped by degree, summed over their edges.
+
+    Degrees are those of a kept table (``degrees``), or counted over ``edges``; pages are over ``touched`` (edges with their
+    validity, of which those count that held at as_of), or ``edges``."""
+    moment = ["as_of"] if "as_of" in found.columns else []
+    found = cut(found.select("question_id", "entity_id", *moment, "sim"))
+    ids, of = found.select("entity_id").distinct(), edges if touched is None else touched
+    ends = graph.endpoints(of.filter("page_id IS NOT NULL").select("from_id", "to_id", "page_id", *(VALID if moment else [])))
+    degree = degrees_of(ids, edges, degrees)
+    rows = ends.join(small(found), "entity_id")
+    rows = rows.filter(holds(F.col("as_of"), F.col("valid_from"), F.col("valid_to"))) if moment else rows
+    # edges are counted before they are weighed
+    per = rows.groupBy("question_id", "entity_id", "sim", "page_id").agg(F.count("*").alias("edges")).join(degree, "entity_id", "left")
     weight = scores.damped(F.col("sim"), F.coalesce("degree", F.lit(0))) * F.col("edges")
-    return pages.groupBy("question_id", "page_id").agg(F.round(F.sum(weight), 6).alias("weight"))
+    return per.groupBy("question_id", "page_id").agg(F.round(F.sum(weight), 6).alias("weight"))
 
 
 def entity_channel(questions: DataFrame, entities: DataFrame, edges: DataFrame, k: int, cap: int = 8) -> DataFrame:
     return top_k(entity_weights(seeds(questions, entities, cap), edges), ["question_id"], [F.col("weight").desc(), F.col("page_id")], k)
 
 
-def expansion_weights(found: DataFrame, edges: DataFrame, depth: int = 2, kinds: list[str] | None = None, hub: int = scores.HUB_DEGREE, touched: DataFrame | None = None) -> DataFrame:
+def expansion_weights(found: DataFrame, edges: DataFrame, depth: int = 2, kinds: list[str] | None = None, hub: int = scores.HUB_DEGREE, touched: DataFrame | None = None, degrees: DataFrame | None = None) -> DataFrame:
     """(question_id, page_id, weight) around what found entities lead to: both directions, sure edges of reasoning kinds, never
-    through hubs. Each hop starts at the frontier; degrees are counted for what it reaches only."""
+    through hubs. Each hop starts at the frontier; degrees are those of a kept table, or counted for what the hop reaches. What is
+    found for a moment (as_of) walks edges of ``touched`` that held then: moments are a column, not a pass each."""
     from ..functions.kinds import WALKED
 
-    walked = edges if touched is None else touched
-    sure = walked.filter((F.col("confidence") >= scores.MIN_CONFIDENCE) & F.col("kind").isin(kinds or WALKED)).select("from_id", "to_id", "confidence")
-    both = sure.unionByName(sure.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "confidence"))
-    at = cut(found.select("question_id", "entity_id", F.col("sim").alias("mult"), F.array("entity_id").alias("path")))
+    walked, moment = edges if touched is None else touched, ["as_of"] if "as_of" in found.columns else []
+    valid = VALID if moment else []
+    sure = walked.filter((F.col("confidence") >= scores.MIN_CONFIDENCE) & F.col("kind").isin(kinds or WALKED)).select("from_id", "to_id", "confidence", *valid)
+    both = sure.unionByName(sure.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "confidence", *valid))
+    at = cut(found.select("question_id", *moment, "entity_id", F.col("sim").alias("mult"), F.array("entity_id").alias("path")))
     every = at
     for _ in range(depth):
         # of several edges between two entities the surest leads on: the best multiplier of a path is all that counts
-        leave = both.join(small(at.select(F.col("entity_id").alias("from_id")).distinct()), "from_id", "left_semi")
-        leave = cut(leave.groupBy("from_id", "to_id").agg(F.max("confidence").alias("confidence")))
-        degree = graph.degree(graph.touching(edges, leave.select(F.col("to_id").alias("entity_id")).distinct()))
-        open_ = leave.join(degree.withColumnRenamed("entity_id", "to_id"), "to_id").filter(F.col("degree") <= hub).select("from_id", "to_id", "confidence")
+        leave = both.join(small(at.select(F.col("entity_id").alias("from_id"), *moment).distinct()), "from_id")
+        leave = leave.filter(holds(F.col("as_of"), F.col("valid_from"), F.col("valid_to"))) if moment else leave
+        leave = cut(leave.groupBy("from_id", "to_id", *moment).agg(F.max("confidence").alias("confidence")))
+        degree = degrees_of(leave.select(F.col("to_id").alias("entity_id")), edges, degrees)
+        open_ = leave.join(degree.withColumnRenamed("entity_id", "to_id"), "to_id").filter(F.col("degree") <= hub).select("from_id", "to_id", *[F.col(c).alias(f"_{c}") for c in moment], "confidence")
+        same = F.col("as_of").eqNullSafe(F.col("_as_of")) if moment else F.lit(True)
         at = cut(
-            open_.join(small(at), F.col("from_id") == F.col("entity_id"))
+            open_.join(small(at), (F.col("from_id") == F.col("entity_id")) & same)
             .filter(~F.array_contains("path", F.col("to_id")))
-            .select("question_id", F.col("to_id").alias("entity_id"), (F.col("mult") * F.col("confidence") * scores.HOP_DECAY).alias("mult"), F.concat("path", F.array("to_id")).alias("path"))
+            .select("question_id", *moment, F.col("to_id").alias("entity_id"), (F.col("mult") * F.col("confidence") * scores.HOP_DECAY).alias("mult"), F.concat("path", F.array("to_id")).alias("path"))
         )
         every = every.unionByName(at)
-    best = cut(every.groupBy("question_id", "entity_id").agg(F.max("mult").alias("mult")))
+    best = cut(every.groupBy("question_id", *moment, "entity_id").agg(F.max("mult").alias("mult")))
     pages = page_weights(best, walked, F.col("mult"))
     return pages.withColumn("weight", F.round("weight", 6))
 

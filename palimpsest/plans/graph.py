@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import kinds, scores, text
-from ..operators import graph, resolve
+from ..operators import graph, intervals, resolve, retrieval
+from ..operators.ranking import top_k
 from ..sources.tables import EDGES_SQL, ENTITIES_SQL, NATION, PART, PERSON, as_of, current, edges, entities, table
 from .base import query
 
@@ -301,3 +302,41 @@ def _persisted(spark, sf_dir):
     one = edge(c.filter("c_custkey % 5 = 0").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))), place((F.col("c_nationkey") + F.col("k")) % 25), "lives_in", "extracted")
     two = edge(c.filter("c_custkey % 7 = 0").withColumn("k", F.explode(F.array(F.lit(3), F.lit(4), F.lit(9)))), F.when(F.col("k") == 9, "nowhere").otherwise(place(F.col("k"))), "uses", "inferred")
     return graph.persist(stored, old, said, one.unionByName(two), F.lit("2024-06-01").cast("timestamp"))
+
+
+#: What was ordered and not yet shipped; of one order in fifty it isn't known when it was.
+_OPEN = "open_ AS (SELECT l_orderkey, l_partkey, l_quantity, o_orderdate AS valid_from, CASE WHEN l_orderkey % 50 <> 0 THEN l_shipdate END AS valid_to FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+def _open_lines(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
+    order = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey"), F.col("o_orderdate").cast("timestamp").alias("valid_from"))
+    shipped = F.when(F.col("l_orderkey") % 50 != 0, F.col("l_shipdate").cast("timestamp"))
+    return line.join(order, "l_orderkey").select("l_orderkey", "o_custkey", "l_partkey", "l_quantity", "valid_from", shipped.alias("valid_to"))
+
+
+@query(f"""WITH {_OPEN}, m AS (SELECT DISTINCT o_orderdate + INTERVAL 12 HOUR AS moment FROM orders)
+SELECT moment, count(*) AS n, sum(l_quantity)::DOUBLE AS quantity, max(l_orderkey) AS last FROM m JOIN open_ ON valid_from <= moment AND (valid_to IS NULL OR valid_to > moment) GROUP BY moment""")
+def as_of_join(spark, sf_dir):
+    """What was open at noon of every day on which something was ordered."""
+    noon = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + 12 * 3600 * 1_000_000)
+    moments = table(spark, sf_dir, "orders").select(noon.alias("moment")).distinct()
+    met = intervals.join_moments(moments, _open_lines(spark, sf_dir))
+    return met.groupBy("moment").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.max("l_orderkey").alias("last"))
+
+
+@query(f"""WITH {_OPEN}, q AS (SELECT o_custkey AS question_id, min(o_orderdate) + INTERVAL 30 DAY AS as_of FROM orders GROUP BY o_custkey),
+e AS (SELECT c.o_custkey + {PERSON} AS from_id, l_partkey + {PART} AS to_id, l_orderkey AS page_id, valid_from, valid_to FROM open_ JOIN orders c ON c.o_orderkey = l_orderkey),
+ends AS (SELECT from_id AS entity_id, * FROM e UNION ALL SELECT to_id, * FROM e), deg AS (SELECT entity_id, count(*) AS degree FROM ends WHERE valid_to IS NULL GROUP BY entity_id),
+w AS (SELECT question_id, page_id, round(sum(1.0 / (1 + 0.001 * pow(greatest(coalesce(degree, 0) - 1, 0), 2))), 6) AS weight FROM q JOIN ends e ON e.entity_id = question_id + {PERSON} AND valid_from <= as_of AND (valid_to IS NULL OR valid_to > as_of)
+  LEFT JOIN deg ON deg.entity_id = e.entity_id GROUP BY ALL)
+SELECT question_id, page_id, round(weight, 6) AS weight, row_number() OVER (PARTITION BY question_id ORDER BY weight DESC, page_id) AS rank FROM w QUALIFY rank <= 5""")
+def entity_pages_as_of(spark, sf_dir):
+    """Every customer asks with a moment of their own, a month after their first order; their edges' starts and ends decide."""
+    lines = _open_lines(spark, sf_dir)
+    e = lines.select((F.col("o_custkey") + PERSON).alias("from_id"), (F.col("l_partkey") + PART).alias("to_id"), F.col("l_orderkey").alias("page_id"), "valid_from", "valid_to")
+    month = F.timestamp_micros(F.unix_micros(F.min(F.col("o_orderdate").cast("timestamp"))) + 30 * 86_400 * 1_000_000)
+    q = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("question_id")).agg(month.alias("as_of"))
+    found = q.select("question_id", "as_of", (F.col("question_id") + PERSON).alias("entity_id"), F.lit(1.0).alias("sim"))
+    weights = retrieval.entity_weights(found, current(e), e)
+    return top_k(weights, ["question_id"], [F.col("weight").desc(), F.col("page_id")], 5).select("question_id", "page_id", F.round("weight", 6).alias("weight"), "rank")

@@ -1,11 +1,12 @@
-"""Repeated passages by hashing windows of words at places that the words themselves choose.
+"""Repeated lines and passages by hashing units of a text.
 
-A text's units are windows of ``MIN_WORDS`` words. They overlap: of any ``STEP`` windows in a row, the one whose first two
-words hash lowest is a unit, so that a passage of ``MIN_WORDS + STEP - 1`` words, 41, has a unit in common wherever it
-stands. The first and the last window of each line are units too: repeated lines go to their ends. Units are normalised (A-Z
-lower-cased, words joined by a space) and their digests grouped over all documents. The earliest occurrence by
-(doc_id, text hash, place) is kept, all others go; units in a row that go are one span. So every word that goes stands in
-``MIN_WORDS`` words that stand earlier too. Within a line, up to ``STEP - 1`` words can stay at each end of a passage.
+The units are the lines of at least ``MIN_LINE`` words, whole. What is repeated within lines or across them is found by further
+units, windows of ``MIN_WORDS`` words: of any ``STEP`` windows in a row, the one whose first two words hash lowest, so that a passage
+of ``MIN_WORDS + STEP - 1`` words, 41, has a unit in common wherever it stands. Units are normalised (A-Z lower-cased, words joined
+by a space) and their digests grouped over all documents. The earliest occurrence by (doc_id, text hash, place) is kept, all others
+go; units that overlap or follow each other and go are one span. So every word that goes stands in a line or in ``MIN_WORDS`` words
+that stand earlier too, and a repeated line goes from its first word to its last. Of a passage within a line up to ``STEP - 1`` words
+can stay at each end. Shorter lines are no units: they repeat by chance and as boilerplate, which line dedup judges by frequency.
 
 Offsets are code points of the original text. Nulls and texts of fewer words have no units. Rows with equal doc_id and text
 count as one document and lose the same spans. Null doc_ids rank last. Extra columns pass through ``clean``.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh, lookup, map_rows
 
-MIN_WORDS, STEP = 25, 17
+MIN_WORDS, STEP, MIN_LINE = 25, 17, 16
 _SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 _CODE = np.where(_SPACE, 0, np.random.default_rng(8).integers(1, 2**63, 256)).astype(np.uint64)
 
@@ -35,50 +36,51 @@ def chosen(h: np.ndarray) -> set[int]:
     return set((len(h) - 1 - (low & bits).astype(np.int64)).tolist())
 
 
-def units(text: str | None, size: int = MIN_WORDS) -> list[tuple[int, int, list[bytes], int]]:
-    """(start, stop, normalised words, place of the first word) of each unit."""
+def units(text: str | None, size: int = MIN_WORDS, line: int = MIN_LINE) -> list[tuple[int, int, list[bytes], int]]:
+    """(start, stop, normalised words, place of the first word) of each unit, in order of places."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower()
     w = raw.split()
-    last = len(w) - size
-    if last < 0:
+    if len(w) < min(size, line):
         return []
     b = np.frombuffer(raw, np.uint8)
     space = _SPACE[b]
     edges = (np.flatnonzero(space[1:] != space[:-1]) + 1).tolist()
     edges = np.array([0] * (not space[0]) + edges + [len(b)] * (not space[-1]))
     starts, stops = edges[::2], edges[1::2]
-    code = _CODE[b]
-    code[1:] *= code[:-1] | np.uint64(1)
-    h = np.add.reduceat(code, starts)
-    # of the first word and, so that a common word isn't always lowest, the second
-    h[:-1] += h[1:] * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    places = chosen(h[: last + 1])
-    lines = [0, *np.searchsorted(starts, np.flatnonzero(b == 10)).tolist(), len(w)]
-    for x, y in zip(lines, lines[1:], strict=False):
-        if y - x >= size:
-            places |= {x, y - size}
-    first = np.array(sorted(places))
-    begin, end = starts[first], stops[first + size - 1]
+    ends = [0, *np.searchsorted(starts, np.flatnonzero(b == 10)).tolist(), len(w)]
+    found = {(x, y - x) for x, y in zip(ends, ends[1:], strict=False) if y - x >= line}
+    last = len(w) - size
+    if last >= 0:
+        code = _CODE[b]
+        code[1:] *= code[:-1] | np.uint64(1)
+        h = np.add.reduceat(code, starts)
+        # of the first word and, so that a common word isn't always lowest, the second
+        h[:-1] += h[1:] * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        found |= {(p, size) for p in chosen(h[: last + 1])}
+    if not found:
+        return []
+    first, n = np.array(sorted(found)).T
+    begin, end = starts[first], stops[first + n - 1]
     if len(raw) > len(text):
         before = np.cumsum(b & 0xC0 != 0x80)
         begin, end = before[begin] - 1, before[end - 1]
-    return [(x, y, w[p : p + size], p) for x, y, p in zip(begin.tolist(), end.tolist(), first.tolist(), strict=True)]
+    return [(x, y, w[p : p + m], p) for x, y, p, m in zip(begin.tolist(), end.tolist(), first.tolist(), n.tolist(), strict=True)]
 
 
 def _rows(docs: DataFrame, size: int) -> DataFrame:
-    """Every unit: its digest, document, place among the document's units, offsets and place of its first word."""
+    """Every unit: its digest, document, place among the document's units, offsets, place of its first word and number of words."""
 
     def make():
         import xxhash
 
         def f(cols):
             for a in range(0, len(cols[0]), 2000):
-                out = [[] for _ in range(8)]
+                out = [[] for _ in range(9)]
                 for doc, th, text in zip(*(c[a : a + 2000] for c in cols), strict=True):
                     for k, (start, stop, w, at) in enumerate(units(text, size)):
                         d = xxhash.xxh3_128_intdigest(b" ".join(w))
-                        for col, x in zip(out, ((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), doc, th, k, start, stop, at), strict=True):
+                        for col, x in zip(out, ((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), doc, th, k, start, stop, at, len(w)), strict=True):
                             col.append(x)
                 yield out
 
@@ -86,7 +88,7 @@ def _rows(docs: DataFrame, size: int) -> DataFrame:
 
     # rows that are alike are one document
     one = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return map_rows(one, ["doc_id", "th", "text"], "h1 long, h2 long, doc_id long, th long, k int, start int, stop int, at int", make)
+    return map_rows(one, ["doc_id", "th", "text"], "h1 long, h2 long, doc_id long, th long, k int, start int, stop int, at int, n int", make)
 
 
 def _rank():
@@ -101,23 +103,22 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     total = known.agg(F.sum("copies")).first()[0] or 0
     met = lookup(rows, known, ["h1", "h2"], "copies", total, ["doc_id", "th", "k"])
     later = met.filter(F.col("copies").isNotNull() & ~F.col("first").eqNullSafe(_rank()))
-    per = later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("k", "start", "stop", "at", F.col("first.doc_id").alias("kept")))).alias("u"))
+    # a set: rows that are alike give each unit again, which tasks drop before the shuffle
+    per = later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("k", "start", "stop", "at", "n", F.col("first.doc_id").alias("kept")))).alias("u"))
 
     def make():
         def f(cols):
             out = [[] for _ in range(6)]
             for doc, th, own in zip(*cols, strict=True):
-                # rows that are alike give each unit more than once
-                own = list({x["k"]: x for x in own}.values())
-                run: list[dict] = []
+                run, end = [], 0
                 for x in [*own, None]:
-                    if run and (x is None or x["k"] != run[-1]["k"] + 1):
-                        n = run[-1]["at"] + min_words - run[0]["at"]
-                        for col, y in zip(out, (doc, th, run[0]["start"], run[-1]["stop"], n, run[0]["kept"]), strict=True):
+                    if run and (x is None or x["at"] > end):
+                        for col, y in zip(out, (doc, th, run[0]["start"], max(u["stop"] for u in run), end - run[0]["at"], run[0]["kept"]), strict=True):
                             col.append(y)
                         run = []
                     if x is not None:
                         run.append(x)
+                        end = max(end, x["at"] + x["n"])
             yield out
 
         return f
@@ -128,9 +129,12 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the spans taken out of ``text``, and removed_spans, their original offsets."""
     others = [c for c in docs.columns if c not in ("text", "removed_spans")]
-    doc, th, own = (fresh(docs, x) for x in ("sub_doc", "sub_th", "sub_spans"))
-    gone = spans(docs, min_words).groupBy(F.col("doc_id").alias(doc), F.col("th").alias(th)).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(own))
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left")
+    doc, th, own, n, seq = (fresh(docs, x) for x in ("sub_doc", "sub_th", "sub_spans", "sub_rows", "sub_seq"))
+    # rows that are alike, of any number, meet their spans by the count of their key
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(doc), F.xxhash64("text").alias(th)]
+    gone = spans(docs, min_words).groupBy(key[0], F.col("th").alias(th)).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(own))
+    few = cut(docs.select(*key).groupBy(doc, th).agg(F.count("*").alias(n)).join(gone, [doc, th]))
+    rows = lookup(docs.withColumns({doc: key[0], th: key[1], seq: F.monotonically_increasing_id()}), few, [doc, th], n, docs.count(), [seq])
 
     def make():
         def f(cols):

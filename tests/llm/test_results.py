@@ -359,21 +359,82 @@ def test_repeated_passages(spark):
     assert clean[2].text == texts[2][: s.start] + texts[2][s.stop :]
 
 
-def test_repeated_passages_by_brute_force(spark, sf_dir, texts):
-    seen, want = {}, set()
+def _places(text):
+    """(normalised words, their offsets, word ranges of lines) of a text, by plain means."""
+    found = [(m.group().translate(LOWER), m.start(), m.end()) for m in SPACED.finditer(text or "")]
+    lines, at = [], 0
+    for x in (text or "").split("\n"):
+        n = len(SPACED.findall(x))
+        lines.append((at, at + n))
+        at += n
+    return [f[0] for f in found], [f[1:] for f in found], lines
+
+
+def test_repeated_lines_and_passages_by_brute_force(spark, sf_dir, texts):
+    """What goes stands earlier, whole; lines that stand earlier go from end to end; long passages leave at most their ends."""
+    got = defaultdict(list)
+    for r in queries.op8_substring_dedup(spark, sf_dir).collect():
+        got[r.doc_id].append(r)
+    lines, windows, n_lines, n_long = {}, {}, 0, 0
     for d in sorted(texts):
-        run = []
-        for u in [*substring_dedup.units(texts[d]), None]:
-            key = u and b" ".join(u[2])
-            if u and key in seen:
-                run.append(u)
-                continue
-            if u:
-                seen[key] = d
-            if sum(len(x[2]) for x in run) >= substring_dedup.MIN_WORDS:
-                want.add((d, run[0][0], run[-1][1], seen[b" ".join(run[0][2])]))
-            run = []
-    assert {(r.doc_id, r.start, r.stop, r.kept_doc_id) for r in queries.op8_substring_dedup(spark, sf_dir).collect()} == want
+        w, at, own = _places(texts[d])
+        start_of, stop_of = {x[0]: i for i, x in enumerate(at)}, {x[1]: i + 1 for i, x in enumerate(at)}
+        gone = set()
+        for r in got.get(d, []):
+            a, z = start_of[r.start], stop_of[r.stop]
+            assert r.n_words == z - a >= 16
+            gone |= set(range(a, z))
+        # earlier in this text or in a smaller doc_id, or an earlier place of this one
+        seen_line = {" ".join(w[x:y]) for x, y in own if y - x >= 16}
+        twice = Counter(" ".join(w[x:y]) for x, y in own if y - x >= 16)
+        own_windows = Counter(" ".join(w[i : i + 25]) for i in range(len(w) - 24))
+        covered = set()
+        for x, y in own:
+            if y - x >= 16 and (" ".join(w[x:y]) in lines or twice[" ".join(w[x:y])] > 1):
+                covered |= set(range(x, y))
+        for i in range(len(w) - 24):
+            key = " ".join(w[i : i + 25])
+            if key in windows or own_windows[key] > 1 or key in lines:
+                covered |= set(range(i, i + 25))
+        for x, y in own:  # a line of 25 words may equal a window of an earlier text
+            if y - x == 25 and " ".join(w[x:y]) in windows:
+                covered |= set(range(x, y))
+        assert gone <= covered
+        for x, y in own:
+            if y - x >= 16 and " ".join(w[x:y]) in lines:
+                assert set(range(x, y)) <= gone
+                n_lines += 1
+        # of 41 words in a row whose windows all stand earlier, some go
+        run = 0
+        for i in range(len(w) - 24):
+            run = run + 1 if " ".join(w[i : i + 25]) in windows else 0
+            if run >= 17:
+                assert gone & set(range(i - 16, i + 25))
+                n_long += 1
+        lines.update(dict.fromkeys(seen_line, d))
+        windows.update(dict.fromkeys(own_windows, d))
+    assert n_lines > 50 and n_long > 50
+
+
+def test_a_repeated_line_goes_whole_and_the_earliest_stays(spark):
+    line = " ".join(f"Word{i}" for i in range(16))
+    short = " ".join(f"few{i}" for i in range(15))
+    rows = [(3, f"before\n  {line.upper()}  \nafter\n{short}"), (1, f"{short}\n{line}\n{short}"), (2, f"x {line}\n{line}"), (None, line)]
+    got = {(r.doc_id, r.start, r.stop, r.n_words, r.kept_doc_id) for r in substring_dedup.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    at = lambda d, x: (text[d].index(x), text[d].index(x) + len(x))
+    second = len(f"x {line}\n")
+    assert got == {(3, *at(3, line.upper()), 16, 1), (2, second, second + len(line), 16, 1), (None, 0, len(line), 16, 1)}
+
+
+def test_a_row_that_repeats_very_often_counts_once(spark):
+    """Thousands of copies of a row: no array holds them, and each loses the same spans."""
+    text = " ".join(f"w{i}" for i in range(400))
+    copies = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    docs = copies.unionByName(spark.createDataFrame([(1, text), (None, text), (None, text)], "doc_id long, text string")).repartition(6)
+    assert {(r.doc_id, r.start, r.stop, r.n_words, r.kept_doc_id) for r in substring_dedup.spans(docs).collect()} == {(d, 0, len(text), 400, 1) for d in (7, None)}
+    kept = substring_dedup.clean(docs).groupBy("doc_id", "text").count().collect()
+    assert {(r.doc_id, r.text, r["count"]) for r in kept} == {(1, text, 1), (7, "", 3000), (None, "", 2)}
 
 
 def test_passages_within_lines_are_found(spark):

@@ -29,6 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.state import cut_round
 from .common import crc_bucket, cut, map_rows
 
 OWN, PER_CLASS, TAILS, DIM, CONTEXT = 2048, 32, 64, 16, 4
@@ -39,6 +40,8 @@ UNITS, FIRST = OWN + TAILS, CLASSES + TAILS
 HEAD = 131_072
 NOISE, SAMPLES, WORD_NOISE, BATCH, RATE = 16, 64, 4, 4096, 0.02
 SHARD_TOKENS = 4_000_000
+#: Tasks that train at most, each a number of shards, and tasks whose models are summed by one.
+TASKS, GROUP = 1024, 32
 HELD_OUT, BUCKETS = 2, 7
 #: Distinct words that a worker counts before it hands them on.
 COUNTED = 200_000
@@ -342,13 +345,15 @@ def _train(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 
     def make():
         class Shards:
-            shard, model = None, None
+            shard, model, total, tokens = None, None, 0.0, 0
 
             def close(self):
+                """Adds the shard's model to the task's sum."""
                 if self.model is not None:
                     if self.held:
                         self.learn()
-                    yield [np.arange(len(self.model.flat())), self.model.flat().astype(np.float64) * self.n, np.full(len(self.model.flat()), self.n)]
+                    self.total = self.total + self.model.flat().astype(np.float64) * self.n
+                    self.tokens += self.n
 
             def learn(self):
                 target = np.concatenate(self.held)
@@ -361,26 +366,48 @@ def _train(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
             def __call__(self, cols):
                 for shard, raw in zip(cols[0], cols[1], strict=True):
                     if shard != self.shard:
-                        yield from self.close()
+                        self.close()
                         self.shard, self.model = shard, LogBilinear(sent.value.share, sent.value.within)
                         self.state, self.rng, self.n, self.held, self.size = {}, np.random.default_rng(3), 0, [], 0
                     self.held.append(np.frombuffer(raw, np.uint16))
                     self.size += len(self.held[-1])
                     if self.size > 200_000:
                         self.learn()
+                return iter(())
 
             def finish(self):
-                yield from self.close()
+                self.close()
+                if self.tokens:
+                    yield [[self.total.tobytes()], [self.tokens]]
 
         return Shards()
 
     rows = map_rows(docs.select(F.pmod(place, F.lit(shards)).cast("int").alias("shard"), place.alias("h"), "text"), ["shard", "h", "text"], "shard int, h long, units binary", to_units)
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "h")
-    means = map_rows(dealt, ["shard", "units"], "i int, x double, n long", make).groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
-    start = LogBilinear(vocabulary.share, vocabulary.within).flat()
-    for r in means:
-        start[r.i] = r.x
-    return start
+    parts = min(shards, TASKS)
+    dealt = rows.repartition(parts, "shard").sortWithinPartitions("shard", "h")
+    # a sum of models for each task, then for each of their groups: what comes to the driver doesn't grow with the corpus
+    sums = map_rows(dealt, ["shard", "units"], "model binary, n long", make)
+    few = cut_round(map_rows(sums.repartition(-(-parts // GROUP)), ["model", "n"], "model binary, n long", _added)).collect()
+    if not few:
+        return LogBilinear(vocabulary.share, vocabulary.within).flat()
+    return sum(np.frombuffer(r.model) for r in few) / sum(r.n for r in few)
+
+
+def _added():
+    class Sum:
+        total, n = 0.0, 0
+
+        def __call__(self, cols):
+            for model, n in zip(*cols, strict=True):
+                self.total = self.total + np.frombuffer(model)
+                self.n += n
+            return iter(())
+
+        def finish(self):
+            if self.n:
+                yield [[self.total.tobytes()], [self.n]]
+
+    return Sum()
 
 
 def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, flat: np.ndarray) -> DataFrame:

@@ -9,7 +9,7 @@ The network learns from at most ``TRAIN_DOCS`` labelled documents of at most ``T
 hash of their id among all that are not held out; every document is scored whole.
 
 Null and empty texts are one empty chunk and get a score too. Rows with null labels are not learnt from; without both
-labels every score is the share of label 1 (0.5 without labels). Rows are scored one by one, so repeated rows have equal
+labels, or if of one no text fits the sample, every score is the share of label 1 (0.5 without labels). Rows are scored one by one, so repeated rows have equal
 scores. A document with two labels is learnt with both. Only doc_id and text are read.
 """
 
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, max_byte
     """docs: doc_id, text; labels: doc_id, quality. Half of the sample has label 0 where there is enough of it.
 
     Each label has half of ``max_bytes``, and what the other leaves. Of texts that don't fit the longest are left out. A label
-    of whose sample nothing fits gets another one, of documents that do; if none does, that is an error."""
+    of whose sample nothing fits gets another one, of documents that do; if none does, nothing is learnt but the labels' shares."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null").filter(~held_out()).distinct()
     order = F.xxhash64("doc_id")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
@@ -206,12 +206,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, max_byte
     for v in counts.keys() - {r.y for r in rows}:
         every = docs.select("doc_id", size.alias("n")).join(known.filter(F.col("y") == v), "doc_id")
         others = first(every.filter(F.col("n") <= max_bytes // 2).select("doc_id", "y").distinct())
-        more = _fitting(texts.join(F.broadcast(others), "doc_id"), {v: max_bytes // 2}, max_docs // 2)
-        if not more and not every.isEmpty():
-            raise ValueError(f"no document with label {v} has at most {max_bytes // 2} bytes")
-        rows += more
+        rows += _fitting(texts.join(F.broadcast(others), "doc_id"), {v: max_bytes // 2}, max_docs // 2)
     net = train([r.text for r in rows], [r.y for r in rows])
-    if {r.y for r in rows} == {0, 1}:
+    if counts.keys() == {0, 1}:
+        if {r.y for r in rows} != {0, 1}:
+            net.p["prior"][:] = 0
         # batches have both labels alike; all labels have their own shares
         net.p["prior"] += np.float32(np.log(counts[1] / counts[0]))
     return net

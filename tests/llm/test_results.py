@@ -215,10 +215,14 @@ def test_a_long_text_costs_no_other_its_place(spark):
         ids = [i for _, i in sorted((r.h, r.doc_id) for r in docs.filter(~quality_cnn.held_out()).select(F.xxhash64("doc_id").alias("h"), "doc_id").collect()) if i % 2]
         got = sample(docs.withColumn("text", F.when(F.col("doc_id").isin(ids[:-1]), F.repeat("text", 200)).otherwise(F.col("text"))), max_docs=4, max_bytes=4000)
         assert [t for t, y in zip(*got, strict=True) if y == 0] == [f"bad {ids[-1]} " * 9] and sum(got[1]) == 2
-        with pytest.raises(ValueError, match="label 0"):
-            sample(docs.withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.repeat("text", 200)).otherwise(F.col("text"))), max_bytes=4000)
+        bad_long = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.repeat("text", 200)).otherwise(F.col("text")))
+        assert set(sample(bad_long, max_bytes=4000)[1]) == {1}
     finally:
         quality_cnn.train = learn
+    # of label 0 no text fits: all scores are the share of label 1
+    known = [r.quality for r in labels.filter(~quality_cnn.held_out()).distinct().collect()]
+    scores = {round(r.score, 5) for r in quality_cnn.score(bad_long, quality_cnn.fit(bad_long, labels, max_bytes=4000)).collect()}
+    assert scores == {round(sum(known) / len(known), 5)}
 
 
 def test_pooling_covers_every_byte():

@@ -23,15 +23,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.state import cut_round
 from .common import file_system, map_rows, scratch, tasks
 
 BLOCK, GROUP, PERCENTILE = 128, 8192, 90
 MAGIC = b"PFORIDS1"
 #: Documents per file, about.
 FILE_DOCS = 20_000
+#: Files whose ids are summed at a time.
+RUN = 1000
 #: Parts of text and pieces that a worker remembers: between once and twice as many, the latest.
 REMEMBERED = 250_000
 END_ID = 2
@@ -290,12 +293,11 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_I
 
         return Files()
 
-    found = map_rows(dealt, ["doc_id", "text"], "part int, path string, n_ids long", make).collect()
-    base, out = 0, []
-    for r in sorted(found, key=lambda r: r.part):
-        out.append((r.path, base, r.n_ids))
-        base += r.n_ids
-    return spark.createDataFrame(out, "path string, base long, n_ids long")
+    # written at once, so that the attempts that count are known; bases by sums within and over runs of files
+    found = cut_round(map_rows(dealt, ["doc_id", "text"], "part int, path string, n_ids long", make).withColumn("run", F.floor(F.col("part") / RUN)))
+    before = lambda by, order: F.coalesce(F.sum("n_ids").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = found.groupBy("run").agg(F.sum("n_ids").alias("n_ids")).select("run", before([], "run").alias("run_base"))
+    return found.withColumn("own", before(["run"], "part")).join(runs, "run").select("path", (F.col("run_base") + F.col("own")).alias("base"), "n_ids")
 
 
 def read(files: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +12,8 @@ from pyspark.sql import types as T
 
 from ..functions import kinds, scores, text
 from .joins import small
-from .ranking import top_k
-from .state import cut, cut_round
+from .state import cut
+from .supersede import closings
 
 MAX_CHARS, OVERLAP, MIN_CHARS, LONGEST, MAX_CHUNKS, MAX_METADATA = 1500, 200, 100, 200_000, 400, 16_384
 CHUNK = T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), T.StructField("content", T.StringType())]))
@@ -90,102 +89,9 @@ def exact_dedup(new: DataFrame, current: DataFrame, scope: list[str], order: lis
     return fresh.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
 
 
-#: Pages of a micro-batch, which is compared as one matrix with stored vectors and walked in order by one task.
-MICRO_BATCH = 1000
-
-
-def nearest_open(new: DataFrame, stored: DataFrame, scope: list[str], near: float, most: int = MICRO_BATCH) -> DataFrame:
-    """For each new page the stored ones of its scope within ``near``, at most ``most`` nearest: (new_id, page_id, distance).
-
-    ``new`` is a micro-batch of at most ``most`` rows, so it is sent to all tasks, and each Arrow batch of stored vectors is
-    one matrix product with it. Other pages of the batch can take at most ``most`` - 1 stored ones first, so more are not needed."""
-    rows = [(r.page_id, tuple(r[c] for c in scope), r.embedding) for r in new.filter("embedding IS NOT NULL").select("page_id", "embedding", *scope).collect()]
-    if len(rows) > most:
-        raise ValueError(f"a micro-batch has at most {most} pages")
-    sent = stored.sparkSession.sparkContext.broadcast(rows)
-
-    def compare(batches):
-        import pyarrow as pa
-
-        ids, places, matrices = {}, [], {}
-        for page_id, own, v in sent.value:
-            ids.setdefault((own, len(v)), []).append(page_id)
-            matrices.setdefault((own, len(v)), []).append(v)
-        matrices = {k: np.array(v, float) for k, v in matrices.items()}
-        for batch in batches:
-            groups: dict = {}
-            vectors = batch.column(1).to_pylist()
-            for i, own in enumerate(zip(*[batch.column(k + 2).to_pylist() for k in range(len(scope))], strict=True)):
-                if vectors[i] is not None:
-                    groups.setdefault((own, len(vectors[i])), []).append(i)
-            out = [[], [], []]
-            pages = batch.column(0).to_pylist()
-            for key, own in groups.items():
-                if key in matrices:
-                    d = np.round(1 - np.array([vectors[i] for i in own], float) @ matrices[key].T, 9)
-                    for i, j in zip(*np.nonzero(d <= near), strict=True):
-                        for col, x in zip(out, (ids[key][j], pages[own[i]], float(d[i, j])), strict=True):
-                            col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["new_id", "page_id", "distance"])
-
-    met = stored.select("page_id", "embedding", *scope).mapInArrow(compare, "new_id long, page_id long, distance double")
-    return top_k(met, ["new_id"], [F.col("distance"), F.col("page_id")], most).drop("rank")
-
-
-def supersede_batch(new: DataFrame, stored: DataFrame, scope: list[str], near: float) -> DataFrame:
-    """(page_id, superseded_by): in arrival order (seq, page_id) each page of a micro-batch closes the nearest open one of its
-    scope within ``near``, stored or of the batch. ``stored`` has open pages only. Vectors are unit length."""
-    own = new.select("page_id", "seq", "embedding", *scope)
-    rows = own.select(*scope, F.lit(0).alias("kind"), "page_id", "seq", "embedding", F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("distance"))
-    met = nearest_open(own, stored, scope, near).join(F.broadcast(own.select(F.col("page_id").alias("new_id"), *scope)), "new_id")
-    pairs = met.select(*scope, F.lit(1).alias("kind"), F.col("new_id").alias("page_id"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("array<float>").alias("embedding"), F.col("page_id").alias("other"), "distance")
-
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        batch = g[g["kind"] == 0].sort_values(["seq", "page_id"])
-        batch = batch[batch["embedding"].notna()]
-        old = {k: list(zip(v["distance"], v["other"], strict=True)) for k, v in g[g["kind"] == 1].groupby("page_id")}
-        ids, v = [int(x) for x in batch["page_id"]], [np.asarray(x, float) for x in batch["embedding"]]
-        by: dict[int, int] = {}
-        for i, own in enumerate(ids):
-            mates = [(round(1 - float(v[j] @ v[i]), 9), ids[j]) for j in range(i) if ids[j] not in by and len(v[j]) == len(v[i])]
-            open_ = [x for x in old.get(own, []) if int(x[1]) not in by] + [x for x in mates if x[0] <= near]
-            if open_:
-                by[int(min(open_)[1])] = own
-        return pd.DataFrame({"page_id": list(by.keys()), "superseded_by": list(by.values())}, dtype="int64")
-
-    return rows.unionByName(pairs).groupBy(*scope).applyInPandas(walk, "page_id long, superseded_by long")
-
-
-def closings(pages: DataFrame, scope: list[str], near: float, stored: DataFrame | None = None, micro_batch: int = MICRO_BATCH) -> DataFrame:
-    """(page_id, superseded_by) of the pages that arriving ones close. pages: (page_id, seq, embedding and ``scope``); stored:
-    open pages (page_id, embedding and ``scope``) from before.
-
-    Micro-batches in arrival order, each against what the ones before left open. Which page closes which depends on all
-    before, so batches follow each other; within one, all tasks read the stored vectors."""
-    own = ["page_id", "embedding", *scope]
-    rows = pages.select("seq", *own)
-    n = rows.count()
-    # rows are dealt to batches by ranges of the order: no task sorts them all
-    dealt = rows.repartitionByRange(max(1, -(-n // micro_batch)), "seq", "page_id").sortWithinPartitions("seq", "page_id").withColumn("_part", F.spark_partition_id())
-    dealt = cut(dealt.withColumn("_at", F.monotonically_increasing_id()))
-    closed = cut(rows.sparkSession.createDataFrame([], "page_id long, superseded_by long"))
-    for low, high in _batches(dealt, micro_batch):
-        open_ = dealt.filter(F.col("_at") < low).select(*own)
-        open_ = open_ if stored is None else open_.unionByName(stored.select(*own))
-        now = supersede_batch(dealt.filter(F.col("_at").between(low, high)), open_.join(closed, "page_id", "left_anti"), scope, near)
-        closed = cut_round(closed.unionByName(now))
-    return closed
-
-
-def semantic_supersede(pages: DataFrame, scope: list[str], near: float, micro_batch: int = MICRO_BATCH) -> DataFrame:
-    """(page_id, superseded_by) of all pages, by ``closings``. Pages without vector close nothing and stay open."""
-    return pages.select("page_id").join(closings(pages, scope, near, None, micro_batch), "page_id", "left")
-
-
-def _batches(rows: DataFrame, most: int) -> list[tuple[int, int]]:
-    """Ranges of ``_at`` with at most ``most`` rows each: the parts of the order, cut where they are larger."""
-    parts = rows.groupBy("_part").agg(F.min("_at").alias("low"), F.count("*").alias("n")).orderBy("low").collect()
-    return [(r.low + a, r.low + min(a + most, r.n) - 1) for r in parts for a in range(0, r.n, most)]
+def semantic_supersede(pages: DataFrame, scope: list[str], near: float) -> DataFrame:
+    """(page_id, superseded_by) of all pages, by ``supersede.closings``."""
+    return pages.select("page_id").join(closings(pages, scope, near), "page_id", "left")
 
 
 def soft_delete(pages: DataFrame, chunks: DataFrame, gone: DataFrame, moment: Column) -> tuple[DataFrame, DataFrame]:

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from palimpsest.operators import graph, ingest, ranking, usage
+from palimpsest.operators import graph, ingest, ranking, supersede, usage
 from palimpsest.sources.tables import TenantScope, as_of
 
 
@@ -65,10 +65,61 @@ def test_semantic_supersede_is_the_walk_in_order(spark):
             want[gone] = page
             open_ = [x for x in open_ if x[0] != gone]
         open_.append((page, label, own))
-    for size in (1000, 40):
-        got = {r.page_id: r.superseded_by for r in ingest.semantic_supersede(pages, ["label"], 0.15, size).collect()}
-        assert got == want
+    got = {r.page_id: r.superseded_by for r in ingest.semantic_supersede(pages, ["label"], 0.15).collect()}
+    assert got == want
     assert sum(x is not None for x in want.values()) > 40
+    # in two parts, the second against what the first left open
+    first = supersede.closings(pages.filter("seq < 90"), ["label"], 0.15)
+    open_ = pages.filter("seq < 90").join(first, "page_id", "left_anti").drop("seq")
+    second = supersede.closings(pages.filter("seq >= 90"), ["label"], 0.15, open_)
+    assert {r.page_id: r.superseded_by for r in first.union(second).collect()} == {k: v for k, v in want.items() if v is not None}
+
+
+def walk(rows, near):
+    """{closed: by} of (page_id, seq, scope, vector) in order, one after the other."""
+    out, open_ = {}, []
+    for page, _, own_scope, v in sorted((r for r in rows if r[3] is not None), key=lambda r: (r[1], r[0])):
+        v = np.array(v, np.float32).astype(float)
+        d = [(round(1 - float(o @ v), 9), p) for p, s, o in open_ if s == own_scope and len(o) == len(v)]
+        d = [x for x in d if x[0] <= near]
+        if d:
+            gone = min(d)[1]
+            out[gone] = page
+            open_ = [x for x in open_ if x[0] != gone]
+        open_.append((page, own_scope, v))
+    return out
+
+
+def test_supersede_of_copies_and_dense_pages_takes_few_rounds(spark, monkeypatch):
+    """Hundreds of copies, which a walk takes one by one, pages that are nearly all near each other, and odd rows."""
+    rng = np.random.default_rng(7)
+    unit = lambda x: (x / np.linalg.norm(x, axis=-1, keepdims=True)).tolist()
+    copies = [(i, 1000 - i % 500, "a", unit(np.arange(1.0, 9.0))) for i in range(500)]
+    dense = [(1000 + i, i, None, v) for i, v in enumerate(unit(rng.normal(size=(300, 8)) + 1.0))]
+    odd = [(2000, 5, "a", None), (2001, 5, "b", [1.0, 0.0]), (2002, 4, "b", [1.0, 0.0]), (2003, 6, "b", [1.0, 0.0, 0.0]), (2004, 6, "b", [1.0, 0.0])]
+    rows = copies + dense + odd
+    pages = spark.createDataFrame(rows, "page_id long, seq long, label string, embedding array<float>").repartition(3)
+    monkeypatch.setattr(supersede, "SLICE", 64)
+    found, rounds = supersede.matched(supersede.near_pairs(pages, ["label"], 0.2))
+    want = walk(rows, 0.2)
+    assert {r.early: r.late for r in found.collect()} == want and len(want) > 700
+    assert rounds <= 15
+    assert supersede.closings(pages.limit(0), ["label"], 0.2).count() == 0
+
+
+def test_near_pairs_visit_few_cells(spark):
+    """All pairs within reach, from cells that few pages visit."""
+    rng = np.random.default_rng(3)
+    at = rng.normal(size=(30, 16))
+    v = at[np.arange(600) % 30] + rng.normal(size=(600, 16)) * 0.03
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    pages = spark.createDataFrame([(i, i, 0, x.tolist()) for i, x in enumerate(v)], "page_id long, seq long, s int, embedding array<float>")
+    d = np.round(1 - v.astype(float) @ v.astype(float).T, 9)
+    want = {(i, j) for i in range(600) for j in range(i) if d[i, j] <= 0.01}
+    assert {(r.late, r.early) for r in supersede.near_pairs(pages, ["s"], 0.01).collect()} == want and len(want) > 2000
+    pivots = v[rng.choice(600, 25, replace=False)].astype(float)
+    visits = [len(c) for _, c in supersede._cells(v.astype(float), pivots, np.sqrt(0.02))]
+    assert np.mean(visits) < 12
 
 
 def test_cap_with_backfill_fills_up(spark):

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: A document may lose this percentage of its words with the lines removed.
 MAX_LOST_PERCENT = 50
@@ -39,20 +41,38 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE, -1), "")
 
 
-def _line_fails(line: Column) -> Column:
+#: What a text must have, in lower case, for a phrase to stand in it: plain searches come before patterns.
+HINTS = """cookie;privacy policy;terms of;rights reserved;enable javascript;subscribe now;click here;log in to;login to;sign up;lorem ipsum;powered by;copyright ©;
+politique de;conditions d;tous droits;activer javascript;cliquez ici;abonnez-vous;se connecter;datenschutzerkl;nutzungsbeding;alle rechte;javascript aktivieren;
+hier klicken;jetzt abonnieren;einloggen;tica de privacidad;rminos de;todos los derechos;activar javascript;haga clic;suscr;iniciar sesi""".replace("\n", "").split(";")
+#: At most three words; the rest of a longer line isn't looked at.
+FEW_WORDS = r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){0,3}+$"
+
+
+def _signs(text: Column) -> Column:
+    """What is at all in a text of that its lines can fail by: most texts have neither marks nor separators nor phrases."""
+    # letters that patterns without regard to case take for others
+    low = F.lower(F.translate(text, "İıſ\u212a", "iisk"))
+    notice = F.contains(low, F.lit(HINTS[0]))
+    for hint in HINTS[1:]:
+        notice = notice | F.contains(low, F.lit(hint))
+    return F.struct(text.rlike(r"!!|\?\?|[#*$%&]{3}").alias("marked"), text.rlike(SEPARATORS).alias("separated"), notice.alias("notice"))
+
+
+def _line_fails(line: Column, signs: Column) -> Column:
     n = F.size(split_words(line))
-    shouting = F.regexp_count(line, F.lit(MARKED)) * 3 >= n
-    navigation = (F.regexp_count(line, F.lit(SEPARATORS)) * 3 >= n) & (F.regexp_count(line, F.lit(SEPARATORS)) >= 2)
-    unfinished = (n < 4) & ~line.rlike(END_MARK)
+    shouting = signs["marked"] & (F.regexp_count(line, F.lit(MARKED)) * 3 >= n)
+    navigation = signs["separated"] & (F.regexp_count(line, F.lit(SEPARATORS)) >= F.greatest(F.lit(2), F.ceil(n / 3)))
+    unfinished = line.rlike(FEW_WORDS) & ~line.rlike(END_MARK)
     # the phrases are counted only where there is one
-    notice = line.rlike(f"(?iu){BOILERPLATE}") & (F.regexp_count(line, F.lit(f"(?iu){BOILERPLATE}")) * NOTICE_WORDS >= n)
+    notice = signs["notice"] & line.rlike(f"(?iu){BOILERPLATE}") & (F.regexp_count(line, F.lit(f"(?iu){BOILERPLATE}")) * NOTICE_WORDS >= n)
     return shouting | navigation | unfinished | notice
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, n_lost_words, kept; a row per row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    one = docs.select("doc_id", text.alias("t"), split_words(text).alias("w"), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    one = docs.select("doc_id", text.alias("t"), split_words(text).alias("w"), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"), _signs(text).alias("signs"))
     two = one.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
@@ -60,7 +80,7 @@ def judge(docs: DataFrame) -> DataFrame:
         F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
-        F.aggregate(F.filter("lines", _line_fails), F.lit(0).cast("long"), lambda a, x: a + F.size(split_words(x))).alias("n_lost_words"),
+        F.aggregate(F.filter("lines", lambda x: _line_fails(x, F.col("signs"))), F.lit(0).cast("long"), lambda a, x: a + F.size(split_words(x))).alias("n_lost_words"),
     )
     window = lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(WINDOW)])
     none = F.array().cast("array<long>")
@@ -81,6 +101,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """``docs`` without rejected rows, and without the failing lines in ``text``."""
-    verdict = judge(docs.select(F.struct(*docs.columns).alias("doc_id"), "text")).filter("kept").select(F.col("doc_id.*"))
-    keep = F.filter(F.split("text", "\n", -1), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & _line_fails(x)))
-    return verdict.withColumn("text", F.array_join(keep, "\n")).select(docs.columns)
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    verdict = judge(docs.select(F.struct(*every).alias("doc_id"), "text")).filter("kept").select(F.col("doc_id.*"))
+    signs = fresh(docs, "signs")
+    keep = F.filter(F.split("text", "\n", -1), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & _line_fails(x, F.col(signs))))
+    return verdict.withColumn(signs, _signs(F.col("text"))).withColumn("text", F.array_join(keep, "\n")).select(*every)

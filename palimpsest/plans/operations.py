@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import questions, text
+from ..functions import dates, questions, text
 from ..operators import context, resolve, usage
 from ..operators.ranking import top_k
 from ..sources.tables import PAGES_SQL, current, pages, table
@@ -220,27 +220,47 @@ def stratified_sample(spark, sf_dir):
     return usage.stratified(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", ["doc_id"], 50, 42)
 
 
-_QUESTIONS = [
-    ("How many books did I read?", 1, 1, 0, 0), ("what is my current job", 0, 1, 0, 0), ("Which city did I visit first?", 0, 1, 0, 1), ("Any good restaurants you can suggest?", 0, 0, 1, 0), ("Quantas vezes fui ao médico?", 1, 1, 0, 0),
-    ("Tell me about Paris", 0, 0, 0, 0), ("days between June 1 and June 5", 0, 0, 0, 1), ("the total cost of it", 1, 1, 0, 0), ("What should I cook?", 0, 0, 1, 0), ("vou até hoje", 0, 0, 0, 0), ("o que vale a pena ler", 0, 0, 1, 0), ("what happened last friday", 0, 0, 0, 1),
-]
-_QV = ", ".join(f"({i}, {bool(a)}, {bool(b)}, {bool(c)}, {bool(d)})" for i, (_, a, b, c, d) in enumerate(_QUESTIONS))
+#: How the turns of conversations are made questions: what stands before their text.
+_ASKS = ["How many of these did I read: ", "what is my current ", "Which city did I visit first, ", "Any good restaurants you can suggest? ", "Quantas vezes fui? ", "Tell me about ", "days between June 1 and June 5: ", "the total cost of it ",
+    "What should I cook? ", "vou contigo, ", "o que vale a pena ler? ", "what happened last friday? ", "three weeks ago "]
+_NOW = "2026-03-31"
 
 
-def _asked(spark):
-    return spark.createDataFrame([(i, q[0]) for i, q in enumerate(_QUESTIONS)], "id int, q string")
+def _regex(column: str, *patterns: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({column}, '{p.replace(chr(39), chr(39) * 2)}')" for p in patterns) + ")"
 
 
-@query(f"SELECT * FROM (VALUES {_QV}) v(id, is_count, reasoning, preference, temporal)")
+_KIND = f"""asked AS (SELECT conv_id * 100 + turn AS id, ([{', '.join("'" + x + "'" for x in _ASKS)}])[(conv_id + turn) % {len(_ASKS)} + 1] || text AS q, (conv_id * 7 + turn * 13) % 60 AS requested FROM conversations),
+kind AS (SELECT id, requested, {_regex('q', questions.COUNT)} AS is_count, {_regex('q', questions.COUNT, questions.REASONING)} AS reasoning, {_regex('q', questions.PREFERENCE)} AS preference,
+  {_regex('q', questions.TEMPORAL, dates.BETWEEN, dates.SINCE, dates.AGO_WORD, dates.UNTIL, dates.EN_DATE, dates.WORD_AGO, dates.DAY_EN, dates.LAST_UNIT)} AS temporal FROM asked),
+wide AS (SELECT *, CASE WHEN reasoning OR preference THEN greatest(requested, {questions.RECALL_LIMIT}) ELSE requested END AS effective FROM kind)"""
+
+
+def _asked(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    start = F.element_at(F.array(*[F.lit(x) for x in _ASKS]), ((F.col("conv_id") + F.col("turn")) % len(_ASKS) + 1).cast("int"))
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat(start, "text").alias("q"), ((F.col("conv_id") * 7 + F.col("turn") * 13) % 60).alias("requested"))
+
+
+@query(f"WITH {_KIND} SELECT id, is_count, reasoning, preference, temporal FROM kind")
 def question_classify(spark, sf_dir):
-    q, now = F.col("q"), F.lit("2026-03-31").cast("date")
-    return _asked(spark).select("id", questions.is_count(q).alias("is_count"), questions.needs_reasoning(q).alias("reasoning"), questions.is_preference(q).alias("preference"), questions.is_temporal(q, now).alias("temporal"))
+    q, now = F.col("q"), F.lit(_NOW).cast("date")
+    return _asked(spark, sf_dir).select("id", questions.is_count(q).alias("is_count"), questions.needs_reasoning(q).alias("reasoning"), questions.is_preference(q).alias("preference"), questions.is_temporal(q, now).alias("temporal"))
 
 
-@query(f"SELECT id, r AS requested, CASE WHEN (reasoning OR preference) AND r < 40 THEN 40 ELSE r END AS effective FROM (VALUES {_QV}) v(id, is_count, reasoning, preference, temporal), (SELECT unnest([5, 50]) AS r)")
+@query(f"WITH {_KIND} SELECT id, requested, effective FROM wide")
 def effective_limit(spark, sf_dir):
-    both = _asked(spark).withColumn("requested", F.explode(F.array(F.lit(5), F.lit(50))))
-    return both.select("id", "requested", questions.effective_limit(F.col("q"), F.col("requested")).alias("effective"))
+    return _asked(spark, sf_dir).select("id", "requested", questions.effective_limit(F.col("q"), F.col("requested")).alias("effective"))
+
+
+@query(f"WITH {_KIND} SELECT id, requested, effective, greatest(20, 5 * effective) AS search_limit, greatest(50, 5 * greatest(20, 5 * effective)) AS pool FROM wide")
+def pool_limits(spark, sf_dir):
+    """How many results a question's search takes, and each of its channels."""
+    from ..operators.search import pooled
+
+    r = _asked(spark, sf_dir).select("id", "requested", questions.effective_limit(F.col("q"), F.col("requested")).alias("effective"))
+    r = r.withColumns({"search_limit": F.greatest(F.lit(20), 5 * F.col("effective")), "mode": F.lit("hybrid")})
+    return pooled(r.withColumn("limit", F.col("search_limit"))).select("id", "requested", "effective", "search_limit", "pool")
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE true END AS expansion FROM events")

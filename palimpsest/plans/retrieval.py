@@ -264,15 +264,6 @@ def source_dedup_by_page(spark, sf_dir):
     return ranking.hard_cap(selected(spark, sf_dir), ["question_id"], "page", 1).select("question_id", "page", "item_id")
 
 
-@query(f"""WITH r AS (SELECT unnest([1, 5, 8, 20, 50]) AS requested), e AS (SELECT requested, w, CASE WHEN w THEN greatest(requested, 40) ELSE requested END AS effective FROM r, (SELECT unnest([true, false]) AS w))
-SELECT requested, w AS widened, effective, greatest(20, 5 * effective) AS search_limit, greatest(50, 5 * greatest(20, 5 * effective)) AS pool FROM e""")
-def pool_limits(spark, sf_dir):
-    r = spark.createDataFrame([(x, w) for x in (1, 5, 8, 20, 50) for w in (True, False)], "requested int, widened boolean")
-    r = r.withColumn("effective", F.when(F.col("widened"), F.greatest("requested", F.lit(40))).otherwise(F.col("requested")))
-    r = r.withColumn("search_limit", F.greatest(F.lit(20), 5 * F.col("effective")))
-    return r.withColumn("pool", F.greatest(F.lit(50), 5 * F.col("search_limit")))
-
-
 @query(f"""{_SEL}, g AS (SELECT question_id, page, min(rank) AS first FROM s GROUP BY ALL) SELECT question_id, page, row_number() OVER (PARTITION BY question_id ORDER BY first) AS position FROM g""")
 def group_first_seen(spark, sf_dir):
     g = selected(spark, sf_dir).groupBy("question_id", "page").agg(F.min("rank").alias("first"))

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from palimpsest.functions import dates, kinds, scores, text
+from palimpsest.functions import dates, kinds, questions, scores, text
 from palimpsest.functions.regex import re2
 from palimpsest.operators import ingest
 from palimpsest.streaming.jobs import ThinkStripper
@@ -148,3 +148,44 @@ def test_every_kind_of_secret_is_masked(spark, secret):
     masked, n = (value(spark, c, s=f"x {secret} and {secret}.") for c in text.redact(F.col("s")))
     assert (masked, n) == (f"x {text.MASK} and {text.MASK}.", 2)
     assert value(spark, text.redact(F.col("s"))[0], s="no sk- or AKIA here") == "no sk- or AKIA here"
+
+
+NOW = "2026-03-31"
+# Questions with what they are about, on that day.
+ANCHORS = [
+    ("what happened on 2026-01-15?", "2026-01-15"), ("notes from June 3", "2026-06-03"), ("notes from June 3, 2024", "2024-06-03"), ("o que fiz em 5 de maio de 2025", "2025-05-05"),
+    ("5 days ago", "2026-03-26"), ("four weeks ago", "2026-03-03"), ("a month ago", "2026-03-03"), ("há dois meses atrás", "2026-01-31"), ("last friday", "2026-03-27"), ("last tuesday", "2026-03-24"),
+    ("na ultima segunda", "2026-03-30"), ("sexta passada", "2026-03-27"), ("last week", "2026-03-24"), ("last month", "2026-03-03"), ("last weekend", "2026-03-28"), ("hello there", None), ("on 2026-02-31", None),
+]
+AS_OF = [
+    ("what did I use before 2025-08-15?", "2025-08-15 23:59:59"), ("where did I live in 2024?", "2024-12-31 23:59:59"), ("3 days ago", "2026-03-28 12:00:00"), ("2 months ago", "2026-01-31 12:00:00"), ("1 year ago", "2025-03-31 12:00:00"),
+    ("as of June 3, 2024", "2024-06-03 23:59:59"), ("antes de 5 de maio de 2025", "2025-05-05 23:59:59"), ("em janeiro", "2026-01-01 00:00:00"), ("em dezembro", "2025-12-01 00:00:00"), ("on 2025-08-15", None), ("what now?", None),
+]
+MATH = [
+    ("how many days between 2026-01-01 and 2026-01-11?", "10 days between 2026-01-01 and 2026-01-11"), ("between June 1 and May 1", "31 days (≈4 weeks) between 2026-05-01 and 2026-06-01"), ("days since 2026-03-21", "10 days since 2026-03-21 (today: 2026-03-31)"),
+    ("how long since 2025-03-31", "365 days (≈12 months) since 2025-03-31 (today: 2026-03-31)"), ("3 weeks ago", "21 days (≈3 weeks) since 2026-03-10 (today: 2026-03-31)"), ("until 2026-04-10", "10 days from today (today: 2026-03-31, target: 2026-04-10)"), ("entre 1 de março e 31 de março", "30 days (≈4 weeks) between 2026-03-01 and 2026-03-31"), ("what is this", ""), ("since forever", ""),
+]
+QUESTIONS = [
+    ("How many books did I read?", 1, 1, 0, 0), ("what is my current job", 0, 1, 0, 0), ("Which city did I visit first?", 0, 1, 0, 1), ("Any good restaurants you can suggest?", 0, 0, 1, 0), ("Quantas vezes fui ao médico?", 1, 1, 0, 0),
+    ("Tell me about Paris", 0, 0, 0, 0), ("days between June 1 and June 5", 0, 0, 0, 1), ("the total cost of it", 1, 1, 0, 0), ("What should I cook?", 0, 0, 1, 0), ("vou até hoje", 0, 0, 0, 0), ("o que vale a pena ler", 0, 0, 1, 0), ("what happened last friday", 0, 0, 0, 1),
+]
+
+
+def test_questions_about_dates(spark):
+    """Anchors, moments and differences of literal questions, all in one pass each."""
+    now = F.lit(NOW).cast("date")
+    for cases, of in (
+        (ANCHORS, lambda q: F.date_format(dates.detect_anchor(q, now), "yyyy-MM-dd")),
+        (AS_OF, lambda q: F.date_format(dates.detect_as_of(q, F.lit(f"{NOW} 12:00:00").cast("timestamp")), "yyyy-MM-dd HH:mm:ss")),
+        (MATH, lambda q: F.array_join(dates.date_math(q, now), "; ")),
+    ):
+        got = {r.q: r.x for r in spark.createDataFrame([(q,) for q, _ in cases], "q string").select("q", of(F.col("q")).alias("x")).collect()}
+        assert got == dict(cases)
+
+
+def test_kinds_of_questions(spark):
+    q, now = F.col("q"), F.lit(NOW).cast("date")
+    rows = spark.createDataFrame([(x[0],) for x in QUESTIONS], "q string").select("q", questions.is_count(q).alias("a"), questions.needs_reasoning(q).alias("b"), questions.is_preference(q).alias("c"), questions.is_temporal(q, now).alias("d"), questions.effective_limit(q, F.lit(5)).alias("e"), questions.effective_limit(q, F.lit(50)).alias("f"))
+    for r, (said, *want) in zip(rows.collect(), QUESTIONS, strict=True):
+        assert (r.q, [int(r.a), int(r.b), int(r.c), int(r.d)]) == (said, want)
+        assert (r.e, r.f) == (40 if r.b or r.c else 5, 50)

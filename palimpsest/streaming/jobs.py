@@ -84,59 +84,6 @@ def cursors(events: DataFrame) -> DataFrame:
     return events.groupBy("organization_id").applyInPandasWithState(step, out, "at long, event_id long, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def admitted(requests: DataFrame, per_minute: int) -> DataFrame:
-    """Requests (key, event_id, at in microseconds) admitted by a bucket a key: per_minute / 2 + 1 tokens, refilled steadily.
-    The level and when it was taken are the key's state; a batch's requests are walked in order."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        burst, rate = per_minute // 2 + 1, per_minute / 60e6
-        level, last = state.get if state.exists else (float(burst), None)
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        out = []
-        for t in rows["at"].tolist():
-            # what comes late doesn't turn the clock back
-            level = burst if last is None else min(burst, level + max(0, t - last) * rate)
-            last = t if last is None else max(last, t)
-            out.append(level >= 1)
-            level -= out[-1]
-        state.update((float(level), int(last)))
-        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"].to_numpy(), "admitted": out})
-
-    return requests.select("key", "event_id", "at").groupBy("key").applyInPandasWithState(step, "key long, event_id long, admitted boolean", "level double, last long", "append", GroupStateTimeout.NoTimeout)
-
-
-def grace(readings: DataFrame, hours: int) -> DataFrame:
-    """Readings (key, event_id, ts, at in microseconds, over): since when a key is over without a break, and whether that
-    is longer than the grace. The start is the key's state; an event-time timer blocks a key of which nothing more comes."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            since = state.get[0]
-            state.update((since, True))
-            yield pd.DataFrame({"key": [key[0]], "event_id": [-1], "since": pd.array([since], "Int64"), "blocked": [True]})
-            return
-        since, told = state.get if state.exists else (None, False)
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        starts, blocked = [], []
-        for t, over in zip(rows["at"].tolist(), rows["over"].tolist(), strict=True):
-            since = (t if since is None else since) if over else None
-            starts.append(since)
-            blocked.append(since is not None and t - since > hours * 3_600_000_000)
-        told = blocked[-1]
-        state.update((since, told))
-        if since is not None and not told:
-            state.setTimeoutTimestamp(max(since // 1000 + hours * 3_600_000, state.getCurrentWatermarkMs() + 1) + 1)
-        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"].to_numpy(), "since": pd.array(starts, "Int64"), "blocked": blocked})
-
-    marked = readings.withWatermark("ts", "1 hour").select("key", "event_id", "ts", "at", "over")
-    return marked.groupBy("key").applyInPandasWithState(step, "key long, event_id long, since long, blocked boolean", "since long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def unique_jobs(jobs: DataFrame, keys: list[str], delay: str) -> DataFrame:
-    """A job once for its keys within ``delay``."""
-    return jobs.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
-
-
 class ThinkStripper:
     """Removes <think> blocks from a text that comes in pieces, whatever a piece cuts through."""
 

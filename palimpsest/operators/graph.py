@@ -74,17 +74,20 @@ def supersede(facts: DataFrame) -> DataFrame:
 
 
 def persist(entities: DataFrame, edges: DataFrame, new_entities: DataFrame, new_edges: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """What an extraction adds to a graph: (entities (slug, kind, name, aliases), edges (from_slug, to_slug, kind, weight,
-    confidence, score, page_id, valid_from, valid_to)).
+    """What an extraction adds to a graph: (entities (slug, kind, name, aliases, and attributes if both sides have them), edges
+    (from_slug, to_slug, kind, weight, confidence, score, page_id, valid_from, valid_to)).
 
-    A known slug keeps its kind and name and gains aliases. Of edges of a batch whose kind has one value at a time the last
+    A known slug keeps its kind and name and gains aliases; its attributes are merged key by key, what is new before what is stored. Of edges of a batch whose kind has one value at a time the last
     by seq counts; it closes open ones to other entities at its valid time, or ``now``. Edges to unknown entities go; all
     others are added, also where there is one like it, as that is history. New edges: (from_slug, to_slug, kind, weight,
     state, score, page_id, seq, valid_at, invalid_at)."""
-    named = lambda df, rank: df.filter("slug <> ''").select("slug", "kind", "name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.lit(rank).alias("r"))
-    every = named(entities, 0).unionByName(named(new_entities, 1)).groupBy("slug")
+    more = ["attributes"] if "attributes" in entities.columns and "attributes" in new_entities.columns else []
+    named = lambda df, rank: df.filter("slug <> ''").select("slug", "kind", "name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), *more, F.lit(rank).alias("r"))
+    every = cut(named(entities, 0).unionByName(named(new_entities, 1)))
     first = F.min_by(F.struct("kind", "name"), F.struct("r", "name")).alias("x")
-    merged = every.agg(first, F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases")).select("slug", "x.kind", "x.name", "aliases")
+    merged = every.groupBy("slug").agg(first).select("slug", "x.kind", "x.name").join(union_of(every, "slug", "aliases"), "slug")
+    if more:
+        merged = merged.join(merge_json(every, ["slug"], "attributes", F.struct(-F.col("r"), "name", "attributes")), "slug", "left")
     known = new_entities.select("slug").distinct()
     one = F.col("kind").isin(ONE_TO_ONE)
     last = Window.partitionBy("from_slug", "kind").orderBy(F.desc("seq"))
@@ -98,6 +101,22 @@ def persist(entities: DataFrame, edges: DataFrame, new_entities: DataFrame, new_
     return merged, old.withColumn("valid_to", closed).select(*added.columns).unionByName(added)
 
 
+def union_of(df: DataFrame, key: str, values: str) -> DataFrame:
+    """(key, values) with each value of the key's arrays once, in order: repeats are dropped before they are collected."""
+    one = df.select(key, F.explode_outer(values).alias("_v")).distinct()
+    return one.groupBy(key).agg(F.array_sort(F.collect_list("_v")).alias(values))
+
+
+def merge_json(df: DataFrame, by: list[str], column: str, order: Column) -> DataFrame:
+    """(by, column): the JSON objects of each group as one, key by key that of the lowest ``order`` that has the key, keys sorted.
+    Values stay whole, nested ones too; what is no object has no keys, a group without keys is {}."""
+    keys = df.select(*by, order.alias("_order"), F.explode_outer(F.from_json(column, "map<string,variant>")).alias("_key", "_value"))
+    best = keys.withColumn("_value", F.to_json("_value")).groupBy(*by, "_key").agg(F.min_by("_value", "_order").alias("_value"))
+    pairs = F.array_sort(F.collect_list(F.when(F.col("_key").isNotNull(), F.struct("_key", "_value")))).alias("_pairs")
+    whole = F.map_from_arrays(F.col("_pairs._key"), F.transform("_pairs._value", lambda v: F.parse_json(F.coalesce(v, F.lit("null")))))
+    return best.groupBy(*by).agg(pairs).select(*by, F.to_json(whole).alias(column))
+
+
 def least_label(pairs: DataFrame) -> DataFrame:
     """Connected components of pairs (a, b): (id, label), the least id of the component, for chains of any length."""
     loops = pairs.filter("a = b").select(F.col("a").alias("id"), F.col("a").alias("label")).distinct()

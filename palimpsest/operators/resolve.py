@@ -76,7 +76,11 @@ def similar_links(names: DataFrame, threshold: float) -> DataFrame:
 
 def upsert_entities(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """One row a key: the latest name, the union of all aliases."""
-    return rows.groupBy(*key).agg(F.max_by("name", order).alias("name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"))
+    rows = cut(rows)
+    # aliases are made distinct before they are collected
+    each = rows.select(*key, F.explode_outer("aliases").alias("_alias")).distinct()
+    aliases = each.groupBy(*key).agg(F.array_sort(F.collect_list("_alias")).alias("aliases"))
+    return rows.groupBy(*key).agg(F.max_by("name", order).alias("name")).join(aliases, key)
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -175,8 +175,8 @@ def entity_weights(found: DataFrame, edges: DataFrame, touched: DataFrame | None
     return per.groupBy("question_id", "page_id").agg(F.round(F.sum(weight), 6).alias("weight"))
 
 
-def entity_channel(questions: DataFrame, entities: DataFrame, edges: DataFrame, k: int, cap: int = 8) -> DataFrame:
-    return top_k(entity_weights(seeds(questions, entities, cap), edges), ["question_id"], [F.col("weight").desc(), F.col("page_id")], k)
+def entity_channel(questions: DataFrame, entities: DataFrame, edges: DataFrame, k: int, cap: int = 8, degrees: DataFrame | None = None) -> DataFrame:
+    return top_k(entity_weights(seeds(questions, entities, cap), edges, degrees=degrees), ["question_id"], [F.col("weight").desc(), F.col("page_id")], k)
 
 
 def expansion_weights(found: DataFrame, edges: DataFrame, depth: int = 2, kinds: list[str] | None = None, hub: int = scores.HUB_DEGREE, touched: DataFrame | None = None, degrees: DataFrame | None = None) -> DataFrame:
@@ -210,8 +210,8 @@ def expansion_weights(found: DataFrame, edges: DataFrame, depth: int = 2, kinds:
     return pages.withColumn("weight", F.round("weight", 6))
 
 
-def expansion_channel(questions: DataFrame, entities: DataFrame, edges: DataFrame, k: int, cap: int = 5, depth: int = 2, kinds: list[str] | None = None, hub: int = scores.HUB_DEGREE) -> DataFrame:
-    pages = expansion_weights(seeds(questions, entities, cap), edges, depth, kinds, hub)
+def expansion_channel(questions: DataFrame, entities: DataFrame, edges: DataFrame, k: int, cap: int = 5, depth: int = 2, kinds: list[str] | None = None, hub: int = scores.HUB_DEGREE, degrees: DataFrame | None = None) -> DataFrame:
+    pages = expansion_weights(seeds(questions, entities, cap), edges, depth, kinds, hub, degrees=degrees)
     return top_k(pages, ["question_id"], [F.col("weight").desc(), F.col("page_id")], k)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import kinds, scores, text
-from ..operators import graph, intervals, resolve, retrieval
+from ..operators import degrees, graph, intervals, resolve, retrieval
 from ..operators.ranking import top_k
+from ..operators.state import shared_dir
 from ..sources.tables import EDGES_SQL, ENTITIES_SQL, NATION, PART, PERSON, as_of, current, edges, entities, table
 from .base import query
 
@@ -340,3 +343,42 @@ def entity_pages_as_of(spark, sf_dir):
     found = q.select("question_id", "as_of", (F.col("question_id") + PERSON).alias("entity_id"), F.lit(1.0).alias("sim"))
     weights = retrieval.entity_weights(found, current(e), e)
     return top_k(weights, ["question_id"], [F.col("weight").desc(), F.col("page_id")], 5).select("question_id", "page_id", F.round("weight", 6).alias("weight"), "rank")
+
+
+#: A graph in three steps: orders of even keys are known first; then the others come, every ninth of the first goes, and of customers
+#: every fiftieth becomes the one before.
+_MOVING = f"""e0 AS (SELECT o_custkey + {PERSON} AS from_id, l_partkey + {PART} AS to_id, l_orderkey AS k FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+e1 AS (SELECT CASE WHEN (from_id - {PERSON}) % 50 = 0 AND from_id > {PERSON} THEN from_id - 1 ELSE from_id END AS from_id, to_id FROM e0 WHERE k % 2 = 1 OR k % 9 <> 0),
+de AS (SELECT entity_id, count(*) AS degree FROM (SELECT from_id AS entity_id FROM e1 UNION ALL SELECT to_id FROM e1) GROUP BY entity_id)"""
+
+
+def _kept_degrees(spark, sf_dir):
+    lines = _open_lines(spark, sf_dir)
+    e = lines.select((F.col("o_custkey") + PERSON).alias("from_id"), (F.col("l_partkey") + PART).alias("to_id"), F.col("l_orderkey").alias("k"))
+    kept = degrees.Degrees.start(e.filter("k % 2 = 0"), f"{shared_dir(spark)}/degrees-{uuid.uuid4().hex}")
+    kept.apply(e.filter("k % 2 = 1"))
+    kept.apply(closed=e.filter("k % 2 = 0 AND k % 9 = 0"))
+    now = e.filter("k % 2 = 1 OR k % 9 <> 0")
+    names = table(spark, sf_dir, "customer").select((F.col("c_custkey") + PERSON).alias("entity_id"), (F.col("c_custkey") + PERSON - F.when((F.col("c_custkey") % 50 == 0) & (F.col("c_custkey") > 0), 1).otherwise(0)).alias("canonical_id"))
+    kept.merge(names, now)
+    return kept
+
+
+@query(f"WITH {_MOVING} SELECT * FROM de")
+def degree_kept(spark, sf_dir):
+    """Degrees that were changed by what came, went and merged: those that a recount has."""
+    return _kept_degrees(spark, sf_dir).read()
+
+
+@query("""SELECT 'c' || c_custkey AS slug, CASE c_custkey % 3 WHEN 0 THEN '{"city":{"n":' || c_nationkey || '},"name":"' || c_name || '","old":1,"said":[1,2]}' WHEN 1 THEN '{"city":{"n":-1},"old":1}' ELSE '{"name":"' || c_name || '"}' END AS attributes FROM customer""")
+def persist_attributes(spark, sf_dir):
+    """Attributes of entities, key by key: what is said now before what is stored, nested values whole."""
+    c = table(spark, sf_dir, "customer")
+    slug, k = F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.col("c_custkey") % 3
+    side = lambda df, attributes: df.select(slug.alias("slug"), F.lit("person").alias("kind"), F.col("c_name").alias("name"), F.array().cast("array<string>").alias("aliases"), attributes.alias("attributes"))
+    stored = side(c, F.when(k < 2, F.lit('{"city": {"n": -1}, "old": 1}')))
+    name = F.concat(F.lit('"name": "'), "c_name", F.lit('"'))
+    said = side(c.filter("c_custkey % 3 <> 1"), F.when(k == 0, F.concat(F.lit('{"said": [1, 2], "city": {"n": '), F.col("c_nationkey").cast("string"), F.lit("}, "), name, F.lit("}"))).otherwise(F.concat(F.lit("{"), name, F.lit("}"))))
+    none = spark.createDataFrame([], "from_slug string, to_slug string, kind string, weight double, confidence string, score double, page_id long, valid_from timestamp, valid_to timestamp")
+    new = spark.createDataFrame([], "from_slug string, to_slug string, kind string, weight double, state string, score double, page_id long, seq long, valid_at timestamp, invalid_at timestamp")
+    return graph.persist(stored, none, said, new, F.lit("2024-06-01").cast("timestamp"))[0].select("slug", "attributes")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import kinds, text
 from ..operators import ingest, resolve
+from ..operators.state import shared_dir
 from ..sources.tables import PAGES_SQL, TenantScope, current, pages, table
+from ..sources.versioned import Versioned
 from .base import query
 
 _P = f"WITH {PAGES_SQL}"
@@ -205,10 +209,16 @@ def ingest_rows(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 2 ELSE 1 END AS version, CASE WHEN doc_id % 10 = 3 THEN 1 ELSE greatest(1, ceil((length(text) - 200) / 1300.0))::INT END AS chunks FROM documents")
 def update_rechunk(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", "text", F.lit(1).alias("version"))
-    edits = d.filter("doc_id % 10 = 3").select("doc_id", F.lit("edited").alias("text"), F.lit(2).alias("version"))
-    now = resolve.upsert_latest(d, edits, ["doc_id"], "version")
-    return now.select("doc_id", "version", F.size(ingest.fixed_chunks(F.col("text"))).alias("chunks"))
+    """Edits of a written table: the buckets that have some are written anew, with chunks of the new texts."""
+    d = docs(spark, sf_dir).select("doc_id", "text", F.lit(1).alias("version"), (F.col("doc_id") % 10).alias("bucket"))
+    stored = Versioned.create(d, _table(spark), "bucket")
+    chunked = lambda df: df.select("doc_id", "version", "bucket", F.inline(ingest.fixed_chunks(F.col("text"))))
+    chunks = Versioned.create(chunked(stored.read()), _table(spark), "bucket")
+    edits = d.filter("doc_id % 10 = 3").select("doc_id", F.lit("edited").alias("text"), F.lit(2).alias("version"), "bucket")
+    touched = [r.bucket for r in edits.select("bucket").distinct().collect()]
+    stored.overwrite(resolve.upsert_latest(stored.read(touched), edits, ["doc_id"], "version"), touched)
+    chunks.overwrite(chunked(stored.read(touched)), touched)
+    return chunks.read().groupBy("doc_id", "version").agg(F.count("*").cast("int").alias("chunks"))
 
 
 @query(f"{_P}, c AS (SELECT page_id, unnest(range(0, greatest(1, ceil((length(content) - 200) / 1300.0))::INT)) AS position FROM pages_) SELECT count(*) FILTER (closed) AS closed, (SELECT count(*) FROM c WHERE page_id % 9 <> 4) AS chunks FROM (SELECT valid_to IS NOT NULL OR page_id % 9 = 4 AS closed FROM pages_)")
@@ -221,7 +231,11 @@ def soft_delete(spark, sf_dir):
 
 @query(f"{_P} SELECT organization_id, count(*) AS n FROM pages_ WHERE organization_id <> 2 GROUP BY ALL")
 def purge_org(spark, sf_dir):
-    return pages(spark, sf_dir).filter("organization_id <> 2").groupBy("organization_id").agg(F.count("*").alias("n"))
+    """An organization's files are deleted, the others' stay as they are."""
+    stored = Versioned.create(pages(spark, sf_dir).select("organization_id", "page_id", "content"), _table(spark), "organization_id")
+    stored.purge([2])
+    stored.vacuum()
+    return stored.read().groupBy("organization_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, CASE WHEN strlen('{\"note\": \"' || regexp_replace(text, '[\"\\\\\n]', ' ', 'g') || '\"}') <= 16384 THEN 'kept' ELSE 'dropped' END AS metadata FROM documents")
@@ -233,7 +247,36 @@ def metadata_cap(spark, sf_dir):
 
 @query(f"{_P} SELECT page_id, NULL::TIMESTAMP AS extracted_at FROM pages_ WHERE organization_id = 0 AND {_CUR}")
 def reextract_plan(spark, sf_dir):
-    return current(TenantScope(0)(pages(spark, sf_dir))).select("page_id", F.lit(None).cast("timestamp").alias("extracted_at"))
+    """An organization's pages without the mark of an extraction, as they are queued again, while its edges are wiped."""
+    return _reextracted(spark, sf_dir)[2].select("page_id", "extracted_at")
+
+
+@query(f"""{_P} SELECT organization_id, count(*) AS pages, count(*) FILTER (organization_id = 0) AS queued, count(*) FILTER (organization_id <> 0) AS extracted, count(*) FILTER (organization_id <> 0 AND page_id % 2 = 0) AS edges
+FROM pages_ WHERE {_CUR} GROUP BY organization_id""")
+def reextract_org(spark, sf_dir):
+    """What the organizations have after one of them is extracted anew: of the others nothing changed."""
+    p, e, queue = _reextracted(spark, sf_dir)
+    one = p.read().groupBy("organization_id").agg(F.count("*").alias("pages"), F.count("extracted_at").alias("extracted"))
+    edges = e.read().groupBy("organization_id").agg(F.count("*").alias("edges"))
+    queued = queue.groupBy("organization_id").agg(F.count("*").alias("queued"))
+    return one.join(edges, "organization_id", "left").join(queued, "organization_id", "left").na.fill(0).select("organization_id", "pages", "queued", "extracted", "edges")
+
+
+def _reextracted(spark, sf_dir):
+    """(pages, edges, queue) after organization 0 is extracted anew; an edge for every other page stands for what was extracted."""
+    p = current(pages(spark, sf_dir)).select("organization_id", "page_id", F.lit("2024-03-01").cast("timestamp").alias("extracted_at"))
+    stored = Versioned.create(p, _table(spark), "organization_id")
+    edges = Versioned.create(p.filter("page_id % 2 = 0").select("organization_id", "page_id", F.lit("uses").alias("kind")), _table(spark), "organization_id")
+    edges.purge([0])
+    edges.vacuum()
+    stored.overwrite(stored.read([0]).withColumn("extracted_at", F.lit(None).cast("timestamp")))
+    queue = f"{_table(spark)}/queue"
+    stored.read([0]).filter("extracted_at IS NULL").write.parquet(queue)
+    return stored, edges, spark.read.parquet(queue)
+
+
+def _table(spark) -> str:
+    return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
 
 
 @query("SELECT o_orderkey AS item_id, strftime(o_orderdate, 'd%Y%m%d') AS dates FROM orders WHERE o_orderkey % 5 <> 4 AND o_orderkey % 2 = 0")

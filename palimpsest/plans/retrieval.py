@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, scores
 from ..operators import ranking, retrieval
+from ..operators.degrees import Degrees
+from ..operators.state import shared_dir
 from ..sources.tables import EDGES_SQL, ENTITIES_SQL, edges, entities, hours_after_start, pages, table
-from .base import query
+from .base import SQL, query
 
 #: Probe questions: number, terms, a vector by its id, a project.
 QUESTIONS = [(1, "the and", 3, None), (2, "de la", 17, "fr"), (3, "und der", 42, None), (4, "with that", 99, "en"), (5, "los que", 256, "es")]
@@ -220,6 +224,15 @@ def entity_match(spark, sf_dir):
     return found.select("question_id", "page_id", F.round("weight", 6).alias("weight"), "rank")
 
 
+@query(SQL["entity_match"])
+def entity_match_kept(spark, sf_dir):
+    """The same with degrees from a kept table: nothing is recounted."""
+    e = edges(spark, sf_dir)
+    kept = Degrees.start(e, f"{shared_dir(spark)}/degrees-{uuid.uuid4().hex}")
+    found = retrieval.entity_channel(named(spark), entities(spark, sf_dir), e, POOL, degrees=kept.read())
+    return found.select("question_id", "page_id", F.round("weight", 6).alias("weight"), "rank")
+
+
 @query(f"""WITH {N_SQL}, {ENTITIES_SQL}, {EDGES_SQL}, {SEED_SQL}, {DEG_SQL},
 sure AS (SELECT from_id, to_id, confidence FROM edges WHERE confidence >= 0.5 AND kind IN ('depends_on', 'located_in')),
 bi AS (SELECT from_id, to_id, confidence FROM sure UNION ALL SELECT to_id, from_id, confidence FROM sure),

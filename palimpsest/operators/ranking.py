@@ -55,3 +55,19 @@ def contribution(channels: DataFrame, final: DataFrame, by: list[str], item: str
 def first_seen(df: DataFrame, by: list[str], item: str, order: list[str]) -> DataFrame:
     """Ordered union: every item where it comes first."""
     return ranked(top_k(df, [*by, item], [F.col(c) for c in order], 1, "_own").drop("_own"), by, [F.col(c) for c in order], "position")
+
+
+def page_params(limit: Column, offset: Column, default: int, most: int) -> tuple[Column, Column]:
+    """(limit, offset) of a request's texts: what is no whole number or not positive is the default, or no offset."""
+    whole = lambda x: F.when(x.rlike(r"^[+-]?[0-9]+$"), x.try_cast("bigint"))
+    n, skip = whole(limit), whole(offset)
+    return F.least(F.when(n > 0, n).otherwise(F.lit(default)), F.lit(most)), F.when(skip > 0, skip).otherwise(F.lit(0))
+
+
+def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """A page of ``df`` in ``order``: its rows with position, total (rows in all) and has_more. Only the rows up to the page's end
+    are ranked; all others are only counted."""
+    total = df.count()
+    first = df.orderBy(*order).limit(offset + limit).withColumn("_all", F.lit(0))
+    rows = ranked(first, ["_all"], order, "position").drop("_all").filter(F.col("position") > offset)
+    return rows.withColumns({"total": F.lit(total).cast("long"), "has_more": F.lit(offset + limit < total)})

@@ -22,8 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: computed once, survives lost executors, dropped with the last reference."""
-    shared_dir(df.sparkSession)
+    """A reliable checkpoint: computed once, survives lost executors. Its files go when the session's JVM ends, or with the last
+    reference where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return df.checkpoint(eager=True)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kinds, scores, text
 from ..operators import degrees, graph, intervals, resolve, retrieval
-from ..operators.ranking import top_k
+from ..operators.ranking import page, top_k
 from ..operators.state import shared_dir
 from ..sources.tables import EDGES_SQL, ENTITIES_SQL, NATION, PART, PERSON, as_of, current, edges, entities, table
 from .base import query
@@ -83,20 +83,17 @@ def graph_subgraph(spark, sf_dir):
 
 @query(f"{_E}, {_ENDS} SELECT DISTINCT entity_id, page_id FROM ends WHERE entity_id BETWEEN {PART + 1} AND {PART + 30} AND page_id IS NOT NULL QUALIFY dense_rank() OVER (PARTITION BY entity_id ORDER BY page_id DESC) <= 20")
 def entity_pages(spark, sf_dir):
-    from ..operators.ranking import top_k
+    from ..operators.ranking import page, top_k
 
     e = graph.endpoints(edges(spark, sf_dir).filter("page_id IS NOT NULL").select("from_id", "to_id", "page_id")).filter(F.col("entity_id").between(PART + 1, PART + 30))
     return top_k(e.select("entity_id", "page_id").distinct(), ["entity_id"], [F.desc("page_id")], 20).drop("rank")
 
 
-@query(f"{_E} SELECT entity_id, name, kind, row_number() OVER (ORDER BY kind, name, entity_id) AS position FROM entities WHERE name ILIKE '%er#0000000%' AND kind IN ('person', 'organization') QUALIFY position BETWEEN 6 AND 25")
+@query(f"""{_E}, f AS (SELECT entity_id, name, kind, row_number() OVER (ORDER BY kind, name, entity_id) AS position, count(*) OVER () AS total FROM entities WHERE name ILIKE '%er#0000000%' AND kind IN ('person', 'organization'))
+SELECT *, total > 25 AS has_more FROM f WHERE position BETWEEN 6 AND 25""")
 def entities_list(spark, sf_dir):
-    # a page of a global order: the rest is cut before the rank is taken
     found = entities(spark, sf_dir).filter(F.col("name").ilike("%er#0000000%") & F.col("kind").isin("person", "organization"))
-    page = found.orderBy("kind", "name", "entity_id").limit(25)
-    from ..operators.ranking import ranked
-
-    return ranked(page.withColumn("_", F.lit(0)), ["_"], [F.col("kind"), F.col("name"), F.col("entity_id")], "position").filter("position > 5").select("entity_id", "name", "kind", "position")
+    return page(found.select("entity_id", "name", "kind"), [F.col("kind"), F.col("name"), F.col("entity_id")], 20, 5)
 
 
 def _seeds(spark):

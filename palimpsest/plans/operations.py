@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, questions, text
-from ..operators import context, resolve, usage
+from ..operators import context, ranking, resolve, router, usage
 from ..operators.ranking import top_k
 from ..sources.tables import PAGES_SQL, current, pages, table
 from ..sources.tables import usage as usage_rows
@@ -284,3 +284,42 @@ def llm_json_parse(spark, sf_dir):
     parsed = F.from_json(F.when(body != "", body), "entities array<struct<name:string,kind:string>>, edges array<struct<from_name:string,to_name:string,kind:string>>")
     found = F.filter(F.coalesce(parsed["entities"], F.array().cast("array<struct<name:string,kind:string>>")), lambda x: F.trim(x["name"]) != "")
     return table(spark, sf_dir, "events").select("event_id", F.size(found).alias("entities"), F.get(found, F.lit(0))["name"].alias("first"))
+
+
+@query(f"""WITH {_U}, t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'all' WHEN 1 THEN '' ELSE (event_id % 300 - 20)::VARCHAR END AS l, CASE event_id % 3 WHEN 0 THEN '-4' WHEN 1 THEN '1.5' ELSE (event_id % 40)::VARCHAR END AS o FROM u)
+SELECT event_id, least(CASE WHEN try_cast(l AS BIGINT) > 0 THEN try_cast(l AS BIGINT) ELSE 50 END, 200) AS limit_, CASE WHEN event_id % 3 = 2 THEN event_id % 40 ELSE 0 END AS offset_ FROM t""")
+def page_params(spark, sf_dir):
+    """What requests ask for by limit and offset, as texts."""
+    k = F.col("event_id")
+    limit = F.when(k % 5 == 0, "all").when(k % 5 == 1, "").otherwise((k % 300 - 20).cast("string"))
+    offset = F.when(k % 3 == 0, "-4").when(k % 3 == 1, "1.5").otherwise((k % 40).cast("string"))
+    n, skip = ranking.page_params(limit, offset, 50, 200)
+    return table(spark, sf_dir, "events").select("event_id", n.alias("limit_"), skip.alias("offset_"))
+
+
+def _failing(name: str, fails: dict[int, object], every: int):
+    """A provider that answers with the start of what it is asked, or fails by the length of that: with a status, or the network."""
+
+    def make():
+        def model(text: str) -> str:
+            kind = fails.get(len(text) % every)
+            if kind == "network":
+                raise ConnectionError("no route")
+            if kind:
+                raise router.Failure(kind)
+            return f"{name}: {text[:20]}"
+
+        return model
+
+    return router.Provider(name, make)
+
+
+@query("""WITH c AS (SELECT conv_id * 100 + turn AS id, text, length(text) AS n FROM conversations),
+r AS (SELECT *, CASE WHEN n % 7 IN (0, 1, 3) THEN CASE WHEN n % 5 IN (0, 2) THEN CASE WHEN n % 3 = 0 THEN 'none' ELSE 'third' END WHEN n % 5 = 1 THEN 'final' ELSE 'second' END WHEN n % 7 = 2 THEN 'final' ELSE 'first' END AS who FROM c)
+SELECT id, CASE WHEN who NOT IN ('none', 'final') THEN who || ': ' || substr(text, 1, 20) END AS answer, CASE who WHEN 'first' THEN 0 WHEN 'second' THEN 1 WHEN 'third' THEN 2 END AS tier,
+  CASE WHEN who = 'first' OR n % 7 = 2 THEN 1 WHEN who IN ('second', 'final') THEN 2 ELSE 3 END AS calls, CASE WHEN who = 'none' THEN 'third: no route' WHEN who = 'final' THEN CASE WHEN n % 7 = 2 THEN 'first: status 400' ELSE 'second: status 401' END END AS error FROM r""")
+def provider_fallback(spark, sf_dir):
+    """Every turn is asked of three providers in order, each of which fails for some: for now or for good."""
+    providers = [_failing("first", {0: 429, 1: 503, 2: 400, 3: "network"}, 7), _failing("second", {0: 500, 1: 401, 2: 408}, 5), _failing("third", {0: "network"}, 3)]
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("prompt"))
+    return router.answered(c, providers).select("id", "answer", "tier", "calls", "error")

@@ -1,10 +1,12 @@
 """Operators on small fixtures."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import graph, ingest, ranking, supersede, usage
+from palimpsest.operators import graph, ingest, ranking, router, supersede, usage
 from palimpsest.sources.tables import TenantScope, as_of
+from palimpsest.streaming import jobs
 
 
 def edges(spark, rows):
@@ -153,3 +155,60 @@ def test_fusion_does_not_depend_on_order(spark):
     a, b = (spark.createDataFrame(x, "q int, item int, channel string, rank int, weight double") for x in (rows, rows[::-1]))
     as_set = lambda d: {(r.item, round(r.score, 12)) for r in ranking.fuse(d, ["q"], "item").collect()}
     assert as_set(a) == as_set(b)
+
+
+def test_providers_are_asked_in_order(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def provider(name, fail):
+        def make():
+            def model(text):
+                calls.add(1)
+                if text in fail:
+                    raise fail[text]
+                return f"{name} {text}"
+
+            return model
+
+        return router.Provider(name, make)
+
+    first = provider("a", {"t": TimeoutError("slow"), "x": router.Failure(404), "y": router.Failure(500), "z": router.Failure(429), "bug": ValueError("bad prompt")})
+    second = provider("b", {"y": router.Failure(502), "z": router.Failure(403)})
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(["ok", "t", "x", "y", "z", "bug", None])], "id int, prompt string").coalesce(1)
+    got = {r.id: (r.answer, r.provider, r.tier, r.calls, r.error) for r in router.answered(rows, [first, second], attempts=2).collect()}
+    assert got == {
+        0: ("a ok", "a", 0, 1, None), 1: ("b t", "b", 1, 3, None), 2: (None, None, None, 1, "a: status 404"), 3: (None, None, None, 4, "b: status 502"),
+        4: (None, None, None, 3, "b: status 403"), 5: (None, None, None, 1, "a: bad prompt"), 6: (None,) * 5,
+    }
+    assert calls.value == 13
+    with pytest.raises(ValueError, match="no provider"):
+        router.answered(rows, [])
+
+
+def test_pages_know_what_is_left(spark):
+    df = spark.createDataFrame([(i,) for i in range(7)], "n int")
+    of = lambda limit, offset: [(r.n, r.position, r.total, r.has_more) for r in ranking.page(df, [F.desc("n")], limit, offset).orderBy("position").collect()]
+    assert of(3, 2) == [(4, 3, 7, True), (3, 4, 7, True), (2, 5, 7, True)]
+    assert of(3, 4) == [(2, 5, 7, False), (1, 6, 7, False), (0, 7, 7, False)] and of(3, 9) == []
+
+
+def test_streamed_pages_close_what_a_walk_closes(spark, tmp_path):
+    """Two batches of new pages: exact repeats go, the rest closes the nearest open page of its domain, of this batch or before."""
+    rng = np.random.default_rng(5)
+    at = rng.normal(size=(6, 8))
+    v = at[rng.integers(0, 6, 60)] + rng.normal(0, 0.1, (60, 8))
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    rows = [(i, "memory" if i % 3 else "guideline", f"Text {i % 51}", v[i].tolist()) for i in range(60)]
+    for part in (rows[:35], rows[35:]):
+        spark.createDataFrame(part, "page_id long, domain string, content string, embedding array<float>").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    out = str(tmp_path / "out")
+    kept = jobs.ingest_pages(jobs.stream(spark, f"{tmp_path}/in", 1), out, near=0.1, chunks=ingest.fixed_chunks)
+    seen, fresh = set(), []
+    for r in rows:
+        if (r[1], r[2]) not in seen:
+            seen.add((r[1], r[2]))
+            fresh.append((r[0], r[0], r[1], r[3]))
+    assert {r.page_id for r in kept.collect()} == {r[0] for r in fresh}
+    closed = spark.read.schema("page_id long, superseded_by long").option("recursiveFileLookup", True).parquet(f"{out}/closed")
+    want = walk(fresh, 0.1)
+    assert {r.page_id: r.superseded_by for r in closed.collect()} == want and len(want) > 10

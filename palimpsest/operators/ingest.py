@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,29 +23,33 @@ def fixed_chunks(content: Column, size: int = MAX_CHARS, overlap: int = OVERLAP)
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("position"), F.substr(content, i * step + 1, F.lit(size)).alias("content")))
 
 
-_BLANK, _SENTENCE, _WORD_END = re.compile(r"\n(?=\n)"), re.compile(r"[.!?](?=[ \n]|\Z)"), re.compile(r"[ \n]")
+_SENTENCE_ENDS = [p + w for p in ".!?" for w in " \n"]
+
+
+def _end(s: str, low: int, stop: int) -> int:
+    """Where a chunk ends that may go up to ``stop`` and looks for a mark from ``low`` on."""
+    at = s.rfind("\n\n", max(low - 1, 0), stop)
+    if at >= 0:
+        return at + 2
+    # white space after a sentence may stand just beyond the chunk
+    at = max(s.rfind(p, max(low, 1), stop + 1) for p in _SENTENCE_ENDS)
+    if at < 0:
+        at = max(s.rfind(" ", low, stop), s.rfind("\n", low, stop))
+    return at + 1 if at >= 0 else stop
 
 
 def chunk(s: str, size: int = MAX_CHARS, overlap: int = OVERLAP, least: int = MIN_CHARS) -> list[tuple[int, str]]:
     """Chunks of at most ``size`` characters, each ``overlap`` into the one before; a short tail joins the chunk before.
 
-    A chunk ends after the last blank line in its last 30 %, else after the last sentence there, else after the last space.
-    The places of all three are listed once, and each chunk looks its end up in the lists."""
+    A chunk ends after the last blank line in its last 30 %, else after the last sentence there, else after the last space;
+    nothing else of it is searched."""
     if size <= 0 or len(s) <= size:
         return [(0, s)]
     overlap = size // 4 if overlap >= size else max(0, overlap)
-    # by first character of a mark: where the next chunk would start after it
-    marks = [([m.start() for m in p.finditer(s)], after) for p, after in ((_BLANK, 2), (_SENTENCE, 1), (_WORD_END, 1))]
     spans: list[tuple[int, int]] = []
     start = 0
     while start + size < len(s):
-        stop = start + size
-        low = max(start, stop - max(10, size * 30 // 100))
-        for at, after in marks:
-            k = bisect_left(at, stop - after + 1) - 1
-            if k >= 0 and at[k] >= (low if at is marks[2][0] else max(low, 1) - (after - 1)):
-                stop = at[k] + after
-                break
+        stop = _end(s, max(start, start + size - max(10, size * 30 // 100)), start + size)
         spans.append((start, stop))
         # an overlap that would lead back to where the chunk began is left out
         start = stop - overlap if stop - overlap > start else stop
@@ -70,6 +71,19 @@ def boundary_chunks(content: Column, size: int = MAX_CHARS, overlap: int = OVERL
     return cut(content)
 
 
+class Chunker:
+    """A table function: the chunks (position, content) of a text."""
+
+    def eval(self, content: str, size: int, overlap: int, least: int):
+        yield from chunk(content or "", size, overlap, least)
+
+
+def register_chunker(spark: SparkSession, name: str = "chunk_text") -> None:
+    """Makes the chunker a table function of SQL: ``FROM documents d, LATERAL chunk_text(d.text, 1500, 200, 100) c``; rows go to it
+    and come back in Arrow batches."""
+    spark.udtf.register(name, F.udtf(Chunker, returnType="position int, content string", useArrow=True))
+
+
 def prepare(raw: DataFrame) -> DataFrame:
     """Rows (page_id, domain, content) as they are stored: known domain, secrets masked, cut to length, hashed."""
     masked, n = text.redact(F.col("content"))

@@ -163,15 +163,28 @@ _END = r"""CASE WHEN start + 1500 >= n THEN n
 _VIEWS = """reverse(substr(text, start + 1050, 451)) AS blank, reverse(substr(text, start + 1051, 451)) AS sentence, reverse(substr(text, start + 1051, 450)) AS space"""
 
 
-@query(f"""WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents),
+_CHUNKED = f"""WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents),
 c AS (SELECT doc_id, text, n, start, 1 AS k, {_END} AS stop FROM (SELECT *, {_VIEWS} FROM (SELECT *, 0::BIGINT AS start FROM t))
   UNION ALL SELECT doc_id, text, n, start, k, {_END} FROM (SELECT *, {_VIEWS} FROM (SELECT doc_id, text, n, CASE WHEN stop - 200 > start THEN stop - 200 ELSE stop END AS start, k + 1 AS k FROM c WHERE stop < n))),
-p AS (SELECT doc_id, k, length(regexp_replace(substr(text, start + 1, stop - start), '^\\s+|\\s+$', '', 'g')) AS size, n FROM c),
-o AS (SELECT doc_id, n, size, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS r, count(*) OVER (PARTITION BY doc_id) AS m, lead(size) OVER (PARTITION BY doc_id ORDER BY k) AS next FROM p WHERE size > 0 AND n > 1500)
-SELECT doc_id, 0 AS position, n AS n_chars FROM t WHERE n <= 1500
-UNION ALL SELECT doc_id, (r - 1)::INT, CASE WHEN r = m - 1 AND next < 100 THEN size + 1 + next ELSE size END FROM o WHERE NOT (r = m AND m > 1 AND size < 100)""")
+p AS (SELECT doc_id, k, regexp_replace(substr(text, start + 1, stop - start), '^\\s+|\\s+$', '', 'g') AS piece, n FROM c),
+o AS (SELECT doc_id, n, piece, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS r, count(*) OVER (PARTITION BY doc_id) AS m, lead(piece) OVER (PARTITION BY doc_id ORDER BY k) AS next FROM p WHERE piece <> '' AND n > 1500),
+d AS (SELECT doc_id, 0 AS position, text AS content FROM t WHERE n <= 1500
+  UNION ALL SELECT doc_id, (r - 1)::INT, CASE WHEN r = m - 1 AND length(next) < 100 THEN piece || ' ' || next ELSE piece END FROM o WHERE NOT (r = m AND m > 1 AND length(piece) < 100))
+SELECT doc_id, position, length(content) AS n_chars, sha256(content) AS digest FROM d"""
+
+
+@query(_CHUNKED)
 def chunk_boundary(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.inline(ingest.boundary_chunks(F.col("text")))).select("doc_id", "position", F.char_length("content").alias("n_chars"))
+    c = docs(spark, sf_dir).select("doc_id", F.inline(ingest.boundary_chunks(F.col("text"))))
+    return c.select("doc_id", "position", F.char_length("content").alias("n_chars"), F.sha2("content", 256).alias("digest"))
+
+
+@query(_CHUNKED)
+def chunk_lateral(spark, sf_dir):
+    """The chunker as a table function, joined to each text in SQL."""
+    ingest.register_chunker(spark)
+    sql = "SELECT d.doc_id, c.position, char_length(c.content) AS n_chars, sha2(c.content, 256) AS digest FROM {docs} d, LATERAL chunk_text(d.text, 1500, 200, 100) c"
+    return spark.sql(sql, docs=docs(spark, sf_dir))
 
 
 @query("""SELECT conv_id, left('[Session date: 2024/01/05]' || chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn), 25000) AS session FROM conversations GROUP BY conv_id""")

@@ -119,9 +119,9 @@ def soft_delete(pages: DataFrame, chunks: DataFrame, gone: DataFrame, moment: Co
 def compiled_upsert(new: DataFrame, old: DataFrame, threshold: float = 0.6) -> DataFrame:
     """The stored page that each compiled page replaces: of the same slug, else the most similar text, else none.
 
-    new and old: (id, scope, slug, content); texts are compared by their first 500 characters, within a scope. Candidates
-    share one of the rarest trigrams of both, as of n trigrams any other n - ceil(threshold * n) can be missing, and have
-    sizes within ``threshold``. Equal trigram sets of a scope are one candidate, so copies are not all pairs."""
+    new and old: (id, scope, slug, content); texts are compared by their first 500 characters, within a scope. What is very similar
+    is looked for first, as that takes few candidates, and a page that has found its best is done. Equal trigram sets of a scope are
+    one candidate, so copies are not all pairs."""
     exact = new.alias("n").join(old.alias("o"), (F.col("n.scope") == F.col("o.scope")) & (F.col("n.slug") == F.col("o.slug"))).groupBy(F.col("n.id").alias("id")).agg(F.min("o.id").alias("target"))
     rest = new.join(exact, "id", "left_anti")
     sets = lambda df: df.select("id", "scope", F.array_sort(scores.trigrams(F.substring("content", 1, 500))).alias("t")).filter("size(t) > 0").withColumn("k", F.xxhash64("scope", "t"))
@@ -130,17 +130,40 @@ def compiled_upsert(new: DataFrame, old: DataFrame, threshold: float = 0.6) -> D
     a, b = cut(classes(asked)), cut(classes(sets(old)))
     one = lambda df: df.select("k", "scope", F.size("t").alias("n"), F.explode("t").alias("g"))
     common = one(a).unionByName(one(b)).groupBy("scope", "g").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("k").orderBy("df", "g")
+    place = Window.partitionBy("k").orderBy("df", "g")
+    placed = lambda df: cut(one(df).join(common, ["scope", "g"]).withColumn("r", F.row_number().over(place)).drop("df"))
+    mine, theirs, left, found = placed(a), placed(b), a.select("k"), None
+    for t in sorted({threshold, *(x for x in STAGES if x > threshold)}, reverse=True):
+        sim = _verified(upsert_candidates(mine.join(small(left), "k", "left_semi"), theirs, t), a, b, t)
+        best = cut(sim.groupBy("k").agg(F.min_by("target", F.struct(-F.col("sim"), F.col("target"))).alias("target")))
+        found = best if found is None else found.unionByName(best)
+        left = cut(left.join(best, "k", "left_anti"))
+    done = asked.join(found, "k").select("id", "target")
+    return new.select("id").join(exact.unionByName(done), "id", "left")
+
+
+#: Similarities at which a best page is looked for first: what is found at one of them needs no lower one.
+STAGES = (0.9, 0.75)
+
+
+def upsert_candidates(mine: DataFrame, theirs: DataFrame, t: float) -> DataFrame:
+    """(a, b) of trigram sets (k, scope, n, g, r: the place of g among the set's, the rarest first) that may be ``t`` similar.
+
+    Both have one of their first n - ceil(t * n) + 1 in common. How many these are, and how many can still come after the last of
+    them, bounds how many they share at all."""
 
     def prefix(df: DataFrame, x: str) -> DataFrame:
-        own = one(df).join(common, ["scope", "g"]).withColumn("r", F.row_number().over(order))
-        return own.filter(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1).select(F.col("k").alias(x), "scope", "g", F.col("n").alias(f"n{x}"))
+        own = df.filter(F.col("r") <= F.col("n") - F.ceil(t * F.col("n")) + 1)
+        return own.select(F.col("k").alias(x), "scope", "g", F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"))
+
+    close = (F.col("na") >= t * F.col("nb")) & (F.col("nb") >= t * F.col("na"))
+    need = t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-6
+    met = prefix(mine, "a").join(prefix(theirs, "b"), ["scope", "g"]).filter(close & (F.least("ra", "rb") + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) >= need))
+    per = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("ra").alias("ra"), F.max("rb").alias("rb"))
+    return per.filter(F.col("c") + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) >= need).select("a", "b")
+
 
-    close = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
-    met = prefix(a, "a").join(prefix(b, "b"), ["scope", "g"]).filter(close).select("a", "b").distinct()
+def _verified(met: DataFrame, a: DataFrame, b: DataFrame, t: float) -> DataFrame:
     both = met.join(a.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(b.select(F.col("k").alias("b"), F.col("id").alias("target"), F.col("t").alias("tb")), "b")
     n = F.size(F.array_intersect("ta", "tb"))
-    sim = both.select("a", "target", F.round(n / (F.size("ta") + F.size("tb") - n), 9).alias("sim")).filter(F.col("sim") >= threshold)
-    best = sim.groupBy(F.col("a").alias("k")).agg(F.min_by("target", F.struct(-F.col("sim"), F.col("target"))).alias("target"))
-    found = asked.join(best, "k").select("id", "target")
-    return new.select("id").join(exact.unionByName(found), "id", "left")
+    return both.select(F.col("a").alias("k"), "target", F.round(n / (F.size("ta") + F.size("tb") - n), 9).alias("sim")).filter(F.col("sim") >= t)

@@ -327,7 +327,7 @@ def semantic_dedup(spark, sf_dir):
     return ingest.semantic_supersede(e, ["label"], 0.8)
 
 
-@query(r"""WITH n AS (SELECT doc_id AS id, source AS scope, 'p' || doc_id % 40 AS slug, text AS content FROM documents WHERE doc_id % 5 = 0), o AS (SELECT doc_id AS id, source AS scope, 'p' || doc_id % 97 AS slug, text AS content FROM documents WHERE doc_id % 5 <> 0),
+@query(r"""WITH n AS (SELECT doc_id AS id, lang AS scope, CASE WHEN doc_id % 15 = 0 THEN 'p' || doc_id % 40 ELSE 'q' || doc_id END AS slug, text AS content FROM documents WHERE doc_id % 5 = 0), o AS (SELECT doc_id AS id, lang AS scope, 'p' || doc_id % 97 AS slug, text AS content FROM documents WHERE doc_id % 5 <> 0),
 ex AS (SELECT n.id, min(o.id) AS target FROM n JOIN o ON n.scope = o.scope AND n.slug = o.slug GROUP BY n.id),
 w AS (SELECT 'n' AS side, id, scope, unnest(list_filter(regexp_split_to_array(lower(substr(content, 1, 500)), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS word FROM n WHERE id NOT IN (SELECT id FROM ex)
   UNION ALL SELECT 'o', id, scope, unnest(list_filter(regexp_split_to_array(lower(substr(content, 1, 500)), '[^\p{L}\p{N}]+'), lambda w: w <> '')) FROM o),
@@ -338,9 +338,11 @@ m AS (SELECT s.id, other, round(s.n::DOUBLE / (x.n + y.n - s.n), 9) AS sim FROM
 b AS (SELECT id, other AS target FROM m WHERE sim >= 0.6 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) = 1)
 SELECT n.id, coalesce(ex.target, b.target) AS target FROM n LEFT JOIN ex ON ex.id = n.id LEFT JOIN b ON b.id = n.id""")
 def compiled_upsert(spark, sf_dir):
-    d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("scope"), F.col("text").alias("content"))
+    d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("scope"), F.col("text").alias("content"))
     slug = lambda df, k: df.withColumn("slug", F.concat(F.lit("p"), (F.col("id") % k).cast("string")))
-    return ingest.compiled_upsert(slug(d.filter("id % 5 = 0"), 40), slug(d.filter("id % 5 <> 0"), 97))
+    # two of three new pages have a slug that no page has, so that the text decides
+    new = slug(d.filter("id % 5 = 0"), 40).withColumn("slug", F.when(F.col("id") % 15 == 0, F.col("slug")).otherwise(F.concat(F.lit("q"), F.col("id").cast("string"))))
+    return ingest.compiled_upsert(new, slug(d.filter("id % 5 <> 0"), 97))
 
 
 @query("""WITH s AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 <> 0 THEN lang END AS project FROM documents WHERE doc_id % 10 <> 0), d AS (SELECT doc_id AS id, unnest([doc_id + 1, doc_id + 2, doc_id + 3]) AS src FROM documents WHERE doc_id % 10 = 0)

@@ -212,3 +212,38 @@ def test_streamed_pages_close_what_a_walk_closes(spark, tmp_path):
     closed = spark.read.schema("page_id long, superseded_by long").option("recursiveFileLookup", True).parquet(f"{out}/closed")
     want = walk(fresh, 0.1)
     assert {r.page_id: r.superseded_by for r in closed.collect()} == want and len(want) > 10
+
+
+def test_a_compiled_page_replaces_the_most_similar(spark, monkeypatch):
+    """Slugs first, then the best text of the scope at 0.6 or more; few pairs are looked at."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    texts = [[word() for _ in range(40)] for _ in range(150)]
+
+    def near(ws, n):
+        ws = list(ws)
+        for i in rng.choice(len(ws), n, replace=False):
+            ws[i] = word()
+        return " ".join(ws)
+
+    old = [(i, "s" if i % 2 else "t", f"o{i}", near(w, 0)) for i, w in enumerate(texts)] + [(900, "s", "o1x", near(texts[1], 0)), (901, "s", "o3x", "")]
+    new = [(1000 + i, "s" if i % 2 else "t", f"n{i}", near(w, int(rng.integers(0, 25)))) for i, w in enumerate(texts[:100])]
+    new += [(2000, "s", "o5", "whatever"), (2001, "t", "o5", "nothing"), (2002, "s", "zz", ""), (2003, "s", "copy", near(texts[1], 0)), (2004, "s", "copy2", near(texts[1], 0))]
+
+    def grams(s):
+        return {("  " + w + " ")[i : i + 3] for w in s.lower().split() for i in range(len(w) + 1)}
+
+    want = {}
+    for i, scope, slug, text in new:
+        mates = [o for o in old if o[1] == scope]
+        same_slug = [o[0] for o in mates if o[2] == slug]
+        a = grams(text[:500])
+        best = sorted((-round(len(a & b) / len(a | b), 9), o[0]) for o in mates if a and (b := grams(o[3][:500])) and round(len(a & b) / len(a | b), 9) >= 0.6)
+        want[i] = min(same_slug) if same_slug else best[0][1] if best else None
+    seen = []
+    real = ingest.upsert_candidates
+    monkeypatch.setattr(ingest, "upsert_candidates", lambda *x: (seen.append((r := real(*x)).count()), r)[1])
+    schema = "id long, scope string, slug string, content string"
+    got = {r.id: r.target for r in ingest.compiled_upsert(spark.createDataFrame(new, schema), spark.createDataFrame(old, schema)).collect()}
+    assert got == want and 50 < sum(x is not None for x in want.values()) < 100
+    assert sum(seen) < 0.05 * len(new) * len(old) / 2

@@ -56,6 +56,14 @@ class Texts:
         self.chunk_start = np.cumsum(chunks) - chunks
 
 
+def _by_row(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w``, added up in the same order for a row whatever rows stand beside it: equal texts have equal scores in any batch."""
+    out = np.zeros((len(x), w.shape[1]), np.float32)
+    for i in range(x.shape[1]):
+        out += x[:, i : i + 1].astype(np.float32) * w[i]
+    return out
+
+
 class Network:
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
@@ -117,8 +125,8 @@ class Network:
         return chunk, top, act, np.concatenate([mean, high, x.length[:, None]], axis=1).astype(np.float32)
 
     def head(self, z: np.ndarray):
-        hidden = np.maximum(z @ self.p["inner"] + self.p["inner_bias"], 0)
-        return hidden, 1 / (1 + np.exp(-(hidden @ self.p["outer"] + self.p["prior"][0]).clip(-30, 30)))
+        hidden = np.maximum(_by_row(z, self.p["inner"]) + self.p["inner_bias"], 0)
+        return hidden, 1 / (1 + np.exp(-(_by_row(hidden, self.p["outer"][:, None])[:, 0] + self.p["prior"][0]).clip(-30, 30)))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         x = Texts(texts)

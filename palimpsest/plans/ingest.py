@@ -377,4 +377,4 @@ def export_import_round_trip(spark, sf_dir):
 def wiki_documents(spark, sf_dir):
     from ..sources import files
 
-    return files.markdown(TenantScope(2)(pages(spark, sf_dir))).select("page_id", "path", F.sha2("document", 256).alias("digest"))
+    return files.markdown(TenantScope(2)(pages(spark, sf_dir)), escaped=False).select("page_id", "path", F.sha2("document", 256).alias("digest"))

@@ -40,10 +40,12 @@ def import_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good, rows.filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def markdown(pages: DataFrame) -> DataFrame:
-    """(path, document) of each page: front matter, a heading, the text."""
+def markdown(pages: DataFrame, escaped: bool = True) -> DataFrame:
+    """(path, document) of each page: front matter, a heading, the text. Quotes and backslashes of a title are escaped between the
+    front matter's quotes, or stand as they are."""
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\n"))
-    quoted = F.concat(F.lit('"'), F.replace(F.replace("title", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    title = F.replace(F.replace("title", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')) if escaped else F.col("title")
+    quoted = F.concat(F.lit('"'), title, F.lit('"'))
     head = F.concat(
         F.lit("---\n"), field("id", F.col("page_id").cast("string")), field("title", quoted), field("domain", F.col("domain")),
         F.when(F.col("project").isNotNull(), field("project", F.col("project"))).otherwise(""), field("created_at", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.lit("---\n\n"),

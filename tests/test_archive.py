@@ -74,3 +74,20 @@ def test_a_stream_writes_batches_that_replace_themselves(spark, tmp_path):
         os.remove(crc)
     go()
     assert sorted(r.id for r in spark.read.format(archive.NAME).load(path).collect()) == list(range(30))
+
+
+def test_wiki_documents_have_titles_as_they_stand(spark, tmp_path):
+    import duckdb
+    from conftest import same
+
+    from palimpsest import registry
+
+    rows = [(2, 'say "x" a\\b', "en", "src1", 9), (5, ' "', "fr", "wiki", 2), (8, "plain", None, "src2", 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    sql = registry.oracle_sql()["wiki_documents"]
+    got = registry.queries()["wiki_documents"](spark, str(tmp_path))
+    # the SQL's domains are all memories, its paths keep backslashes
+    same(got.filter("page_id = 8").select("page_id", "path", "digest"), con, f"SELECT * FROM ({sql}) WHERE page_id = 8")
+    same(got.select("page_id", "digest"), con, f"SELECT page_id, digest FROM ({sql})")

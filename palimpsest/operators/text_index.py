@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from .state import cut_round
 
 #: Texts of a block at most, of a zone about, folders of terms, zones that a question reads first.
 BLOCK, ZONE, BUCKETS, FIRST = 128, 4096, 64, 4
+#: Texts that are posted at a time, texts of a part of a bucket about.
+POSTS, DEALT = 512, 50_000
 #: Places farther apart than this say nothing of each other (fixed value).
 NEAR = 100
 POSTED = "bucket int, term string, zone long, item_id long, size int, places array<int>"
@@ -67,71 +70,65 @@ def build(texts: DataFrame, path: str, config: str = "simple", zone: int = ZONE)
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str | None] = {}
         for b in batches:
-            out = [[], [], [], []]
-            for item, ws in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                places: dict[str, list[int]] = {}
-                for i, w in enumerate(ws or []):
-                    if w not in known:
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[w] = lexemes(w, config)
-                    if known[w] is not None:
-                        places.setdefault(known[w], []).append(i)
-                for col, x in zip(out, (places, [item] * len(places), [len(ws or [])] * len(places), places.values()), strict=True):
-                    col.extend(x)
-                if len(out[0]) > 50_000:
-                    yield _batch(out)
-                    out = [[], [], [], []]
-            if out[0]:
-                yield _batch(out)
+            for o in range(0, b.num_rows, POSTS):
+                yield _posted(b.slice(o, POSTS), known, config)
 
     posted = texts.filter("item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("w")).mapInArrow(post, "term string, item_id long, size int, places array<int>")
     keyed = posted.select(bucket(F.col("term")).alias("bucket"), "term", F.floor(F.col("item_id") / F.lit(width)).alias("zone"), "item_id", "size", "places")
-    # a term of any share of the texts is a range of its own: no task has all of it
-    order = ["bucket", "term", "zone", "item_id"]
-    blocks = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pack, ROWS)
+    # a bucket is dealt by zones, as many parts as its texts ask for: no task has all of a term
+    order, parts = ["bucket", "term", "zone", "item_id"], max(1, -(-n // DEALT))
+    blocks = keyed.repartition("bucket", F.pmod("zone", F.lit(parts))).sortWithinPartitions(*order).mapInArrow(_pack, ROWS)
     blocks.write.partitionBy("bucket").parquet(f"{path}/postings")
     spark.createDataFrame([(config, width)], "config string, width long").write.parquet(f"{path}/config")
     return Index(spark, path, config, width)
 
 
-def _batch(out: list[list]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(out, kinds, strict=True)], ["term", "item_id", "size", "places"])
+def _posted(b: pa.RecordBatch, known: dict[str, str | None], config: str) -> pa.RecordBatch:
+    """The words (item_id, w) of texts as rows (term, item_id, size, places)."""
+    sizes = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+    coded = b.column(1).flatten().dictionary_encode()
+    if len(known) > 200_000:
+        known.clear()
+    terms, code = [], {}
+    of = np.full(len(coded.dictionary), -1)
+    for i, w in enumerate(coded.dictionary.to_pylist()):
+        if w not in known:
+            known[w] = lexemes(w, config)
+        if (t := known[w]) is not None:
+            if t not in code:
+                code[t] = len(terms)
+                terms.append(t)
+            of[i] = code[t]
+    term = of[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    keep = term >= 0
+    row, place, term = row[keep], place[keep], term[keep]
+    order = np.lexsort((place, term, row))
+    row, place, term = row[order], place[order], term[order]
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (term[1:] != term[:-1])]) if len(row) else np.zeros(0, np.int64)
+    places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.array(place.astype(np.int32)))
+    names = pa.array(terms, pa.string()).take(pa.array(term[first]))
+    return pa.RecordBatch.from_arrays([names, b.column(0).take(pa.array(row[first])), pa.array(sizes[row[first]].astype(np.int32)), places], ["term", "item_id", "size", "places"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of one (term, zone) as blocks."""
-    kinds = {"term": pa.string(), "zone": pa.int64(), "n": pa.int32(), "most": pa.int32(), "least": pa.int32(), "ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "places": pa.list_(pa.list_(pa.int32())), "bucket": pa.int32()}
-    held, key, out = [[], [], []], None, {k: [] for k in kinds}
-
-    def flush() -> None:
-        if held[0]:
-            row = {"bucket": key[0], "term": key[1], "zone": key[2], "n": len(held[0]), "most": max(map(len, held[2])), "least": min(held[1]), "ids": list(held[0]), "sizes": list(held[1]), "places": list(held[2])}
-            for k, v in row.items():
-                out[k].append(v)
-            for x in held:
-                x.clear()
-
-    def packed() -> pa.RecordBatch:
-        b = pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))
-        for x in out.values():
-            x.clear()
-        return b
-
+    """Runs of rows of one (term, zone) as blocks; a run that goes on in the next batch is a block more there."""
     for b in batches:
-        for *own, item, size, places in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if own != key or len(held[0]) >= BLOCK:
-                flush()
-                key = own
-            held[0].append(item)
-            held[1].append(size)
-            held[2].append(places)
-        if out["term"]:
-            yield packed()
-    flush()
-    if out["term"]:
-        yield packed()
+        if not b.num_rows:
+            continue
+        own, term, zone, item, size, places = b.columns
+        coded, z = term.dictionary_encode().indices.to_numpy(), zone.to_numpy()
+        start = np.flatnonzero(np.r_[True, (coded[1:] != coded[:-1]) | (z[1:] != z[:-1])])
+        # long runs are cut
+        start = np.concatenate([np.arange(lo, hi, BLOCK) for lo, hi in zip(start, np.r_[start[1:], b.num_rows], strict=True)])
+        first, ends = pa.array(start), pa.array(np.r_[start, b.num_rows].astype(np.int32))
+        sizes, tf = size.to_numpy(), np.diff(places.offsets.to_numpy())
+        flat = pa.ListArray.from_arrays(pa.array((places.offsets.to_numpy() - places.offsets[0].as_py()).astype(np.int32)), places.flatten())
+        n = np.diff(np.r_[start, b.num_rows]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (item, size, flat)]
+        columns = [term.take(first), zone.take(first), pa.array(n), pa.array(np.maximum.reduceat(tf, start).astype(np.int32)), pa.array(np.minimum.reduceat(sizes, start).astype(np.int32)), *lists, own.take(first)]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "zone", "n", "most", "least", "ids", "sizes", "places", "bucket"])
 
 
 def load(spark: SparkSession, path: str) -> Index:
@@ -165,12 +162,54 @@ def proximity(places: list) -> float:
     return 1.0 - float(np.exp(total))
 
 
-def _proximity(places: Column) -> Column:
-    @F.pandas_udf("double")
-    def rated(each: pd.Series) -> pd.Series:
-        return each.map(proximity).astype(float)
-
-    return rated(places)
+def proximities(rows: pa.Array) -> np.ndarray:
+    """``proximity`` of each row (a list of lists of sorted places), all rows of a number of terms at once."""
+    inner = rows.flatten()
+    terms, at = np.diff(rows.offsets.to_numpy()), rows.offsets.to_numpy() - rows.offsets[0].as_py()
+    flat, ends = inner.flatten().to_numpy().astype(np.int64), inner.offsets.to_numpy() - inner.offsets[0].as_py()
+    out = np.zeros(len(rows))
+    # rows stand so far apart that their places never meet
+    far = int(flat.max(initial=0)) + 2 * NEAR + 2
+
+    def of(some: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, rows) of the rows' term ``i``, one after the other."""
+        lo, hi = ends[at[some] + i], ends[at[some] + i + 1]
+        n = hi - lo
+        own = np.repeat(np.arange(len(some)), n)
+        return flat[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())] + own * far, own
+
+    for k in np.unique(terms):
+        some = np.flatnonzero(terms == k)
+        if k == 1:
+            _, own = of(some, 0)
+            n = np.bincount(own, minlength=len(some))
+            nth = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + 1
+            out[some] = 0.1 * np.bincount(own, 1.0 / nth**2, minlength=len(some)) / 1.64493406685
+            continue
+        total = np.zeros(len(some))
+        lists = [of(some, i) for i in range(k)]
+        for i in range(k):
+            for j in range(i):
+                (few, own), (many, _) = sorted((lists[i], lists[j]), key=lambda x: len(x[0]))
+                # the places of the one around each place of the other, some at a time
+                lo, hi = np.searchsorted(many, few - NEAR), np.searchsorted(many, few + NEAR, "right")
+                for o in range(0, len(few), 20_000):
+                    a, n = lo[o : o + 20_000], (hi - lo)[o : o + 20_000]
+                    d = np.abs(many[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())] - np.repeat(few[o : o + 20_000], n))
+                    total += np.bincount(np.repeat(own[o : o + 20_000], n), _BY_DISTANCE[d], minlength=len(some))
+        out[some] = 1.0 - np.exp(total)
+    return out
+
+
+_BY_DISTANCE = np.r_[0.0, _PAIR]
+
+
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(question_id, item_id, score) of rows (question_id, item_id, places of each term)."""
+    for b in batches:
+        for o in range(0, b.num_rows, POSTS):
+            part = b.slice(o, POSTS)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(proximities(part.column(2)))], ["question_id", "item_id", "score"])
 
 
 def _bound(score: str) -> Column:
@@ -228,5 +267,7 @@ def _scored(own: DataFrame, asked: DataFrame, need: DataFrame, zones: DataFrame,
     else:
         hit = each.groupBy("question_id", "ids").agg(F.count("*").alias("have"), F.collect_list("places").alias("score"))  # as many as terms
     full = hit.join(F.broadcast(need), "question_id").filter(F.col("have") == F.col("need"))
-    value = F.col("score") if score == "frequency" else _proximity(F.col("score"))
-    return full.select("question_id", F.col("ids").alias("item_id"), F.round(value, 9).alias("score"))
+    full = full.select("question_id", F.col("ids").alias("item_id"), "score")
+    if score != "frequency":
+        full = full.mapInArrow(_scores, f"question_id {dict(full.dtypes)['question_id']}, item_id long, score double")
+    return full.withColumn("score", F.round("score", 9))

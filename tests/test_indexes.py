@@ -166,3 +166,34 @@ def test_text_index_reads_only_the_terms_folders_and_skips_zones(spark, texts, t
     assert [r.item_id for r in text_index.search(index, asked, 1).collect()] == [8]
     every = index.blocks().filter("term = 'dogs'").select("zone").distinct().count()
     assert sum(seen) < every / 2
+
+
+def test_texts_of_a_batch_are_rated_as_each_alone():
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    rows = [[sorted(r.choice(400, int(r.integers(1, 60)), replace=False).tolist()) for _ in range(int(r.integers(1, 5)))] for _ in range(200)]
+    got = text_index.proximities(pa.array(rows, pa.list_(pa.list_(pa.int32()))).slice(3))
+    assert np.allclose(got, [text_index.proximity(x) for x in rows[3:]], atol=1e-12)
+
+
+def test_a_text_is_posted_once(spark, texts, tmp_path, monkeypatch):
+    """The posting isn't run again for the borders of ranges."""
+    rows, df = texts
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    text_index.build(df.mapInArrow(counted, df.schema), str(tmp_path / "t"))
+    # once to count the texts, once to post them
+    assert seen.value == 2 * len(rows)
+
+
+def test_every_hundredth_document_asks_the_english_index(spark, sf_dir):
+    from palimpsest import registry
+
+    got = registry.queries()["fts_index_english"](spark, sf_dir).select("question_id").distinct()
+    assert {r.question_id for r in got.collect()} == {0, 100}

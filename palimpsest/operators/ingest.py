@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kinds, scores, text
 from .joins import small
-from .state import cut
+from .state import cut, cut_round
 from .supersede import closings
 
 MAX_CHARS, OVERLAP, MIN_CHARS, LONGEST, MAX_CHUNKS, MAX_METADATA = 1500, 200, 100, 200_000, 400, 16_384
@@ -121,7 +125,8 @@ def compiled_upsert(new: DataFrame, old: DataFrame, threshold: float = 0.6) -> D
 
     new and old: (id, scope, slug, content); texts are compared by their first 500 characters, within a scope. What is very similar
     is looked for first, as that takes few candidates, and a page that has found its best is done. Equal trigram sets of a scope are
-    one candidate, so copies are not all pairs."""
+    one candidate, so copies are not all pairs. Where texts have so few rare trigrams that nearly all would be candidates, what is
+    left is compared in blocks."""
     exact = new.alias("n").join(old.alias("o"), (F.col("n.scope") == F.col("o.scope")) & (F.col("n.slug") == F.col("o.slug"))).groupBy(F.col("n.id").alias("id")).agg(F.min("o.id").alias("target"))
     rest = new.join(exact, "id", "left_anti")
     sets = lambda df: df.select("id", "scope", F.array_sort(scores.trigrams(F.substring("content", 1, 500))).alias("t")).filter("size(t) > 0").withColumn("k", F.xxhash64("scope", "t"))
@@ -133,17 +138,130 @@ def compiled_upsert(new: DataFrame, old: DataFrame, threshold: float = 0.6) -> D
     place = Window.partitionBy("k").orderBy("df", "g")
     placed = lambda df: cut(one(df).join(common, ["scope", "g"]).withColumn("r", F.row_number().over(place)).drop("df"))
     mine, theirs, left, found = placed(a), placed(b), a.select("k"), None
+    best_of = lambda sim: cut(sim.groupBy("k").agg(F.min_by("target", F.struct(-F.col("sim"), F.col("target"))).alias("target")))
     for t in sorted({threshold, *(x for x in STAGES if x > threshold)}, reverse=True):
-        sim = _verified(upsert_candidates(mine.join(small(left), "k", "left_semi"), theirs, t), a, b, t)
-        best = cut(sim.groupBy("k").agg(F.min_by("target", F.struct(-F.col("sim"), F.col("target"))).alias("target")))
+        some = mine.join(small(left), "k", "left_semi")
+        if dense := _meetings(some, theirs, t) > max(MEETINGS, _pairs(some, theirs) * SHARED):
+            break
+        best = best_of(_verified(upsert_candidates(some, theirs, t), a, b, t))
         found = best if found is None else found.unionByName(best)
         left = cut(left.join(best, "k", "left_anti"))
+    if dense:
+        best = best_of(compared_in_blocks(a.join(left, "k", "left_semi"), b, threshold))
+        found = best if found is None else found.unionByName(best)
     done = asked.join(found, "k").select("id", "target")
     return new.select("id").join(exact.unionByName(done), "id", "left")
 
 
 #: Similarities at which a best page is looked for first: what is found at one of them needs no lower one.
 STAGES = (0.9, 0.75)
+#: Where rare trigrams would meet more often than this, and than this share of all pairs, all pairs are compared in blocks.
+MEETINGS, SHARED = 5_000_000, 0.05
+#: Sets of a block on either side about; sets and trigrams that are multiplied at a time.
+ASKED, STORED, SETS, GRAMS = 8192, 16_384, 2048, 4096
+
+
+def _prefix(df: DataFrame, t: float) -> DataFrame:
+    return df.filter(F.col("r") <= F.col("n") - F.ceil(t * F.col("n")) + 1)
+
+
+def _meetings(mine: DataFrame, theirs: DataFrame, t: float) -> int:
+    """How many rows the prefixes' join has."""
+    of = lambda df, x: _prefix(df, t).groupBy("scope", "g").agg(F.count("*").alias(x))
+    return of(mine, "a").join(of(theirs, "b"), ["scope", "g"]).agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+
+
+def _pairs(mine: DataFrame, theirs: DataFrame) -> int:
+    """How many pairs of sets share a scope."""
+    of = lambda df, x: df.filter("r = 1").groupBy("scope").agg(F.count("*").alias(x))
+    return of(mine, "a").join(of(theirs, "b"), "scope").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+
+
+def compared_in_blocks(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """(k, target, sim): of each set of ``a`` (k, scope, t) the most similar of each block of ``b`` (id, scope, t), the least id of
+    equal ones, from ``threshold`` on. Every set of a scope meets every other: blocks of both sides meet in a group, whose memory
+    is bounded, and shared trigrams are counted as products of matrices."""
+    code = F.transform("t", lambda g: F.aggregate(F.sequence(F.lit(1), F.lit(3)), F.lit(0).cast("long"), lambda s, i: F.shiftleft(s, 21) + F.ascii(F.substr(g, i, F.lit(1)))))
+    a, b = (cut_round(df.select(F.col(x).alias("id"), "scope", code.alias("t"))) for df, x in ((a, "k"), (b, "id")))
+    of = lambda df, size, x: df.groupBy("scope").agg(F.ceil(F.count("*") / size).cast("int").alias(x))
+    # scopes may be many: their counts meet by a join
+    grid = cut_round(of(a, ASKED, "na").join(of(b, STORED, "nb"), "scope"))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ["scope", "i", "j", "kind"]
+    one = a.join(grid, "scope").withColumns({"i": part("na"), "j": every("nb"), "kind": F.lit(0)}).select(*key, "id", "t")
+    two = b.join(grid, "scope").withColumns({"i": every("na"), "j": part("nb"), "kind": F.lit(1)}).select(*key, "id", "t")
+    groups = grid.agg(F.sum(F.col("na").cast("long") * F.col("nb"))).first()[0] or 1
+    dealt = one.unionByName(two).repartition(min(groups, 2000), "scope", "i", "j").sortWithinPartitions(*key)
+    return dealt.mapInArrow(lambda batches: _products(batches, threshold), "k long, target long, sim double")
+
+
+def _products(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Over rows in order of (scope, i, j, kind): the sets that ask, then those that they are compared with."""
+    key, held, asked = None, [], None
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        if asked is not None and held:
+            yield _best_of(*asked, *_joined(held), threshold)
+        held = []
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        scope, (i, j, kind) = b.column(0).dictionary_encode().indices.to_numpy(), (b.column(x).to_numpy() for x in (1, 2, 3))
+        stops = np.flatnonzero((scope[1:] != scope[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for lo, hi in zip([0, *stops], [*stops, b.num_rows], strict=True):
+            now = (b.column(0)[int(lo)].as_py(), i[lo], j[lo], kind[lo])
+            if now != key:
+                if key is not None and now[:3] != key[:3]:
+                    yield from flush()
+                    asked = None
+                elif key is not None:
+                    asked, held = _joined(held), []
+                key = now
+            held.append((b.column(4).slice(lo, hi - lo).to_numpy(), b.column(5).slice(lo, hi - lo)))
+            if kind[lo] == 1 and sum(len(x) for x, _ in held) >= SETS:
+                yield from flush()
+    yield from flush()
+
+
+def _joined(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, sizes, trigrams one set after the other)."""
+    return np.concatenate([x for x, _ in held]), np.concatenate([np.diff(t.offsets.to_numpy()) for _, t in held]), np.concatenate([t.flatten().to_numpy() for _, t in held])
+
+
+def _best_of(k: np.ndarray, n: np.ndarray, grams: np.ndarray, ids: np.ndarray, m: np.ndarray, others: np.ndarray, threshold: float) -> pa.RecordBatch:
+    known = np.unique(others)
+    out: list[list[np.ndarray]] = [[], [], []]
+    spread = lambda g, sizes: (np.repeat(np.arange(len(sizes)), sizes), np.minimum(np.searchsorted(known, g), len(known) - 1))
+
+    def matrix(row: np.ndarray, at: np.ndarray, rows: int, lo: int) -> np.ndarray:
+        x = np.zeros((rows, min(GRAMS, len(known) - lo)), np.float32)
+        inside = (at >= lo) & (at < lo + GRAMS)
+        x[row[inside], at[inside] - lo] = 1
+        return x
+
+    starts = np.r_[0, np.cumsum(n)]
+    row_b, at_b = spread(others, m)
+    for o in range(0, len(k), SETS):
+        own, g = n[o : o + SETS], grams[starts[o] : starts[min(o + SETS, len(k))]]
+        row, at = spread(g, own)
+        there = known[at] == g
+        row, at = row[there], at[there]
+        common = np.zeros((len(own), len(m)), np.float32)
+        for lo in range(0, len(known), GRAMS):
+            common += matrix(row, at, len(own), lo) @ matrix(row_b, at_b, len(m), lo).T
+        # what is similar enough shares at least so many
+        i, j = np.nonzero(common >= threshold / (1 + threshold) * (own[:, None] + m) - 1e-3)
+        shared = common[i, j].astype(np.float64)
+        sim = np.round(shared / (own[i] + m[j] - shared), 9)
+        order = np.lexsort((ids[j], -sim, i))
+        order = order[sim[order] >= threshold]
+        first = order[np.flatnonzero(np.r_[True, i[order][1:] != i[order][:-1]])] if len(order) else order
+        for x, v in zip(out, (k[o + i[first]], ids[j[first]], sim[first]), strict=True):
+            x.append(v)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["k", "target", "sim"])
 
 
 def upsert_candidates(mine: DataFrame, theirs: DataFrame, t: float) -> DataFrame:
@@ -153,8 +271,7 @@ def upsert_candidates(mine: DataFrame, theirs: DataFrame, t: float) -> DataFrame
     them, bounds how many they share at all."""
 
     def prefix(df: DataFrame, x: str) -> DataFrame:
-        own = df.filter(F.col("r") <= F.col("n") - F.ceil(t * F.col("n")) + 1)
-        return own.select(F.col("k").alias(x), "scope", "g", F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"))
+        return _prefix(df, t).select(F.col("k").alias(x), "scope", "g", F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"))
 
     close = (F.col("na") >= t * F.col("nb")) & (F.col("nb") >= t * F.col("na"))
     need = t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-6

@@ -247,3 +247,19 @@ def test_a_compiled_page_replaces_the_most_similar(spark, monkeypatch):
     got = {r.id: r.target for r in ingest.compiled_upsert(spark.createDataFrame(new, schema), spark.createDataFrame(old, schema)).collect()}
     assert got == want and 50 < sum(x is not None for x in want.values()) < 100
     assert sum(seen) < 0.05 * len(new) * len(old) / 2
+
+
+def test_upsert_in_blocks_finds_what_rare_trigrams_find(spark, monkeypatch):
+    """Texts of few trigrams, nearly all of which are candidates, and blocks smaller than a scope."""
+    rng = np.random.default_rng(11)
+    parts = ["ban", "ana", "nab", "aé", "𝄞x"]
+    text = lambda: " ".join("".join(rng.choice(parts, 3)) for _ in range(int(rng.integers(1, 6))))
+    old = [(i, "s" if i % 3 else "t", f"o{i}", text()) for i in range(150)]
+    new = [(1000 + i, "s" if i % 2 else "t", f"n{i}", old[i][3] if i % 7 == 0 else text()) for i in range(90)] + [(2000, "u", "n", "alone"), (2001, "s", "n", "")]
+    schema = "id long, scope string, slug string, content string"
+    a, b = spark.createDataFrame(new, schema).repartition(3), spark.createDataFrame(old, schema).repartition(3)
+    want = {r.id: r.target for r in ingest.compiled_upsert(a, b).collect()}
+    for name, value in {"MEETINGS": 0, "SHARED": 0, "ASKED": 20, "STORED": 30, "SETS": 7, "GRAMS": 5}.items():
+        monkeypatch.setattr(ingest, name, value)
+    monkeypatch.setattr(ingest, "upsert_candidates", None)
+    assert {r.id: r.target for r in ingest.compiled_upsert(a, b).collect()} == want and sum(x is not None for x in want.values()) > 30

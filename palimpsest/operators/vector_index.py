@@ -134,28 +134,30 @@ def _calibrated(index: Index, trials: list, k: int, recall: float) -> int:
     return min(len(index.centers), most + -(-most // 10) + 1)
 
 
-def search(index: Index, questions: DataFrame, k: int, probes: int | None = None, gate: float = 2.0, exact: bool = False) -> DataFrame:
+def search(index: Index, questions: DataFrame, k: int, probes: int | None = None, gate: float = 2.0, exact: bool = False, recall: float = 0.0) -> DataFrame:
     """(question_id, item_id, distance, rank): of each question (question_id, qvec) the ``k`` nearest vectors of the cells that it
-    probes, or of all if ``exact``. Questions without a vector, or one without length, have none."""
+    probes, or of all if ``exact``. With ``recall``, cells are read on until that share of each question's nearest is certain, as
+    probes that cover the trials may not cover every question. Questions without a vector, or one without length, have none."""
+    sure = k if exact else min(k, -(-int(1000 * recall * k) // 1000))
     spark, schema = questions.sparkSession, "question_id long, item_id long, distance double"
     out, none = None, spark.createDataFrame([], schema)
     if not len(index.centers):
         return top_k(none, ["question_id"], ["item_id"], k)
-    radii = index.radii() if exact else None
+    radii = index.radii() if sure else None
     for block in _blocks(index, questions):
         ids, q = block
         off = np.sqrt(np.maximum(2 - 2 * (q @ index.centers.T), 0))
         turn = off.argsort(1, kind="stable").argsort(1)
         first = turn < (probes or index.probes)
         one = _read(index, ids, q, first, k, gate, schema)
-        if exact:
+        if sure:
             one = cut_round(one)
-            last = top_k(one, ["question_id"], [F.round("distance", 9), F.col("item_id")], k).groupBy("question_id").agg(F.count("*").alias("n"), F.max("distance").alias("d")).collect()
-            # chord of the k-th distance; what is farther than the gate doesn't count anyway
+            last = top_k(one, ["question_id"], [F.round("distance", 9), F.col("item_id")], sure).groupBy("question_id").agg(F.count("*").alias("n"), F.max("distance").alias("d")).collect()
+            # chord of the last distance that is to be certain; what is farther than the gate doesn't count anyway
             bound = np.full(len(ids), np.sqrt(2 * gate) + 1e-6)
             place = {x: i for i, x in enumerate(ids.tolist())}
             for r in last:
-                if r.n >= k:
+                if r.n >= sure:
                     bound[place[r.question_id]] = np.sqrt(2 * max(r.d, 0)) + 1e-6
             rest = ~first & (radii >= 0) & (off - radii <= bound[:, None])
             one = one.unionByName(_read(index, ids, q, rest, k, gate, schema))

@@ -197,3 +197,12 @@ def test_every_hundredth_document_asks_the_english_index(spark, sf_dir):
 
     got = registry.queries()["fts_index_english"](spark, sf_dir).select("question_id").distinct()
     assert {r.question_id for r in got.collect()} == {0, 100}
+
+
+def test_recall_holds_for_every_question(spark, sf_dir, monkeypatch):
+    """Also for questions that need more cells than the trials did."""
+    from palimpsest import registry
+
+    monkeypatch.setattr(vector_index, "_calibrated", lambda *_: 1)
+    got = registry.queries()["vector_index_recall"](spark, sf_dir).collect()
+    assert got and all(r.enough and r.nearest == 10 for r in got)

@@ -91,3 +91,11 @@ def test_wiki_documents_have_titles_as_they_stand(spark, tmp_path):
     # the SQL's domains are all memories, its paths keep backslashes
     same(got.filter("page_id = 8").select("page_id", "path", "digest"), con, f"SELECT * FROM ({sql}) WHERE page_id = 8")
     same(got.select("page_id", "digest"), con, f"SELECT page_id, digest FROM ({sql})")
+
+
+def test_documents_read_back_are_not_broadcast(spark, sf_dir):
+    from palimpsest import registry
+
+    got = registry.queries()["wiki_archive"](spark, sf_dir)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

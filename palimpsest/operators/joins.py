@@ -26,12 +26,13 @@ def small(df: DataFrame, most: int = MOST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def lookup(big: DataFrame, few: DataFrame, keys: list[str], weight: str, total: int, spread: list[str]) -> DataFrame:
+def lookup(big: DataFrame, few: DataFrame, keys: list[str], weight: str, total: int, spread: list[str], shuffled: bool = False) -> DataFrame:
     """Left join on ``keys``, unique in ``few``, that no hot key can skew.
 
     Keys with more than a ``HOT_SHARE``th of ``total`` rows (``weight`` counts a key's rows in ``big``, ``total`` their
     sum, so there are at most ``HOT_SHARE`` such keys) are broadcast. The rest is shuffled; rows that already found
     their key are dealt by ``spread`` instead. ``few`` should be cut: it is read twice. Null keys match nothing.
+    ``shuffled``: other keys aren't broadcast however few they are, for loops, whose rounds would add up at the driver.
     """
     limit = max(total // HOT_SHARE, 10_000)
     values = [c for c in few.columns if c not in keys]
@@ -43,7 +44,7 @@ def lookup(big: DataFrame, few: DataFrame, keys: list[str], weight: str, total:
     dealt = F.when(F.col(hot_).isNull() & F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)), F.lit(0).cast("long")).otherwise(F.xxhash64(*[F.col(c) for c in spread]).bitwiseOR(F.lit(1).cast("long")))
     rows = rows.withColumn(salt, dealt)
     on = [F.col(f"a.`{k}`") == F.col(f"b._k{i}") for i, k in enumerate(keys)]
-    out = rows.alias("a").join(cold.alias("b"), [*on, F.col(f"a.{salt}") == F.col(f"b.{salt}")], "left")
+    out = rows.alias("a").join((cold.hint("merge") if shuffled else cold).alias("b"), [*on, F.col(f"a.{salt}") == F.col(f"b.{salt}")], "left")
     found = F.coalesce(F.col(hot_), F.col(cold_))
     return out.select(*[F.col(f"a.`{c}`") for c in own], *[found[v].alias(v) for v in values])
 

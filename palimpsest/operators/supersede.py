@@ -124,8 +124,8 @@ def matched(pairs: DataFrame) -> tuple[DataFrame, int]:
         late = cut_round(live.groupBy("late").agg(F.min(F.struct("distance", "early", "at")).alias("x"), F.count("*").alias("n")))
         offers = early.groupBy(F.col("x.late").alias("late")).agg(F.min(F.struct(F.col("x.distance").alias("distance"), "early")).alias("offer"))
         holders = late.groupBy(F.col("x.early").alias("early")).agg(F.min(F.struct(F.col("x.at").alias("at"), "late")).alias("holder"))
-        offers, holders = cut_round(offers.join(late.select("late", "n"), "late")), cut_round(holders.join(early.select("early", "n"), "early"))
-        met = lookup(lookup(live, offers, ["late"], "n", left, ["early", "late"]).drop("n"), holders, ["early"], "n", left, ["early", "late"])
+        offers, holders = cut_round(offers.join(late.select("late", "n").hint("merge"), "late")), cut_round(holders.join(early.select("early", "n").hint("merge"), "early"))
+        met = lookup(lookup(live, offers, ["late"], "n", left, ["early", "late"], shuffled=True).drop("n"), holders, ["early"], "n", left, ["early", "late"], shuffled=True)
         good = F.coalesce(F.struct("distance", "early") <= F.col("offer"), F.lit(True)) & F.coalesce(F.struct("at", "late") <= F.col("holder"), F.lit(True))
         live = cut_round(met.filter(good).select("late", "at", "early", "distance"))
         rounds, before, left = rounds + 1, left, live.count()

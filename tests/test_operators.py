@@ -263,3 +263,13 @@ def test_upsert_in_blocks_finds_what_rare_trigrams_find(spark, monkeypatch):
         monkeypatch.setattr(ingest, name, value)
     monkeypatch.setattr(ingest, "upsert_candidates", None)
     assert {r.id: r.target for r in ingest.compiled_upsert(a, b).collect()} == want and sum(x is not None for x in want.values()) > 30
+
+
+def test_rounds_of_matching_broadcast_hot_keys_only(spark, monkeypatch):
+    """What a round broadcasts is sent to the driver, and rounds add up."""
+    plans, real = [], supersede.cut_round
+    monkeypatch.setattr(supersede, "cut_round", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    pairs = spark.createDataFrame([(i, i, j, (i * j % 7) / 10) for i in range(1, 20) for j in range(i)], "late long, at long, early long, distance double")
+    assert supersede.matched(pairs)[0].count() > 5
+    # of each round, the two lookups' hot keys
+    assert max(p.count("BroadcastHashJoin") for p in plans) == 2 and sum("BroadcastHashJoin" in p for p in plans) <= len(plans) / 5

@@ -51,7 +51,7 @@ def retrieve(asked: DataFrame, corpus: search.Corpus, multi_hop: bool = False, d
     """Candidates of questions as ``search`` takes them, several times what they need, as of the moment that they ask about:
     (question_id, item_id, page, rank, score, content, day). With ``multi_hop`` also those of the parts that ``decompose``
     finds: the question first, then part by part, every item where it comes first."""
-    today = F.to_date("now")
+    today, corpus = F.to_date("now"), search.placed(corpus)
     wide = asked.withColumn("limit", F.greatest(F.lit(20), 5 * questions.effective_limit(F.col("text"), F.col("limit")))).withColumn("as_of", F.coalesce("as_of", dates.detect_as_of(F.col("text"), F.col("now"))))
     if multi_hop:
         whole = F.array(F.struct(F.lit(0).alias("part"), F.col("text").alias("said")))
@@ -62,8 +62,9 @@ def retrieve(asked: DataFrame, corpus: search.Corpus, multi_hop: bool = False, d
     if multi_hop:
         found = found.withColumn("part", F.col("question_id.part")).withColumn("question_id", F.col("question_id.of"))
         found = ranking.first_seen(found.withColumnRenamed("position", "of_part"), ["question_id"], "item_id", ["part", "of_part"])
-    day = corpus.chunks.select("item_id", F.col("session_day").alias("day"))
-    return found.select("question_id", "item_id", F.col("page_id").alias("page"), F.col("position").alias("rank"), "score", F.col("text").alias("content")).join(day, "item_id")
+    day = corpus.places.select("item_id", F.col("session_day").alias("day"))
+    found = cut(found.select("question_id", "item_id", F.col("page_id").alias("page"), F.col("position").alias("rank"), "score", F.col("text").alias("content")))
+    return day.join(small(found), "item_id").select(*found.columns, "day")
 
 
 def prompts(asked: DataFrame, results: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ingest, search
+from ..operators.state import cut_round
 from ..sources.tables import EDGES_SQL, ENTITIES_SQL, PAGES_SQL, PART, current, edges, entities, pages, table
 from .base import query
 from .retrieval import DEG_SQL, TRI_SQL
@@ -93,18 +94,19 @@ SELECT question_id, position, item_id, page_id, round(score, 9) AS score, mode A
 
 def corpus(spark, sf_dir) -> search.Corpus:
     p = pages(spark, sf_dir)
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page_id"), F.lit(0).alias("position"), "embedding")
+    vectors = table(spark, sf_dir, "embeddings").select((F.col("vec_id") * 1000).alias("item_id"), F.col("vec_id").alias("page_id"), "embedding")
     day = F.to_date("created_at")
-    chunks = p.select("page_id", "created_at", F.inline(ingest.fixed_chunks(F.col("content")))).join(vectors, ["page_id", "position"], "left")
-    chunks = chunks.select((F.col("page_id") * 1000 + F.col("position")).alias("item_id"), "page_id", "position", F.col("content").alias("text"), "embedding", F.array(F.date_format(day, "'d'yyyyMMdd")).alias("dates"), day.alias("session_day"))
+    chunks = p.select("page_id", "created_at", F.inline(ingest.fixed_chunks(F.col("content"))))
+    chunks = chunks.select((F.col("page_id") * 1000 + F.col("position")).alias("item_id"), "page_id", "position", F.col("content").alias("text"), F.array(F.date_format(day, "'d'yyyyMMdd")).alias("dates"), day.alias("session_day"))
     n = entities(spark, sf_dir)
     gone = F.when((F.col("kind") == "person") & (F.col("entity_id") % 10 == 3), F.lit("2024-01-31").cast("timestamp"))
     aliases = F.when(F.col("kind") == "place", F.array("name")).otherwise(F.array().cast("array<string>"))
     n = n.select("*", aliases.alias("aliases"), F.lit("1995-01-01").cast("timestamp").alias("valid_from"), gone.alias("valid_to"))
-    e = edges(spark, sf_dir)
+    # several channels and their hops read the edges, which a join and a grouping make
+    e = cut_round(edges(spark, sf_dir))
     lasting = F.col("from_id").between(PART + 1, PART + 20) | F.col("to_id").between(PART + 1, PART + 20)
     durable = current(e).filter(F.col("page_id").isNotNull() & lasting).select("page_id")
-    return search.Corpus(chunks, p.select("page_id", "domain", "project", "title", "created_at"), n, e, durable, WALKED, HUB)
+    return search.Corpus(chunks, p.select("page_id", "domain", "project", "title", "created_at"), n, e, durable, WALKED, HUB, vectors=vectors)
 
 
 def asked(spark, sf_dir):

@@ -16,3 +16,17 @@ def test_channels_shuffle_no_texts(spark, sf_dir):
     assert c.places.count() == c.chunks.count()
     # edges are read from what was written, not joined again
     assert "Join" not in plan(c.edges)
+
+
+def test_many_keys_share_a_shard(spark, tmp_path, monkeypatch):
+    """Keys that are walked together get the verdicts that each has alone."""
+    from palimpsest.streaming import jobs, ordered
+
+    from test_streams import got, made, plain, write
+
+    monkeypatch.setattr(ordered, "SHARDS", 2)
+    rows = made()
+    for part in range(3):
+        write(spark, rows[part::3], f"{tmp_path}/in")
+    s = jobs.stream(spark, f"{tmp_path}/in", 1)
+    assert got(ordered.judged(s, ordered.Grace(5), "4 days", f"{tmp_path}/out")) == plain(rows, ordered.Grace(5))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -184,19 +186,26 @@ def _span(days: Column, a: Column, b: Column, words: Column) -> Column:
     return F.concat(size, words)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def date_math(text: Column, now: Column) -> Column:
     """Sentences that state the differences between a question's dates, or between them and ``now`` (a date)."""
+    return _bound(text, lambda t: _bound(now, lambda n: _date_math(t, n)))
+
 
+def _date_math(text: Column, now: Column) -> Column:
     def every(pattern: str, y: int, m: int, d: int, month) -> Column:
-        all_of = lambda g: F.regexp_extract_all(text, F.lit(re2(pattern)), F.lit(g))
-        parts = F.arrays_zip(all_of(y).alias("y"), all_of(m).alias("m"), all_of(d).alias("d"))
-        return F.transform(parts, lambda x: safe_date(F.coalesce(_number(x["y"]), F.year(now)), month(x["m"]), x["d"].cast("int")))
+        # one pass over the text; the parts are read from the few characters that it finds
+        part = lambda x, g: F.regexp_extract(x, re2(pattern), g)
+        return F.transform(F.regexp_extract_all(text, F.lit(re2(pattern)), F.lit(0)), lambda x: safe_date(F.coalesce(_number(part(x, y)), F.year(now)), month(part(x, m)), part(x, d).cast("int")))
 
     ago = back(now, _number(_part(text, AGO, 1)), _part(text, AGO, 2))
     week = last_weekday(now, F.try_element_at(_map(WEEKDAYS), F.lower(_part(text, DAY_BACK, 1))))
     dates = F.concat(every(ISO, 1, 2, 3, _number), every(EN_DATE, 3, 1, 2, month_of), every(PT_DATE, 3, 2, 1, month_of), F.array(ago, week))
     dates = F.array_distinct(F.filter(dates, lambda x: x.isNotNull()))
-    between = text.rlike(re2(BETWEEN))
     since = text.rlike(re2(SINCE)) | text.rlike(re2(AGO_WORD)) | text.rlike(re2(UNTIL))
     day = lambda x: F.date_format(x, "yyyy-MM-dd")
 
@@ -208,14 +217,15 @@ def date_math(text: Column, now: Column) -> Column:
         ahead = F.format_string("%d days from today (today: %s, target: %s)", F.datediff(x, now), day(now), day(x))
         return F.when(x > now, ahead).otherwise(_span(F.datediff(now, x), x, now, F.concat(F.lit(" since "), day(x), F.lit(" (today: "), day(now), F.lit(")"))))
 
-    pairs = F.flatten(F.transform(dates, lambda x, i: F.transform(F.slice(dates, i + 2, F.greatest(F.size(dates), F.lit(1))), lambda y: pair(x, y))))
+    pairs = lambda d: F.flatten(F.transform(d, lambda x, i: F.transform(F.slice(d, i + 2, F.greatest(F.size(d), F.lit(1))), lambda y: pair(x, y))))
     none = F.array().cast("array<string>")
-    return (
-        F.when(between & (F.size(dates) >= 2), F.slice(pairs, 1, 3))
-        .when(since & (F.size(dates) >= 1), F.transform(dates, to_now))
-        .when((between | since) & (F.size(dates) >= 2), F.slice(pairs, 1, 1))
-        .otherwise(none)
-    )
+
+    def facts(between: Column) -> Column:
+        # dates are looked for only where they are asked about
+        said = lambda d: F.when(between & (F.size(d) >= 2), F.slice(pairs(d), 1, 3)).when((F.size(d) >= 1) & since, F.transform(d, to_now)).otherwise(none)
+        return F.when(between | since, _bound(dates, said)).otherwise(none)
+
+    return _bound(text.rlike(re2(BETWEEN)), facts)
 
 
 def valid_time(s: Column) -> Column:

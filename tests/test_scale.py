@@ -30,3 +30,9 @@ def test_many_keys_share_a_shard(spark, tmp_path, monkeypatch):
         write(spark, rows[part::3], f"{tmp_path}/in")
     s = jobs.stream(spark, f"{tmp_path}/in", 1)
     assert got(ordered.judged(s, ordered.Grace(5), "4 days", f"{tmp_path}/out")) == plain(rows, ordered.Grace(5))
+
+
+def test_dates_are_looked_for_once_a_row(spark, sf_dir):
+    from palimpsest.plans.dating import date_math
+
+    assert plan(date_math(spark, sf_dir)).count("regexp_extract_all(") == 3

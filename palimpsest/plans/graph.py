@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import kinds, scores, text
 from ..operators import degrees, graph, intervals, resolve, retrieval
 from ..operators.ranking import page, top_k
-from ..operators.state import shared_dir
+from ..operators.state import cut_round, shared_dir
 from ..sources.tables import EDGES_SQL, ENTITIES_SQL, NATION, PART, PERSON, as_of, current, edges, entities, table
 from .base import query
 
@@ -321,8 +321,10 @@ def as_of_join(spark, sf_dir):
     """What was open at noon of every day on which something was ordered."""
     noon = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + 12 * 3600 * 1_000_000)
     moments = table(spark, sf_dir, "orders").select(noon.alias("moment")).distinct()
-    met = intervals.join_moments(moments, _open_lines(spark, sf_dir))
-    return met.groupBy("moment").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.max("l_orderkey").alias("last"))
+    # lines that were open from and to the same moments are one row before they meet any
+    spans = _open_lines(spark, sf_dir).groupBy("valid_from", "valid_to").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.max("l_orderkey").alias("last"))
+    met = intervals.join_moments(moments, cut_round(spans))
+    return met.groupBy("moment").agg(F.sum("n").alias("n"), F.sum("quantity").alias("quantity"), F.max("last").alias("last"))
 
 
 @query(f"""WITH {_OPEN}, q AS (SELECT o_custkey AS question_id, min(o_orderdate) + INTERVAL 30 DAY AS as_of FROM orders GROUP BY o_custkey),

@@ -36,3 +36,9 @@ def test_dates_are_looked_for_once_a_row(spark, sf_dir):
     from palimpsest.plans.dating import date_math
 
     assert plan(date_math(spark, sf_dir)).count("regexp_extract_all(") == 3
+
+
+def test_open_lines_are_grouped_before_they_meet_moments(spark, sf_dir):
+    from palimpsest.plans.graph import as_of_join
+
+    assert "l_orderkey" not in plan(as_of_join(spark, sf_dir))

@@ -83,9 +83,9 @@ class Chunker:
 
 
 def register_chunker(spark: SparkSession, name: str = "chunk_text") -> None:
-    """Makes the chunker a table function of SQL: ``FROM documents d, LATERAL chunk_text(d.text, 1500, 200, 100) c``; rows go to it
-    and come back in Arrow batches."""
-    spark.udtf.register(name, F.udtf(Chunker, returnType="position int, content string", useArrow=True))
+    """Makes the chunker a table function of SQL: ``FROM documents d, LATERAL chunk_text(d.text, 1500, 200, 100) c``. Rows go to it
+    a hundred at a time: Arrow's batches are of ten thousand texts of any length, all of which a worker would have as objects."""
+    spark.udtf.register(name, F.udtf(Chunker, returnType="position int, content string", useArrow=False))
 
 
 def prepare(raw: DataFrame) -> DataFrame:

@@ -42,3 +42,9 @@ def test_open_lines_are_grouped_before_they_meet_moments(spark, sf_dir):
     from palimpsest.plans.graph import as_of_join
 
     assert "l_orderkey" not in plan(as_of_join(spark, sf_dir))
+
+
+def test_a_worker_has_few_texts_at_a_time(spark, sf_dir):
+    from palimpsest.plans.ingest import chunk_lateral
+
+    assert "ArrowEvalPythonUDTF" not in plan(chunk_lateral(spark, sf_dir))

@@ -6,12 +6,16 @@ Arrow batch; a worker remembers what it stemmed."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.arrow import in_arrow
 from .text import words
 
 # The stop words of the English list, and the rules' exceptions and endings.
@@ -117,12 +121,34 @@ def english(word: str) -> str:
     return w.replace("Y", "y")
 
 
+def _kept(text: Column) -> Column:
+    kept = F.filter(words(text), lambda w: ~w.isin(*STOP))
+    return F.when(F.size(kept) > 0, kept).otherwise(words(text))
+
+
+def _stems(lists: pa.Array) -> pa.Array:
+    """Of each list of words their stems. Texts stay in Arrow: only a batch's different words become Python's."""
+    own = lists.flatten().dictionary_encode()
+    found = pa.array([english(w) for w in own.dictionary.to_pylist()], pa.string()).take(own.indices)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), found, mask=lists.is_null())
+
+
 def stemmed(text: Column) -> Column:
     """The stems of a text's words but stop words; of a text of stop words alone, all."""
-    kept = F.filter(words(text), lambda w: ~w.isin(*STOP))
+    return F.arrow_udf(_stems, "array<string>")(_kept(text))
+
+
+def stemmed_texts(df: DataFrame, column: str = "text") -> DataFrame:
+    """``df`` with a text's stems, joined by spaces, in its place; for whole texts, as batches are bounded in bytes."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    at, own = df.columns.index(column), df.withColumn(column, _kept(F.col(column)))
+    arrow = to_arrow_schema(df.schema)
 
-    @F.pandas_udf("array<string>")
-    def stems(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda own: None if own is None else [english(w) for w in own])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            joined = pc.binary_join(_stems(b.column(at)), " ").cast(pa.string())
+            yield pa.RecordBatch.from_arrays([joined if i == at else c.cast(arrow.field(i).type) for i, c in enumerate(b.columns)], schema=arrow)
 
-    return stems(F.when(F.size(kept) > 0, kept).otherwise(words(text)))
+    return in_arrow(own, run, df.schema)

@@ -8,10 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.arrow import BATCH_BYTES, in_arrow
 from ..operators.joins import HOT_SHARE, fresh, lookup
 from ..operators.state import cut, scratch, shared_dir
 
-__all__ = ["HOT_SHARE", "WORD", "crc_bucket", "cut", "file_system", "fresh", "in_arrow", "lookup", "map_rows", "scratch", "shared_dir", "tasks"]
+__all__ = ["BATCH_BYTES", "HOT_SHARE", "WORD", "crc_bucket", "cut", "file_system", "fresh", "in_arrow", "lookup", "map_rows", "scratch", "shared_dir", "tasks"]
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return. ``bytes.split()``,
 #: ``bytes.strip()`` use exactly these; ``bytes.lower()`` folds exactly A-Z.
@@ -35,36 +36,6 @@ def tasks(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
 
-#: Bytes of an Arrow batch, about: what a worker has as Python objects at a time. A longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
-
-
-def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` over batches of at most ``BATCH_BYTES`` and a row, whatever the length of texts; a smaller bound that
-    the session has stays. Workers are used again by other tasks, so each gives free memory back at its end."""
-    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
-    had = conf.get(name).lower().rstrip("b")
-    if not (had.isdigit() and 0 < int(had) <= BATCH_BYTES):
-        conf.set(name, str(BATCH_BYTES))
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            _give_back()
-
-    return df.mapInArrow(bounded, schema)
-
-
-def _give_back() -> None:
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[list[list]], Iterator[list[list]]]]) -> DataFrame:
     """``in_arrow`` over lists: ``make()`` runs once a task and returns a function from one batch's columns (Python
     lists, in order) to any number of batches of output columns. The function may have ``finish()``, for what is left."""

@@ -94,11 +94,10 @@ def fts_simple_topk(spark, sf_dir):
 
 @query()
 def fts_english_topk(spark, sf_dir):
-    from ..functions.stem import stemmed
+    from ..functions.stem import stemmed, stemmed_texts
 
     q = questions(spark).withColumn("terms", F.array_join(stemmed(F.col("terms")), " "))
-    t = texts(spark, sf_dir).withColumn("text", F.array_join(stemmed(F.col("text")), " "))
-    return retrieval.keyword_channel(q, t, TOP).select("question_id", "item_id", F.round("fts", 6).alias("fts"), "rank")
+    return retrieval.keyword_channel(q, stemmed_texts(texts(spark, sf_dir)), TOP).select("question_id", "item_id", F.round("fts", 6).alias("fts"), "rank")
 
 
 @query(f"{BASE} SELECT question_id, item_id, round(score, 9) AS score, rank FROM ord")

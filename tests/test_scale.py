@@ -48,3 +48,12 @@ def test_a_worker_has_few_texts_at_a_time(spark, sf_dir):
     from palimpsest.plans.ingest import chunk_lateral
 
     assert "ArrowEvalPythonUDTF" not in plan(chunk_lateral(spark, sf_dir))
+
+
+def test_texts_are_stemmed_in_bounded_batches(spark):
+    from palimpsest.functions.stem import stemmed_texts
+
+    df = spark.createDataFrame([(1, "Running dogs ran"), (2, None), (3, ""), (4, "the of"), (5, "dog")], "id long, text string").coalesce(1)
+    out = stemmed_texts(df)
+    assert "MapInArrow" in plan(out) and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    assert {r.id: r.text for r in out.collect()} == {1: "run dog ran", 2: None, 3: "", 4: "the of", 5: "dog"}

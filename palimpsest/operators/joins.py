@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .state import cut_round
@@ -11,6 +11,11 @@ from .state import cut_round
 HOT_SHARE = 1000
 #: Rows that are broadcast at most, where a side is counted first.
 MOST = 100_000
+#: Rows that a task sorts or groups, about; tasks beyond which they grow to ``GROWN`` rows first, as Spark sorts what it writes for
+#: more of them (spark.shuffle.sort.bypassMergeThreshold).
+TASK, TASKS, GROWN = 300_000, 200, 1_200_000
+#: One row in so many tells which keys are dealt to several tasks; results don't depend on that.
+TOLD = 100
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -26,6 +31,31 @@ def small(df: DataFrame, most: int = MOST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def tasks(spark: SparkSession, rows: int) -> int:
+    """How many tasks share ``rows`` rows, so that what one of them holds doesn't grow with the tables; 0 where Spark's own tasks
+    have no more, as a core has one such task at most."""
+    parts = max(min(-(-rows // TASK), TASKS), -(-rows // GROWN))
+    return parts if parts > spark.sparkContext.defaultParallelism else 0
+
+
+def meet(big: DataFrame, few: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
+    """``big``, of about ``rows`` rows, joined with ``few`` (inner or left) in ``tasks`` of bounded size. A key with more rows of
+    ``big`` than a task is dealt to several, to each of which its rows of ``few`` go."""
+    parts = tasks(big.sparkSession, rows)
+    if not parts:
+        return big.join(few, key, how)
+    deal, salt = (fresh(big, fresh(few, c)) for c in ("_deal", "_salt"))
+    each = -(-rows // parts)
+    some = big.select(key).sample(1 / TOLD, seed=1).groupBy(key).agg(F.ceil(F.count("*") * TOLD / each).cast("int").alias(deal))
+    hot = cut_round(some.filter(F.col(deal) > 1))  # as many as there are tasks, about
+    if hot.isEmpty():
+        return big.repartition(parts, key).join(few, key, how)
+    hot, to = F.broadcast(hot), F.coalesce(deal, F.lit(1))
+    left = big.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), to).cast("int")).drop(deal)
+    right = few.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), to - 1))).drop(deal)
+    return left.repartition(parts, key, salt).join(right, [key, salt], how).drop(salt)
+
+
 def lookup(big: DataFrame, few: DataFrame, keys: list[str], weight: str, total: int, spread: list[str], shuffled: bool = False) -> DataFrame:
     """Left join on ``keys``, unique in ``few``, that no hot key can skew.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators.joins import meet, tasks
 
 PERSON, ORGANIZATION, PART, NATION, REGION = 1_000_000_000, 3_000_000_000, 5_000_000_000, 7_000_000_000, 8_000_000_000
 
@@ -72,10 +73,13 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c, s, n = (table(spark, sf_dir, x) for x in ("customer", "supplier", "nation"))
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    sold = line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
+    order = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
+    rows = line.count()
+    sold = meet(line, order, "l_orderkey", rows)
     score = F.element_at(F.array(F.lit(1.0), F.lit(0.7), F.lit(0.4)), (F.col("l_linenumber") % 3 + 1).cast("int"))
-    parts = line.groupBy("l_partkey", "l_suppkey").agg(F.min("l_orderkey").alias("page"))
+    # hardly two lines have the same pair, so they are dealt before they are grouped, where they are many
+    few = tasks(spark, rows)
+    parts = (line.repartition(few, "l_partkey", "l_suppkey") if few else line).groupBy("l_partkey", "l_suppkey").agg(F.min("l_orderkey").alias("page"))
     return (
         shaped(c, id_of("c_custkey", PERSON), id_of("c_nationkey", NATION), "located_in")
         .unionByName(shaped(s, id_of("s_suppkey", ORGANIZATION), id_of("s_nationkey", NATION), "located_in"))

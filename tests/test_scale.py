@@ -57,3 +57,41 @@ def test_texts_are_stemmed_in_bounded_batches(spark):
     out = stemmed_texts(df)
     assert "MapInArrow" in plan(out) and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
     assert {r.id: r.text for r in out.collect()} == {1: "run dog ran", 2: None, 3: "", 4: "the of", 5: "dog"}
+
+
+def test_joins_of_edges_have_tasks_of_bounded_size(spark, sf_dir, duck, monkeypatch):
+    """Tables with more rows than cores hold at once are met in more tasks, not in larger ones, with the same rows."""
+    from palimpsest import registry
+    from palimpsest.operators import joins, retrieval
+    from palimpsest.plans.graph import _open_lines
+    from palimpsest.sources.tables import edges
+
+    from conftest import same
+
+    monkeypatch.setattr(joins, "TASK", 600)
+    monkeypatch.setattr(joins, "MOST", 50)
+    monkeypatch.setattr(joins, "TOLD", 1)
+    monkeypatch.setattr(retrieval, "small", lambda df: joins.small(df, 50))
+    for df in (edges(spark, sf_dir).filter("kind = 'uses'"), _open_lines(spark, sf_dir)):
+        assert max(len(p) for p in df.rdd.glom().collect()) < 1000
+    for name in ("entity_pages_as_of", "telemetry_coverage", "graph_connectors"):
+        same(registry.queries()[name](spark, sf_dir), duck, registry.oracle_sql()[name])
+
+
+def test_a_key_of_many_rows_is_dealt_to_several_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from palimpsest.operators import joins
+
+    monkeypatch.setattr(joins, "TASK", 100)
+    monkeypatch.setattr(joins, "TOLD", 1)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    # half of all rows have one key, some have none
+    big = spark.range(4000).select(F.when(F.col("id") % 50 == 49, None).when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    few = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 3).alias("w")).unionByName(spark.range(2).select(F.lit(7).cast("long").alias("k"), F.col("id").alias("w")))
+    for how in ("inner", "left"):
+        got = joins.meet(big, few, "k", 4000, how)
+        assert sorted(map(str, got.select("k", "v", "w").collect())) == sorted(map(str, big.join(few, "k", how).select("k", "v", "w").collect()))
+    assert max(len(p) for p in joins.meet(big, few, "k", 4000).rdd.glom().collect()) < 1500  # of 6,000 with the key
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

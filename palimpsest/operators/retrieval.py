@@ -14,7 +14,7 @@ from ..functions import scores
 from ..functions.text import words
 from . import graph
 from .intervals import holds
-from .joins import small
+from .joins import meet, small
 from .ranking import ranked, top_k
 from .state import cut
 
@@ -139,12 +139,23 @@ def seeds(questions: DataFrame, entities: DataFrame, k: int, threshold: float =
     return top_k(sim, ["question_id"], [F.col("sim").desc(), F.col("entity_id")], k, "seed_rank")
 
 
+def _at(ends: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Ends at what was found: what is few is broadcast, for more ends between the least and the greatest of them are dealt to
+    tasks of bounded size."""
+    near = small(found)
+    if near is not found:
+        return ends.join(near, key)
+    low, high = found.agg(F.min(key), F.max(key)).first()
+    ends = ends.filter(F.col(key).between(low, high))
+    return meet(ends, found, key, ends.count())
+
+
 def page_weights(found: DataFrame, edges: DataFrame, weight: Column) -> DataFrame:
     """Weights of pages whose edges touch found entities; an edge with both ends found counts twice. Entities found for a moment
     (as_of) count by edges that held then."""
     moment = "as_of" in found.columns
     ends = graph.endpoints(edges.filter("page_id IS NOT NULL").select("from_id", "to_id", "page_id", *(VALID if moment else [])))
-    met = ends.join(small(found), "entity_id")
+    met = _at(ends, found, "entity_id")
     met = met.filter(holds(F.col("as_of"), F.col("valid_from"), F.col("valid_to"))) if moment else met
     return met.groupBy("question_id", "page_id").agg(F.sum(weight).alias("weight"))
 
@@ -153,7 +164,10 @@ def degrees_of(ids: DataFrame, edges: DataFrame, degrees: DataFrame | None) -> D
     """(entity_id, degree) of some entities: looked up in a kept table, else counted over ``edges``."""
     if degrees is not None:
         return degrees.select("entity_id", "degree").join(small(ids.distinct()), "entity_id", "left_semi")
-    return graph.degree(graph.touching(edges, small(ids.distinct())))
+    ids = ids.distinct()
+    near = small(ids)
+    # at many, edges are counted before they are looked up
+    return graph.degree(edges).join(ids, "entity_id", "left_semi") if near is ids else graph.degree(graph.touching(edges, near))
 
 
 def entity_weights(found: DataFrame, edges: DataFrame, touched: DataFrame | None = None, degrees: DataFrame | None = None) -> DataFrame:
@@ -167,7 +181,7 @@ def entity_weights(found: DataFrame, edges: DataFrame, touched: DataFrame | None
     ids, of = found.select("entity_id").distinct(), edges if touched is None else touched
     ends = graph.endpoints(of.filter("page_id IS NOT NULL").select("from_id", "to_id", "page_id", *(VALID if moment else [])))
     degree = degrees_of(ids, edges, degrees)
-    rows = ends.join(small(found), "entity_id")
+    rows = _at(ends, found, "entity_id")
     rows = rows.filter(holds(F.col("as_of"), F.col("valid_from"), F.col("valid_to"))) if moment else rows
     # edges are counted before they are weighed
     per = rows.groupBy("question_id", "entity_id", "sim", "page_id").agg(F.count("*").alias("edges")).join(degree, "entity_id", "left")
@@ -193,7 +207,7 @@ def expansion_weights(found: DataFrame, edges: DataFrame, depth: int = 2, kinds:
     every = at
     for _ in range(depth):
         # of several edges between two entities the surest leads on: the best multiplier of a path is all that counts
-        leave = both.join(small(at.select(F.col("entity_id").alias("from_id"), *moment).distinct()), "from_id")
+        leave = _at(both, at.select(F.col("entity_id").alias("from_id"), *moment).distinct(), "from_id")
         leave = leave.filter(holds(F.col("as_of"), F.col("valid_from"), F.col("valid_to"))) if moment else leave
         leave = cut(leave.groupBy("from_id", "to_id", *moment).agg(F.max("confidence").alias("confidence")))
         degree = degrees_of(leave.select(F.col("to_id").alias("entity_id")), edges, degrees)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kinds, scores, text
 from ..operators import degrees, graph, intervals, resolve, retrieval
+from ..operators.joins import meet
 from ..operators.ranking import page, top_k
 from ..operators.state import cut_round, shared_dir
 from ..sources.tables import EDGES_SQL, ENTITIES_SQL, NATION, PART, PERSON, as_of, current, edges, entities, table
@@ -312,7 +313,7 @@ def _open_lines(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
     order = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey"), F.col("o_orderdate").cast("timestamp").alias("valid_from"))
     shipped = F.when(F.col("l_orderkey") % 50 != 0, F.col("l_shipdate").cast("timestamp"))
-    return line.join(order, "l_orderkey").select("l_orderkey", "o_custkey", "l_partkey", "l_quantity", "valid_from", shipped.alias("valid_to"))
+    return meet(line, order, "l_orderkey", line.count()).select("l_orderkey", "o_custkey", "l_partkey", "l_quantity", "valid_from", shipped.alias("valid_to"))
 
 
 @query(f"""WITH {_OPEN}, m AS (SELECT DISTINCT o_orderdate + INTERVAL 12 HOUR AS moment FROM orders)
@@ -336,7 +337,7 @@ SELECT question_id, page_id, round(weight, 6) AS weight, row_number() OVER (PART
 def entity_pages_as_of(spark, sf_dir):
     """Every customer asks with a moment of their own, a month after their first order; their edges' starts and ends decide."""
     lines = _open_lines(spark, sf_dir)
-    e = lines.select((F.col("o_custkey") + PERSON).alias("from_id"), (F.col("l_partkey") + PART).alias("to_id"), F.col("l_orderkey").alias("page_id"), "valid_from", "valid_to")
+    e = cut_round(lines.select((F.col("o_custkey") + PERSON).alias("from_id"), (F.col("l_partkey") + PART).alias("to_id"), F.col("l_orderkey").alias("page_id"), "valid_from", "valid_to"))
     month = F.timestamp_micros(F.unix_micros(F.min(F.col("o_orderdate").cast("timestamp"))) + 30 * 86_400 * 1_000_000)
     q = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("question_id")).agg(month.alias("as_of"))
     found = q.select("question_id", "as_of", (F.col("question_id") + PERSON).alias("entity_id"), F.lit(1.0).alias("sim"))

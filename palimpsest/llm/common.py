@@ -38,7 +38,7 @@ def tasks(spark: SparkSession, rows: int, per_task: int) -> int:
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[list[list]], Iterator[list[list]]]]) -> DataFrame:
     """``in_arrow`` over lists: ``make()`` runs once a task and returns a function from one batch's columns (Python
-    lists, in order) to any number of batches of output columns. The function may have ``finish()``, for what is left."""
+    lists, in order) to any number of batches of output columns (lists or arrays). The function may have ``finish()``, for what is left."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -46,7 +46,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        pack = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], schema=arrow)
+        pack = lambda cols: pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], schema=arrow)
         for batch in batches:
             if batch.num_rows:
                 for out in f([c.to_pylist() for c in batch.columns]):

@@ -26,6 +26,7 @@ from collections import Counter
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,8 +165,8 @@ class LogBilinear:
         self.share = share
         self.class_noise = np.log(NOISE * share).astype(np.float32)
         self.word_noise = np.log(WORD_NOISE * within).astype(np.float32)
-        #: Shares of own words laid end to end, a whole for each class.
-        self.upto = np.cumsum(within)
+        #: For draws within a class by one cell each: what a cell keeps for its own word, and whose the rest is (alias method).
+        self.keep, self.rest = _alias(within)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
@@ -191,6 +192,14 @@ class LogBilinear:
             out[k - 1][place < k] = 0
         return out
 
+    def noise_words(self, classes: np.ndarray, rng) -> np.ndarray:
+        """WORD_NOISE words of each of the classes, by their shares."""
+        place = rng.random((len(classes), WORD_NOISE)) * PER_CLASS
+        cell = place.astype(np.int64)
+        place -= cell
+        cell += (classes * PER_CLASS)[:, None]
+        return np.where(place < self.keep.take(cell), cell, self.rest.take(cell))
+
     def train(self, target: np.ndarray, before: np.ndarray, state: dict, rng) -> None:
         """Noise-contrastive estimation on both levels. A batch's class noise is shared and counts as NOISE draws for every
         target; each own word has WORD_NOISE words of its class against it."""
@@ -203,7 +212,7 @@ class LogBilinear:
         classes = class_of(target)
         draws_of = rng.choice(FIRST, (-(-len(target) // BATCH), SAMPLES), p=self.share)
         for b, a in enumerate(range(0, len(target), BATCH)):
-            w, y, ctx, draws = target[a : a + BATCH], classes[a : a + BATCH], before[:, a : a + BATCH], draws_of[b]
+            w, y, ctx, draws = target[a : a + BATCH], classes[a : a + BATCH], before[:, a : a + BATCH].astype(np.intp), draws_of[b]
             n = len(y)
             rows = p["context"].take(ctx, axis=0)
             q = rows[0] * p["position"][0]
@@ -227,24 +236,24 @@ class LogBilinear:
             np.add.at(g["class_bias"], draws, dn.sum(0))
             own = np.flatnonzero(w < OWN)
             x, qo = w[own].astype(np.int64), q[own]
-            # noise of the same class: a place in its whole
-            noise = np.minimum(np.searchsorted(self.upto, y[own][:, None] + rng.random((len(own), WORD_NOISE)), "right"), (y[own] * PER_CLASS + PER_CLASS - 1)[:, None])
-            both = np.concatenate([x[:, None], noise], axis=1)
+            both = np.concatenate([x[:, None], self.noise_words(y[own], rng)], axis=1)
             vectors = p["word"].take(both, axis=0)
-            z = np.matmul(vectors, qo[:, :, None])[:, :, 0]
+            z = np.einsum("nkd,nd->nk", vectors, qo)
             z += (p["word_bias"] - self.word_noise).take(both)
             z[:, 0] *= -1
             d = (1 / n) / (1 + np.exp(np.minimum(-z, 30)))
             d[:, 0] *= -1
-            dq[own] += np.matmul(d[:, None, :], vectors)[:, 0, :]
+            dq[own] += np.einsum("nk,nkd->nd", d, vectors)
             # by word, all that were drawn with a column of their own
             qt = np.ascontiguousarray(qo.T)
             _sums(g["word"], both.T.ravel(), (np.ascontiguousarray(d.T)[None, :, :] * qt[:, None, :]).reshape(DIM, -1))
             g["word_bias"][:] = np.bincount(both.ravel(), d.ravel(), OWN)
             for k in range(CONTEXT):
                 g["position"][k] = np.einsum("nd,nd->d", rows[k], dq)
-            dt = np.ascontiguousarray(dq.T)
-            _sums(g["context"], ctx.ravel(), (p["position"].T[:, :, None] * dt[:, None, :]).reshape(DIM, -1))
+            # a position's weights are the same for all of its words, so they come after the sums
+            dt = dq.T.astype(np.float64, order="C")
+            sums = np.array([_lines(ctx[k], dt, UNITS) for k in range(CONTEXT)])
+            g["context"][:] = np.einsum("kdu,kd->ud", sums, p["position"])
             state["n"] = step = state.get("n", 0) + 1
             m *= 0.9
             m += 0.1 * grad
@@ -287,10 +296,29 @@ class LogBilinear:
         return out / math.log(10)
 
 
+def _alias(within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keep, rest) of each own word: of PER_CLASS equal cells each keeps a share for its word, the rest is one other word's."""
+    left, rest = (within * PER_CLASS).tolist(), list(range(OWN))
+    keep = [1.0] * OWN
+    for c in range(0, OWN, PER_CLASS):
+        low = [i for i in range(c, c + PER_CLASS) if left[i] < 1]
+        high = [i for i in range(c, c + PER_CLASS) if left[i] >= 1]
+        while low and high:
+            i, j = low.pop(), high[-1]
+            keep[i], rest[i] = left[i], j
+            left[j] -= 1 - left[i]
+            if left[j] < 1:
+                low.append(high.pop())
+    return np.array(keep), np.array(rest)
+
+
 def _sums(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """Values (a line for each dimension) added up by row."""
-    for d, line in enumerate(values):
-        into[:, d] = np.bincount(rows, line, len(into))
+    into[:] = _lines(rows, values, len(into)).T
+
+
+def _lines(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.array([np.bincount(rows, line, n) for line in values])
 
 
 def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -438,10 +466,13 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, flat: np.n
                 yield [uids, ids, [b" %d" % u for u in uids.tolist()], sizes, total(v.known[number]), total(v.base[number]), model_sums]
                 beyond = np.flatnonzero(number >= v.head)
                 if len(beyond):
-                    owner = uids[np.searchsorted(starts, beyond, "right") - 1].tolist()
-                    found = Counter(zip(owner, map(flat.__getitem__, beyond.tolist()), strict=True))
-                    n = len(found)
-                    yield [[u for u, _ in found], [None] * n, [w for _, w in found], list(found.values()), np.full(n, -1), np.zeros(n), np.zeros(n)]
+                    far = list(map(flat.__getitem__, beyond.tolist()))
+                    place = {w: i for i, w in enumerate(dict.fromkeys(far))}
+                    own = (np.searchsorted(starts, beyond, "right") - 1) * len(place)
+                    pair, times = np.unique(own + np.fromiter(map(place.__getitem__, far), np.int64, len(far)), return_counts=True)
+                    n = len(pair)
+                    named = pa.array(list(place), pa.binary()).take(pa.array(pair % len(place)))
+                    yield [uids[pair // len(place)], pa.nulls(n, pa.int64()), named, times, np.full(n, -1), np.zeros(n), np.zeros(n)]
 
         return f
 

@@ -492,3 +492,20 @@ def test_pipeline(spark, sf_dir):
     final = corpus_pipeline.run(spark, sf_dir)
     ids = [r.doc_id for r in final.collect()]
     assert len(ids) == len(set(ids)) and 100 < len(ids) < 200
+
+
+def test_lm_noise_words_have_their_shares():
+    import numpy as np
+
+    from palimpsest.llm import lm_score as lm
+
+    rng = np.random.default_rng(1)
+    shares = rng.random((lm.CLASSES, lm.PER_CLASS)) ** 6
+    shares[3] = 0
+    shares[3, 5] = 1
+    shares /= shares.sum(1, keepdims=True)
+    model = lm.LogBilinear(np.full(lm.FIRST, 1 / lm.FIRST), shares.ravel().clip(1e-30))
+    for c in (0, 3, lm.CLASSES - 1):
+        got = np.bincount(model.noise_words(np.full(50_000, c), rng).ravel(), minlength=lm.OWN) / (50_000 * lm.WORD_NOISE)
+        assert got.sum() == got[c * lm.PER_CLASS : (c + 1) * lm.PER_CLASS].sum()
+        assert abs(got[c * lm.PER_CLASS : (c + 1) * lm.PER_CLASS] - shares[c]).max() < 0.006

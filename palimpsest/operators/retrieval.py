@@ -23,9 +23,9 @@ BLOCK = 1000
 VALID = ["valid_from", "valid_to"]
 
 
-def by_block(questions: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``run`` over blocks of ``questions``."""
-    blocks = -(-questions.count() // BLOCK)
+def by_block(questions: DataFrame, run: Callable[[DataFrame], DataFrame], size: int | None = None) -> DataFrame:
+    """``run`` over blocks of ``questions``, of ``BLOCK`` or ``size``."""
+    blocks = -(-questions.count() // (size or BLOCK))
     if blocks <= 1:
         return run(questions)
     out = None

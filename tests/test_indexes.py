@@ -168,6 +168,29 @@ def test_text_index_reads_only_the_terms_folders_and_skips_zones(spark, texts, t
     assert sum(seen) < every / 2
 
 
+def test_a_search_keeps_the_best_of_a_zone_only(spark, texts, tmp_path, monkeypatch):
+    """Words that nearly all texts have, asked for by many: hits don't leave the tasks that read the zones."""
+    _, df = texts
+    index = text_index.build(df, str(tmp_path / "t"), zone=64)
+    seen, real = [], text_index._scored
+    monkeypatch.setattr(text_index, "_scored", lambda own, asked, need, zones, score: (seen.append((zones.count(), (r := real(own, asked, need, zones, score)).count())), r)[1])
+    asked = spark.createDataFrame([(i, "dogs") for i in range(20)], "question_id long, terms string")
+    assert text_index.search(index, asked, 2).count() == 40
+    assert all(rows <= 2 * zones for zones, rows in seen) and sum(rows for _, rows in seen) > 20
+
+
+@pytest.mark.parametrize("score", ["proximity", "frequency"])
+def test_full_zones_are_dealt(spark, texts, tmp_path, monkeypatch, score):
+    rows, df = texts
+    index = text_index.build(df, str(tmp_path / "t"), zone=1000)
+    for name, value in {"FULL": 7, "FILTERED": 1, "RATED": 50, "ASKED": 3}.items():
+        monkeypatch.setattr(text_index, name, value)
+    asked = spark.createDataFrame(QUESTIONS[:4], "question_id long, terms string")
+    got = text_index.search(index, asked, 10, score).orderBy("question_id", "rank").collect()
+    for q, terms in QUESTIONS[:4]:
+        assert [r.item_id for r in got if r.question_id == q] == [i for i, _ in plain_search(rows, terms or "", "simple", score)]
+
+
 def test_texts_of_a_batch_are_rated_as_each_alone():
     import pyarrow as pa
 

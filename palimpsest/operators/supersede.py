@@ -1,4 +1,8 @@
-"""What closes what when pages arrive one after the other, each closing the nearest open one within reach: in parallel.
+"""What closes what when pages arrive one after the other, each closing the nearest open one within reach.
+
+Where much is within reach of much, few pages are open at any time, as nearly all that arrive close one: pairs within reach grow with
+the square of the pages, while a walk of each scope in order compares an arriving page with the few open ones. A walk goes on while
+its scope has at most ``OPEN`` open pages. Where it has more, little is within reach, and what is left goes on in parallel:
 
 Walking the pages in order gives each arriving page, the earlier ones first, the nearest page that is still open. That is the one
 stable matching of arriving pages, which prefer what is nearest, and earlier pages, which all prefer who arrives first; so it needs
@@ -20,6 +24,17 @@ from .state import cut_round
 
 #: Pivots of the search at most, arriving pages that are compared at a time, width by which rounding is allowed for.
 PIVOTS, SLICE, SLACK = 256, 2048, 1e-4
+#: Open pages of a scope up to which it is walked, and their bytes; pages that arrive at a time, distances that are held about.
+OPEN, OPEN_BYTES, ARRIVING, HELD = 16_384, 128_000_000, 256, 2_000_000
+
+
+def _keyed(pages: DataFrame, scope: list[str], stored: DataFrame | None) -> DataFrame:
+    """(page_id, seq, embedding, scope, new) of pages with vectors; scope is a text, of which all vectors have one size."""
+    key = F.to_json(F.struct(*scope, F.size("embedding").alias("_size")), {"ignoreNullFields": "false"})
+    own = pages.filter("embedding IS NOT NULL").select("page_id", F.col("seq").cast("long").alias("seq"), "embedding", key.alias("scope"), F.lit(True).alias("new"))
+    if stored is not None:
+        own = own.unionByName(stored.filter("embedding IS NOT NULL").select("page_id", F.lit(None).cast("long").alias("seq"), "embedding", key.alias("scope"), F.lit(False).alias("new")))
+    return own
 
 
 def near_pairs(pages: DataFrame, scope: list[str], near: float, stored: DataFrame | None = None) -> DataFrame:
@@ -29,10 +44,7 @@ def near_pairs(pages: DataFrame, scope: list[str], near: float, stored: DataFram
 
     A page belongs to the cell of its nearest pivot; an earlier one visits all cells that something within reach of it may belong
     to: those whose pivots are at most twice the reach farther than its own."""
-    key = F.to_json(F.struct(*scope, F.size("embedding").alias("_size")), {"ignoreNullFields": "false"})
-    own = pages.filter("embedding IS NOT NULL").select("page_id", F.col("seq").cast("long").alias("seq"), "embedding", key.alias("scope"), F.lit(True).alias("new"))
-    if stored is not None:
-        own = own.unionByName(stored.filter("embedding IS NOT NULL").select("page_id", F.lit(None).cast("long").alias("seq"), "embedding", key.alias("scope"), F.lit(False).alias("new")))
+    own = _keyed(pages, scope, stored)
     n = own.count()
     # a bounded sample, for each size of vectors that it has
     pivots: dict[int, list] = {}
@@ -134,9 +146,89 @@ def matched(pairs: DataFrame) -> tuple[DataFrame, int]:
             return early.select("early", F.col("x.late").alias("late")), rounds
 
 
+def _nearest(x: np.ndarray, ids: np.ndarray, new: np.ndarray, others: np.ndarray, of: np.ndarray, near: float) -> tuple[list[int], list[int]]:
+    """Rows ``i`` of ``x`` in order, and what each closes: a row of ``others`` or, beyond these, an earlier one of ``x``."""
+    d = np.full((len(x), len(others) + len(x)), np.inf)
+    d[:, : len(others)] = np.round(1 - x @ others.T, 9)
+    d[:, len(others) :] = np.where(np.tri(len(x), k=-1, dtype=bool), np.round(1 - x @ x.T, 9), np.inf)
+    of = np.r_[of, ids]
+    d[~(d <= near) | (of == ids[:, None]) | ~new[:, None]] = np.inf
+    late, early = [], []
+    for i in np.flatnonzero(np.isfinite(d).any(1)):
+        row = d[i]
+        j = int(row.argmin())
+        if (least := row[j]) == np.inf:
+            continue  # all were closed meanwhile
+        same = np.flatnonzero(row == least)
+        if len(same) > 1:
+            j = int(same[of[same].argmin()])
+        d[i + 1 :, j] = np.inf
+        late.append(int(i))
+        early.append(j)
+    return late, early
+
+
+#: What a walk has: 0 a closed page and what closed it, 1 an open page and 2 an arriving one of a scope in which it stopped.
+_WALKED = "what int, page_id long, superseded_by long, seq long, embedding array<float>, scope string"
+
+
+def _walk(batches: Iterator[pa.RecordBatch], near: float, most: int, arriving: int) -> Iterator[pa.RecordBatch]:
+    """Over rows (page_id, seq, embedding, scope, new) in order of (scope, seq, page_id)."""
+    schema = pa.schema([("what", pa.int32()), ("page_id", pa.int64()), ("superseded_by", pa.int64()), ("seq", pa.int64()), ("embedding", pa.list_(pa.float32())), ("scope", pa.string())])
+
+    def given(what: int, ids, late=None, seq=None, vectors=None, scope=None) -> pa.RecordBatch:
+        n = len(ids)
+        columns = [pa.array(np.full(n, what, np.int32)), pa.array(ids, pa.int64())]
+        columns += [pa.nulls(n, f.type) if c is None else c for f, c in zip(list(schema)[2:], (late, seq, vectors, scope), strict=True)]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    key, stopped, open_, of = None, False, None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        scopes = b.column(3).dictionary_encode().indices.to_numpy()
+        stops = np.flatnonzero(scopes[1:] != scopes[:-1]) + 1
+        for lo, hi in zip([0, *stops.tolist()], [*stops.tolist(), b.num_rows], strict=True):
+            if (now := b.column(3)[lo].as_py()) != key:
+                key, stopped, open_, of = now, False, None, np.zeros(0, np.int64)
+            while lo < hi and not stopped:
+                part = b.slice(lo, min(hi - lo, max(16, min(arriving, HELD // (len(of) + 1)))))
+                lo += part.num_rows
+                ids, new = part.column(0).to_numpy(), part.column(4).to_numpy(zero_copy_only=False)
+                x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
+                open_ = x[:0] if open_ is None else open_
+                late, early = _nearest(x, ids, new, open_, of, near) if new.any() else ([], [])
+                every = np.r_[of, ids]
+                if late:
+                    yield given(0, every[early], pa.array(ids[late]))
+                stay = np.ones(len(every), bool)
+                stay[early] = False
+                open_, of = np.concatenate([open_, x])[stay], every[stay]
+                if stopped := len(of) > min(most, OPEN_BYTES // (8 * max(x.shape[1], 1))):
+                    for o in range(0, len(of), SLICE):
+                        v = open_[o : o + SLICE].astype(np.float32)
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * np.int32(v.shape[1])), pa.array(v.ravel()))
+                        yield given(1, of[o : o + SLICE], vectors=lists, scope=pa.array([key] * len(v)))
+                    open_, of = None, None
+            if lo < hi:
+                rest = b.slice(lo, hi - lo)
+                fresh = rest.column(4).to_numpy(zero_copy_only=False)
+                for what, some in ((1, ~fresh), (2, fresh)):
+                    own = rest.filter(pa.array(some))
+                    if own.num_rows:
+                        yield given(what, own.column(0), seq=own.column(1), vectors=own.column(2).cast(pa.list_(pa.float32())), scope=own.column(3))
+
+
 def closings(pages: DataFrame, scope: list[str], near: float, stored: DataFrame | None = None) -> DataFrame:
     """(page_id, superseded_by) of the pages that arriving ones close, as a walk in the order of (seq, page_id) has it. pages:
     (page_id, seq, embedding and ``scope``); stored: open pages (page_id, embedding and ``scope``) from before. Pages without
     vector close nothing and stay open."""
-    found, _ = matched(near_pairs(pages, scope, near, stored))
-    return found.select(F.col("early").alias("page_id"), F.col("late").alias("superseded_by"))
+    own = _keyed(pages, scope, stored).repartition("scope").sortWithinPartitions("scope", "seq", "page_id")
+    most, arriving = OPEN, ARRIVING
+    walked = cut_round(own.mapInArrow(lambda batches: _walk(batches, near, most, arriving), _WALKED))
+    closed, rest = walked.filter("what = 0").select("page_id", "superseded_by"), walked.filter("what = 2")
+    if rest.isEmpty():
+        return closed
+    # what a walk left open are the rest's stored pages
+    found, _ = matched(near_pairs(rest, ["scope"], near, walked.filter("what = 1")))
+    return closed.unionByName(found.select(F.col("early").alias("page_id"), F.col("late").alias("superseded_by")))

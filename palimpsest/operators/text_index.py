@@ -290,7 +290,7 @@ class _Zone:
         self.asked: list[pa.RecordBatch] = []
         self.posted: list[pa.RecordBatch] = []
 
-    def best(self, score: str) -> Iterator[pa.RecordBatch]:
+    def best(self, score: str, most: int) -> Iterator[pa.RecordBatch]:
         """(question_id, item_id, score): of each question the best texts that have all its terms."""
         if not self.asked or not self.posted:
             return
@@ -321,7 +321,7 @@ class _Zone:
             if len(met):
                 held.setdefault(len(at), []).append((row, met, posts))
                 load += int(sum(n[x].sum() for x in posts)) if score != "frequency" else sum(map(len, posts))
-            if load >= RATED:
+            if load >= most:
                 yield from self._rated(held, score, questions, k, first, flat, size, n)
                 held, load = {}, 0
         yield from self._rated(held, score, questions, k, first, flat, size, n)
@@ -345,7 +345,7 @@ class _Zone:
             yield pa.RecordBatch.from_arrays([questions.take(pa.array(row[order])), pa.array(met[order]), pa.array(rated[order])], ["question_id", "item_id", "score"])
 
 
-def _scores(batches: Iterator[pa.RecordBatch], score: str) -> Iterator[pa.RecordBatch]:
+def _scores(batches: Iterator[pa.RecordBatch], score: str, most: int) -> Iterator[pa.RecordBatch]:
     """(question_id, item_id, score) of rows in order of (zone, part, kind): questions (kind 0) and blocks (kind 1)."""
     key, held = None, _Zone()
     for b in batches:
@@ -355,10 +355,10 @@ def _scores(batches: Iterator[pa.RecordBatch], score: str) -> Iterator[pa.Record
         stops = np.flatnonzero((zone[1:] != zone[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
         for lo, hi in zip([0, *stops.tolist()], [*stops.tolist(), b.num_rows], strict=True):
             if (now := (zone[lo], part[lo])) != key:
-                yield from held.best(score)
+                yield from held.best(score, most)
                 key, held = now, _Zone()
             (held.posted if kind[lo] else held.asked).append(b.slice(lo, hi - lo))
-    yield from held.best(score)
+    yield from held.best(score, most)
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,5 +442,5 @@ def _scored(own: DataFrame, asked: DataFrame, need: DataFrame, zones: DataFrame,
         rows = rows.unionByName(blocks.filter("parts IS NOT NULL").select("term", "zone", "parts", "ids", "sizes", "places").mapInArrow(_split, "term string, zone long, part int, ids array<long>, sizes array<int>, places array<array<int>>"))
     both = wanted.unionByName(rows.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     met = both.repartition("zone", "part").sortWithinPartitions("zone", "part", "kind")
-    kind = dict(asked.dtypes)["question_id"]
-    return met.mapInArrow(lambda batches: _scores(batches, score), f"question_id {kind}, item_id long, score double")
+    kind, most = dict(asked.dtypes)["question_id"], RATED
+    return met.mapInArrow(lambda batches: _scores(batches, score, most), f"question_id {kind}, item_id long, score double")

@@ -109,6 +109,24 @@ def test_supersede_of_copies_and_dense_pages_takes_few_rounds(spark, monkeypatch
     assert supersede.closings(pages.limit(0), ["label"], 0.2).count() == 0
 
 
+def test_dense_pages_are_walked_without_their_pairs(spark, monkeypatch):
+    """Nearly all pages are within reach of each other: no pairs are made. Where too many stay open, the rest goes by pairs."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: (x / np.linalg.norm(x, axis=-1, keepdims=True)).tolist()
+    rows = [(i, 1000 - i % 500, "a", v) for i, v in enumerate(unit(rng.normal(size=(600, 8)) + 1.0))] + [(2000 + i, i, None, v) for i, v in enumerate(unit(rng.normal(size=(60, 8)) + 1.0))]
+    rows += [(3000 + i, i // 2, "b", v) for i, v in enumerate(unit(rng.normal(size=(200, 8))))] + [(4000, 7, "a", None), (4001, 9, "b", [1.0, 0.0])]
+    pages = spark.createDataFrame(rows, "page_id long, seq long, label string, embedding array<float>").repartition(3)
+    want, real = walk(rows, 0.2), supersede.near_pairs
+    monkeypatch.setattr(supersede, "ARRIVING", 50)
+    monkeypatch.setattr(supersede, "near_pairs", None)
+    assert {r.page_id: r.superseded_by for r in supersede.closings(pages, ["label"], 0.2).collect()} == want and len(want) > 600
+    met = []
+    monkeypatch.setattr(supersede, "OPEN", 40)
+    monkeypatch.setattr(supersede, "near_pairs", lambda *x: (met.append(x[0].count()), real(*x))[1])
+    assert {r.page_id: r.superseded_by for r in supersede.closings(pages, ["label"], 0.2).collect()} == want
+    assert 50 < met[0] < 800  # only what was left where a walk stopped
+
+
 def test_near_pairs_visit_few_cells(spark):
     """All pairs within reach, from cells that few pages visit."""
     rng = np.random.default_rng(3)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import kinds, scores, text
 from .joins import small
-from .state import cut, cut_round
+from .state import cut_round
 from .supersede import closings
 
 MAX_CHARS, OVERLAP, MIN_CHARS, LONGEST, MAX_CHUNKS, MAX_METADATA = 1500, 200, 100, 200_000, 400, 16_384
@@ -129,25 +129,27 @@ def compiled_upsert(new: DataFrame, old: DataFrame, threshold: float = 0.6) -> D
     left is compared in blocks."""
     exact = new.alias("n").join(old.alias("o"), (F.col("n.scope") == F.col("o.scope")) & (F.col("n.slug") == F.col("o.slug"))).groupBy(F.col("n.id").alias("id")).agg(F.min("o.id").alias("target"))
     rest = new.join(exact, "id", "left_anti")
-    sets = lambda df: df.select("id", "scope", F.array_sort(scores.trigrams(F.substring("content", 1, 500))).alias("t")).filter("size(t) > 0").withColumn("k", F.xxhash64("scope", "t"))
-    classes = lambda df: df.groupBy("k").agg(F.min("id").alias("id"), F.first("scope").alias("scope"), F.first("t").alias("t"))
-    asked = cut(sets(rest))
-    a, b = cut(classes(asked)), cut(classes(sets(old)))
-    one = lambda df: df.select("k", "scope", F.size("t").alias("n"), F.explode("t").alias("g"))
-    common = one(a).unionByName(one(b)).groupBy("scope", "g").agg(F.count("*").alias("df"))
-    place = Window.partitionBy("k").orderBy("df", "g")
-    placed = lambda df: cut(one(df).join(common, ["scope", "g"]).withColumn("r", F.row_number().over(place)).drop("df"))
+    code = lambda g: F.aggregate(F.sequence(F.lit(1), F.lit(3)), F.lit(0).cast("long"), lambda s, i: F.shiftleft(s, 21) + F.ascii(F.substr(g, i, F.lit(1))))
+    sets = lambda df: df.select("id", "scope", F.array_sort(F.transform(scores.trigrams(F.substring("content", 1, 500)), code)).alias("t")).filter("size(t) > 0").withColumn("k", F.xxhash64("scope", "t"))
+    classes = lambda df: cut_round(df.groupBy("k").agg(F.min("id").alias("id"), F.first("scope").alias("scope"), F.first("t").alias("t")))
+    asked = cut_round(sets(rest))
+    a, b = classes(asked), classes(sets(old))
+    each = a.select("scope", F.explode("t").alias("g")).unionByName(b.select("scope", F.explode("t").alias("g")))
+    often = _often(each.groupBy("scope", "g").agg(F.count("*").alias("df")).orderBy(F.col("df").desc(), "scope", "g").limit(OFTEN).collect())
+    # a set's trigrams stay one row, the rarest first; only what a join needs of them becomes rows, which aren't stored
+    a, b = (cut_round(df.mapInArrow(lambda batches: _rarest_first(batches, often), df.schema)) for df in (a, b))
+    placed = lambda df: df.select("k", "scope", F.size("t").alias("n"), F.posexplode("t").alias("r", "g")).withColumn("r", F.col("r") + 1)
+    best_of = lambda sim: cut_round(sim.groupBy("k").agg(F.min_by("target", F.struct(-F.col("sim"), F.col("target"))).alias("target")))
     mine, theirs, left, found = placed(a), placed(b), a.select("k"), None
-    best_of = lambda sim: cut(sim.groupBy("k").agg(F.min_by("target", F.struct(-F.col("sim"), F.col("target"))).alias("target")))
     for t in sorted({threshold, *(x for x in STAGES if x > threshold)}, reverse=True):
         some = mine.join(small(left), "k", "left_semi")
         if dense := _meetings(some, theirs, t) > max(MEETINGS, _pairs(some, theirs) * SHARED):
             break
         best = best_of(_verified(upsert_candidates(some, theirs, t), a, b, t))
         found = best if found is None else found.unionByName(best)
-        left = cut(left.join(best, "k", "left_anti"))
+        left = cut_round(left.join(best, "k", "left_anti"))
     if dense:
-        best = best_of(compared_in_blocks(a.join(left, "k", "left_semi"), b, threshold))
+        best = best_of(compared_in_blocks(a.join(left, "k", "left_semi"), b, threshold, often))
         found = best if found is None else found.unionByName(best)
     done = asked.join(found, "k").select("id", "target")
     return new.select("id").join(exact.unionByName(done), "id", "left")
@@ -157,8 +159,12 @@ def compiled_upsert(new: DataFrame, old: DataFrame, threshold: float = 0.6) -> D
 STAGES = (0.9, 0.75)
 #: Where rare trigrams would meet more often than this, and than this share of all pairs, all pairs are compared in blocks.
 MEETINGS, SHARED = 5_000_000, 0.05
-#: Sets of a block on either side about; sets and trigrams that are multiplied at a time.
-ASKED, STORED, SETS, GRAMS = 8192, 16_384, 2048, 4096
+#: Sets of a block on either side at most, about; sets that are multiplied at a time, and of a scope's trigrams the most frequent.
+ASKED, STORED, SETS, GRAMS = 32_768, 131_072, 2048, 512
+#: Trigrams of scopes whose frequency is known at most, others count as rarer; trigrams and pairs that are looked at at a time.
+OFTEN, COLUMNS, LOOKED = 100_000, 4096, 200_000
+#: A trigram that is looked up takes as long as so many that are multiplied, about.
+DEARER = 2000
 
 
 def _prefix(df: DataFrame, t: float) -> DataFrame:
@@ -177,89 +183,188 @@ def _pairs(mine: DataFrame, theirs: DataFrame) -> int:
     return of(mine, "a").join(of(theirs, "b"), "scope").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
 
 
-def compared_in_blocks(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+def _often(rows: list) -> dict:
+    """{scope: (trigrams in order, how frequent each is)} of rows (scope, g, df)."""
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r.scope, []).append((r.g, r.df))
+    return {k: tuple(np.array(sorted(v), np.int64).T) for k, v in out.items()}
+
+
+_NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _by_scope(scope: pa.Array, t: pa.Array) -> Iterator[tuple]:
+    """(scope, rows, the rows' sizes, their trigrams one row after the other)."""
+    coded, ends, flat = scope.dictionary_encode(), t.offsets.to_numpy().astype(np.int64), t.values.to_numpy()
+    sizes, of = np.diff(ends), coded.indices.to_numpy(zero_copy_only=False)
+    for c, name in enumerate(coded.dictionary.to_pylist()):
+        rows = np.flatnonzero(of == c)
+        n = sizes[rows]
+        yield name, rows, n, flat[np.repeat(ends[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def _at(known: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each of ``g`` in ``known``, whether it is there)."""
+    if not len(known):
+        return np.zeros(len(g), np.int64), np.zeros(len(g), bool)
+    at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+    return at, known[at] == g
+
+
+def _rarest_first(batches: Iterator[pa.RecordBatch], often: dict) -> Iterator[pa.RecordBatch]:
+    """Sets (k, id, scope, t), the trigrams of each in the order of (frequency in the scope, trigram)."""
+    for b in batches:
+        # groups of equal scopes don't keep the rows' order; a set without scope meets none
+        for name, rows, n, g in _by_scope(b.column(2), b.column(3)):
+            known, df = often.get(name, _NONE)
+            at, there = _at(known, g)
+            rare = np.zeros(len(g), np.int64)
+            rare[there] = df[at[there]]
+            order = np.lexsort((g, rare, np.repeat(np.arange(len(rows)), n)))
+            t = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(g[order]))
+            part = b.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], t], ["k", "id", "scope", "t"])
+
+
+def _bits(batches: Iterator[pa.RecordBatch], often: dict, grams: int) -> Iterator[pa.RecordBatch]:
+    """Sets (id, scope, t) as (id, scope, n, bits, rare): a bit for each of the scope's ``grams`` most frequent trigrams, and the
+    others."""
+    for b in batches:
+        for name, rows, n, g in _by_scope(b.column(1), b.column(2)):
+            known, df = often.get(name, _NONE)
+            most = np.sort(known[np.argsort(-df, kind="stable")[:grams]])
+            at, there = _at(most, g)
+            own = np.repeat(np.arange(len(rows)), n)
+            x = np.zeros((len(rows), len(most)), bool)
+            x[own[there], at[there]] = True
+            left = np.bincount(own[~there], minlength=len(rows))
+            rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(left)].astype(np.int32)), pa.array(g[~there]))
+            part = b.take(pa.array(rows))
+            bits = pa.array([r.tobytes() for r in np.packbits(x, axis=1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(n.astype(np.int32)), bits, rare], ["id", "scope", "n", "bits", "rare"])
+
+
+def compared_in_blocks(a: DataFrame, b: DataFrame, threshold: float, often: dict) -> DataFrame:
     """(k, target, sim): of each set of ``a`` (k, scope, t) the most similar of each block of ``b`` (id, scope, t), the least id of
     equal ones, from ``threshold`` on. Every set of a scope meets every other: blocks of both sides meet in a group, whose memory
-    is bounded, and shared trigrams are counted as products of matrices."""
-    code = F.transform("t", lambda g: F.aggregate(F.sequence(F.lit(1), F.lit(3)), F.lit(0).cast("long"), lambda s, i: F.shiftleft(s, 21) + F.ascii(F.substr(g, i, F.lit(1)))))
-    a, b = (cut_round(df.select(F.col(x).alias("id"), "scope", code.alias("t"))) for df, x in ((a, "k"), (b, "id")))
+    is bounded. Sets go there as bits of frequent trigrams and the few rare ones, as each goes to many groups; what they share of
+    the frequent ones is counted as products of matrices, and of the rare ones where these can still decide."""
+    grams, sets, kind = GRAMS, SETS, dict(a.dtypes)["scope"]
+    packed = f"id long, scope {kind}, n int, bits binary, rare array<long>"
+    a, b = (cut_round(df.select(F.col(x).alias("id"), "scope", "t").mapInArrow(lambda batches: _bits(batches, often, grams), packed)) for df, x in ((a, "k"), (b, "id")))
+    # enough groups for all cores, larger ones only beyond that: a set goes to fewer
+    stored = max(1, min(STORED, max(STORED // 64, -(-b.count() // (4 * b.sparkSession.sparkContext.defaultParallelism)))))
     of = lambda df, size, x: df.groupBy("scope").agg(F.ceil(F.count("*") / size).cast("int").alias(x))
     # scopes may be many: their counts meet by a join
-    grid = cut_round(of(a, ASKED, "na").join(of(b, STORED, "nb"), "scope"))
+    grid = cut_round(of(a, ASKED, "na").join(of(b, stored, "nb"), "scope"))
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    key = ["scope", "i", "j", "kind"]
-    one = a.join(grid, "scope").withColumns({"i": part("na"), "j": every("nb"), "kind": F.lit(0)}).select(*key, "id", "t")
-    two = b.join(grid, "scope").withColumns({"i": every("na"), "j": part("nb"), "kind": F.lit(1)}).select(*key, "id", "t")
+    key, cols = ["scope", "i", "j", "kind"], ["id", "n", "bits", "rare"]
+    one = a.join(grid, "scope").withColumns({"i": part("na"), "j": every("nb"), "kind": F.lit(0)}).select(*key, *cols)
+    two = b.join(grid, "scope").withColumns({"i": every("na"), "j": part("nb"), "kind": F.lit(1)}).select(*key, *cols)
     groups = grid.agg(F.sum(F.col("na").cast("long") * F.col("nb"))).first()[0] or 1
     dealt = one.unionByName(two).repartition(min(groups, 2000), "scope", "i", "j").sortWithinPartitions(*key)
-    return dealt.mapInArrow(lambda batches: _products(batches, threshold), "k long, target long, sim double")
+    return dealt.mapInArrow(lambda batches: _products(batches, threshold, sets), "k long, target long, sim double")
 
 
-def _products(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _products(batches: Iterator[pa.RecordBatch], threshold: float, sets: int) -> Iterator[pa.RecordBatch]:
     """Over rows in order of (scope, i, j, kind): the sets that ask, then those that they are compared with."""
     key, held, asked = None, [], None
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal held
         if asked is not None and held:
-            yield _best_of(*asked, *_joined(held), threshold)
+            yield _best_of(asked, _Sets(held), threshold, sets)
         held = []
 
     for b in batches:
         if not b.num_rows:
             continue
         scope, (i, j, kind) = b.column(0).dictionary_encode().indices.to_numpy(), (b.column(x).to_numpy() for x in (1, 2, 3))
-        stops = np.flatnonzero((scope[1:] != scope[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (kind[1:] != kind[:-1])) + 1
+        stops = (np.flatnonzero((scope[1:] != scope[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist()
         for lo, hi in zip([0, *stops], [*stops, b.num_rows], strict=True):
-            now = (b.column(0)[int(lo)].as_py(), i[lo], j[lo], kind[lo])
+            now = (b.column(0)[lo].as_py(), i[lo], j[lo], kind[lo])
             if now != key:
                 if key is not None and now[:3] != key[:3]:
                     yield from flush()
                     asked = None
                 elif key is not None:
-                    asked, held = _joined(held), []
+                    asked, held = _Sets(held), []
                 key = now
-            held.append((b.column(4).slice(lo, hi - lo).to_numpy(), b.column(5).slice(lo, hi - lo)))
-            if kind[lo] == 1 and sum(len(x) for x, _ in held) >= SETS:
-                yield from flush()
+            for o in range(lo, hi, sets):
+                held.append(b.slice(o, min(sets, hi - o)))
+                if kind[lo] == 1 and sum(x.num_rows for x in held) >= sets:
+                    yield from flush()
     yield from flush()
 
 
-def _joined(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, sizes, trigrams one set after the other)."""
-    return np.concatenate([x for x, _ in held]), np.concatenate([np.diff(t.offsets.to_numpy()) for _, t in held]), np.concatenate([t.flatten().to_numpy() for _, t in held])
-
-
-def _best_of(k: np.ndarray, n: np.ndarray, grams: np.ndarray, ids: np.ndarray, m: np.ndarray, others: np.ndarray, threshold: float) -> pa.RecordBatch:
-    known = np.unique(others)
+class _Sets:
+    """Sets of a scope, from rows (.., id, n, bits, rare)."""
+
+    def __init__(self, held: list[pa.RecordBatch]) -> None:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        self.ids, self.n = rows.column("id").to_numpy(), rows.column("n").to_numpy().astype(np.float32)
+        self.bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(len(self.ids), -1)
+        rare = rows.column("rare").combine_chunks()
+        self.rare, self.rares = rare.flatten().to_numpy(), np.diff(rare.offsets.to_numpy()).astype(np.int64)
+        self.starts = np.cumsum(self.rares) - self.rares
+
+    def matrix(self, lo: int, hi: int) -> np.ndarray:
+        return np.unpackbits(self.bits[lo:hi], axis=1).astype(np.float32)
+
+    def few(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``rows``, trigram) of their rare trigrams."""
+        n = self.rares[rows]
+        return np.repeat(np.arange(len(rows)), n), self.rare[np.repeat(self.starts[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def _rare_in_common(a: _Sets, b: _Sets, lo: int, hi: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many rare trigrams the pairs (``i``, from ``lo`` on, and ``j``) share."""
+    known = np.unique(b.rare)
+    row_b, g = b.few(np.arange(len(b.ids)))
+    at_b = np.searchsorted(known, g)
+    # looked up pair by pair, or where that is more than multiplying all, multiplied
+    if a.rares[lo + i].sum() * DEARER > (hi - lo) * len(b.ids) * len(known):
+        row, g = a.few(np.arange(lo, hi))
+        at, there = _at(known, g)
+        row, at, common = row[there], at[there], np.zeros((hi - lo, len(b.ids)), np.float32)
+        for c in range(0, len(known), COLUMNS):
+            x, y = (np.zeros((n, min(COLUMNS, len(known) - c)), np.float32) for n in common.shape)
+            for m, r, p in ((x, row, at), (y, row_b, at_b)):
+                inside = (p >= c) & (p < c + COLUMNS)
+                m[r[inside], p[inside] - c] = 1
+            common += x @ y.T
+        return common[i, j]
+    keys, out = np.sort(row_b * len(known) + at_b), np.zeros(len(i), np.float32)
+    for o in range(0, len(i), LOOKED):
+        pair, g = a.few(lo + i[o : o + LOOKED])
+        at, there = _at(known, g)
+        pair, at = pair[there], at[there]
+        _, hit = _at(keys, j[o : o + LOOKED][pair] * len(known) + at)
+        out[o : o + LOOKED] = np.bincount(pair[hit], minlength=len(i[o : o + LOOKED]))
+    return out
+
+
+def _best_of(a: _Sets, b: _Sets, threshold: float, sets: int) -> pa.RecordBatch:
     out: list[list[np.ndarray]] = [[], [], []]
-    spread = lambda g, sizes: (np.repeat(np.arange(len(sizes)), sizes), np.minimum(np.searchsorted(known, g), len(known) - 1))
-
-    def matrix(row: np.ndarray, at: np.ndarray, rows: int, lo: int) -> np.ndarray:
-        x = np.zeros((rows, min(GRAMS, len(known) - lo)), np.float32)
-        inside = (at >= lo) & (at < lo + GRAMS)
-        x[row[inside], at[inside] - lo] = 1
-        return x
-
-    starts = np.r_[0, np.cumsum(n)]
-    row_b, at_b = spread(others, m)
-    for o in range(0, len(k), SETS):
-        own, g = n[o : o + SETS], grams[starts[o] : starts[min(o + SETS, len(k))]]
-        row, at = spread(g, own)
-        there = known[at] == g
-        row, at = row[there], at[there]
-        common = np.zeros((len(own), len(m)), np.float32)
-        for lo in range(0, len(known), GRAMS):
-            common += matrix(row, at, len(own), lo) @ matrix(row_b, at_b, len(m), lo).T
+    every, rare_b = b.matrix(0, len(b.ids)).T, b.rares.astype(np.float32)
+    for o in range(0, len(a.ids), sets):
+        hi = min(o + sets, len(a.ids))
+        own, rare = a.n[o:hi], a.rares[o:hi].astype(np.float32)
+        common = a.matrix(o, hi) @ every
         # what is similar enough shares at least so many
-        i, j = np.nonzero(common >= threshold / (1 + threshold) * (own[:, None] + m) - 1e-3)
-        shared = common[i, j].astype(np.float64)
-        sim = np.round(shared / (own[i] + m[j] - shared), 9)
-        order = np.lexsort((ids[j], -sim, i))
+        part = np.float32(threshold / (1 + threshold))
+        need = (part * own - np.float32(1e-3))[:, None] + part * b.n
+        i, j = np.nonzero(common + np.minimum(rare[:, None], rare_b) >= need)
+        shared = common[i, j] + _rare_in_common(a, b, o, hi, i, j) if len(i) else common[i, j]
+        likely = shared >= need[i, j]
+        i, j, shared = i[likely], j[likely], shared[likely].astype(np.float64)
+        sim = np.round(shared / (own[i].astype(np.float64) + b.n[j] - shared), 9)
+        order = np.lexsort((b.ids[j], -sim, i))
         order = order[sim[order] >= threshold]
         first = order[np.flatnonzero(np.r_[True, i[order][1:] != i[order][:-1]])] if len(order) else order
-        for x, v in zip(out, (k[o + i[first]], ids[j[first]], sim[first]), strict=True):
+        for x, v in zip(out, (a.ids[o + i[first]], b.ids[j[first]], sim[first]), strict=True):
             x.append(v)
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["k", "target", "sim"])
 

@@ -283,6 +283,43 @@ def test_upsert_in_blocks_finds_what_rare_trigrams_find(spark, monkeypatch):
     assert {r.id: r.target for r in ingest.compiled_upsert(a, b).collect()} == want and sum(x is not None for x in want.values()) > 30
 
 
+def test_an_upsert_stores_a_row_a_set(spark, monkeypatch):
+    """Neither trigrams nor candidates are stored as rows, with blocks and without."""
+    rng = np.random.default_rng(12)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(30))
+    old = [(i, "st"[i % 2], f"o{i}", text()) for i in range(60)]
+    new = [(1000 + i, "st"[i % 2], f"n{i}", old[i][3] + " end" if i % 3 else text()) for i in range(40)]
+    schema = "id long, scope string, slug string, content string"
+    a, b = spark.createDataFrame(new, schema), spark.createDataFrame(old, schema)
+    rows = []
+    for name in ("cut", "cut_round"):
+        if real := getattr(ingest, name, None):
+            monkeypatch.setattr(ingest, name, lambda df, real=real: (r := real(df), rows.append(r.count()))[0])
+    want = {i: i - 1000 if i % 1000 % 3 else None for i in range(1000, 1040)}
+    assert {r.id: r.target for r in ingest.compiled_upsert(a, b).collect()} == want
+    for name, value in {"MEETINGS": 0, "SHARED": 0, "SETS": 7, "GRAMS": 20}.items():
+        monkeypatch.setattr(ingest, name, value)
+    assert {r.id: r.target for r in ingest.compiled_upsert(a, b).collect()} == want
+    assert max(rows) <= len(old)
+
+
+def test_rare_trigrams_in_common_are_looked_up_or_multiplied(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(13)
+    side = lambda: [sorted(rng.choice(50, int(rng.integers(0, 9)), replace=False).tolist()) for _ in range(30)]
+    x, y = side(), side()
+    made = lambda s: ingest._Sets([pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array([len(v) for v in s], pa.int32()), pa.array([b""] * 30, pa.binary()), pa.array(s, pa.list_(pa.int64()))], ["id", "n", "bits", "rare"])])
+    a, b = made(x), made(y)
+    monkeypatch.setattr(ingest, "COLUMNS", 16)
+    monkeypatch.setattr(ingest, "LOOKED", 5)
+    i, j = (v.ravel() for v in np.mgrid[0:20, 0:30])
+    for some in (slice(None), slice(7, 8), slice(0, 600, 37)):
+        for looked in (0, 2000):
+            monkeypatch.setattr(ingest, "DEARER", looked)
+            assert ingest._rare_in_common(a, b, 10, 30, i[some], j[some]).tolist() == [len(set(x[10 + p]) & set(y[q])) for p, q in zip(i[some], j[some], strict=True)]
+
+
 def test_rounds_of_matching_broadcast_hot_keys_only(spark, monkeypatch):
     """What a round broadcasts is sent to the driver, and rounds add up."""
     plans, real = [], supersede.cut_round
